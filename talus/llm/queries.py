@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, linededup, media, pii, quality
+from . import bpe, decontaminate, licenses, linededup, media, neardup, pii, quality
 from .common import table
 
 #: Test key; production passes its own.
@@ -16,6 +16,10 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.to_media(table(spark, sf_dir, "documents"))).drop("peak_frames", "peak_codes")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -35,11 +39,22 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op4_quality_classifier, op5_license_scan, op6_line_dedup, op8_pii_pseudonyms)}
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_decontamination, op4_quality_classifier, op5_license_scan, op6_line_dedup, op7_near_dedup, op8_pii_pseudonyms, op9_byte_bpe)}
 
 ORACLE = {
     "op6_line_dedup": """
