@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, linededup, media, neardup, pii, quality
+from . import bpe, decontaminate, licenses, linededup, media, neardup, pii, quality, rans
 from .common import table
 
 #: Test key; production passes its own.
@@ -54,7 +54,14 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_decontamination, op4_quality_classifier, op5_license_scan, op6_line_dedup, op7_near_dedup, op8_pii_pseudonyms, op9_byte_bpe)}
+def op10_rans_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    back = rans.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_decontamination, op4_quality_classifier, op5_license_scan, op6_line_dedup, op7_near_dedup, op8_pii_pseudonyms, op9_byte_bpe, op10_rans_token_ids)}
 
 ORACLE = {
     "op6_line_dedup": """
