@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, linededup, media, neardup, pii, quality, rans
+from . import bpe, decontaminate, licenses, linededup, media, neardup, pii, quality, rans, suffix
 from .common import table
 
 #: Test key; production passes its own.
@@ -20,6 +20,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -61,7 +66,7 @@ def op10_rans_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_decontamination, op4_quality_classifier, op5_license_scan, op6_line_dedup, op7_near_dedup, op8_pii_pseudonyms, op9_byte_bpe, op10_rans_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_decontamination, op3_suffix_array_dedup, op4_quality_classifier, op5_license_scan, op6_line_dedup, op7_near_dedup, op8_pii_pseudonyms, op9_byte_bpe, op10_rans_token_ids)}
 
 ORACLE = {
     "op6_line_dedup": """
