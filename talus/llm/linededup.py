@@ -135,3 +135,16 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": x["doc_id"], "n_lines": x["n_lines"], "n_dropped": x["n_dropped"], "kept_text": kept})
 
     return joined.mapInPandas(run, "doc_id long, n_lines long, n_dropped long, kept_text string")
+
+
+def without_repeats(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """docs with all columns and rows: text without the dropped lines, and n_chars (if there is one) counted anew. A row without doc_id stays as it is."""
+
+    @F.pandas_udf("string")
+    def kept(text: pd.Series, bitmap: pd.Series, n_lines: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or m is None else kept_text(t, bytes(m), int(n)) for t, m, n in zip(text, bitmap, n_lines, strict=True)], dtype=object)
+
+    b = bitmaps.where("n_dropped > 0").select(F.struct("doc_id", "n_lines", "keep_bitmap").alias("__line_dedup")).hint("shuffle_hash")
+    joined = docs.join(b, docs["doc_id"].cast("long") == F.col("__line_dedup.doc_id"), "left")
+    new = joined.withColumn("text", kept("text", "__line_dedup.keep_bitmap", "__line_dedup.n_lines")).drop("__line_dedup")
+    return new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else new

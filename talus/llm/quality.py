@@ -137,3 +137,17 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": 1 / (1 + np.exp(-np.clip(raw, -30, 30)))})
 
     return texts(docs).mapInPandas(run, "doc_id long, score double").select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of docs, with all columns, whose text scores CUT or more; the score is taken where the row is, without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = shared.value
+        for b in batches:
+            raw = np.array([raw_score(m, *with_bins(*features(t or ""), m["edges"])) for t in b], dtype=np.float64)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
+
+    return docs.where(probability(F.col("text")) >= CUT)
