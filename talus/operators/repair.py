@@ -32,8 +32,8 @@ def date_fixes(flat: DataFrame) -> DataFrame:
 def source_checks(flat: DataFrame) -> DataFrame:
     """(_id, url, reason) of every source; reason is null for valid ones. Each distinct address is judged once."""
     each = flat.where(active()).select("_id", F.explode("sources").alias("s")).select("_id", F.col("s.url").alias("url"))
-    judged = each.select("url").distinct().withColumn("reason", invalid_reason("url"))
-    return each.join(judged, each["url"].eqNullSafe(judged["url"]), "left").select("_id", each["url"], "reason")
+    judged = each.select(F.col("url").alias("_url")).distinct().withColumn("reason", invalid_reason("_url"))
+    return each.join(judged, F.col("url").eqNullSafe(F.col("_url")), "left").drop("_url")
 
 
 def fix_sources(flat: DataFrame, replacements: DataFrame | None = None) -> DataFrame:
@@ -43,7 +43,7 @@ def fix_sources(flat: DataFrame, replacements: DataFrame | None = None) -> DataF
     if replacements is not None:
         rows = rows.join(replacements.select("_id", F.col("sources").alias("found")), "_id", "left")
     else:
-        rows = rows.withColumn("found", F.slice("valid", 1, 0) if False else F.lit(None).cast(flat.schema["sources"].dataType))
+        rows = rows.withColumn("found", F.lit(None).cast(flat.schema["sources"].dataType))
     action = F.when(F.size("valid") == F.size("old"), "keep").when(F.size("valid") > 0, "prune").when(F.size(F.coalesce("found", F.array())) > 0, "replace").otherwise("delete")
     action = F.when((F.size("old") == 0) & (F.size(F.coalesce("found", F.array())) == 0), "delete").otherwise(action)
     return rows.select("_id", action.alias("action"), F.when(action == "replace", F.slice("found", 1, 3)).otherwise(F.col("valid")).alias("sources"))
