@@ -6,20 +6,19 @@ import base64
 import hashlib
 import heapq
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import regex
-import zlib
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from .common import pieces, texts
 
-#: Characters of text in one block: documents whose distinct words are shuffled together.
-BLOCK_CHARS = 12_000_000
+#: Characters of text in one block: documents whose distinct words are shuffled together; documents packed in one value of it.
+BLOCK_CHARS, DOCS_PACKED = 40_000_000, 256
 #: Words longer than this are merged with a heap.
 LONG = 48
 
@@ -49,7 +48,7 @@ def pre_tokens(text: str, pattern: str) -> list[str]:
     return _compiled[pattern].findall(text)
 
 
-def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
+def read_ranks(path: str) -> dict[bytes, int]:
     """The token-byte table of a rank file (base64 and rank on each line): its vocabulary bounds it."""
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -96,81 +95,142 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def _blocks(pattern: str, kind: str):
-    """Per block of documents: its distinct words in order of first sight (kind "words"), or its documents as positions in them."""
+def _planes(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers, compressed byte by byte: most of the high bytes are zero."""
+    return zlib.compress(np.ascontiguousarray(x, dtype="<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unplanes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(bytes(x)), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _blocks(pattern: str, kind: str, buckets: int, block_chars: int):
+    """Per block of documents (a piece of an input partition), in order of first sight of its distinct words:
+
+    kind "words": (bucket, block, sizes, words) for each hash bucket of words, packed; kind "docs": (block, seq, doc_ids, counts,
+    slots) with documents as positions among the block's words, and in seq -1 the bucket of each word.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = TaskContext.get().partitionId() << 32
-        for b in pieces(batches, "text", BLOCK_CHARS):
-            slots: dict[str, int] = {}
-            ids, packed = [], []
+        block, chars, slots = TaskContext.get().partitionId() << 32, 0, {}
+        rows, ids, counts, at = [], [], [], []
+
+        def close() -> pd.DataFrame:
+            words = [w.encode("utf-8", "surrogatepass") for w in slots]
+            bucket = np.array([zlib.crc32(w) % buckets for w in words], dtype=np.uint32)
+            if kind == "docs":
+                flush()
+                out = pd.DataFrame([*rows, (block, -1, b"", b"", _planes(bucket))], columns=["block", "seq", "doc_ids", "counts", "slots"])
+            else:
+                order = np.argsort(bucket, kind="stable")
+                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                own = [(k, [words[i] for i in order[ends[k] : ends[k + 1]]]) for k in range(buckets) if ends[k] < ends[k + 1]]
+                out = pd.DataFrame([(k, block, _planes(np.array([len(w) for w in ws])), zlib.compress(b"".join(ws), 1)) for k, ws in own], columns=["bucket", "block", "sizes", "words"])
+            slots.clear()
+            rows.clear()
+            return out
+
+        def flush() -> None:
+            if ids:
+                rows.append((block, len(rows), np.array(ids, dtype="<i8").tobytes(), np.array(counts, dtype="<u4").tobytes(), _planes(np.concatenate(at))))
+                for x in (ids, counts, at):
+                    x.clear()
+
+        for b in batches:
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 words = pre_tokens(text, pattern)
                 for w in dict.fromkeys(words):
-                    slots.setdefault(w, len(slots))
+                    if w not in slots:
+                        slots[w] = len(slots)
                 if kind == "docs":
                     ids.append(doc_id)
-                    at = np.fromiter(map(slots.__getitem__, words), dtype=np.uint32, count=len(words))
-                    # Planes of bytes: most of the high ones are zero.
-                    packed.append(zlib.compress(at.view(np.uint8).reshape(-1, 4).T.tobytes(), 1))
-            if kind == "words":
-                yield pd.DataFrame({"block": block, "slot": np.arange(len(slots), dtype=np.int32), "word": [w.encode("utf-8", "surrogatepass") for w in slots]})
-            else:
-                yield pd.DataFrame({"block": block, "doc_id": ids, "slots": packed})
-            block += 1
+                    counts.append(len(words))
+                    at.append(np.fromiter(map(slots.__getitem__, words), dtype=np.uint32, count=len(words)))
+                    if len(ids) >= DOCS_PACKED:
+                        flush()
+                chars += len(text)
+                if chars >= block_chars:
+                    yield close()
+                    block, chars = block + 1, 0
+        if chars or ids or rows or slots:
+            yield close()
 
     return run
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids, decoded) of every row of docs: the token ids of its whole text, and the bytes that they decode to.
+def _encode_words(table, kind: str):
+    """(block, bucket, sizes, ids) of packed words in order of bucket: within one, each distinct word is merged once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ranks, bucket, known = table.value, None, {}
+        for b in batches:
+            rows = []
+            for k, block, sizes, words in zip(b["bucket"], b["block"], b["sizes"], b["words"], strict=True):
+                if k != bucket:
+                    bucket, known = k, {}
+                size, data = _unplanes(sizes).astype(np.int64), zlib.decompress(bytes(words))
+                ends, own = np.cumsum(size), []
+                for s, e in zip((ends - size).tolist(), ends.tolist(), strict=True):
+                    w = data[s:e]
+                    if (ids := known.get(w)) is None:
+                        ids = known[w] = np.array(merge(w, ranks), dtype=kind).tobytes()
+                    own.append(ids)
+                width = np.dtype(kind).itemsize
+                rows.append((block, k, _planes(np.array([len(x) // width for x in own])), zlib.compress(b"".join(own), 1)))
+            yield pd.DataFrame(rows, columns=["block", "bucket", "sizes", "ids"])
+
+    return run
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(doc_id, ids) of every row of docs: the token ids of its whole text as little-endian unsigned 32-bit integers in one binary value.
 
     A null or empty text has no ids; rows without doc_id go; repeated rows each have a result; an empty table gives an empty one;
-    only doc_id and text are read. ids are little-endian unsigned 32-bit integers in one binary value.
+    only doc_id and text are read.
 
-    Documents are read in blocks (pieces of input partitions). A block gives its distinct words once each, and its documents as
-    positions among these, so a frequent word is one row a block, not one a place. The two passes over docs must see the same
-    rows in the same order, as those over files do; write other inputs to a table first.
+    Documents are read in blocks (pieces of input partitions). A block gives its distinct words to the buckets of a global shuffle,
+    where each distinct word is merged once, and its documents as positions among its words; ids go back to the block and into
+    place by position. So a frequent word is one entry a block, not one a place. The two passes over docs must see the same rows
+    in the same order, as those over files do; write other inputs to a table first.
     """
     spark, base = docs.sparkSession, texts(docs)
-    ranks = read_ranks(spark, ranks_path)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = "<u2" if max(ranks.values(), default=0) < 1 << 16 else "<u4"
     table = spark.sparkContext.broadcast(ranks)
-
-    @F.pandas_udf("binary")
-    def encode(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = table.value
-        for w in words:
-            yield pd.Series([np.array(merge(bytes(x), known), dtype="<u4").tobytes() for x in w], dtype=object)
-
-    words = base.mapInPandas(_blocks(pattern, "words"), "block long, slot int, word binary")
-    vocabulary = words.select("word").distinct().select("word", encode.asNondeterministic()("word").alias("ids"))
-    slotted = words.join(vocabulary, "word").select("block", "slot", "ids")
-    placed = base.mapInPandas(_blocks(pattern, "docs"), "block long, doc_id long, slots binary")
+    words = base.mapInPandas(_blocks(pattern, "words", n, block_chars), "bucket int, block long, sizes binary, words binary")
+    replies = words.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInPandas(_encode_words(table, kind), "block long, bucket int, sizes binary, ids binary")
+    placed = base.mapInPandas(_blocks(pattern, "docs", n, block_chars), "block long, seq int, doc_ids binary, counts binary, slots binary")
 
     def reassemble(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own = left.sort_values("slot")["ids"].tolist()
-        size = np.array([len(x) // 4 for x in own], dtype=np.int64)
-        flat, begin = np.frombuffer(b"".join(map(bytes, own)), dtype="<u4"), np.cumsum(size) - size
-        out = []
-        for packed in right["slots"]:
-            planes = np.frombuffer(zlib.decompress(bytes(packed)), dtype=np.uint8)
-            at = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel() if len(planes) else np.zeros(0, dtype=np.uint32)
+        left, right = left.sort_values("bucket"), right.sort_values("seq")
+        order = np.argsort(_unplanes(right["slots"].iloc[0]), kind="stable")
+        sizes = np.concatenate([np.zeros(0, dtype=np.uint32), *[_unplanes(x) for x in left["sizes"]]]).astype(np.int64)
+        flat = np.frombuffer(b"".join([zlib.decompress(bytes(x)) for x in left["ids"]]), dtype=kind)
+        size, begin = np.empty(len(sizes), dtype=np.int64), np.empty(len(sizes), dtype=np.int64)
+        size[order], begin[order] = sizes, np.cumsum(sizes) - sizes
+        ids, out = [], []
+        for doc_ids, counts, slots in zip(right["doc_ids"].iloc[1:], right["counts"].iloc[1:], right["slots"].iloc[1:], strict=True):
+            at, ends = _unplanes(slots), np.cumsum(np.frombuffer(bytes(counts), dtype="<u4").astype(np.int64))
             n = size[at]
-            places = np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append(flat[places].astype("<u4").tobytes())
-        return pd.DataFrame({"doc_id": right["doc_id"], "ids": out})
+            upto = np.concatenate([[0], np.cumsum(n)])
+            tokens = flat[np.repeat(begin[at] - upto[:-1], n) + np.arange(upto[-1])].astype("<u4")
+            ids.append(np.frombuffer(bytes(doc_ids), dtype="<i8"))
+            out += [x.tobytes() for x in np.split(tokens, upto[ends[:-1]])]
+        return pd.DataFrame({"doc_id": np.concatenate([np.zeros(0, dtype=np.int64), *ids]), "ids": out})
 
-    encoded = slotted.groupBy("block").cogroup(placed.groupBy("block")).applyInPandas(reassemble, "doc_id long, ids binary")
-    return decode(encoded, ranks)
+    return replies.groupBy("block").cogroup(placed.groupBy("block")).applyInPandas(reassemble, "doc_id long, ids binary")
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """encoded (doc_id, ids) with the bytes `decoded`: each id meets the token-byte table, which has a row for each of the vocabulary."""
-    spark = encoded.sparkSession
+def _tokens(ranks: dict[bytes, int]) -> list[bytes]:
     tokens = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
-    shared = spark.sparkContext.broadcast(tokens)
+    return tokens
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """encoded (doc_id, ids) with the bytes `decoded`: each id meets the token-byte table, which has a row for each of the vocabulary."""
+    shared = encoded.sparkSession.sparkContext.broadcast(_tokens(ranks))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in pieces(batches, "ids"):
@@ -180,13 +240,24 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return encoded.mapInPandas(run, "doc_id long, ids binary, decoded binary")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, ids, decoded)."""
+def decoded_digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded (doc_id, ids): as decode(), without giving the bytes out."""
+    shared = encoded.sparkSession.sparkContext.broadcast(_tokens(ranks))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens = shared.value
+        written = [str(i).encode() for i in range(len(tokens))]
         for b in pieces(batches, "ids"):
-            ids = [np.frombuffer(bytes(x), dtype="<u4") for x in b["ids"]]
-            sha = [hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": np.array([len(x) for x in ids], dtype=np.int64), "ids_sha256": sha, "decoded_sha256": [hashlib.sha256(bytes(x)).hexdigest() for x in b["decoded"]]})
+            rows = []
+            for doc_id, x in zip(b["doc_id"], b["ids"], strict=True):
+                ids = np.frombuffer(bytes(x), dtype="<u4").tolist()
+                rows.append((doc_id, len(ids), hashlib.sha256(b",".join(map(written.__getitem__, ids))).hexdigest(), hashlib.sha256(b"".join(map(tokens.__getitem__, ids))).hexdigest()))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return encoded.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids, decoded) of every row of docs: encode(), then decode()."""
+    ranks = read_ranks(ranks_path)
+    return decode(encode(docs, ranks, pattern), ranks)

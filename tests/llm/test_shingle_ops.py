@@ -190,16 +190,18 @@ def public(name):
     return P.path(name), P.PATTERN
 
 
-@pytest.mark.parametrize("rows", [None, []])
-def test_bpe_is_the_library(spark, rows):
+@pytest.mark.parametrize("block", [40_000_000, 300])
+@pytest.mark.parametrize("rows", [None, [], [(i, prose(i, 100)) for i in range(300)]])
+def test_bpe_is_the_library(spark, rows, block):
     import tiktoken
 
+
     path, pattern = public("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     got = sorted((r.doc_id, np.frombuffer(bytes(r.ids), dtype="<u4").tolist(), bytes(r.decoded)) for r in bpe.encode_decode(documents(spark, rows), path, pattern).collect())
     assert got == sorted((i, library.encode_ordinary(t), t.encode()) for i, t in texts(rows))
-    d = {r.doc_id: r for r in bpe.digests(bpe.encode_decode(documents(spark, rows), path, pattern)).collect()}
+    d = {r.doc_id: r for r in bpe.decoded_digests(bpe.encode(documents(spark, rows), ranks, pattern, block), ranks).collect()}
     for i, t in texts(rows):
         assert d[i].ids_sha256 == hashlib.sha256(",".join(map(str, library.encode_ordinary(t))).encode()).hexdigest()
 
@@ -208,7 +210,7 @@ def test_merges_of_long_words():
     import tiktoken
 
     path, pattern = public("byte_bpe_multi_50k.tiktoken")
-    ranks = bpe.read_ranks(None, path)
+    ranks = bpe.read_ranks(path)
     library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     r = random.Random(1)
     for n in (1, 3, 47, 48, 49, 200, 3000):
