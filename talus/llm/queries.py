@@ -68,7 +68,38 @@ def op10_rans_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_media_columns, op2_decontamination, op3_suffix_array_dedup, op4_quality_classifier, op5_license_scan, op6_line_dedup, op7_near_dedup, op8_pii_pseudonyms, op9_byte_bpe, op10_rans_token_ids)}
 
+_TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, a, b.replace("'", "''")) for i, (a, b) in enumerate(licenses.TEMPLATES))
+_WORDS = "unnest(regexp_extract_all(lower({}), '[a-z0-9]+(?:[.-][a-z0-9]+)*'))"
+_CUE = "(" + " OR ".join(f"contains(lower({{0}}), '{c}')" for c in licenses.CUES) + ")"
+
 ORACLE = {
+    "op7_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS reach FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reach = e.a),
+m AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)""",
+    "op5_license_scan": f"""
+WITH files AS (SELECT doc_id, text, source || '/' || (doc_id // 10000) || '/' || (doc_id // 1000) || '/' || (doc_id // 100) AS dir, CASE WHEN doc_id % 50 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS name FROM documents),
+s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.;!?])\\s+', '\\1' || chr(10), 'g'), chr(10))) AS sentence, generate_subscripts(string_split(regexp_replace(text, '([.;!?])\\s+', '\\1' || chr(10), 'g'), chr(10)), 1) AS place FROM files WHERE {_CUE.format("text")}),
+n AS (SELECT doc_id, place, token, count(*) AS tf FROM (SELECT doc_id, place, {_WORDS.format("sentence")} AS token FROM s WHERE {_CUE.format("sentence")}) GROUP BY ALL),
+df AS (SELECT token, count(*) AS df FROM n GROUP BY token), total AS (SELECT count(*) AS n FROM (SELECT DISTINCT doc_id, place FROM n)),
+w AS (SELECT doc_id, place, token, tf * (ln((total.n + 1.0::double) / (df + 1.0::double)) + 1.0::double) AS w FROM n JOIN df USING (token), total),
+norm AS (SELECT doc_id, place, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
+t AS (SELECT template, license, token, count(*) AS tf FROM (SELECT template, license, {_WORDS.format("notice")} AS token FROM (VALUES {_TEMPLATES}) v(template, license, notice)) GROUP BY ALL),
+tw AS (SELECT template, license, token, tf * (ln((total.n + 1.0::double) / (coalesce(df, 0) + 1.0::double)) + 1.0::double) AS tw FROM t LEFT JOIN df USING (token), total),
+tn AS (SELECT *, sqrt(sum(tw * tw) OVER (PARTITION BY template)) AS tnorm FROM tw),
+c AS (SELECT doc_id, license, template, round(sum(w * tw) / (norm * tnorm), 6) AS cosine FROM w JOIN tn USING (token) JOIN norm USING (doc_id, place) GROUP BY doc_id, place, license, template, norm, tnorm),
+own AS (SELECT doc_id, arg_max(license, (cosine, -template)) AS own_license, max(cosine) AS cosine FROM c WHERE cosine >= {licenses.THRESHOLD} GROUP BY doc_id),
+named AS (SELECT files.doc_id, dir, name, own_license, cosine FROM files LEFT JOIN own USING (doc_id)),
+lic AS (SELECT dir AS ancestor, arg_max(own_license, (cosine, own_license)) AS dir_license FROM named WHERE lower(name) = 'license' AND own_license IS NOT NULL GROUP BY dir),
+up AS (SELECT dir, array_to_string(string_split(dir, '/')[1:k], '/') AS ancestor FROM (SELECT dir, unnest(range(1, len(string_split(dir, '/')) + 1)) AS k FROM (SELECT DISTINCT dir FROM files))),
+near AS (SELECT dir, arg_max(dir_license, length(ancestor)) AS inherited_license, arg_max(ancestor, length(ancestor)) AS inherited_from FROM up JOIN lic USING (ancestor) GROUP BY dir)
+SELECT doc_id, dir || '/' || name AS path, own_license, cosine, inherited_license, inherited_from, coalesce(own_license, inherited_license) AS license FROM named LEFT JOIN near USING (dir)""",
     "op6_line_dedup": """
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents WHERE doc_id IS NOT NULL),
 k AS (SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
