@@ -173,29 +173,82 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return both.mapInPandas(run, "a long, b long")
 
 
-def _contested(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and survive the comparison of signatures.
-
-    members: (key, rep, comp, sig, n). A bucket is cut into blocks of about BLOCK members, and each two blocks meet in one small
-    group, so no bucket is gathered whole and no pair is emitted but the survivors.
-    """
+def _dealt(members: DataFrame) -> DataFrame:
+    """members (key, n, rep, ...) for each two blocks (i, j) of their key's about BLOCK members, `own` being that of the row: no key is gathered whole."""
     blocks = members.withColumn("of", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("of")).cast("int"))
-    dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "sig")
+    paired = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    return paired.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("n", "of", "other")
+
+
+class _Forest:
+    """Labels of joined members; join() tells which of the others were not yet joined with r, one for each label."""
+
+    def __init__(self, labels: np.ndarray):
+        self.label = np.unique(labels, return_inverse=True)[1]
+
+    def join(self, r: int, others: np.ndarray) -> np.ndarray:
+        labels, first = np.unique(self.label[others], return_index=True)
+        new = labels != self.label[r]
+        if new.any():
+            self.label[np.isin(self.label, labels)] = self.label[r]
+        return others[first[new]]
+
+
+def _cross(x: pd.DataFrame, threshold: float, exact=None) -> pd.DataFrame:
+    """Of two blocks: links (a, b) that join all that the pairs of different components which survive (and meet `exact`) join, no more than members."""
+    sigs, rep, own = _sigs(x["sig"]), x["rep"].to_numpy(), x["own"].to_numpy()
+    comp, i, j = x["comp"].to_numpy(), int(x["i"].iloc[0]), int(x["j"].iloc[0])
+    forest, out = _Forest(rep if exact is None else comp), []
+    left, right = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
+    for r in left:
+        others = right[(comp[right] != comp[r]) & (forest.label[right] != forest.label[r]) & ((rep[right] > rep[r]) if i == j else True)]
+        if len(others):
+            others = others[surviving(np.broadcast_to(sigs[r], (len(others), HASHES)), sigs[others], threshold)]
+        if len(others) and exact is not None:
+            others = others[exact(r, others)]
+        if len(others):
+            new = forest.join(r, others)
+            out.append(np.stack([np.minimum(rep[new], rep[r]), np.maximum(rep[new], rep[r])], axis=1))
+    found = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
+    return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+
+def _families(contested: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): a forest over the members of contested buckets that signatures leave as possible links of different components."""
+    return _dealt(contested).groupBy("key", "i", "j").applyInPandas(lambda x: _cross(x, threshold), "a long, b long").distinct()
+
+
+def _links_in_families(members: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """(a, b): exact links, as a forest, of members (key, n, rep, comp, sig, shingles) of a family."""
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
-        sigs, rep, comp, own = _sigs(x["sig"]), x["rep"].to_numpy(), x["comp"].to_numpy(), x["own"].to_numpy()
-        i, j = int(x["i"].iloc[0]), int(x["j"].iloc[0])
-        left, right = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
-        out = []
-        for r in left:
-            others = right[(comp[right] != comp[r]) & ((rep[right] > rep[r]) if i == j else True)]
-            if len(others):
-                hit = others[surviving(np.broadcast_to(sigs[r], (len(others), HASHES)), sigs[others], threshold)]
-                out.append(np.stack([np.minimum(rep[hit], rep[r]), np.maximum(rep[hit], rep[r])], axis=1))
-        found = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+        sets = [np.frombuffer(bytes(s), dtype=np.uint64) for s in x["shingles"]]
+        size = np.array([len(s) for s in sets])
+        begin = np.cumsum(size) - size
+        names, at = np.unique(np.concatenate(sets), return_inverse=True)
+        mark = np.zeros(len(names), dtype=np.int64)
+
+        def exact(r: int, others: np.ndarray) -> np.ndarray:
+            own = at[begin[r] : begin[r] + size[r]]
+            mark[own] = 1
+            common = np.array([mark[at[begin[o] : begin[o] + size[o]]].sum() for o in others])
+            mark[own] = 0
+            return 100 * common >= percent * (size[r] + size[others] - common)
+
+        return _cross(x, threshold, exact)
+
+    return _dealt(members).groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(rep, shingles) of the documents in ids (rep)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in pieces(batches, "text"):
+            yield pd.DataFrame({"rep": b["doc_id"], "shingles": [shingle_set(t, size).tobytes() for t in b["text"]]})
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    wanted = texts(docs).join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return wanted.mapInPandas(run, "rep long, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -206,7 +259,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     result again; rows without doc_id go; an empty table gives an empty one; only doc_id and text are read.
 
     Equal sets are one class from the start. In each band bucket every class is compared with the smallest; buckets whose
-    members are then still in different components have those compared in blocks, so no pair that shares a bucket is passed over.
+    members are then still in different components have those compared in blocks by signature; what may still be linked forms
+    families, whose full sets are compared in blocks. So no pair that shares a bucket is passed over, and what is emitted are
+    forests, never all pairs.
     """
     threshold = percent / 100
     signed = durable(signatures(docs, size), "signatures")
@@ -225,9 +280,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     contested = durable(placed.join(open_keys, "key", "left_semi").join(reps.select("rep", "sig"), "rep"), "contested")
     if not contested.isEmpty():
-        more = durable(_contested(contested, threshold).join(stars, ["a", "b"], "left_anti"), "more")
-        if not more.isEmpty():
-            extra = durable(verified(more, docs, size, percent), "links")
+        maybe = durable(_families(contested, threshold), "maybe")
+        if not maybe.isEmpty():
+            tree = components(maybe)
+            family = durable(tree.select(F.col("component").alias("key"), F.col("node").alias("rep")).unionByName(tree.select(F.col("component").alias("key"), F.col("component").alias("rep"))).distinct(), "families")
+            sized = family.join(family.groupBy("key").agg(F.count("*").alias("n")), "key")
+            sets = shingle_sets(docs, family.select("rep"), size)
+            own = comps.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+            members = sized.join(own, "rep", "left").join(reps.select("rep", "sig"), "rep").join(sets, "rep").withColumn("comp", F.coalesce("comp", "rep"))
+            extra = durable(_links_in_families(members, threshold, percent), "links")
             if not extra.isEmpty():
                 comps = components(links.unionByName(extra))
     ids = signed.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
