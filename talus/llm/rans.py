@@ -21,9 +21,9 @@ from .common import durable, pieces, shared_dir, texts
 
 #: Frequencies are scaled to 2^PROB; states are in [2^LOW, 2^(LOW + WORD)), and WORD >= PROB, so a step moves one word at most.
 PROB, LOW, WORD = 20, 31, 32
-LANES = 512
+LANES = 1024
 #: Ids of a block at least (a document is never cut), and steps between checkpoints inside a block.
-BLOCK_IDS, CHECK_STEPS = 1 << 18, 256
+BLOCK_IDS, CHECK_STEPS = 1 << 19, 256
 MAGIC, VERSION = b"TRAN", 1
 _HEAD = struct.Struct("<4sHHIIII")  # magic, version, lanes, ids, words, checkpoints, crc32 of the ids
 
@@ -168,8 +168,9 @@ def frequencies(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec, total = pa.Codec("zstd"), np.zeros(vocabulary, dtype=np.int64)
         for b in batches:
-            for x, n in zip(b["ids"], b["n"], strict=True):
-                total += np.bincount(_unpack(x, n, codec), minlength=vocabulary)
+            for start in range(0, len(b), 1000):
+                part = b.iloc[start : start + 1000]
+                total += np.bincount(np.concatenate([_unpack(x, n, codec) for x, n in zip(part["ids"], part["n"], strict=True)]), minlength=vocabulary)
         (seen,) = np.nonzero(total)
         yield pd.DataFrame({"id": seen.astype(np.int32), "count": total[seen]})
 
