@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from .common import pieces, texts
 
 #: Characters of text in one block: documents whose distinct words are shuffled together; documents packed in one value of it.
-BLOCK_CHARS, DOCS_PACKED = 40_000_000, 256
+BLOCK_CHARS, DOCS_PACKED = 14_000_000, 256
 #: Words longer than this are merged with a heap.
 LONG = 48
 
