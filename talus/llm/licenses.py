@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import durable
+
 #: The wording of well-known licence notices (SPDX identifier, notice).
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -56,7 +58,7 @@ def notices(files: DataFrame) -> DataFrame:
 def match_notices(files: DataFrame) -> DataFrame:
     """(file_id, license, cosine): the best template of each file that has one of at least THRESHOLD; ties go to the earlier template."""
     spark = files.sparkSession
-    words, known = notices(files), templates(spark)
+    words, known = durable(notices(files), "notices"), templates(spark)
     # Document frequencies over all notices of all files and over the templates.
     own = known.select("template", "license", F.explode(_tokens(F.col("notice"))).alias("token")).groupBy("template", "license", "token").agg(F.count("*").alias("tf"))
     df = words.groupBy("token").agg(F.count("*").alias("df"))
@@ -76,14 +78,14 @@ def scan(files: DataFrame) -> DataFrame:
     """(file_id, path, own_license, cosine, inherited_license, inherited_from, license) of every row of files (file_id, path, text).
 
     A file with a notice has its own licence; any other has that of the licence file (see LICENSE_NAMES) in the nearest directory
-    at or above its own. Two licence files in one directory: the higher cosine, then the smaller name. Null text: no notice. Null path: no directory, so nothing inherited. Rows
-    without file_id go; repeated rows each have a result; an empty table gives an empty one. Other columns are not read.
+    at or above its own. Of two licence files in one directory the one of higher cosine counts, then that of the later identifier.
+    Null text: no notice. Null path: no directory, so nothing inherited. Rows without file_id go; repeated rows each have a result; an empty table gives an empty one. Other columns are not read.
     """
     base = files.select(F.col("file_id").cast("long").alias("file_id"), F.col("path").cast("string").alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("file_id IS NOT NULL")
-    own = match_notices(base.select("file_id", "text")).select(F.col("file_id").alias("_of"), F.col("license").alias("own_license"), "cosine")
+    own = durable(match_notices(base.select("file_id", "text")), "licensed-files").select(F.col("file_id").alias("_of"), F.col("license").alias("own_license"), "cosine")
     placed = base.select("file_id", "path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), F.lower(F.regexp_extract("path", "([^/]*)$", 1)).alias("name"))
     named = placed.join(own, placed["file_id"] == own["_of"], "left").drop("_of")
-    by_dir = named.where(F.col("name").isin(LICENSE_NAMES) & F.col("own_license").isNotNull()).groupBy("dir").agg(F.max_by("own_license", F.struct("cosine", F.lit(0) - F.ascii("name"), F.lit(0) - F.length("name"))).alias("dir_license"))
+    by_dir = named.where(F.col("name").isin(LICENSE_NAMES) & F.col("own_license").isNotNull()).groupBy("dir").agg(F.max_by("own_license", F.struct("cosine", "own_license")).alias("dir_license"))
     # One row for each directory, exploded into its ancestors (its depth bounds them), meets the directories that have a licence.
     dirs = placed.where("dir IS NOT NULL").select("dir").distinct()
     parts = F.split("dir", "/")
