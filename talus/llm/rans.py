@@ -112,7 +112,7 @@ def decode_block(block: bytes, table: Table, checkpoint: int = 0) -> np.ndarray:
 class PieceIds(dict):
     """The ids of pre-tokens as bytes, by the tokenizers library; the first KEPT are kept in a worker."""
 
-    KEPT = 500_000
+    KEPT = 1_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -128,7 +128,9 @@ class PieceIds(dict):
         assert set(self.chars.values()) == set(ByteLevel.alphabet())
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.chars))], dtype="<u2").tobytes()
+        plain = piece.isascii() and piece.isprintable()
+        ids = [t.id for t in self.model.tokenize(piece.replace(" ", self.chars[32]) if plain else piece.encode().decode("latin-1").translate(self.chars))]
+        ids = struct.pack(f"<{len(ids)}H", *ids)
         if len(self) < self.KEPT:
             self[piece] = ids
         return ids
