@@ -1,7 +1,9 @@
-"""Benchmark decontamination: rare word n-grams of test items are seeds that find passages in training documents; Smith-Waterman alignment scores the passages, so edited and paraphrased copies count."""
+"""Benchmark decontamination: word n-grams of test items are seeds that find passages in training documents; Smith-Waterman alignment scores each distinct passage once, so edited and paraphrased copies count."""
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +15,6 @@ from .common import durable, pieces, texts
 from .neardup import gram_hashes
 
 SEED_WORDS = 5
-#: An n-gram is a seed of an item if no more documents hold it than so many times those that hold the item's rarest, and some.
-RARE_TIMES, RARE_SLACK = 10, 100
 MATCH, MISMATCH, GAP = 2, 1, 1
 #: Of the score of a whole copy.
 THRESHOLD = 0.6
@@ -46,14 +46,37 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def smith_waterman(item: list[bytes], passage: list[bytes]) -> tuple[float, int, int]:
-    """(score as a part of that of a whole copy, first word, word after the last) of the best alignment."""
+def where_possible(item: np.ndarray, passage: np.ndarray, threshold: float) -> tuple[int, int]:
+    """(first word, word after the last) of what can be in an alignment of at least `threshold`; equal if none can be.
+
+    Such an alignment has at least threshold * n matches, so at most 2 * n * (1 - threshold) edits, and lies in a window of
+    n + 2 * n * (1 - threshold) words; the matches of a window are no more than its words that are in the item, each as often as there.
+    """
+    n, size = len(item), len(passage)
+    least = math.ceil(threshold * n - 1e-9)
+    if least <= 0:
+        return 0, size
+    of_item, of_passage = np.bincount(item, minlength=n), np.bincount(passage[passage >= 0], minlength=n)
+    if np.minimum(of_item, of_passage).sum() < least:
+        return 0, 0
+    width = min(size, math.ceil(n + 2 * n * (1 - threshold)))
+    known = np.concatenate([[0], np.cumsum(passage >= 0)])
+    (alive,) = np.nonzero(known[width:] - known[: size + 1 - width] >= least)
+    return (int(alive[0]), int(alive[-1]) + width) if len(alive) else (0, 0)
+
+
+def smith_waterman(item: list[bytes], passage: list[bytes], threshold: float = 0.0) -> tuple[float, int, int]:
+    """(score as a part of that of a whole copy, first word, word after the last) of the best alignment; 0 if none can have `threshold`."""
     number = {w: i for i, w in enumerate(dict.fromkeys(item))}
     a = np.array([number[w] for w in item], dtype=np.int64)
     b = np.array([number.get(w, -1) for w in passage], dtype=np.int64)
+    low, high = where_possible(a, b, threshold)
+    if low == high:
+        return 0.0, 0, 0
+    b = b[low:high]
     best, end = align(a, b)
     back = align(a[::-1], b[:end][::-1])[1] if best else 0
-    return best / (MATCH * max(1, len(item))), end - back, end
+    return best / (MATCH * max(1, len(item))), low + end - back, low + end
 
 
 def seed_filter(grams: DataFrame) -> np.ndarray:
@@ -84,7 +107,7 @@ def _item_grams(items: DataFrame, size: int) -> DataFrame:
 
 
 def _passages(docs: DataFrame, bitmap, sizes: list[int], reach: int) -> DataFrame:
-    """(doc_id, passage, start, words, grams): what lies within `reach` words of n-grams that the filter knows."""
+    """(doc_id, key, start, words, grams): what lies within `reach` words of n-grams that the filter knows; equal passages have one key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, mask = bitmap.value, np.uint64((1 << FILTER_BITS) - 1)
@@ -106,12 +129,14 @@ def _passages(docs: DataFrame, bitmap, sizes: list[int], reach: int) -> DataFram
                 at, found = np.concatenate(at), np.concatenate(found)
                 order = np.argsort(at, kind="stable")
                 at, found = at[order], found[order].view(np.int64)
-                for k, own in enumerate(np.split(np.arange(len(at)), np.nonzero(np.diff(at) > reach)[0] + 1)):
+                for own in np.split(np.arange(len(at)), np.nonzero(np.diff(at) > reach)[0] + 1):
                     start, end = max(0, int(at[own[0]]) - reach), int(at[own[-1]]) + reach + max(sizes)
-                    rows.append((doc_id, k, start, b" ".join(words[start:end]), np.unique(found[own])))
-            yield pd.DataFrame(rows, columns=["doc_id", "passage", "start", "words", "grams"])
+                    passage, grams = b" ".join(words[start:end]), np.unique(found[own])
+                    key = hashlib.blake2b(passage + b"\0" + grams.tobytes(), digest_size=16).digest()
+                    rows.append((doc_id, key, start, passage, grams))
+            yield pd.DataFrame(rows, columns=["doc_id", "key", "start", "words", "grams"])
 
-    return docs.mapInPandas(run, "doc_id long, passage int, start long, words binary, grams array<long>")
+    return docs.mapInPandas(run, "doc_id long, key binary, start long, words binary, grams array<long>")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, size: int = SEED_WORDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -127,24 +152,24 @@ def find_leaks(docs: DataFrame, items: DataFrame, size: int = SEED_WORDS, thresh
     facts = grams.agg(F.max("n_words").alias("reach"), F.collect_set(F.when(F.col("n_words") < size, F.col("n_words"))).alias("short")).first()
     bitmap = spark.sparkContext.broadcast(seed_filter(grams))
     found = durable(_passages(texts(docs), bitmap, sorted({size, *facts["short"]}), facts["reach"] or 1), "passages")
-    hits = found.select("doc_id", "passage", F.explode("grams").alias("gram"))
-    df = hits.join(grams.select("gram").distinct(), "gram", "left_semi").select("doc_id", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df"))
-    known = grams.join(df, "gram").select("item_id", "gram", "df")
-    rarest = known.groupBy("item_id").agg(F.min("df").alias("least"))
-    seeds = known.join(rarest, "item_id").where(F.col("df") <= F.col("least") * RARE_TIMES + RARE_SLACK).select("gram", "item_id")
-    wanted = hits.join(seeds, "gram").groupBy("doc_id", "passage").agg(F.collect_set("item_id").alias("item_ids"))
-    pairs = found.drop("grams").join(wanted, ["doc_id", "passage"]).withColumn("item_id", F.explode("item_ids")).drop("item_ids")
+    # Each distinct passage meets each item that it shares an n-gram with, however frequent, and is aligned once.
+    passages = found.groupBy("key").agg(F.first("words").alias("words"), F.first("grams").alias("grams"))
+    hits = passages.select("key", F.explode("grams").alias("gram"))
+    wanted = hits.join(grams.select("gram", "item_id"), "gram").groupBy("key").agg(F.collect_set("item_id").alias("item_ids"))
+    pairs = passages.drop("grams").join(wanted, "key").withColumn("item_id", F.explode("item_ids")).drop("item_ids")
     both = pairs.join(tests.select(F.col("doc_id").alias("item_id"), F.col("text").alias("item_text")), "item_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc_id, item_id, start, words, item in zip(b["doc_id"], b["item_id"], b["start"], b["words"], b["item_text"], strict=True):
-                score, first, end = smith_waterman(words_of(item), bytes(words).split())
+            for key, item_id, words, item in zip(b["key"], b["item_id"], b["words"], b["item_text"], strict=True):
+                score, first, end = smith_waterman(words_of(item), bytes(words).split(), threshold)
                 if score >= threshold:
-                    rows.append((doc_id, item_id, score, start + first, start + end))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "first_word", "end_word"])
+                    rows.append((key, item_id, score, first, end))
+            yield pd.DataFrame(rows, columns=["key", "item_id", "score", "first_word", "end_word"])
 
-    scored = both.select("doc_id", "item_id", "start", "words", "item_text").mapInPandas(run, "doc_id long, item_id long, score double, first_word long, end_word long")
+    aligned = both.select("key", "item_id", "words", "item_text").mapInPandas(run, "key binary, item_id long, score double, first_word long, end_word long")
+    places = found.select("doc_id", "key", "start").join(durable(aligned, "aligned"), "key")
+    scored = places.select("doc_id", "item_id", "score", (F.col("start") + F.col("first_word")).alias("first_word"), (F.col("start") + F.col("end_word")).alias("end_word"))
     best = scored.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("score", "first_word", "end_word"), F.struct("score", -F.col("first_word"), -F.col("end_word"))).alias("b"))
     return best.select("doc_id", "item_id", "b.score", "b.first_word", "b.end_word")

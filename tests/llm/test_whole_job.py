@@ -1,0 +1,36 @@
+"""What operators once cut: frequent n-grams, address lists, IBANs of all countries, wrapped notices."""
+
+from talus.llm import decontaminate
+
+from .helpers import documents, prose
+
+
+def test_leaks_that_only_frequent_grams_tie(spark):
+    """Copies of an edited version are all found, however many, beside one clean copy."""
+    item = prose(21, 40)
+    words = item.split()
+    edited = " ".join([*words[:20], "changed", *words[21:]])
+    rows = [(0, f"{prose(22, 30)} {item} {prose(23, 30)}")] + [(i, f"{prose(100 + i, 30)} {edited} {prose(5000 + i, 30)}") for i in range(1, 501)]
+    rows += [(i, edited) for i in range(501, 1001)] + [(2000, prose(24, 100))]
+    tests = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.find_leaks(documents(spark, rows), tests).collect()}
+    assert set(got) == set(range(1001))
+    assert got[0].score == 1 and (got[0].first_word, got[0].end_word) == (30, 70)
+    assert {round(got[i].score, 3) for i in range(1, 1001)} == {0.963}
+    assert (got[500].first_word, got[500].end_word) == (30, 70) and (got[501].first_word, got[501].end_word) == (0, 40)
+
+
+def test_bound_keeps_every_passage_that_passes():
+    """The bound before the alignment never changes a score that passes."""
+    import random
+
+    r = random.Random(5)
+    for _ in range(400):
+        item = [b"%d" % r.randrange(12) for _ in range(r.randrange(1, 30))]
+        copy = [w for w in item if r.random() > 0.15]
+        for _ in range(r.randrange(4)):
+            copy.insert(r.randrange(len(copy) + 1), b"%d" % r.randrange(20))
+        passage = [b"%d" % r.randrange(30) for _ in range(r.randrange(40))] + copy + [b"%d" % r.randrange(30) for _ in range(r.randrange(40))]
+        whole = decontaminate.smith_waterman(item, passage)
+        if whole[0] >= 0.6:
+            assert decontaminate.smith_waterman(item, passage, 0.6) == whole
