@@ -146,16 +146,22 @@ def secret(text: str, key: bytes) -> str | None:
 _HANDLERS = {"card": card, "phone": phone, "ssn": ssn, "ip": ip, "date": date}
 
 
+def _in_name(c: str) -> bool:
+    return c.isalnum() or c in "_%+-"
+
+
 def candidates(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, kind) of what may be personal data, not yet validated."""
     if "@" in text:
-        at = text.find("@")
+        at, done = text.find("@"), 0
         while at >= 0:
-            low = max(text.rfind(" ", 0, at), text.rfind("\n", 0, at)) + 1
-            for m in _EMAIL.finditer(text, low):
-                if m.start() <= at < m.end():
-                    yield m.start(), m.end(), "email"
-                break
+            # Back over the name: its characters, and single dots between them, not those of an earlier address.
+            low = at
+            while low > done and (_in_name(text[low - 1]) or (text[low - 1] == "." and done < low - 1 < at - 1 and _in_name(text[low - 2]))):
+                low -= 1
+            if low < at and (m := _EMAIL.match(text, low)):
+                yield m.start(), m.end(), "email"
+                done = m.end()
             at = text.find("@", at + 1)
     for m in _HEX.finditer(text):
         if not (m.start() and text[m.start() - 1].isalnum()) and not text[m.end() : m.end() + 1].isalnum():

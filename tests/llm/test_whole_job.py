@@ -1,6 +1,6 @@
 """What operators once cut: frequent n-grams, address lists, IBANs of all countries, wrapped notices."""
 
-from talus.llm import decontaminate
+from talus.llm import decontaminate, pii
 
 from .helpers import documents, prose
 
@@ -34,3 +34,13 @@ def test_bound_keeps_every_passage_that_passes():
         whole = decontaminate.smith_waterman(item, passage)
         if whole[0] >= 0.6:
             assert decontaminate.smith_waterman(item, passage, 0.6) == whole
+
+
+def test_every_address_of_a_list():
+    names = ["ann@x.com", "bob.lee@y.org", "c+d@mail.z.net"]
+    for mark in [",", ";", "\t", ", ", "|", ">;<", "\r\n"]:
+        new, counts = pii.pseudonymised(f"<{mark.join(names)}>", b"k")
+        assert counts == {"email": 3} and not any(x in new for x in names)
+        assert new == f"<{mark.join(pii.pseudonymised(x, b'k')[0] for x in names)}>"
+    assert pii.pseudonymised("no@ @one .@ a@b @@ a@b.", b"k") == ("no@ @one .@ a@b @@ a@b.", {})
+    assert pii.pseudonymised("a..b@x.com", b"k")[1] == {"email": 1} and pii.pseudonymised("a..b@x.com", b"k")[0].startswith("a..")
