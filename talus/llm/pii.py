@@ -22,6 +22,7 @@ _RANGES = [(48, 10), (97, 26), (65, 26), (0xC0, 0x190)]
 _RUN = re.compile(r"[0-9+][0-9+()./ -]*")
 _HEX = re.compile(r"[0-9a-fA-F]{32,}")
 _EMAIL = re.compile(r"[\w%+-]+(?:\.[\w%+-]+)*@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
+_IBAN_HEAD = re.compile(r"[A-Z]{2}[0-9]{2}")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _IN_RUN = re.compile(
     r"(?P<date>\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}[/.]\d{1,2}[/.]\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d-])"
@@ -166,12 +167,19 @@ def candidates(text: str) -> Iterator[tuple[int, int, str]]:
     for m in _HEX.finditer(text):
         if not (m.start() and text[m.start() - 1].isalnum()) and not text[m.end() : m.end() + 1].isalnum():
             yield m.start(), m.end(), "secret"
+    for head in _IBAN_HEAD.finditer(text):
+        start = head.start()
+        if not (start and text[start - 1].isalnum()) and (m := _IBAN.match(text, start)):
+            # Capital words may follow, so its beginnings that end at a blank are candidates too; the check decides.
+            end = m.end()
+            while end > 0:
+                if _IBAN.fullmatch(text, start, end):
+                    yield start, end, "iban"
+                end = text.rfind(" ", start, end)
     for run in _RUN.finditer(text):
         start, end = run.span()
         if end - start < 7:
             continue
-        if start >= 2 and text[start - 2 : start].isupper() and (m := _IBAN.match(text, start - 2)) and not (start > 2 and text[start - 3].isalnum()):
-            yield m.start(), m.end(), "iban"
         p = start
         while p < end:
             m = _IN_RUN.search(text, p, min(len(text), end + 1))

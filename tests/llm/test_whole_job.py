@@ -44,3 +44,18 @@ def test_every_address_of_a_list():
         assert new == f"<{mark.join(pii.pseudonymised(x, b'k')[0] for x in names)}>"
     assert pii.pseudonymised("no@ @one .@ a@b @@ a@b.", b"k") == ("no@ @one .@ a@b @@ a@b.", {})
     assert pii.pseudonymised("a..b@x.com", b"k")[1] == {"email": 1} and pii.pseudonymised("a..b@x.com", b"k")[0].startswith("a..")
+
+
+def test_ibans_of_all_countries():
+    """Letters right after the check digits, with blanks and without, and before a capital word."""
+    for plain in ["GB82WEST12345698765432", "NL91ABNA0417164300", "IT60X0542811101000000123456", "MT84MALT011000012345MTLCAST001S", "IE29AIBK93115212345678", "DE89370400440532013000", "BE68539007547034", "NO9386011117947"]:
+        spaced = " ".join([plain[i : i + 4] for i in range(0, len(plain), 4)])
+        for text in [plain, spaced, f"IBAN:{plain}, please", f"to {spaced}.", f"{spaced} BANK", f"{spaced} BIC ABCDEF", f"{spaced}\n{plain}"]:
+            new, counts = pii.pseudonymised(text, b"k")
+            assert counts == {"iban": 1 + text.count("\n")} and plain[4:] not in new and spaced[5:] not in new
+            assert text.endswith(" BANK") <= new.endswith(" BANK")
+        back = pii.pseudonymised(plain, b"k")[0]
+        assert back[:2] == plain[:2] and int("".join([str(int(c, 36)) for c in back[4:] + back[:4]])) % 97 == 1
+        assert pii.pseudonymised(spaced, b"k")[0].replace(" ", "") == back
+    wrong = "GB83 WEST 1234 5698 7654 32"
+    assert pii.pseudonymised(wrong, b"k") == (wrong, {}) and pii.pseudonymised("XGB82WEST12345698765432", b"k")[1] == {}
