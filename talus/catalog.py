@@ -579,6 +579,12 @@ def shared_source_pairs(spark, sf_dir):
     return dedup.shared_source_pairs(views.source_rows(spark, sf_dir).where("_id < 4000"))
 
 
+# All links of whole tables: pairs would grow with the square of a class, so shared_source_pairs stays the small case its SQL states.
+@query("shared_source_classes", f"WITH {SRC}, u AS (SELECT DISTINCT _id, {NORM} AS source FROM src) SELECT _id, source, min(_id) OVER (PARTITION BY source) AS class_id, count(*) OVER (PARTITION BY source) AS members FROM u")
+def shared_source_classes(spark, sf_dir):
+    return dedup.shared_source_classes(views.source_rows(spark, sf_dir))
+
+
 @query("valid_split", f"WITH {REP} SELECT event_id % 100 AS _id, count(*) FILTER (WHERE {sql_usable('url')}) AS valid, count(*) FILTER (WHERE NOT ({sql_usable('url')})) AS removed FROM rep GROUP BY 1")
 def valid_split(spark, sf_dir):
     r = views.reports(spark, sf_dir).groupBy((F.col("event_id") % 100).alias("_id")).agg(F.collect_list("url").alias("u"))

@@ -82,6 +82,17 @@ def shared_source_pairs(sources: DataFrame) -> DataFrame:
     return a.join(b, (F.col("a.u") == F.col("b.u")) & (F.col("a._id") < F.col("b._id"))).groupBy(F.col("a._id").alias("id_a"), F.col("b._id").alias("id_b")).agg(F.count("*").alias("shared"))
 
 
+def shared_source_classes(sources: DataFrame) -> DataFrame:
+    """(_id, source, class_id, members) of all rows of (_id, url): each normalised address with the smallest _id that has it and how many have it.
+
+    All that shared_source_pairs says, in one row for each _id and address: ids are linked by the classes they are both in, and
+    `shared` is the number of these. The rows grow with the input, not with the square of a class.
+    """
+    keyed = sources.select("_id", normalize_url("url").alias("source")).where("source <> ''").distinct()
+    classes = keyed.groupBy("source").agg(F.min("_id").alias("class_id"), F.count("*").alias("members"))
+    return keyed.join(classes, "source").select("_id", "source", "class_id", "members")
+
+
 def top_candidates(pairs: DataFrame, most: int = 5) -> DataFrame:
     return pairs.orderBy(F.desc("score"), "id_a", "id_b").limit(most)
 
