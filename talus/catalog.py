@@ -224,8 +224,8 @@ def sql_overlap(a: str, b: str) -> str:
 
 
 @query("keyword_overlap", f"WITH {DOC}, w AS (SELECT doc_id, {sql_words('title', 3, V.KEYWORD_STOPWORDS)} AS a, {sql_words('text', 3, V.KEYWORD_STOPWORDS)} AS b FROM doc) SELECT doc_id, len(a)::bigint AS n_title, len(b)::bigint AS n_text, {sql_overlap('a', 'b')} AS share FROM w")
-def keyword_overlap(spark, sf_dir):
-    w = views.ascii_documents(spark, sf_dir).select("doc_id", text.keywords("title").alias("a"), text.keywords("text").alias("b"))
+def keyword_overlap(spark, sf_dir, docs=views.ascii_documents):
+    w = docs(spark, sf_dir).select("doc_id", text.keywords("title").alias("a"), text.keywords("text").alias("b"))
     return w.select("doc_id", F.size("a").alias("n_title"), F.size("b").alias("n_text"), text.overlap(F.col("a"), F.col("b")).alias("share"))
 
 
@@ -233,13 +233,13 @@ NORMAL = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9\\s/-]', ' ', '
 
 
 @query("normalize_text", f"WITH {DOC} SELECT doc_id, {NORMAL.format('text')} AS plain FROM doc")
-def normalize_text(spark, sf_dir):
-    return views.ascii_documents(spark, sf_dir).select("doc_id", text.normalize_text("text").alias("plain"))
+def normalize_text(spark, sf_dir, docs=views.ascii_documents):
+    return docs(spark, sf_dir).select("doc_id", text.normalize_text("text").alias("plain"))
 
 
 @query("tokenize", f"WITH {DOC} SELECT doc_id, array_to_string(list_filter(string_split({NORMAL.format('title')}, ' '), lambda w: length(w) >= 4 AND NOT list_contains([{', '.join(repr(w) for w in V.SOURCE_STOPWORDS)}], w)), ' ') AS tokens FROM doc")
-def tokenize(spark, sf_dir):
-    return views.ascii_documents(spark, sf_dir).select("doc_id", F.concat_ws(" ", text.tokenize("title")).alias("tokens"))
+def tokenize(spark, sf_dir, docs=views.ascii_documents):
+    return docs(spark, sf_dir).select("doc_id", F.concat_ws(" ", text.tokenize("title")).alias("tokens"))
 
 
 TITLE = "trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), '\\b(nigeria|nigerian|state)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -318,8 +318,8 @@ def attack_hash(spark, sf_dir):
 
 
 @query("truncate", f"WITH {DOC} SELECT doc_id, text[1:200] || '...' AS short FROM doc")
-def truncate(spark, sf_dir):
-    return views.ascii_documents(spark, sf_dir).select("doc_id", text.truncated("text").alias("short"))
+def truncate(spark, sf_dir, docs=views.ascii_documents):
+    return docs(spark, sf_dir).select("doc_id", text.truncated("text").alias("short"))
 
 
 @query("location_label", f"WITH {INC} SELECT _id, concat_ws(', ', nullif(town, 'Unknown'), nullif(lga, 'Unknown'), state) AS label FROM inc")
@@ -684,9 +684,9 @@ DOC_SCORE = f"""s AS (SELECT least(a._id, b._id) AS id_a, greatest(a._id, b._id)
 + CASE WHEN {sql_overlap('a.dw', 'b.dw')} > 0.4 THEN 0.15::double WHEN {sql_overlap('a.dw', 'b.dw')} > 0.25 THEN 0.08::double ELSE 0.0::double END + CASE WHEN a.date = b.date THEN 0.1::double WHEN abs(date_diff('day', a.date, b.date)) < 2 THEN 0.05::double ELSE 0.0::double END, 2) AS score FROM f a JOIN f b ON a.state = b.state AND abs(date_diff('day', a.date, b.date)) <= 8 AND {{}})"""
 
 
-def _doc_incidents(spark, sf_dir) -> DataFrame:
+def _doc_incidents(spark, sf_dir, docs=views.ascii_documents) -> DataFrame:
     k, nothing = F.col("doc_id"), F.lit(None)
-    return views.ascii_documents(spark, sf_dir).select(
+    return docs(spark, sf_dir).select(
         k.alias("_id"), "title", F.col("text").alias("description"), F.col("source").alias("state"), nothing.cast("string").alias("lga"), nothing.cast("string").alias("town"),
         (F.lit(dt.datetime(2024, 1, 1)) + F.make_interval(days=(k % 30).cast("int"))).alias("date"), F.when(k % 3 == 0, "bandits").when(k % 3 == 1, "militants").otherwise("herders").alias("group"),
         (k % 40).cast("int").alias("killed"), F.array().cast("array<struct<url:string,title:string,publisher:string>>").alias("sources"), F.lit(False).alias("_deleted"),
@@ -695,31 +695,36 @@ def _doc_incidents(spark, sf_dir) -> DataFrame:
 
 
 @query("dedup_state_scan", f"WITH {DOC}, {DOC_INC}, {DOC_SCORE.format('a._id < b._id')} SELECT * FROM s WHERE score >= 0.4")
-def dedup_state_scan(spark, sf_dir):
-    return dedup.scan(_doc_incidents(spark, sf_dir))
+def dedup_state_scan(spark, sf_dir, docs=views.ascii_documents):
+    return dedup.scan(_doc_incidents(spark, sf_dir, docs))
 
 
 @query("dedup_global_scan", f"WITH {DOC}, {DOC_INC}, {DOC_SCORE.format('a._id < b._id')} SELECT * FROM s WHERE score >= 0.6")
-def dedup_global_scan(spark, sf_dir):
-    return dedup.scan(_doc_incidents(spark, sf_dir), threshold=0.6, include_deleted=False)
+def dedup_global_scan(spark, sf_dir, docs=views.ascii_documents):
+    return dedup.scan(_doc_incidents(spark, sf_dir, docs), threshold=0.6, include_deleted=False)
 
 
 @query("dedup_recent", f"WITH {DOC}, {DOC_INC}, {DOC_SCORE.format(chr(39).join(['a._id <> b._id AND a.date >= TIMESTAMP ', '2024-01-26', '']))} SELECT DISTINCT * FROM s WHERE score >= 0.4")
-def dedup_recent(spark, sf_dir):
-    return dedup.scan_recent(_doc_incidents(spark, sf_dir), F.lit(dt.datetime(2024, 1, 26)))
+def dedup_recent(spark, sf_dir, docs=views.ascii_documents):
+    return dedup.scan_recent(_doc_incidents(spark, sf_dir, docs), F.lit(dt.datetime(2024, 1, 26)))
 
 
 @query("top_candidates", f"WITH {DOC}, {DOC_INC}, {DOC_SCORE.format('a._id < b._id')} SELECT * FROM s WHERE score >= 0.4 ORDER BY score DESC, id_a, id_b LIMIT 5")
-def top_candidates(spark, sf_dir):
-    return dedup.top_candidates(dedup.scan(_doc_incidents(spark, sf_dir)))
+def top_candidates(spark, sf_dir, docs=views.ascii_documents):
+    return dedup.top_candidates(dedup.scan(_doc_incidents(spark, sf_dir, docs)))
 
 
 @query("dedup_exact_cluster", f"""WITH {DOC}, d AS (SELECT doc_id AS _id, strftime(TIMESTAMP '2024-01-01' + to_days((doc_id % 3)::int), '%Y-%m-%d') || '|' || {TITLE.format('title')} AS cluster, length(text) AS n FROM doc), c AS (SELECT *, count(*) OVER (PARTITION BY cluster) AS members, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, _id) AS rank FROM d) SELECT _id, cluster, members, rank FROM c WHERE members > 1""")
-def dedup_exact_cluster(spark, sf_dir):
-    rows = _doc_incidents(spark, sf_dir).withColumn("date", F.lit(dt.datetime(2024, 1, 1)) + F.make_interval(days=(F.col("_id") % 3).cast("int")))
+def dedup_exact_cluster(spark, sf_dir, docs=views.ascii_documents):
+    rows = _doc_incidents(spark, sf_dir, docs).withColumn("date", F.lit(dt.datetime(2024, 1, 1)) + F.make_interval(days=(F.col("_id") % 3).cast("int")))
     return dedup.exact_clusters(rows).select("_id", "cluster", "members", "rank")
 
 
+# The same queries over all documents. Spark and DuckDB differ outside ASCII, so these have no SQL.
+for _f in (keyword_overlap, normalize_text, tokenize, truncate, dedup_state_scan, dedup_global_scan, dedup_recent, top_candidates, dedup_exact_cluster):
+    query(f"{_f.__name__}_all")(functools.partial(_f.__wrapped__, docs=views.all_documents))
+
+
 @query("dedup_cross_state_pairs", f"""WITH {INC}, {SRC}, b AS (SELECT * EXCLUDE (town, title), 'Town ' || (_id % 50) AS town, {_sql_title_tokens('title')} AS tk FROM act), u AS (SELECT DISTINCT _id, {NORM} AS u FROM src)
 SELECT a._id AS id_a, b._id AS id_b FROM b a JOIN b ON lower(a.town) = lower(b.town) AND a.date::date = b.date::date AND lower(a.state) <> lower(b.state) AND a._id < b._id WHERE {sql_overlap('a.tk', 'b.tk')} >= 0.7 OR (coalesce(a.killed, 0) >= 100 AND coalesce(b.killed, 0) >= 100) OR EXISTS (SELECT 1 FROM u x JOIN u y ON x.u = y.u WHERE x._id = a._id AND y._id = b._id)""")
 def dedup_cross_state_pairs(spark, sf_dir):

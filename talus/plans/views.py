@@ -87,6 +87,12 @@ def ascii_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.substring("text", 1, 80).alias("title"), "text", "source")
 
 
+def all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, whatever its language and characters; a null text is empty. Columns as in ascii_documents."""
+    docs = load(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", F.substring("text", 1, 80).alias("title"), "text", "source")
+
+
 def _sql_count(k: str, null_every: int, n: int) -> str:
     return f"CASE WHEN {k} % {null_every} <> 0 THEN {k} % {n} END"
 

@@ -1,8 +1,11 @@
 """Queries over whole tables where their first forms read a part."""
 
 import itertools
+import re
 from collections import Counter
 
+from talus import catalog
+from talus.functions import values
 from talus.operators import dedup
 
 
@@ -21,3 +24,26 @@ def test_source_classes_hold_all_pairs(spark):
         by.setdefault(r.source, set()).add(r._id)
     pairs = Counter(p for s in by.values() for p in itertools.combinations(sorted(s), 2))
     assert pairs == {(r.id_a, r.id_b): r.shared for r in dedup.shared_source_pairs(sources).collect()}
+
+
+def test_documents_of_all_languages(spark, tmp_path):
+    """Accents, curly quotes, other scripts, null text and null lang are read; results are those of brute force."""
+    rows = [
+        (1, "Les soldats ont tué dix bandits près de Zamfara", "fr"), (2, "Die Armee tötete zehn Kämpfer – bei Überfällen", "de"), (3, "El ejército mató a diez bandidos", "es"),
+        (4, "The army’s troops killed ten bandits at the café", "en"), (5, None, "en"), (6, "Troops killed ten bandits in the north", None), (7, "日本語の文書", "ja"), (31, "Les soldats ont tué dix bandits près de Zamfara", "fr"),
+        (8, "x" * 150 + "é" * 100, "fr"), (9, "plain english text of troops", "en"),
+    ]
+    spark.createDataFrame([(*r, "web") for r in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {n: catalog.QUERIES[f"{n}_all"](spark, str(tmp_path)).collect() for n in ("keyword_overlap", "normalize_text", "tokenize", "truncate", "dedup_state_scan", "dedup_global_scan", "dedup_recent", "top_candidates", "dedup_exact_cluster")}
+    full = {i: t or "" for i, t, _ in rows}
+    plain = {i: re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s/-]", " ", t.lower(), flags=re.A), flags=re.A).strip() for i, t in full.items()}
+    assert {r.doc_id: r.plain for r in got["normalize_text"]} == plain
+    words = lambda t: {w for w in re.split(r"\s+", re.sub(r"[^a-z0-9\s]", " ", t.lower(), flags=re.A)) if len(w) >= 3 and w not in values.KEYWORD_STOPWORDS}
+    assert {r.doc_id: (r.n_title, r.n_text) for r in got["keyword_overlap"]} == {i: (len(words(t[:80])), len(words(t))) for i, t in full.items()}
+    tokens = {i: [w for w in re.sub(r"[^a-z0-9\s/-]", " ", t[:80].lower(), flags=re.A).split() if len(w) >= 4 and w not in values.SOURCE_STOPWORDS] for i, t in full.items()}
+    assert {r.doc_id: r.tokens.split() for r in got["tokenize"]} == tokens
+    short = {r.doc_id: r.short for r in got["truncate"]}
+    assert set(short) == set(full) and short[8].startswith("x" * 150 + "é" * 50)
+    assert {r._id for r in got["dedup_exact_cluster"]} >= {1, 31}
+    for scan in ("dedup_state_scan", "dedup_global_scan", "top_candidates"):
+        assert (1, 31) in {(r.id_a, r.id_b) for r in got[scan]}, scan
