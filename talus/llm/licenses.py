@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -32,6 +33,23 @@ TEMPLATES = [
 ]
 #: A notice holds one of these, lower-cased.
 CUES = ["licens", "licenc", "copyright", "rights reserved", "public domain", "permission is hereby granted", "redistribution and use", "subject to the terms"]
+_GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+_PERMIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_MIT = _PERMIT + " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {0}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+#: Standard headers, and titles and texts of licence files (SPDX identifier, text), for joined lines.
+BLOCK_TEMPLATES = [
+    ("GPL-3.0", _GPL.format("", 3)), ("GPL-2.0", _GPL.format("", 2)), ("LGPL-3.0", _GPL.format("Lesser ", 3)), ("AGPL-3.0", _GPL.format("Affero ", 3)),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"), ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"), ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"), ("MIT", "The MIT License (MIT)"), ("MIT", _PERMIT), ("MIT", _MIT), ("BSD-2-Clause", _BSD.format("")),
+    ("BSD-3-Clause", _BSD.format("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ")),
+]
+#: Comment marks at the beginning and at the end of a line.
+_MARKS, _LAST_MARKS = r"^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|;+|--+|%+|<!--)", r"[ \t\r]*(?:\*+/|-->)?[ \t\r]*$"
 THRESHOLD = 0.7
 LICENSE_NAMES = ["license", "license.txt", "license.md", "licence", "licence.txt", "copying", "copying.txt"]
 
@@ -45,8 +63,8 @@ def _tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+(?:[.-][a-z0-9]+)*"), F.lit(0))
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(TEMPLATES)], "template int, license string, notice string")
+def templates(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(TEMPLATES if known is None else known)], "template int, license string, notice string")
 
 
 def notices(files: DataFrame) -> DataFrame:
@@ -55,10 +73,31 @@ def notices(files: DataFrame) -> DataFrame:
     return found.select("file_id", "at", F.explode(_tokens(F.col("sentence"))).alias("token")).groupBy("file_id", "at", "token").agg(F.count("*").alias("tf"))
 
 
-def match_notices(files: DataFrame) -> DataFrame:
+def blocks(files: DataFrame) -> DataFrame:
+    """(file_id, at, token, tf): the words of each paragraph with a cue, of the comment at the head of a file and of the whole file, lines joined and comment marks stripped."""
+    lines = F.split("text", "\n")
+    stripped = F.transform(lines, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, _MARKS, ""), _LAST_MARKS, "")))
+    ends = F.array_position(F.transform(lines, lambda x: F.regexp_like(x, F.lit(_MARKS + r"|^\s*$"))), False).cast("int")
+    parted = files.where(_has_cue(F.lower("text"))).select("file_id", stripped.alias("lines"), ends.alias("ends"))
+    head, whole = F.array_join(F.slice("lines", F.lit(1), F.greatest(F.col("ends") - 1, F.lit(0))), " "), F.array_join("lines", " ")
+    parts = F.concat(F.split(F.array_join("lines", "\n"), r"\n\n+"), F.array(head, whole))
+    found = parted.select("file_id", F.posexplode(parts).alias("at", "block")).where(_has_cue(F.lower(F.regexp_replace("block", r"\s+", " "))))
+    return found.select("file_id", "at", F.explode(_tokens(F.col("block"))).alias("token")).groupBy("file_id", "at", "token").agg(F.count("*").alias("tf"))
+
+
+def match_files(files: DataFrame) -> DataFrame:
+    """(file_id, license, cosine): of a file's best sentence if it names a licence, else of its best block; rights reserved count only without both."""
+    by_sentence = match_notices(files)
+    by_block = match_notices(files, blocks, BLOCK_TEMPLATES)
+    rank = F.when(F.col("block"), 1).when(F.col("license") == "All-Rights-Reserved", 0).otherwise(2)
+    both = by_sentence.withColumn("block", F.lit(False)).unionByName(by_block.withColumn("block", F.lit(True)))
+    return both.groupBy("file_id").agg(F.max_by("license", rank).alias("license"), F.max_by("cosine", rank).alias("cosine"))
+
+
+def match_notices(files: DataFrame, cut: Callable[[DataFrame], DataFrame] = notices, fixed: list[tuple[str, str]] | None = None) -> DataFrame:
     """(file_id, license, cosine): the best template of each file that has one of at least THRESHOLD; ties go to the earlier template."""
     spark = files.sparkSession
-    words, known = durable(notices(files), "notices"), templates(spark)
+    words, known = durable(cut(files), "notices"), templates(spark, fixed)
     # Document frequencies over all notices of all files and over the templates.
     own = known.select("template", "license", F.explode(_tokens(F.col("notice"))).alias("token")).groupBy("template", "license", "token").agg(F.count("*").alias("tf"))
     df = words.groupBy("token").agg(F.count("*").alias("df"))
@@ -82,7 +121,7 @@ def scan(files: DataFrame) -> DataFrame:
     Null text: no notice. Null path: no directory, so nothing inherited. Rows without file_id go; repeated rows each have a result; an empty table gives an empty one. Other columns are not read.
     """
     base = files.select(F.col("file_id").cast("long").alias("file_id"), F.col("path").cast("string").alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("file_id IS NOT NULL")
-    own = durable(match_notices(base.select("file_id", "text")), "licensed-files").select(F.col("file_id").alias("_of"), F.col("license").alias("own_license"), "cosine")
+    own = durable(match_files(base.select("file_id", "text")), "licensed-files").select(F.col("file_id").alias("_of"), F.col("license").alias("own_license"), "cosine")
     placed = base.select("file_id", "path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), F.lower(F.regexp_extract("path", "([^/]*)$", 1)).alias("name"))
     named = placed.join(own, placed["file_id"] == own["_of"], "left").drop("_of")
     by_dir = named.where(F.col("name").isin(LICENSE_NAMES) & F.col("own_license").isNotNull()).groupBy("dir").agg(F.max_by("own_license", F.struct("cosine", "own_license")).alias("dir_license"))

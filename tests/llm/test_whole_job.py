@@ -1,6 +1,6 @@
 """What operators once cut: frequent n-grams, address lists, IBANs of all countries, wrapped notices."""
 
-from talus.llm import decontaminate, pii
+from talus.llm import decontaminate, licenses, pii
 
 from .helpers import documents, prose
 
@@ -59,3 +59,18 @@ def test_ibans_of_all_countries():
         assert pii.pseudonymised(spaced, b"k")[0].replace(" ", "") == back
     wrong = "GB83 WEST 1234 5698 7654 32"
     assert pii.pseudonymised(wrong, b"k") == (wrong, {}) and pii.pseudonymised("XGB82WEST12345698765432", b"k")[1] == {}
+
+
+def test_wrapped_headers_and_licence_files(spark):
+    """Notices over several lines, in comments of several languages, and licence files with their title alone or their whole text."""
+    gpl = ["This program is free software: you can redistribute it", "and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    code = "\n\nint f(int x) {\n  return x + 1;\n}\n" * 5
+    mit = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + licenses._MIT.replace(", ", ",\n")
+    bsd = "Copyright (c) 2020, Some One\nAll rights reserved.\n\n" + dict(licenses.BLOCK_TEMPLATES)["BSD-3-Clause"].replace(", ", ",\n")
+    rows = [
+        (1, "a/x.py", "# Name\n#\n# " + "\n# ".join(gpl) + code), (2, "a/x.c", "/*\n * " + "\n * ".join(gpl) + "\n */" + code), (3, "a/x.js", "// " + "\n// ".join(gpl).replace("version 3", "version 2") + code),
+        (4, "g/LICENSE", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n\n" + prose(3, 400)), (5, "g/src/y.py", "x = 1"),
+        (6, "m/LICENSE", mit), (7, "b/LICENSE", bsd), (8, "b/z.py", None), (9, "c/a.py", "the driving license of my aunt\nwas renewed for free"), (10, "c/b.py", "All rights reserved."),
+    ]
+    got = {r.file_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    assert got == {1: "GPL-3.0", 2: "GPL-3.0", 3: "GPL-2.0", 4: "GPL-3.0", 5: "GPL-3.0", 6: "MIT", 7: "BSD-3-Clause", 8: "BSD-3-Clause", 9: None, 10: "All-Rights-Reserved"}
