@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, pieces, texts
+from .common import durable, mapped, texts
 from .neardup import gram_hashes
 
 SEED_WORDS = 5
@@ -103,7 +103,7 @@ def _item_grams(items: DataFrame, size: int) -> DataFrame:
             grams = [np.unique(gram_hashes(w, size)).view(np.int64) for w in words]
             yield pd.DataFrame({"item_id": np.repeat(b["doc_id"].to_numpy(), [len(g) for g in grams]), "gram": np.concatenate([np.zeros(0, dtype=np.int64), *grams]), "n_words": np.repeat(np.array([len(w) for w in words], dtype=np.int64), [len(g) for g in grams])})
 
-    return items.mapInPandas(run, "item_id long, gram long, n_words long")
+    return mapped(items, run, "item_id long, gram long, n_words long")
 
 
 def _passages(docs: DataFrame, bitmap, sizes: list[int], reach: int) -> DataFrame:
@@ -111,7 +111,7 @@ def _passages(docs: DataFrame, bitmap, sizes: list[int], reach: int) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, mask = bitmap.value, np.uint64((1 << FILTER_BITS) - 1)
-        for b in pieces(batches, "text"):
+        for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 words = words_of(text)
@@ -136,7 +136,7 @@ def _passages(docs: DataFrame, bitmap, sizes: list[int], reach: int) -> DataFram
                     rows.append((doc_id, key, start, passage, grams))
             yield pd.DataFrame(rows, columns=["doc_id", "key", "start", "words", "grams"])
 
-    return docs.mapInPandas(run, "doc_id long, key binary, start long, words binary, grams array<long>")
+    return mapped(docs, run, "doc_id long, key binary, start long, words binary, grams array<long>")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, size: int = SEED_WORDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -168,7 +168,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, size: int = SEED_WORDS, thresh
                     rows.append((key, item_id, score, first, end))
             yield pd.DataFrame(rows, columns=["key", "item_id", "score", "first_word", "end_word"])
 
-    aligned = both.select("key", "item_id", "words", "item_text").mapInPandas(run, "key binary, item_id long, score double, first_word long, end_word long")
+    aligned = mapped(both.select("key", "item_id", "words", "item_text"), run, "key binary, item_id long, score double, first_word long, end_word long")
     places = found.select("doc_id", "key", "start").join(durable(aligned, "aligned"), "key")
     scored = places.select("doc_id", "item_id", "score", (F.col("start") + F.col("first_word")).alias("first_word"), (F.col("start") + F.col("end_word")).alias("end_word"))
     best = scored.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("score", "first_word", "end_word"), F.struct("score", -F.col("first_word"), -F.col("end_word"))).alias("b"))

@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, texts
+from .common import durable, mapped, mapped_arrow, texts
 
 BLANK = b" \t\n\x0b\x0c\r"
 MIN_CODE_POINTS = 10
@@ -95,9 +96,9 @@ def keep_bitmaps(docs: DataFrame) -> DataFrame:
     and text are read. A line that very many documents hold spreads over partitions, for doc_id is part of the range key.
     """
     base = texts(docs)
-    lines = base.mapInPandas(hashed_lines, "h1 long, h2 long, doc_id long, pos int")
+    lines = mapped(base, hashed_lines, "h1 long, h2 long, doc_id long, pos int")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    marks = durable(lines.repartitionByRange(n, "h1", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos").mapInPandas(first_occurrences, MARKS), "line-marks")
+    marks = durable(mapped(lines.repartitionByRange(n, "h1", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos"), first_occurrences, MARKS), "line-marks")
     # One or two keys a partition at most: the bound of what is broadcast is the number of partitions.
     firsts = marks.where(F.col("kind") != DROP).groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"))
     late = marks.where(F.col("kind") == PENDING).join(F.broadcast(firsts), ["h1", "h2"]).where("doc_id > first_doc")
@@ -112,7 +113,7 @@ def keep_bitmaps(docs: DataFrame) -> DataFrame:
             gone = [none if d is None else np.asarray(d, dtype=np.int64) for d in b["drops"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_lines": b["n_lines"].astype(np.int64), "n_dropped": np.array([len(g) for g in gone], dtype=np.int64), "keep_bitmap": [packed(n, g) for n, g in zip(b["n_lines"], gone, strict=True)]})
 
-    return joined.mapInPandas(pack, "doc_id long, n_lines long, n_dropped long, keep_bitmap binary")
+    return mapped(joined, pack, "doc_id long, n_lines long, n_dropped long, keep_bitmap binary")
 
 
 def kept_text(text: str, bitmap: bytes | None, n_lines: int) -> str:
@@ -134,17 +135,21 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
             kept = [kept_text(t, m if d else None, n) for t, m, n, d in zip(x["text"], x["keep_bitmap"], x["n_lines"], x["n_dropped"], strict=True)]
             yield pd.DataFrame({"doc_id": x["doc_id"], "n_lines": x["n_lines"], "n_dropped": x["n_dropped"], "kept_text": kept})
 
-    return joined.mapInPandas(run, "doc_id long, n_lines long, n_dropped long, kept_text string")
+    return mapped(joined, run, "doc_id long, n_lines long, n_dropped long, kept_text string")
 
 
 def without_repeats(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """docs with all columns and rows: text without the dropped lines, and n_chars (if there is one) counted anew. A row without doc_id stays as it is."""
-
-    @F.pandas_udf("string")
-    def kept(text: pd.Series, bitmap: pd.Series, n_lines: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or m is None else kept_text(t, bytes(m), int(n)) for t, m, n in zip(text, bitmap, n_lines, strict=True)], dtype=object)
-
     b = bitmaps.where("n_dropped > 0").select(F.struct("doc_id", "n_lines", "keep_bitmap").alias("__line_dedup")).hint("shuffle_hash")
     joined = docs.join(b, docs["doc_id"].cast("long") == F.col("__line_dedup.doc_id"), "left")
-    new = joined.withColumn("text", kept("text", "__line_dedup.keep_bitmap", "__line_dedup.n_lines")).drop("__line_dedup")
-    return new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else new
+    at, last, schema = docs.columns.index("text"), len(docs.columns), docs.schema
+
+    def run(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces:
+            told = b.column(last).to_pylist()
+            new = [t if t is None or m is None else kept_text(t, m["keep_bitmap"], m["n_lines"]) for t, m in zip(b.column(at).to_pylist(), told, strict=True)]
+            columns = [pa.array(new, pa.string()) if i == at else b.column(i) for i in range(last)]
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:last])
+
+    new = mapped_arrow(joined, run, schema)
+    return new.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else new

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import pieces, texts
+from .common import mapped, texts
 
 FRAME, HOP, RATE = 576, 288, 8000
 #: A peak is paired with the strongest peaks of so many frames after it.
@@ -81,11 +81,11 @@ def to_media(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in pieces(batches, "text"):
+        for b in batches:
             data = [t.encode("utf-8", "surrogatepass") for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "n_bytes": np.array([len(d) for d in data], dtype=np.int64), "media": [write_wav(padded(d)) for d in data]})
 
-    return texts(docs).mapInPandas(run, MEDIA_SCHEMA)
+    return mapped(texts(docs), run, MEDIA_SCHEMA)
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def media_features(media: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in pieces(batches, "media"):
+        for b in batches:
             rows = []
             for doc_id, n, m in zip(b["doc_id"], b["n_bytes"], b["media"], strict=True):
                 payload = read_wav(m := bytes(m))
@@ -104,4 +104,4 @@ def media_features(media: DataFrame) -> DataFrame:
                 rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature, at, codes))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in FEATURE_SCHEMA.split(", ")])
 
-    return media.mapInPandas(run, FEATURE_SCHEMA)
+    return mapped(media, run, FEATURE_SCHEMA)

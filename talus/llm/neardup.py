@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, pieces, texts
+from .common import CACHES, durable, mapped, texts
 from .graph import components
 
 BANDS, ROWS = 25, 5
@@ -40,6 +40,7 @@ class WordHashes(dict):
 
 
 _words = WordHashes()
+CACHES.append(_words)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -117,7 +118,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n_shingles, k1, k2, sig, bands): set size, 128-bit key of the set, signature of 16 bits a hash, and band keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in pieces(batches, "text"):
+        for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 s = shingle_set(text, size)
@@ -126,7 +127,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 rows.append((doc_id, len(s), k[0], k[1], sig.astype(np.uint16).tobytes(), band_keys(sig) if len(s) else []))
             yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "k1", "k2", "sig", "bands"])
 
-    return texts(docs).mapInPandas(run, "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>")
+    return mapped(texts(docs), run, "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>")
 
 
 def _sigs(column: pd.Series) -> np.ndarray:
@@ -144,7 +145,7 @@ def likely(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
             if len(x):
                 yield x.loc[surviving(_sigs(x["sig_a"]), _sigs(x["sig_b"]), threshold), ["a", "b"]]
 
-    return both.mapInPandas(run, "a long, b long")
+    return mapped(both, run, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -159,18 +160,17 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, left = None, np.zeros(0, dtype=np.uint64)
-        for batch in batches:
-            for x in pieces(iter([batch]), "text_b"):
-                good = []
-                for a, ta, tb in zip(x["a"], x["text_a"], x["text_b"], strict=True):
-                    if a != last:
-                        last, left = a, shingle_set(ta, size)
-                    right = shingle_set(tb, size)
-                    common = len(np.intersect1d(left, right, assume_unique=True))
-                    good.append(100 * common >= percent * (len(left) + len(right) - common))
-                yield x.loc[np.array(good, dtype=bool), ["a", "b"]]
+        for x in batches:
+            good = []
+            for a, ta, tb in zip(x["a"], x["text_a"], x["text_b"], strict=True):
+                if a != last:
+                    last, left = a, shingle_set(ta, size)
+                right = shingle_set(tb, size)
+                common = len(np.intersect1d(left, right, assume_unique=True))
+                good.append(100 * common >= percent * (len(left) + len(right) - common))
+            yield x.loc[np.array(good, dtype=bool), ["a", "b"]]
 
-    return both.mapInPandas(run, "a long, b long")
+    return mapped(both, run, "a long, b long")
 
 
 def _dealt(members: DataFrame) -> DataFrame:
@@ -244,11 +244,11 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(rep, shingles) of the documents in ids (rep)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in pieces(batches, "text"):
+        for b in batches:
             yield pd.DataFrame({"rep": b["doc_id"], "shingles": [shingle_set(t, size).tobytes() for t in b["text"]]})
 
     wanted = texts(docs).join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return wanted.mapInPandas(run, "rep long, shingles binary")
+    return mapped(wanted, run, "rep long, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

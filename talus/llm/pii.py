@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import pieces, texts
+from .common import mapped, texts
 
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -231,11 +231,11 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in pieces(batches, "text"):
+        for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 new, counts = pseudonymised(text, key)
                 rows.append((doc_id, new, sum(counts.values()), *[counts.get(k, 0) for k in KINDS]))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return texts(docs).mapInPandas(run, SCHEMA)
+    return mapped(texts(docs), run, SCHEMA)

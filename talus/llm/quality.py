@@ -9,10 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, texts
+from .common import mapped, mapped_arrow, texts
 
 #: Hash buckets of words, bins of each statistic, rank of the pairwise interactions.
 BUCKETS, BINS, RANK = 4096, 8, 8
@@ -111,14 +112,14 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     sample = texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("_of")).select("doc_id", "text", "quality")
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in pieces(batches, "text"):
+        for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "features": [pickle.dumps(features(t)) for t in b["text"]]})
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([*batches, pd.DataFrame({"doc_id": [], "quality": [], "features": []})], ignore_index=True).drop_duplicates().sort_values(["doc_id", "quality", "features"])
         yield pd.DataFrame({"model": [pickle.dumps(fit([pickle.loads(f) for f in rows["features"]], rows["quality"].to_numpy(dtype=np.float64)))]})
 
-    found = sample.mapInPandas(featurise, "doc_id long, quality int, features binary").repartition(1).mapInPandas(learn, "model binary").collect()
+    found = mapped(mapped(sample, featurise, "doc_id long, quality int, features binary").repartition(1), learn, "model binary").collect()
     return pickle.loads(found[0]["model"])
 
 
@@ -132,22 +133,21 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        for b in pieces(batches, "text"):
+        for b in batches:
             raw = np.array([raw_score(m, *with_bins(*features(t), m["edges"])) for t in b["text"]])
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": 1 / (1 + np.exp(-np.clip(raw, -30, 30)))})
 
-    return texts(docs).mapInPandas(run, "doc_id long, score double").select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    return mapped(texts(docs), run, "doc_id long, score double").select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows of docs, with all columns, whose text scores CUT or more; the score is taken where the row is, without a shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of docs, with all columns, whose text scores CUT or more; the score is taken where the row is, without a shuffle. A null text is scored as an empty one."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
-    @F.pandas_udf("double")
-    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(pieces: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
-            raw = np.array([raw_score(m, *with_bins(*features(t or ""), m["edges"])) for t in b], dtype=np.float64)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
+        for b in pieces:
+            raw = np.array([raw_score(m, *with_bins(*features(t or ""), m["edges"])) for t in b.column(at).to_pylist()])
+            yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))) >= CUT))
 
-    return docs.where(probability(F.col("text")) >= CUT)
+    return mapped_arrow(docs, run, docs.schema)

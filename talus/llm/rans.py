@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import pre_tokens
-from .common import durable, pieces, shared_dir, texts
+from .common import durable, mapped, shared_dir, texts
 
 #: Frequencies are scaled to 2^PROB; states are in [2^LOW, 2^(LOW + WORD)), and WORD >= PROB, so a step moves one word at most.
 PROB, LOW, WORD = 20, 31, 32
@@ -153,11 +153,11 @@ def tokenised(docs: DataFrame, tokenizer: str, pattern: str, end_id: int) -> Dat
             _caches[tokenizer] = PieceIds(tokenizer)
         cache = _caches[tokenizer]
         codec, end = pa.Codec("zstd", compression_level=1), np.array([end_id], dtype="<u2").tobytes()
-        for b in pieces(batches, "text"):
+        for b in batches:
             ids = [cache.encode(t, pattern) + end for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "n": np.array([len(x) // 2 for x in ids], dtype=np.int32), "ids": [codec.compress(x, asbytes=True) for x in ids]})
 
-    return texts(docs).mapInPandas(run, "doc_id long, n int, ids binary")
+    return mapped(texts(docs), run, "doc_id long, n int, ids binary")
 
 
 def _unpack(ids: bytes, n: int, codec: pa.Codec) -> np.ndarray:
@@ -177,7 +177,7 @@ def frequencies(tokens: DataFrame, vocabulary: int) -> np.ndarray:
         yield pd.DataFrame({"id": seen.astype(np.int32), "count": total[seen]})
 
     out = np.zeros(vocabulary, dtype=np.int64)
-    for r in tokens.select("n", "ids").mapInPandas(run, "id int, count long").groupBy("id").agg(F.sum("count").alias("count")).collect():
+    for r in mapped(tokens.select("n", "ids"), run, "id int, count long").groupBy("id").agg(F.sum("count").alias("count")).collect():
         out[r["id"]] = r["count"]
     return out
 
@@ -221,7 +221,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_i
             yield block()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tokens.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "n", "ids").mapInPandas(run, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    mapped(tokens.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "n", "ids"), run, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 def read_blocks(spark, path: str, vocabulary: int = 1 << 16) -> DataFrame:
@@ -250,7 +250,7 @@ def read_blocks(spark, path: str, vocabulary: int = 1 << 16) -> DataFrame:
                 at = np.cumsum(n) - n
                 yield pd.DataFrame({"doc_id": np.frombuffer(bytes(doc_ids), dtype="<i8"), "start": start + at, "n_tokens": n, "ids": [x.astype("<u4").tobytes() for x in np.split(ids, at[1:])]})
 
-    return blocks.drop("n_ids").join(places, ["part", "seq"]).select("start", "doc_ids", "sizes", "block").mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary")
+    return mapped(blocks.drop("n_ids").join(places, ["part", "seq"]).select("start", "doc_ids", "sizes", "block"), run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, pattern: str, end_id: int) -> DataFrame:

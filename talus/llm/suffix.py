@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, pieces, texts
+from .common import durable, mapped, texts
 from .neardup import _mix
 
 WINDOW, GRAM = 400, 64
@@ -68,7 +68,7 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in pieces(batches, "text"):
+    for b in batches:
         parts, keys = [], []
         for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
             raw = text.encode("utf-8", "surrogatepass")
@@ -189,7 +189,7 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, first, last): byte ranges [first, last) of documents that strings of WINDOW bytes cover which also start elsewhere."""
     base = texts(docs)
-    found = durable(base.mapInPandas(_anchor_rows, ANCHORS), "anchors")
+    found = durable(mapped(base, _anchor_rows, ANCHORS), "anchors")
     often = found.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp")
     twice = durable(found.join(often, "fp", "left_semi"), "repeated-anchors")
     classes = twice.groupBy("fp", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at", "left", "right")).alias("one"))
@@ -202,7 +202,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     joined = base.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("_of")).select("doc_id", "text", "wanted")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in pieces(batches, "text", 1_000_000):
+        for b in batches:
             rows = []
             for doc_id, text, wanted in zip(b["doc_id"], b["text"], b["wanted"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
@@ -211,12 +211,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                         rows.append((w["fp"], doc_id, w["at"], w["n"], w["left"], raw[w["at"] - w["left"] : w["at"] + w["right"]], w["c"]))
             yield pd.DataFrame(rows, columns=["fp", "doc_id", "at", "n", "left", "context", "c"])
 
-    contexts = durable(joined.mapInPandas(cut, CONTEXTS + ", c long"), "context-bytes")
+    contexts = durable(mapped(joined, cut, CONTEXTS + ", c long", 1_000_000), "context-bytes")
     cool, hot = contexts.where(F.col("c") <= HOT).drop("c"), contexts.where(F.col("c") > HOT).drop("c")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spans = cool.repartition(n, "fp").sortWithinPartitions("fp").mapInPandas(_scan, SPANS).unionByName(whole)
+    spans = mapped(cool.repartition(n, "fp").sortWithinPartitions("fp"), _scan, SPANS).unionByName(whole)
     if not hot.isEmpty():
-        windows = hot.mapInPandas(_windows, "fp long, o int, h1 long, h2 long, doc_id long, n long, start long")
+        windows = mapped(hot, _windows, "fp long, o int, h1 long, h2 long, doc_id long, n long, start long")
         again = windows.groupBy("fp", "o", "h1", "h2").agg(F.count("*").alias("k")).where("k > 1").drop("k")
         single = windows.where("n = 1").join(again, ["fp", "o", "h1", "h2"], "left_semi")
         spans = spans.unionByName(single.select("doc_id", F.col("start").alias("first"), (F.col("start") + WINDOW).alias("last")))
@@ -245,7 +245,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     joined = texts(docs).join(spans.hint("shuffle_hash"), F.col("doc_id") == F.col("_of"), "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in pieces(batches, "text"):
+        for b in batches:
             rows = []
             for doc_id, text, spans in zip(b["doc_id"], b["text"], b["spans"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
@@ -257,4 +257,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 rows.append((doc_id, len(raw), sum(e - s for s, e in gone), len(gone), b"".join([*kept, raw[done:]])))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return mapped(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

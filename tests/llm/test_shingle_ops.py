@@ -199,11 +199,23 @@ def test_bpe_is_the_library(spark, rows, block):
     path, pattern = public("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    got = sorted((r.doc_id, np.frombuffer(bytes(r.ids), dtype="<u4").tolist(), bytes(r.decoded)) for r in bpe.encode_decode(documents(spark, rows), path, pattern).collect())
+    got = sorted((r.doc_id, np.frombuffer(bytes(r.ids), dtype="<u4").tolist(), bytes(r.decoded)) for r in bpe.encode_decode(documents(spark, rows), ranks, pattern, block).collect())
     assert got == sorted((i, library.encode_ordinary(t), t.encode()) for i, t in texts(rows))
-    d = {r.doc_id: r for r in bpe.decoded_digests(bpe.encode(documents(spark, rows), ranks, pattern, block), ranks).collect()}
+    d = {r.doc_id: r for r in bpe.encoded_digests(documents(spark, rows), ranks, pattern, block).collect()}
     for i, t in texts(rows):
-        assert d[i].ids_sha256 == hashlib.sha256(",".join(map(str, library.encode_ordinary(t))).encode()).hexdigest()
+        assert d[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() and d[i].ids_sha256 == hashlib.sha256(",".join(map(str, library.encode_ordinary(t))).encode()).hexdigest()
+
+
+def test_bpe_reads_its_input_once(spark):
+    """Rows in another order at each run: ids and documents still come from one run, so the result is whole; and the decoder works on stored ids."""
+    from pyspark.sql import functions as F
+
+    path, pattern = public("byte_bpe_multi_50k.tiktoken")
+    ranks = bpe.read_ranks(path)
+    rows = [(i, prose(i, 40)) for i in range(200)]
+    coded = bpe.encode(documents(spark, rows).repartition(3).orderBy(F.rand()), ranks, pattern, 2000)
+    got = {r.doc_id: bytes(r.decoded).decode() for r in bpe.decode(coded, ranks).collect()}
+    assert got == dict(rows)
 
 
 def test_merges_of_long_words():
