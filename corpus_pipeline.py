@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from talus.llm import bpe, decontaminate, linededup, neardup, quality
 from talus.llm.common import durable, table
@@ -37,8 +36,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256): ids as little-endian unsigned 32-bit integers."""
-    coded = bpe.encode_decode(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
-    return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    ranks = bpe.read_ranks(public_tokenizers.path(TOKENIZER))
+    return bpe.encoded_digests(docs, ranks, public_tokenizers.PATTERN, with_ids=True).select("doc_id", "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [
