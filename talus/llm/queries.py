@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, licenses, linededup, media, neardup, pii, quality, rans, suffix
-from .common import table
+from .common import durable, table
 
 #: Test key; production passes its own.
 PSEUDONYM_KEY = b"talus example key"
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(media.to_media(table(spark, sf_dir, "documents"))).drop("peak_frames", "peak_codes")
+    return media.media_features(durable(media.to_media(table(spark, sf_dir, "documents")), "media"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffix.remove_repeats(table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # text is what is kept, for readers: a character that a removed byte was part of is U+FFFD in it.
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "spans", F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
