@@ -1,25 +1,27 @@
-"""Benchmark decontamination: word n-grams of test items are seeds that find passages in training documents; Smith-Waterman alignment scores each distinct passage once, so edited and paraphrased copies count."""
+"""Benchmark decontamination: rare word n-grams of test items are seeds that find passages in training documents; Smith-Waterman alignment scores each distinct passage once, so edited and paraphrased copies count."""
 
 from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import durable, mapped, texts
 from .neardup import gram_hashes
 
-SEED_WORDS = 5
+SEED_WORDS = 3
 MATCH, MISMATCH, GAP = 2, 1, 1
 #: Of the score of a whole copy.
 THRESHOLD = 0.6
-#: Bits of the filter on n-grams: a fixed size, whatever the benchmark's.
-FILTER_BITS = 26
+#: Bits of the numbers of the filter's slots: a fixed size, whatever the benchmark's.
+FILTER_BITS = 24
 
 _MARKS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -79,58 +81,101 @@ def smith_waterman(item: list[bytes], passage: list[bytes], threshold: float = 0
     return best / (MATCH * max(1, len(item))), low + end - back, low + end
 
 
+def _losses(n_words: int, threshold: float) -> Iterator[tuple[int, int]]:
+    """(words exchanged or missing inside, words missing at the ends) that a copy of at least `threshold` may have at most: inside, one costs a match and a penalty, at an end a match."""
+    spare = MATCH * (1 - threshold) * n_words + 1e-9
+    for inside in range(min(n_words, int(spare // (MATCH + MISMATCH))) + 1):
+        yield inside, int((spare - inside * (MATCH + MISMATCH)) // MATCH)
+
+
+def seed_size(n_words: int, threshold: float, most: int = SEED_WORDS) -> int:
+    """The words of a seed: `most`, or what every copy of at least `threshold` surely has in a row if that is less."""
+    return max(1, min(most, n_words, *(math.ceil((n_words - x - ends) / (x + 1)) for x, ends in _losses(n_words, threshold))))
+
+
+def least_seeds(n_words: int, threshold: float, size: int) -> int:
+    """How many places of an item's n-grams every such copy has: a loss inside breaks `size` of them, one at an end breaks one."""
+    return max(1, n_words - size + 1 - max(x * size + ends for x, ends in _losses(n_words, threshold)))
+
+
+def reach(n_words: int, threshold: float) -> int:
+    """How far before and after a seed an alignment can go: the item's words and as many gaps as the score allows."""
+    return math.ceil(n_words + MATCH * n_words * (1 - threshold) / GAP)
+
+
+def _item_grams(items: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(item_id, gram, times, size, least, reach) of the n-grams of each item, and how often it holds each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for item_id, text in zip(b["doc_id"], b["text"], strict=True):
+                words = words_of(text)
+                n = len(words)
+                own = seed_size(n, threshold, size) if n else 0
+                found, times = np.unique(gram_hashes(words, own), return_counts=True)
+                rows += [(item_id, g, t, own, least_seeds(n, threshold, own), reach(n, threshold)) for g, t in zip(found.view(np.int64).tolist(), times.tolist(), strict=True)]
+            yield pd.DataFrame(rows, columns=["item_id", "gram", "times", "size", "least", "reach"])
+
+    return mapped(items, run, "item_id long, gram long, times int, size int, least int, reach int")
+
+
+def seeds(grams: DataFrame) -> DataFrame:
+    """grams without the most frequent ones of each item: a copy has `least` places of them at least, so least - 1 places can be spared and it still has a seed.
+
+    Frequency is the number of items that hold the n-gram, so what a benchmark's templates repeat goes first.
+    """
+    df = grams.groupBy("gram").agg(F.count("*").alias("df"))
+    order = W.partitionBy("item_id").orderBy(F.desc("df"), "gram")
+    return grams.join(df, "gram").withColumn("spared", F.sum("times").over(order)).where("spared >= least").select("item_id", "gram", "size", "reach")
+
+
 def seed_filter(grams: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits with those of the n-grams set; blocks of it are packed on the executors."""
+    """For each slot of the filter, the bits that the largest reach of its seeds takes, 0 where there is none; blocks of slots are made on the executors."""
     mask, low = (1 << FILTER_BITS) - 1, 15
-    bits = grams.select(F.col("gram").bitwiseAND(mask).alias("bit")).distinct().withColumn("block", F.shiftright("bit", low).cast("int"))
+    slots = grams.groupBy(F.col("gram").bitwiseAND(mask).alias("slot")).agg(F.max("reach").alias("reach")).withColumn("block", F.shiftright("slot", low).cast("int"))
 
     def pack(x: pd.DataFrame) -> pd.DataFrame:
         own = np.zeros(1 << low, dtype=np.uint8)
-        own[x["bit"].to_numpy() & ((1 << low) - 1)] = 1
-        return pd.DataFrame({"block": [x["block"].iloc[0]], "bits": [np.packbits(own).tobytes()]})
+        own[x["slot"].to_numpy() & ((1 << low) - 1)] = [int(r).bit_length() for r in x["reach"]]
+        return pd.DataFrame({"block": [x["block"].iloc[0]], "bits": [zlib.compress(own.tobytes(), 1)]})
 
-    out = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
-    width = (1 << low) // 8
-    for r in bits.groupBy("block").applyInPandas(pack, "block int, bits binary").collect():
-        out[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["bits"], dtype=np.uint8)
+    out, width = np.zeros(1 << FILTER_BITS, dtype=np.uint8), 1 << low
+    for r in slots.groupBy("block").applyInPandas(pack, "block int, bits binary").collect():
+        out[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(zlib.decompress(r["bits"]), dtype=np.uint8)
     return out
 
 
-def _item_grams(items: DataFrame, size: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            words = [words_of(t) for t in b["text"]]
-            grams = [np.unique(gram_hashes(w, size)).view(np.int64) for w in words]
-            yield pd.DataFrame({"item_id": np.repeat(b["doc_id"].to_numpy(), [len(g) for g in grams]), "gram": np.concatenate([np.zeros(0, dtype=np.int64), *grams]), "n_words": np.repeat(np.array([len(w) for w in words], dtype=np.int64), [len(g) for g in grams])})
-
-    return mapped(items, run, "item_id long, gram long, n_words long")
+def _passages(docs: DataFrame, slots, sizes: list[int]) -> DataFrame:
+    """(doc_id, key, start, words, grams): what lies within reach of the seeds that the filter knows; equal passages have one key.
 
-
-def _passages(docs: DataFrame, bitmap, sizes: list[int], reach: int) -> DataFrame:
-    """(doc_id, key, start, words, grams): what lies within `reach` words of n-grams that the filter knows; equal passages have one key."""
+    Each seed reaches as far as its own items need, so an item of any length widens only what its own seeds find.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, mask = bitmap.value, np.uint64((1 << FILTER_BITS) - 1)
+        known, mask = slots.value, np.uint64((1 << FILTER_BITS) - 1)
         for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 words = words_of(text)
-                at, found = [], []
+                at, found, far = [], [], []
                 for size in sizes:
                     if len(words) < size:
                         continue
                     grams = gram_hashes(words, size)
-                    bit = grams & mask
-                    (hit,) = np.nonzero(known[bit >> np.uint64(3)] >> (np.uint8(7) - (bit & np.uint64(7)).astype(np.uint8)) & 1)
+                    bits = known[grams & mask]
+                    (hit,) = np.nonzero(bits)
                     at.append(hit)
                     found.append(grams[hit])
+                    far.append(bits[hit])
                 if not at or not sum(map(len, at)):
                     continue
-                at, found = np.concatenate(at), np.concatenate(found)
-                order = np.argsort(at, kind="stable")
-                at, found = at[order], found[order].view(np.int64)
-                for own in np.split(np.arange(len(at)), np.nonzero(np.diff(at) > reach)[0] + 1):
-                    start, end = max(0, int(at[own[0]]) - reach), int(at[own[-1]]) + reach + max(sizes)
+                at, found, far = np.concatenate(at), np.concatenate(found), np.int64(1) << np.concatenate(far).astype(np.int64)
+                low, high = np.maximum(at - far, 0), np.minimum(at + far + max(sizes), len(words))
+                order = np.lexsort((at, low))
+                low, high, found = low[order], np.maximum.accumulate(high[order]), found[order].view(np.int64)
+                for own in np.split(np.arange(len(low)), np.nonzero(low[1:] > high[:-1])[0] + 1):
+                    start, end = int(low[own[0]]), int(high[own[-1]])
                     passage, grams = b" ".join(words[start:end]), np.unique(found[own])
                     key = hashlib.blake2b(passage + b"\0" + grams.tobytes(), digest_size=16).digest()
                     rows.append((doc_id, key, start, passage, grams))
@@ -144,26 +189,29 @@ def find_leaks(docs: DataFrame, items: DataFrame, size: int = SEED_WORDS, thresh
 
     docs (doc_id, text) and items (item_id, text) are taken whole. score is the Smith-Waterman score of words (+2, -1, gap -1)
     as a part of that of a whole copy; pairs of at least `threshold` come back, once each with their best passage (on ties the
-    first). Items of fewer words than `size` are sought whole; items without words, and null texts, match nothing; rows without
-    an id go; repeated rows and ids give one row; empty tables give an empty one; other columns are not read.
+    first). No pair is lost whose copy exchanges words or leaves them out, for such a copy has a seed (see seed_size() and
+    seeds()); with words put in between, it has one unless they break every run of `size` words.
+
+    Texts and items of any length are taken whole; items of fewer words than `size` are sought by fewer; items without words, and
+    null texts, match nothing; rows without an id go; repeated rows and ids give one row; empty tables give an empty one; other
+    columns are not read.
     """
     spark, tests = docs.sparkSession, texts(items, "item_id").distinct()
-    grams = durable(_item_grams(tests, size), "item-grams")
-    facts = grams.agg(F.max("n_words").alias("reach"), F.collect_set(F.when(F.col("n_words") < size, F.col("n_words"))).alias("short")).first()
-    bitmap = spark.sparkContext.broadcast(seed_filter(grams))
-    found = durable(_passages(texts(docs), bitmap, sorted({size, *facts["short"]}), facts["reach"] or 1), "passages")
-    # Each distinct passage meets each item that it shares an n-gram with, however frequent, and is aligned once.
+    grams = durable(_item_grams(tests, size, threshold), "item-grams")
+    rare = durable(seeds(grams), "seeds")
+    sizes = sorted(r["size"] for r in rare.select("size").distinct().collect())  # SEED_WORDS values at most
+    found = durable(_passages(texts(docs), spark.sparkContext.broadcast(seed_filter(rare)), sizes), "passages")
+    # Each distinct passage meets each item that it shares a seed with, however frequent, and is aligned once.
     passages = found.groupBy("key").agg(F.first("words").alias("words"), F.first("grams").alias("grams"))
     hits = passages.select("key", F.explode("grams").alias("gram"))
-    wanted = hits.join(grams.select("gram", "item_id"), "gram").groupBy("key").agg(F.collect_set("item_id").alias("item_ids"))
-    pairs = passages.drop("grams").join(wanted, "key").withColumn("item_id", F.explode("item_ids")).drop("item_ids")
+    pairs = passages.drop("grams").join(hits.join(rare.select("gram", "item_id"), "gram").select("key", "item_id").distinct(), "key")
     both = pairs.join(tests.select(F.col("doc_id").alias("item_id"), F.col("text").alias("item_text")), "item_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for key, item_id, words, item in zip(b["key"], b["item_id"], b["words"], b["item_text"], strict=True):
-                score, first, end = smith_waterman(words_of(item), bytes(words).split(), threshold)
+                score, first, end = smith_waterman(words_of(item), words.split(), threshold)
                 if score >= threshold:
                     rows.append((key, item_id, score, first, end))
             yield pd.DataFrame(rows, columns=["key", "item_id", "score", "first_word", "end_word"])
