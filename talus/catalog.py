@@ -15,6 +15,7 @@ from .operators import classify, dedup, filters, ingest, merge, repair, score, s
 from .operators.filters import IncidentQuery
 from .plans import views
 from .plans.views import AS_OF, DOC, INC, REP, SRC
+from .sources import files
 from .streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,7 +57,7 @@ def listed(name: str, q: IncidentQuery, where: str, sources: bool = False, more:
 
 
 listed("filter_active", IncidentQuery(), "")
-listed("filter_state", IncidentQuery(state="kenya State"), "WHERE lower(state) = 'kenya'")
+listed("filter_state", IncidentQuery(state="nation_3 State"), "WHERE lower(state) = 'nation_3'")
 listed("filter_group", IncidentQuery(group="HIGH"), "WHERE contains(lower(\"group\"), 'high')")
 listed("filter_status", IncidentQuery(status="developing"), "WHERE status = 'developing'")
 listed("filter_source", IncidentQuery(source="Supplier#000000003"), "WHERE _id IN (SELECT _id FROM src WHERE publisher = 'Supplier#000000003')", sources=True)
@@ -72,11 +73,27 @@ def filter_fct(spark, sf_dir):
     return views.reports(spark, sf_dir).where(filters.state_is("Abuja", "state_raw")).select("event_id")
 
 
-@query("validate_input", f"WITH {INC} SELECT _id, length(trim(town)) BETWEEN 1 AND 500 AND killed IS DISTINCT FROM -1 AND length(trim(description)) BETWEEN 1 AND 5000 AS ok FROM inc")
+@query("validate_input", f"""WITH {INC}, {SRC}, b AS (SELECT _id, count(*) FILTER (WHERE NOT regexp_matches(url, '^[a-z]+://') OR length(url) > 2000) AS bad, count(*) AS n FROM (SELECT _id, CASE WHEN _id % 16 = 10 AND pos = min(pos) OVER (PARTITION BY _id) THEN 'nope' ELSE url END AS url FROM src) GROUP BY 1),
+m AS (SELECT *, _id % 16 AS k FROM inc LEFT JOIN b USING (_id)),
+v AS (SELECT _id, k, CASE k WHEN 0 THEN ' abcd ' ELSE title END AS title, CASE k WHEN 1 THEN 'too short' ELSE description END AS description, CASE k WHEN 2 THEN ' ' ELSE state END AS state, CASE k WHEN 3 THEN repeat('g', 201) ELSE "group" END AS "group",
+CASE k WHEN 4 THEN -1 ELSE killed END AS killed, injured, kidnapped, displaced, CASE k WHEN 5 THEN 'odd' WHEN 15 THEN NULL ELSE status END AS status, CASE k WHEN 6 THEN 21 ELSE 1 END AS n_tags, CASE k WHEN 7 THEN 51 ELSE 3 END AS tag_length, CASE k WHEN 8 THEN 91.0 ELSE 9.0 END AS lat,
+CASE k WHEN 9 THEN repeat('t', 101) ELSE town END AS town, lga, coalesce(bad, 0) AS bad, coalesce(n, 0) AS n, CASE k WHEN 11 THEN NULL ELSE date END AS date FROM m)
+SELECT _id, length(trim(title)) >= 5 AND length(trim(title)) <= 500 AND length(trim(description)) >= 10 AND length(trim(description)) <= 5000 AND length(trim(state)) >= 1 AND length(trim(state)) <= 100 AND length(trim("group")) >= 1 AND length(trim("group")) <= 200
+AND length(trim(town)) <= 100 AND length(trim(lga)) <= 100 AND date IS NOT NULL AND coalesce(killed, 0) >= 0 AND coalesce(injured, 0) >= 0 AND coalesce(kidnapped, 0) >= 0 AND coalesce(displaced, 0) >= 0 AND coalesce(status, 'unconfirmed') IN ('confirmed', 'unconfirmed', 'developing')
+AND n_tags <= 20 AND tag_length <= 50 AND lat BETWEEN -90 AND 90 AND bad = 0 AND n <= 20 AS ok FROM v""")
 def validate_input(spark, sf_dir):
+    """Incidents of which one in sixteen breaks each rule."""
     from .schema import valid
 
-    return views.incidents(spark, sf_dir).select("_id", valid(views.incidents(spark, sf_dir)).alias("ok"))
+    k, flat = F.col("_id") % 16, views.incidents(spark, sf_dir, sources=True)
+    odd = lambda i, value, c: F.when(k == i, F.lit(value)).otherwise(F.col(c))
+    rows = flat.withColumns({
+        "title": odd(0, " abcd ", "title"), "description": odd(1, "too short", "description"), "state": odd(2, " ", "state"), "group": odd(3, "g" * 201, "group"), "killed": odd(4, -1, "killed"),
+        "status": F.when(k == 5, "odd").when(k != 15, F.col("status")), "tags": F.when(k == 6, F.array_repeat(F.lit("tag"), 21)).when(k == 7, F.array(F.lit("t" * 51))).otherwise(F.array(F.lit("tag"))),
+        "coordinates": F.struct(F.when(k == 8, 91.0).otherwise(9.0).alias("lat"), F.lit(8.0).alias("lng")), "town": odd(9, "t" * 101, "town"),
+        "sources": F.transform("sources", lambda s, i: F.when((k == 10) & (i == 0), s.withField("url", F.lit("nope"))).otherwise(s)), "date": F.when(k != 11, F.col("date")),
+    })
+    return rows.select("_id", valid(rows).alias("ok"))
 
 
 def paged(name: str, q: IncidentQuery, order: str) -> None:
@@ -175,19 +192,17 @@ def max_state_count(spark, sf_dir):
 
 @query("rank_states", f"WITH {INC} SELECT state, cnt, row_number() OVER (ORDER BY cnt DESC, state) AS rank, cnt * 100.0::double / max(cnt) OVER () AS share FROM (SELECT state, count(*) AS cnt FROM act GROUP BY state)")
 def rank_states(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    # One row for each state.
-    sums = views.incidents(spark, sf_dir).where(filters.active()).groupBy("state").agg(F.count("*").alias("cnt"))
-    return sums.select("state", "cnt", F.row_number().over(W.orderBy(F.desc("cnt"), "state")).alias("rank"), (F.col("cnt") * 100.0 / F.max("cnt").over(W.partitionBy())).alias("share"))
+    return stats.ranked_states(views.incidents(spark, sf_dir))
 
 
 @query("state_page", f"WITH {INC} SELECT state, _id FROM (SELECT state, _id, row_number() OVER (PARTITION BY state ORDER BY date DESC, _id) AS rn FROM act) WHERE rn BETWEEN 6 AND 10")
 def state_page(spark, sf_dir):
-    from pyspark.sql import Window as W
+    return stats.state_page(views.incidents(spark, sf_dir), 2)
+
 
-    rn = F.row_number().over(W.partitionBy("state").orderBy(F.desc("date"), "_id"))
-    return views.incidents(spark, sf_dir).where(filters.active()).select("state", "_id", rn.alias("rn")).where("rn BETWEEN 6 AND 10").drop("rn")
+@query("newest_created", f"WITH {INC} SELECT _id, {DAY.format('createdAt')} AS at FROM (SELECT _id, createdAt FROM act ORDER BY createdAt DESC, _id LIMIT 10)")
+def newest_created(spark, sf_dir):
+    return stats.recent(views.incidents(spark, sf_dir), 10, "createdAt").select("_id", F.col("createdAt").alias("at"))
 
 
 @query("recent_top5", f"WITH {INC} SELECT _id, title, {DAY.format('date')} AS date FROM act ORDER BY act.date DESC, _id LIMIT 5")
@@ -224,7 +239,7 @@ def sql_overlap(a: str, b: str) -> str:
 
 
 @query("keyword_overlap", f"WITH {DOC}, w AS (SELECT doc_id, {sql_words('title', 3, V.KEYWORD_STOPWORDS)} AS a, {sql_words('text', 3, V.KEYWORD_STOPWORDS)} AS b FROM doc) SELECT doc_id, len(a)::bigint AS n_title, len(b)::bigint AS n_text, {sql_overlap('a', 'b')} AS share FROM w")
-def keyword_overlap(spark, sf_dir, docs=views.ascii_documents):
+def keyword_overlap(spark, sf_dir, docs=views.titled_documents):
     w = docs(spark, sf_dir).select("doc_id", text.keywords("title").alias("a"), text.keywords("text").alias("b"))
     return w.select("doc_id", F.size("a").alias("n_title"), F.size("b").alias("n_text"), text.overlap(F.col("a"), F.col("b")).alias("share"))
 
@@ -233,12 +248,12 @@ NORMAL = "trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9\\s/-]', ' ', '
 
 
 @query("normalize_text", f"WITH {DOC} SELECT doc_id, {NORMAL.format('text')} AS plain FROM doc")
-def normalize_text(spark, sf_dir, docs=views.ascii_documents):
+def normalize_text(spark, sf_dir, docs=views.titled_documents):
     return docs(spark, sf_dir).select("doc_id", text.normalize_text("text").alias("plain"))
 
 
 @query("tokenize", f"WITH {DOC} SELECT doc_id, array_to_string(list_filter(string_split({NORMAL.format('title')}, ' '), lambda w: length(w) >= 4 AND NOT list_contains([{', '.join(repr(w) for w in V.SOURCE_STOPWORDS)}], w)), ' ') AS tokens FROM doc")
-def tokenize(spark, sf_dir, docs=views.ascii_documents):
+def tokenize(spark, sf_dir, docs=views.titled_documents):
     return docs(spark, sf_dir).select("doc_id", F.concat_ws(" ", text.tokenize("title")).alias("tokens"))
 
 
@@ -312,13 +327,16 @@ def sanitize(spark, sf_dir):
     return views.load(spark, sf_dir, "events").select("event_id", text.sanitize("props").alias("plain"))
 
 
-@query("attack_hash", f"""WITH {INC} SELECT _id, sha256(concat_ws('|', strftime(date, '%Y-%m-%d'), lower({sql_state('state')}), CASE WHEN lower(trim(town)) IN ('', 'unknown') OR starts_with(lower(trim(town)), 'unknown ') THEN lower(trim(CASE WHEN lga = '' THEN 'unknown' ELSE lga END)) ELSE lower(trim(town)) END, lower(trim("group")))) AS hash FROM inc""")
+SQL_HASH = f"""sha256(concat_ws('|', strftime(date, '%Y-%m-%d'), lower({sql_state('state')}), CASE WHEN lower(trim(town)) IN ('', 'unknown') OR starts_with(lower(trim(town)), 'unknown ') THEN lower(trim(CASE WHEN lga = '' THEN 'unknown' ELSE lga END)) ELSE lower(trim(town)) END, lower(trim("group"))))"""
+
+
+@query("attack_hash", f"WITH {INC} SELECT _id, {SQL_HASH} AS hash FROM inc")
 def attack_hash(spark, sf_dir):
     return ingest.with_hash(views.incidents(spark, sf_dir)).select("_id", "hash")
 
 
 @query("truncate", f"WITH {DOC} SELECT doc_id, text[1:200] || '...' AS short FROM doc")
-def truncate(spark, sf_dir, docs=views.ascii_documents):
+def truncate(spark, sf_dir, docs=views.titled_documents):
     return docs(spark, sf_dir).select("doc_id", text.truncated("text").alias("short"))
 
 
@@ -574,12 +592,13 @@ def distinct_array(spark, sf_dir):
     return g.select("_id", F.size("v").alias("n"), F.concat_ws(",", F.array_sort("v")).alias("vals"))
 
 
-@query("shared_source_pairs", f"WITH {SRC}, u AS (SELECT DISTINCT _id, {NORM} AS u FROM src WHERE _id < 4000) SELECT a._id AS id_a, b._id AS id_b, count(*) AS shared FROM u a JOIN u b ON a.u = b.u AND a._id < b._id GROUP BY 1, 2")
+# Links to the first row of each class of equal addresses: all pairs would grow with the square of a class.
+@query("shared_source_pairs", f"WITH {SRC}, u AS (SELECT DISTINCT _id, {NORM} AS u FROM src), c AS (SELECT _id, min(_id) OVER (PARTITION BY u) AS first FROM u) SELECT first AS id_a, _id AS id_b, count(*) AS shared FROM c WHERE first <> _id GROUP BY 1, 2")
 def shared_source_pairs(spark, sf_dir):
-    return dedup.shared_source_pairs(views.source_rows(spark, sf_dir).where("_id < 4000"))
+    return dedup.source_links(views.source_rows(spark, sf_dir))
 
 
-# All links of whole tables: pairs would grow with the square of a class, so shared_source_pairs stays the small case its SQL states.
+# The classes themselves: with them, all pairs are told by membership.
 @query("shared_source_classes", f"WITH {SRC}, u AS (SELECT DISTINCT _id, {NORM} AS source FROM src) SELECT _id, source, min(_id) OVER (PARTITION BY source) AS class_id, count(*) OVER (PARTITION BY source) AS members FROM u")
 def shared_source_classes(spark, sf_dir):
     return dedup.shared_source_classes(views.source_rows(spark, sf_dir))
@@ -587,8 +606,8 @@ def shared_source_classes(spark, sf_dir):
 
 @query("valid_split", f"WITH {REP} SELECT event_id % 100 AS _id, count(*) FILTER (WHERE {sql_usable('url')}) AS valid, count(*) FILTER (WHERE NOT ({sql_usable('url')})) AS removed FROM rep GROUP BY 1")
 def valid_split(spark, sf_dir):
-    r = views.reports(spark, sf_dir).groupBy((F.col("event_id") % 100).alias("_id")).agg(F.collect_list("url").alias("u"))
-    return r.select("_id", F.size(F.filter("u", urls.is_usable_url)).cast("long").alias("valid"), F.size(F.filter("u", lambda x: ~urls.is_usable_url(x))).cast("long").alias("removed"))
+    ok = urls.is_usable_url("url")
+    return views.reports(spark, sf_dir).groupBy((F.col("event_id") % 100).alias("_id")).agg(F.count_if(ok).alias("valid"), F.count_if(~ok).alias("removed"))
 
 
 @query("fix_sources")
@@ -626,12 +645,13 @@ def _batch(spark, sf_dir, sources: bool = False) -> tuple[DataFrame, DataFrame]:
     return flat.where("_id % 10 = 0"), flat.where("_id % 10 <> 0")
 
 
-@query("join_hash_lookup", f"""WITH {INC}, r AS (SELECT _id, {SQL_STATE_DAY} || state || "group" AS h FROM inc WHERE _id % 10 = 0), s AS (SELECT _id, {SQL_STATE_DAY} || state || "group" AS h FROM inc WHERE _id % 10 <> 0), m AS (SELECT h, min(_id) AS m FROM s GROUP BY h)
+@query("join_hash_lookup", f"""WITH {INC}, h AS (SELECT _id, {SQL_HASH} AS h FROM inc), r AS (SELECT * FROM h WHERE _id % 10 = 0), s AS (SELECT * FROM h WHERE _id % 10 <> 0 UNION ALL SELECT _id + 1000000000, h FROM r WHERE _id % 20 = 0), m AS (SELECT h, min(_id) AS m FROM s GROUP BY h)
 SELECT r._id AS raw_id, m.m AS match_id FROM r LEFT JOIN m USING (h)""")
 def join_hash_lookup(spark, sf_dir):
-    raw, stored = (x.withColumn("hash", F.concat(F.date_format("date", "yyyy-MM-dd"), "state", "group")) for x in _batch(spark, sf_dir))
-    first = stored.groupBy("hash").agg(F.min("_id").alias("match_id"))
-    return raw.select(F.col("_id").alias("raw_id"), "hash").join(first, "hash", "left").drop("hash")
+    """Raw reports looked up by content hash; every other one is stored too, under another id."""
+    raw, stored = _batch(spark, sf_dir)
+    again = raw.where("_id % 20 = 0").withColumn("_id", F.col("_id") + 1_000_000_000)
+    return ingest.hash_matches(ingest.with_hash(raw), ingest.with_hash(stored.unionByName(again)))
 
 
 def _sql_ingest_words(c: str, least: int, stop: list[str]) -> str:
@@ -664,7 +684,7 @@ def _border(spark, sf_dir) -> DataFrame:
 
 
 @query("join_cross_state", f"""WITH {INC}, {SRC}, b AS (SELECT * EXCLUDE (town), 'Town ' || (_id % 50) AS town FROM inc), r AS (SELECT * FROM b WHERE _id % 4 = 0), s AS (SELECT * FROM b WHERE _id % 4 <> 0 AND NOT coalesce(_deleted, false)), u AS (SELECT DISTINCT _id, {NORM} AS u FROM src),
-p AS (SELECT r._id AS raw_id, s._id AS match_id, row_number() OVER (PARTITION BY r._id ORDER BY s.createdAt, s._id) AS rn, coalesce(r.killed >= 50 AND s.killed >= floor(r.killed * 0.8) AND s.killed <= ceil(r.killed * 1.2) AND r.kidnapped IS NOT DISTINCT FROM s.kidnapped, false) AS big FROM r JOIN s ON lower(r.town) = lower(s.town) AND lower(r.state) <> lower(s.state) AND abs(epoch_ms(s.date) - epoch_ms(r.date)) <= 86400000),
+p AS (SELECT r._id AS raw_id, s._id AS match_id, row_number() OVER (PARTITION BY r._id ORDER BY s.createdAt, s._id) AS rn, coalesce(r.killed >= 50 AND s.killed >= floor(r.killed * 0.8) AND s.killed <= ceil(r.killed * 1.2) AND r.kidnapped IS NOT DISTINCT FROM s.kidnapped, false) AS big FROM r JOIN s ON lower(r.town) = lower(s.town) AND lower(r.state) <> lower(s.state) AND abs(date_diff('day', r.date, s.date)) <= 1),
 o AS (SELECT *, big OR EXISTS (SELECT 1 FROM u x JOIN u y ON x.u = y.u WHERE x._id = raw_id AND y._id = match_id) AS ok FROM p WHERE rn <= 10) SELECT raw_id, arg_min(match_id, rn) AS match_id FROM o WHERE ok GROUP BY raw_id""")
 def join_cross_state(spark, sf_dir):
     b = _border(spark, sf_dir)
@@ -676,51 +696,56 @@ def sql_similarity(a: str, b: str) -> str:
 
 
 _vague = lambda c: sql_any(c, V.VAGUE_GROUPS)
-#: Documents as incidents of a source on a day: no towns and LGAs, the text as title and description.
-DOC_INC = f"""d AS (SELECT doc_id AS _id, title, text AS description, source AS state, TIMESTAMP '2024-01-01' + to_days((doc_id % 30)::int) AS date, CASE WHEN doc_id % 3 = 0 THEN 'bandits' WHEN doc_id % 3 = 1 THEN 'militants' ELSE 'herders' END AS "group", (doc_id % 40)::int AS killed FROM doc),
+TOWNS, LGAS = ["Garga", "Wanka", "Unknown", "Gargaru", "Tungan Dutse", "Wankama"], ["Kanam", "Unknown", "Anka", "Kanamma"]
+#: Documents as incidents of a source on a day, with towns, LGAs and one address each; the text as title and description.
+DOC_INC = f"""d AS (SELECT doc_id AS _id, title, text AS description, source AS state, TIMESTAMP '2024-01-01' + to_days((doc_id % 30)::int) AS date, CASE WHEN doc_id % 3 = 0 THEN 'bandits' WHEN doc_id % 3 = 1 THEN 'militants' ELSE 'herders' END AS "group", (doc_id % 40)::int AS killed,
+lower({views.sql_pick(TOWNS, 'doc_id // 7')}) AS town, lower({views.sql_pick(LGAS, 'doc_id // 5')}) AS lga, doc_id % 50 AS url FROM doc),
 f AS (SELECT *, {sql_words('title', 3, V.KEYWORD_STOPWORDS)} AS tw, {sql_words('description', 3, V.KEYWORD_STOPWORDS)} AS dw, lower(title) AS t FROM d)"""
-DOC_SCORE = f"""s AS (SELECT least(a._id, b._id) AS id_a, greatest(a._id, b._id) AS id_b, round(0.0::double + 0.0::double + CASE WHEN {sql_similarity('a."group"', 'b."group"')} > 0.6 THEN 0.15::double ELSE 0.0::double END + {SQL_CASUALTY.format('a.killed', 'b.killed')}
+_town, _lga, _known = sql_similarity("a.town", "b.town"), sql_similarity("a.lga", "b.lga"), "(a.lga <> 'unknown' AND b.lga <> 'unknown')"
+SQL_PLACE = f"""CASE WHEN a.town <> 'unknown' AND b.town <> 'unknown' THEN CASE WHEN contains(a.town, b.town) OR contains(b.town, a.town) OR {_town} > 0.75 THEN 0.4::double WHEN {_town} > 0.5 THEN 0.2::double ELSE 0.0::double END WHEN {_known} AND {_lga} > 0.75 THEN 0.3::double ELSE 0.0::double END"""
+SQL_LOCATION = f"""CASE WHEN {SQL_PLACE} > 0 THEN CASE WHEN {_known} AND {_lga} > 0.75 THEN least({SQL_PLACE} + 0.1::double, 0.5::double) ELSE {SQL_PLACE} END WHEN {_known} AND {_lga} > 0.85 THEN 0.25::double ELSE 0.0::double END"""
+DOC_SCORE = f"""s AS (SELECT least(a._id, b._id) AS id_a, greatest(a._id, b._id) AS id_b, 0.0::double + {SQL_LOCATION} + CASE WHEN {sql_similarity('a."group"', 'b."group"')} > 0.6 THEN 0.15::double ELSE 0.0::double END + {SQL_CASUALTY.format('a.killed', 'b.killed')}
 + CASE WHEN {sql_overlap('a.tw', 'b.tw')} > 0.5 THEN 0.2::double WHEN {sql_overlap('a.tw', 'b.tw')} > 0.3 THEN 0.1::double ELSE 0.0::double END + CASE WHEN {sql_similarity('a.t', 'b.t')} > 0.85 THEN 0.25::double WHEN {sql_similarity('a.t', 'b.t')} > 0.7 THEN 0.15::double ELSE 0.0::double END
-+ CASE WHEN {sql_overlap('a.dw', 'b.dw')} > 0.4 THEN 0.15::double WHEN {sql_overlap('a.dw', 'b.dw')} > 0.25 THEN 0.08::double ELSE 0.0::double END + CASE WHEN a.date = b.date THEN 0.1::double WHEN abs(date_diff('day', a.date, b.date)) < 2 THEN 0.05::double ELSE 0.0::double END, 2) AS score FROM f a JOIN f b ON a.state = b.state AND abs(date_diff('day', a.date, b.date)) <= 8 AND {{}})"""
++ CASE WHEN {sql_overlap('a.dw', 'b.dw')} > 0.4 THEN 0.15::double WHEN {sql_overlap('a.dw', 'b.dw')} > 0.25 THEN 0.08::double ELSE 0.0::double END + CASE WHEN a.url = b.url THEN 0.3::double ELSE 0.0::double END + CASE WHEN a.date = b.date THEN 0.1::double WHEN abs(date_diff('day', a.date, b.date)) < 2 THEN 0.05::double ELSE 0.0::double END AS raw, round(raw, 2) AS score FROM f a JOIN f b ON a.state = b.state AND abs(date_diff('day', a.date, b.date)) <= 8 AND {{}})"""
 
 
-def _doc_incidents(spark, sf_dir, docs=views.ascii_documents) -> DataFrame:
-    k, nothing = F.col("doc_id"), F.lit(None)
+def _doc_incidents(spark, sf_dir, docs=views.titled_documents) -> DataFrame:
+    k = F.col("doc_id")
     return docs(spark, sf_dir).select(
-        k.alias("_id"), "title", F.col("text").alias("description"), F.col("source").alias("state"), nothing.cast("string").alias("lga"), nothing.cast("string").alias("town"),
+        k.alias("_id"), "title", F.col("text").alias("description"), F.col("source").alias("state"), views.pick(LGAS, F.floor(k / 5)).alias("lga"), views.pick(TOWNS, F.floor(k / 7)).alias("town"),
         (F.lit(dt.datetime(2024, 1, 1)) + F.make_interval(days=(k % 30).cast("int"))).alias("date"), F.when(k % 3 == 0, "bandits").when(k % 3 == 1, "militants").otherwise("herders").alias("group"),
-        (k % 40).cast("int").alias("killed"), F.array().cast("array<struct<url:string,title:string,publisher:string>>").alias("sources"), F.lit(False).alias("_deleted"),
+        (k % 40).cast("int").alias("killed"), *[F.lit(None).cast("int").alias(c) for c in ("injured", "kidnapped", "displaced")], F.lit("unconfirmed").alias("status"), F.array(F.struct(F.concat(F.lit("https://a.b/"), (k % 50).cast("string")).alias("url"), F.lit("").alias("title"), F.lit("").alias("publisher"))).alias("sources"), F.lit(False).alias("_deleted"),
         (F.lit(dt.datetime(2024, 1, 1)) + F.make_interval(days=(k % 30).cast("int"))).alias("createdAt"),
     )
 
 
-@query("dedup_state_scan", f"WITH {DOC}, {DOC_INC}, {DOC_SCORE.format('a._id < b._id')} SELECT * FROM s WHERE score >= 0.4")
-def dedup_state_scan(spark, sf_dir, docs=views.ascii_documents):
-    return dedup.scan(_doc_incidents(spark, sf_dir, docs))
+@query("dedup_state_scan", f"WITH {DOC}, {DOC_INC}, {DOC_SCORE.format('a._id < b._id')} SELECT id_a, id_b, score FROM s WHERE raw >= 0.4")
+def dedup_state_scan(spark, sf_dir, docs=views.titled_documents):
+    return dedup.scan(_doc_incidents(spark, sf_dir, docs)).drop("reason")
 
 
-@query("dedup_global_scan", f"WITH {DOC}, {DOC_INC}, {DOC_SCORE.format('a._id < b._id')} SELECT * FROM s WHERE score >= 0.6")
-def dedup_global_scan(spark, sf_dir, docs=views.ascii_documents):
-    return dedup.scan(_doc_incidents(spark, sf_dir, docs), threshold=0.6, include_deleted=False)
+@query("dedup_global_scan", f"WITH {DOC}, {DOC_INC}, {DOC_SCORE.format('a._id < b._id')} SELECT id_a, id_b, score FROM s WHERE raw >= 0.6")
+def dedup_global_scan(spark, sf_dir, docs=views.titled_documents):
+    return dedup.scan(_doc_incidents(spark, sf_dir, docs), threshold=0.6, include_deleted=False).drop("reason")
 
 
-@query("dedup_recent", f"WITH {DOC}, {DOC_INC}, {DOC_SCORE.format(chr(39).join(['a._id <> b._id AND a.date >= TIMESTAMP ', '2024-01-26', '']))} SELECT DISTINCT * FROM s WHERE score >= 0.4")
-def dedup_recent(spark, sf_dir, docs=views.ascii_documents):
-    return dedup.scan_recent(_doc_incidents(spark, sf_dir, docs), F.lit(dt.datetime(2024, 1, 26)))
+@query("dedup_recent", f"WITH {DOC}, {DOC_INC}, {DOC_SCORE.format(chr(39).join(['a._id <> b._id AND a.date >= TIMESTAMP ', '2024-01-26', '']))} SELECT DISTINCT id_a, id_b, score FROM s WHERE raw >= 0.4")
+def dedup_recent(spark, sf_dir, docs=views.titled_documents):
+    return dedup.scan_recent(_doc_incidents(spark, sf_dir, docs), F.lit(dt.datetime(2024, 1, 26))).drop("reason")
 
 
-@query("top_candidates", f"WITH {DOC}, {DOC_INC}, {DOC_SCORE.format('a._id < b._id')} SELECT * FROM s WHERE score >= 0.4 ORDER BY score DESC, id_a, id_b LIMIT 5")
-def top_candidates(spark, sf_dir, docs=views.ascii_documents):
-    return dedup.top_candidates(dedup.scan(_doc_incidents(spark, sf_dir, docs)))
+@query("top_candidates", f"WITH {DOC}, {DOC_INC}, {DOC_SCORE.format('a._id < b._id')} SELECT id_a, id_b, score FROM s WHERE raw >= 0.4 ORDER BY score DESC, id_a, id_b LIMIT 5")
+def top_candidates(spark, sf_dir, docs=views.titled_documents):
+    return dedup.top_candidates(dedup.scan(_doc_incidents(spark, sf_dir, docs)).drop("reason"))
 
 
 @query("dedup_exact_cluster", f"""WITH {DOC}, d AS (SELECT doc_id AS _id, strftime(TIMESTAMP '2024-01-01' + to_days((doc_id % 3)::int), '%Y-%m-%d') || '|' || {TITLE.format('title')} AS cluster, length(text) AS n FROM doc), c AS (SELECT *, count(*) OVER (PARTITION BY cluster) AS members, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, _id) AS rank FROM d) SELECT _id, cluster, members, rank FROM c WHERE members > 1""")
-def dedup_exact_cluster(spark, sf_dir, docs=views.ascii_documents):
+def dedup_exact_cluster(spark, sf_dir, docs=views.titled_documents):
     rows = _doc_incidents(spark, sf_dir, docs).withColumn("date", F.lit(dt.datetime(2024, 1, 1)) + F.make_interval(days=(F.col("_id") % 3).cast("int")))
     return dedup.exact_clusters(rows).select("_id", "cluster", "members", "rank")
 
 
-# The same queries over all documents. Spark and DuckDB differ outside ASCII, so these have no SQL.
+# The same queries with titles as they are. Spark and DuckDB differ in edits outside ASCII, so these have no SQL.
 for _f in (keyword_overlap, normalize_text, tokenize, truncate, dedup_state_scan, dedup_global_scan, dedup_recent, top_candidates, dedup_exact_cluster):
     query(f"{_f.__name__}_all")(functools.partial(_f.__wrapped__, docs=views.all_documents))
 
@@ -731,19 +756,34 @@ def dedup_cross_state_pairs(spark, sf_dir):
     return dedup.cross_state_pairs(_border(spark, sf_dir))
 
 
-@query("merge_incident", f"""WITH {INC}, p AS (SELECT a._id, greatest(a.killed, b.killed) AS killed, greatest(a.injured, b.injured) AS injured, CASE WHEN b.status = 'confirmed' THEN 'confirmed' ELSE a.status END AS status FROM inc a JOIN inc b ON b._id = a._id + 1 WHERE a._id % 10 = 1) SELECT * FROM p""")
-def merge_incident(spark, sf_dir):
+SQL_MERGED = f"""pair AS (SELECT a._id AS kept, b._id AS dropped FROM inc a JOIN inc b ON b._id = a._id + 1 WHERE a._id % 10 = 1), both_src AS (SELECT kept, 0 AS part, pos, url FROM pair JOIN src ON _id = kept UNION ALL SELECT kept, 1, pos, url FROM pair JOIN src ON _id = dropped),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY kept, {NORM} ORDER BY part, pos, url) AS rn FROM both_src), joined AS (SELECT kept, string_agg(url, ' ' ORDER BY part, pos, url) AS urls FROM ranked WHERE rn = 1 GROUP BY kept)"""
+_ONE = "SELECT a._id, {text} AS description, greatest(a.killed, b.killed) AS killed, greatest(a.injured, b.injured) AS injured, greatest(a.kidnapped, b.kidnapped) AS kidnapped, greatest(a.displaced, b.displaced) AS displaced, CASE WHEN b.status = 'confirmed' THEN 'confirmed' ELSE a.status END AS status, coalesce(urls, '') AS urls FROM pair JOIN inc a ON a._id = kept JOIN inc b ON b._id = dropped LEFT JOIN joined USING (kept)"
+MERGED = ["_id", "description", "killed", "injured", "kidnapped", "displaced", "status"]
+
+
+def _merge_batch(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     flat = views.incidents(spark, sf_dir, sources=True)
-    pairs = flat.where("_id % 10 = 1").select(F.col("_id").alias("kept"), (F.col("_id") + 1).alias("dropped"))
-    return merge.merge_pairs(flat, pairs).select("_id", "killed", "injured", "status")
+    return flat, flat.where("_id % 10 = 1").select(F.col("_id").alias("kept"), (F.col("_id") + 1).alias("dropped"))
+
+
+def _urls(c: str = "sources"):
+    return F.concat_ws(" ", F.transform(c, lambda s: s["url"])).alias("urls")
 
 
-@query("flag_groups", f"WITH {INC} SELECT _id, CASE WHEN _id % 10 = 2 AND _id - 1 IN (SELECT _id FROM inc) THEN true ELSE coalesce(_deleted, false) END AS gone FROM inc")
+@query("merge_incident", f"""WITH {INC}, {SRC}, {SQL_MERGED} {_ONE.format(text="CASE WHEN a._id % 3 = 0 THEN 'Both reports tell of one attack; the later one has the exact numbers.' ELSE a.description END")}""")
+def merge_incident(spark, sf_dir):
+    """Every tenth incident takes in its successor; a third have a merged description from outside, another third one that is too short."""
+    flat, pairs = _merge_batch(spark, sf_dir)
+    told = flat.where("_id % 3 < 2").select("_id", F.when(F.col("_id") % 3 == 0, "Both reports tell of one attack; the later one has the exact numbers.").otherwise("Both tell of one attack.").alias("text"))
+    return merge.merge_pairs(flat, pairs, descriptions=told).select(*MERGED, _urls())
+
+
+@query("flag_groups", f"""WITH {INC}, {SRC}, {SQL_MERGED}, m AS ({_ONE.format(text="a.description")}), l AS (SELECT _id, string_agg(url, ' ' ORDER BY pos, url) AS own FROM src GROUP BY _id)
+SELECT inc._id, upper(state[1]) || state[2:] AS state, coalesce(m.killed, inc.killed) AS killed, coalesce(m.status, inc.status) AS status, coalesce(m.urls, l.own, '') AS urls, inc._id IN (SELECT dropped FROM pair) OR coalesce(_deleted, false) AS gone FROM inc LEFT JOIN m USING (_id) LEFT JOIN l USING (_id)""")
 def flag_groups(spark, sf_dir):
-    flat = views.incidents(spark, sf_dir)
-    second = flat.where("_id % 10 = 2").select("_id", (F.col("_id") - 1).alias("kept"))
-    pairs = second.join(flat.select(F.col("_id").alias("kept")), "kept").select("_id")
-    return merge.soft_delete(flat, pairs, "Duplicate").select("_id", F.coalesce("_deleted", F.lit(False)).alias("gone"))
+    """Curated pairs merged, the second of each soft-deleted, states in canonical form."""
+    return repair.flag_groups(*_merge_batch(spark, sf_dir)).select("_id", "state", "killed", "status", _urls(), F.coalesce("_deleted", F.lit(False)).alias("gone"))
 
 
 @query("delete_by_source", f"WITH {INC}, {SRC} SELECT _id FROM inc WHERE _id NOT IN (SELECT _id FROM src WHERE publisher = 'Supplier#000000003')")
@@ -754,7 +794,7 @@ def delete_by_source(spark, sf_dir):
 @query("ingest_plan")
 def ingest_plan(spark, sf_dir):
     raw, stored = _batch(spark, sf_dir, sources=True)
-    return ingest.plan(raw, ingest.with_hash(stored))
+    return ingest.plan(files.settled(raw, "reports"), files.settled(ingest.with_hash(stored), "stored"))
 
 
 # Streams, run over tables.
@@ -776,3 +816,184 @@ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n F
 def session_counts(spark, sf_dir):
     e = views.load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return jobs.sessions(e).select("user_id", F.col("session_window.start").alias("start"), "n")
+
+
+# Guards, small steps and batch jobs.
+
+
+@query("window_guard", f"WITH {INC} SELECT _id FROM inc WHERE date >= TIMESTAMP '1997-01-01' - INTERVAL 1 DAY AND date <= TIMESTAMP '1997-06-30' + INTERVAL 1 DAY")
+def window_guard(spark, sf_dir):
+    return views.incidents(spark, sf_dir).where(ingest.near_window(F.lit(dt.datetime(1997, 1, 1)), F.lit(dt.datetime(1997, 6, 30)))).select("_id")
+
+
+@query("state_members", f"WITH {REP} SELECT event_id FROM rep WHERE lower({sql_state('state_raw')}) IN ('borno', 'kano', 'fct')")
+def state_members(spark, sf_dir):
+    return ingest.of_states(views.reports(spark, sf_dir).withColumn("state", F.col("state_raw")), ["BORNO", "Kano", "fct"]).select("event_id")
+
+
+@query("fresh_sources", f"WITH {REP}, d AS (SELECT event_id, try_cast(regexp_replace(regexp_extract(url, '20\\d\\d[/-]\\d\\d[/-]\\d\\d'), '/', '-', 'g') AS date) AS d FROM rep) SELECT event_id, d IS NULL OR year(d) NOT BETWEEN 2015 AND 2101 OR d + INTERVAL 12 HOUR >= TIMESTAMP '2026-04-20' + to_days((event_id % 20)::int) - INTERVAL 21 DAY AS ok FROM d")
+def fresh_sources(spark, sf_dir):
+    """The date in an address is that of the source; window ends vary by report."""
+    last = F.lit(dt.datetime(2026, 4, 20)) + F.make_interval(days=(F.col("event_id") % 20).cast("int"))
+    return views.reports(spark, sf_dir).select("event_id", ingest.fresh(urls.url_date("url"), last).alias("ok"))
+
+
+@query("civilians_only", f"WITH {INC} SELECT _id FROM inc WHERE _id % 3 <> 0")
+def civilians_only(spark, sf_dir):
+    flag = F.when(F.col("_id") % 3 == 0, False).when(F.col("_id") % 3 == 1, True)
+    return ingest.with_civilians(views.incidents(spark, sf_dir).withColumn("civilianCasualties", flag)).select("_id")
+
+
+@query("recent_48h", f"WITH {INC} SELECT _id FROM inc WHERE date >= TIMESTAMP '{AS_OF}' - INTERVAL 48 HOUR AND date < TIMESTAMP '{AS_OF}'")
+def recent_48h(spark, sf_dir):
+    return ingest.recent(views.incidents(spark, sf_dir), F.lit(AS_OF)).select("_id")
+
+
+@query("first_matching", f"WITH {INC} SELECT _id, title FROM inc ORDER BY NOT contains(title, 'Plateau'), date, _id LIMIT 1")
+def first_matching(spark, sf_dir):
+    return repair.first_matching(views.incidents(spark, sf_dir), F.contains("title", F.lit("Plateau")), "date", "_id").select("_id", "title")
+
+
+@query("candidates_flatten", f"WITH {DOC}, {DOC_INC}, {DOC_SCORE.format('a._id < b._id')}, w AS (SELECT DISTINCT s.* FROM s JOIN f ON f._id = s.id_a WHERE f.state IN ('src0', 'src1')) SELECT id_a, id_b, score FROM w WHERE raw >= 0.4")
+def candidates_flatten(spark, sf_dir):
+    docs = _doc_incidents(spark, sf_dir)
+    return dedup.flattened(dedup.scan_state(docs, "src0"), dedup.scan_state(docs, "src1 State")).drop("reason")
+
+
+ANSWERS = ['```json\n[{"title": "A"}]\n```', "I found no incidents.", "Here: [1, 2] and [3] so", "[]", "a ] then [ b"]
+
+
+def _answers(spark, sf_dir) -> DataFrame:
+    return views.load(spark, sf_dir, "events").select("event_id", views.pick(ANSWERS, F.col("event_id")).alias("text"))
+
+
+SQL_ANSWERS = f"a AS (SELECT event_id, {views.sql_pick([x.replace(chr(10), ' ') for x in ANSWERS], 'event_id')} AS text FROM events)"
+
+
+@query("lenient_json_array", f"WITH {SQL_ANSWERS}, p AS (SELECT event_id, replace(replace(text, '```json', ''), '```', '') AS t FROM a) SELECT event_id, CASE WHEN instr(t, '[') > 0 AND length(t) - instr(reverse(t), ']') + 1 > instr(t, '[') AND contains(t, ']') THEN substr(t, instr(t, '['), length(t) - instr(reverse(t), ']') + 2 - instr(t, '[')) ELSE '[]' END AS list FROM p")
+def lenient_json_array(spark, sf_dir):
+    return _answers(spark, sf_dir).select("event_id", urls.lenient_json_array(F.replace("text", F.lit("\n"), F.lit(" "))).alias("list"))
+
+
+@query("sliding_counts", "WITH w AS (SELECT user_id, unnest([time_bucket(INTERVAL 30 SECOND, ts), time_bucket(INTERVAL 30 SECOND, ts) - INTERVAL 30 SECOND]) AS w FROM events) SELECT user_id, strftime(w, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM w GROUP BY 1, 2")
+def sliding_counts(spark, sf_dir):
+    e = views.load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return jobs.sliding_counts(e).select("user_id", F.col("window.start").alias("start"), "n")
+
+
+_REGION = "CASE " + " ".join(f"WHEN {{0}} IN ({', '.join(repr(s) for s in states)}) THEN '{r}'" for r, states in V.REGIONS.items()) + " END"
+
+
+@query("reports_by_region", f"WITH {REP}, s AS (SELECT {sql_state('state_raw')} AS state FROM rep) SELECT {_REGION.format('state')} AS region, count(*) AS n FROM s GROUP BY 1")
+def reports_by_region(spark, sf_dir):
+    return jobs.by_region(views.reports(spark, sf_dir).withColumn("state", F.col("state_raw"))).groupBy("region").agg(F.count("*").alias("n"))
+
+
+@query("resolve_redirects", f"WITH {REP} SELECT event_id, CASE WHEN url LIKE '%vertexaisearch%' THEN 'https://punchng.com/story' ELSE url END AS url FROM rep")
+def resolve_redirects(spark, sf_dir):
+    known = views.reports(spark, sf_dir).where(F.contains("url", F.lit("vertexaisearch"))).select("url", F.lit("https://punchng.com/story").alias("final_url"))
+    return files.resolve_redirects(views.reports(spark, sf_dir), known).select("event_id", "url")
+
+
+@query("state_fixes", f"WITH {REP}, s AS (SELECT event_id AS _id, state_raw AS old, {sql_state('state_raw')} AS new FROM rep) SELECT * FROM s WHERE old <> new")
+def state_fixes(spark, sf_dir):
+    return repair.state_fixes(views.reports(spark, sf_dir).select(F.col("event_id").alias("_id"), F.col("state_raw").alias("state")))
+
+
+@query("undelete", f"WITH {INC} SELECT _id, CASE WHEN _id % 34 = 0 THEN false ELSE coalesce(_deleted, false) END AS gone FROM inc")
+def undelete(spark, sf_dir):
+    flat = views.incidents(spark, sf_dir)
+    return merge.undelete(flat, flat.where("_id % 34 = 0")).select("_id", F.coalesce("_deleted", F.lit(False)).alias("gone"))
+
+
+@query("hard_delete", f"WITH {INC} SELECT _id FROM inc WHERE _id % 7 <> 0")
+def hard_delete(spark, sf_dir):
+    flat = views.incidents(spark, sf_dir)
+    return merge.hard_delete(flat, flat.where("_id % 7 = 0")).select("_id")
+
+
+@query("update_by_id", f"WITH {INC} SELECT _id, CASE WHEN _id % 9 = 0 THEN 'confirmed' ELSE status END AS status, killed FROM inc")
+def update_by_id(spark, sf_dir):
+    flat = views.incidents(spark, sf_dir)
+    return merge.upsert(flat, flat.where("_id % 9 = 0").withColumn("status", F.lit("confirmed"))).select("_id", "status", "killed")
+
+
+@query("recover_sources", f"WITH {INC}, {SRC}, f AS (SELECT DISTINCT _id FROM src) SELECT _id, NOT (coalesce(_deleted, false) AND _id % 34 = 0 AND _id IN (SELECT _id FROM f)) AND coalesce(_deleted, false) AS gone FROM inc")
+def recover_sources(spark, sf_dir):
+    """Rows deleted for want of sources (every second of the deleted) come back with those found."""
+    flat = views.incidents(spark, sf_dir, sources=True)
+    lost = flat.withColumn("_deletedReason", F.when(F.col("_id") % 34 == 0, "Invalid sources: no replacements found").otherwise("Duplicate"))
+    return repair.recover(lost, flat.select("_id", "sources")).select("_id", F.coalesce("_deleted", F.lit(False)).alias("gone"))
+
+
+@query("source_checks", f"""WITH {INC}, {SRC} SELECT _id, count(*) AS n, 0::bigint AS bad FROM src JOIN act USING (_id) GROUP BY _id""")
+def source_checks(spark, sf_dir):
+    checked = repair.source_checks(views.incidents(spark, sf_dir, sources=True))
+    return checked.groupBy("_id").agg(F.count("*").alias("n"), F.count("reason").alias("bad"))
+
+
+def _raw_reports(spark, sf_dir) -> DataFrame:
+    """Phrases over events as raw reports, each with one source."""
+    r = views.reports(spark, sf_dir)
+    return r.select(
+        F.col("event_id").alias("_id"), "title", "description", F.col("ts").alias("date"), F.col("state_raw").alias("state"), F.lit("Unknown").alias("lga"), F.lit("Jos").alias("town"), F.lit("bandits").alias("group"),
+        "killed", "injured", "kidnapped", "displaced", F.array(F.struct("url", "title", "publisher")).alias("sources"), F.lit("unconfirmed").alias("status"),
+    )
+
+
+@query("normalized_reports")
+def normalized_reports(spark, sf_dir):
+    """Raw reports made ready; tested against brute force."""
+    raw = _raw_reports(spark, sf_dir)
+    pages = views.load(spark, sf_dir, "pages").select("url", F.lit(None).cast("string").alias("final_url"), "html")
+    done = ingest.normalized(raw, F.lit(dt.datetime(2015, 1, 1)), F.lit(dt.datetime(2027, 1, 1)), redirects=pages.select("url", F.col("url").alias("final_url")), pages=pages)
+    return done.select("_id", "state", "date", _urls())
+
+
+def _chunked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Raw reports whose source is a redirect, and five chunks for each; tested against brute force."""
+    raw = _raw_reports(spark, sf_dir).withColumn("sources", F.transform("sources", lambda s: s.withField("url", F.lit("https://x.y/grounding-api-redirect/1"))))
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("pos")
+    k = F.col("raw_id") * 3 + F.col("pos")
+    return raw, raw.select(F.col("_id").alias("raw_id"), numbers).select("raw_id", "pos", views.pick(views.URLS_SEEN, k).alias("uri"), views.pick(views.TITLES, k).alias("title"))
+
+
+@query("join_chunk_rank")
+def join_chunk_rank(spark, sf_dir):
+    return ingest.chunk_addresses(*_chunked(spark, sf_dir)).select("_id", _urls())
+
+
+@query("join_gap_chunks")
+def join_gap_chunks(spark, sf_dir):
+    return ingest.gap_chunk_addresses(*_chunked(spark, sf_dir)).select("_id", _urls())
+
+
+@query("join_title_chunks")
+def join_title_chunks(spark, sf_dir):
+    return ingest.title_chunk_addresses(*_chunked(spark, sf_dir)).select("_id", _urls())
+
+
+@query("ingest_applied")
+def ingest_applied(spark, sf_dir):
+    """Stored incidents after a batch; tested against brute force."""
+    raw, stored = _batch(spark, sf_dir, sources=True)
+    stored = ingest.with_hash(stored.withColumn("updatedAt", F.col("createdAt")))
+    out = ingest.apply(files.settled(raw, "reports"), files.settled(stored, "stored"), F.lit(AS_OF))
+    return out.select("_id", "killed", "kidnapped", "status", _urls(), "hash")
+
+
+def _verdicts(pair: dict) -> tuple[bool, str]:
+    return (pair["id_a"] + pair["id_b"]) % 3 != 0, "existing" if pair["id_b"] % 2 else "candidate"
+
+
+@query("audit_duplicates")
+def audit_duplicates(spark, sf_dir):
+    """The pairs that an audit asks about, with a fixed rule for the answers; tested against brute force."""
+    return dedup.audit(_doc_incidents(spark, sf_dir), _verdicts, limit=12, execute=True)[1]
+
+
+@query("repair_quality")
+def repair_quality(spark, sf_dir):
+    """What a repair of one year does; tested against brute force."""
+    flat = _border(spark, sf_dir).withColumn("title", F.concat(F.lit("Raid number "), (F.col("_id") % 40).cast("string")))
+    return repair.repair_quality(flat, F.lit(dt.datetime(1996, 1, 1)), F.lit(dt.datetime(1997, 1, 1)))[1]

@@ -123,6 +123,13 @@ def json_array(c: Column | str) -> Column:
     return F.regexp_extract(F.regexp_replace(text(c), "```(?:json)?", ""), r"(?s)(\[\s*[{\]].*)$", 1)
 
 
+def lenient_json_array(c: Column | str) -> Column:
+    """From the first bracket to the last, without code fences; an empty array where there are none."""
+    found = F.regexp_extract(F.regexp_replace(text(c), "(?i)```(?:json)?", ""), r"(?s)(\[.*\])", 1)
+    return F.when(found == "", "[]").otherwise(found)
+
+
+# The texts of the reasons below.
 def http_verdict(status: str, content_type: str, url: str, final_url: str) -> Column:
     """Why a fetched address is no valid source, or null; refusals, server errors and timeouts (null status) count as valid."""
     s, final = F.col(status), text(final_url)

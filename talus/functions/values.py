@@ -62,6 +62,16 @@ PUBLISHER_DOMAINS = [
     ("the whistler", "thewhistler.ng"), ("bbc", "bbc.com"), ("reuters", "reuters.com"), ("ap", "apnews.com"), ("al jazeera", "aljazeera.com"),
     ("voa", "voanews.com"), ("dw", "dw.com"), ("pulse", "pulse.ng"),
 ]
+# The domain of a publisher's own pages, the first that a name holds.
+PUBLISHER_TIERS = [
+    ("prnigeria", "prnigeria.com"), ("daily trust", "dailytrust.com"), ("premium times", "premiumtimesng.com"), ("vanguard", "vanguardngr.com"),
+    ("punch", "punchng.com"), ("channels", "channelstv.com"), ("sahara", "saharareporters.com"), ("humangle", "humanglemedia.com"),
+    ("the cable", "thecable.ng"), ("peoples gazette", "gazettengr.com"), ("daily post", "dailypost.ng"), ("leadership", "leadership.ng"),
+    ("the nation", "thenationonlineng.net"), ("thisday", "thisdaylive.com"), ("tvc", "tvcnews.tv"), ("arise", "arise.tv"), ("icir", "icirnigeria.org"),
+    ("ripples", "ripplesnigeria.com"), ("guardian nigeria", "guardian.ng"), ("daily nigerian", "dailynigerian.com"), ("parallel facts", "parallelfactsnews.com"),
+    ("whistler", "thewhistler.ng"), ("zagazola", "zagazola"), ("bbc", "bbc.com"), ("reuters", "reuters.com"), ("ap", "apnews.com"), ("al jazeera", "aljazeera.com"),
+    ("voa", "voanews.com"), ("dw", "dw.com"), ("blueprint", "blueprint.ng"), ("pulse", "pulse.ng"),
+]
 # The vocabulary of the report classifiers, as alternatives of regular expressions.
 OPS_FORCES = ["troops?", "soldiers?", "military", "army", r"air\s*force", "naf", r"joint\s*task\s*force", "jtf", r"operation\s*hadin\s*kai", "dhq", r"security\s*operatives?", "police"]
 OPS_VERBS = ["rescue", "rescued", "arrest", "arrested", "foiled?", "foil", "recover", "recovered", "neutrali[sz]e", "neutrali[sz]ed", "eliminat(?:e|ed|ing)", "raid(?:ed|ing)?"]

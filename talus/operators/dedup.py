@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import is_unknown_place, normalize_title, overlap, text, title_tokens
+from ..functions.text import is_unknown_place, normalize_state, normalize_title, overlap, similarity, text, title_tokens
 from ..functions.urls import normalize_url
 from ..schema import active
 from . import score
@@ -35,17 +35,41 @@ def near_in_time(left: DataFrame, right: DataFrame, keys: list[Column], days: in
 
 
 def _scored(pairs: DataFrame, threshold: float) -> DataFrame:
-    p = score.parts()
-    low, high = F.least("a._id", "b._id").alias("id_a"), F.greatest("a._id", "b._id").alias("id_b")
-    return pairs.select(low, high, F.round(score.total(p), 2).alias("score")).where(F.col("score") >= threshold)
+    """(id_a, id_b, score, reason) of the pairs of at least `threshold`: the sum itself is compared, and rounded only to be shown.
+
+    Parts are computed in the order of their cost, the dear ones only where a pair can still reach the threshold with all that is
+    left; what the last step adds up is the plain sum of all parts in their own order.
+    """
+    p, told = score.parts(), score.details()
+    keep = [F.least("a._id", "b._id").alias("id_a"), F.greatest("a._id", "b._id").alias("id_b")]
+    dear = ("s_alike", "s_words")
+    rest = {"s_alike": score.MOST["s_words"], "s_words": 0.0}
+    cheap = [c.alias(n) for n, c in p.items() if n not in dear]
+    words = ["a.f_words", "b.f_words", "a.f_title", "b.f_title"]
+    now = pairs.select(*keep, *cheap, *[c.alias(n) for n, c in told.items()], *[F.col(w).alias(w.replace(".", "_")) for w in words])
+    sum_of = lambda names: score.total({n: F.col(n) for n in names})
+    have = [n for n in p if n not in dear]
+    now = now.where(sum_of(have) + score.MOST["s_alike"] + score.MOST["s_words"] >= threshold - 1e-9)
+    now = now.withColumn("s_alike", score.alike_score(score.alike_or_less(F.col("a_f_title"), F.col("b_f_title"))))
+    have.append("s_alike")
+    now = now.where(sum_of(have) + rest["s_alike"] >= threshold - 1e-9)
+    now = now.withColumn("d_words", overlap(F.col("a_f_words"), F.col("b_f_words"))).withColumn("s_words", score.words_score(F.col("d_words"))).drop("a_f_words", "b_f_words")
+    raw = score.total({n: F.col(n) for n in p})
+    found = now.where(raw >= threshold).withColumn("d_alike", similarity(F.col("a_f_title"), F.col("b_f_title")))
+    return found.select("id_a", "id_b", F.round(raw, 2).alias("score"), score.reason(raw).alias("reason"))
 
 
 def scan(flat: DataFrame, threshold: float = score.THRESHOLD, include_deleted: bool = True) -> DataFrame:
-    """(id_a, id_b, score) of all pairs of one state within the window."""
+    """(id_a, id_b, score, reason) of all pairs of one state within the window."""
     rows = score.features(flat if include_deleted else flat.where(active()))
     return _scored(near_in_time(rows, rows, ["f_state"], score.WINDOW_DAYS).where("a._id < b._id"), threshold)
 
 
+def scan_state(flat: DataFrame, state: str, threshold: float = score.THRESHOLD) -> DataFrame:
+    """scan() of the active rows of one state, by any of its spellings."""
+    return scan(flat.where(normalize_state("state") == normalize_state(F.lit(state))), threshold, include_deleted=False)
+
+
 def scan_recent(flat: DataFrame, since: Column, threshold: float = score.THRESHOLD) -> DataFrame:
     """Pairs of which one row at least was created since then; each unordered pair once."""
     rows = score.features(flat)
@@ -93,24 +117,94 @@ def shared_source_classes(sources: DataFrame) -> DataFrame:
     return keyed.join(classes, "source").select("_id", "source", "class_id", "members")
 
 
+def source_links(sources: DataFrame) -> DataFrame:
+    """(id_a, id_b, shared): each row of (_id, url) linked to the first row (id_a) of the classes of equal addresses that it is in, and how many of these there are.
+
+    As connected as shared_source_pairs(), with as many rows as there are members of classes at most, not their square.
+    """
+    classes = shared_source_classes(sources).where("_id <> class_id")
+    return classes.groupBy(F.col("class_id").alias("id_a"), F.col("_id").alias("id_b")).agg(F.count("*").alias("shared"))
+
+
 def top_candidates(pairs: DataFrame, most: int = 5) -> DataFrame:
     return pairs.orderBy(F.desc("score"), "id_a", "id_b").limit(most)
 
 
-def process(pairs: DataFrame, confirm: Callable[[dict], bool] = lambda pair: True, most: int = 5) -> list[tuple]:
+def flattened(*candidates: DataFrame) -> DataFrame:
+    """The candidates of several scans (states, windows) as one list, each pair once with its best score."""
+    out = candidates[0]
+    for c in candidates[1:]:
+        out = out.unionByName(c)
+    best = out.groupBy("id_a", "id_b").agg(F.max(F.struct("score", *[c for c in out.columns if c not in ("id_a", "id_b", "score")])).alias("b"))
+    return best.select("id_a", "id_b", "b.*")
+
+
+#: (same, better): whether a pair is one event, and which report is the better one, "candidate" (the first) or "existing".
+Verdict = tuple[bool, str]
+NO: Verdict = (False, "candidate")
+
+
+def verdicts_of(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """pairs with is_duplicate and better from verdicts (id_a, id_b, is_duplicate, better), answers to questions asked outside; without an answer a pair is no duplicate."""
+    told = verdicts.select("id_a", "id_b", F.col("is_duplicate").alias("_same"), F.col("better").alias("_better")).dropDuplicates(["id_a", "id_b"])
+    return pairs.join(told, ["id_a", "id_b"], "left").select(*pairs.columns, F.coalesce("_same", F.lit(False)).alias("is_duplicate"), F.when(F.col("_better") == "existing", "existing").otherwise("candidate").alias("better"))
+
+
+def answered(pair: dict) -> Verdict:
+    """The verdict that verdicts_of() has put beside a pair."""
+    return pair.get("is_duplicate", False), pair.get("better", "candidate")
+
+
+def process(pairs: DataFrame, confirm: Callable[[dict], Verdict] = answered, most: int = 5) -> list[tuple]:
     """(kept, dropped) of the `most` best candidates, best first: a row that was dropped takes no part any more.
 
-    `confirm` decides on a pair, for instance by a model; a failure of it means no.
+    `confirm` decides on a pair, for instance by a model; without an answer, and if it fails, a pair is no duplicate.
     """
+    return [(kept, dropped) for _, same, kept, dropped in _checked(top_candidates(pairs, most), confirm, most) if same]
+
+
+def _checked(ordered: DataFrame, confirm: Callable[[dict], Verdict], most: int, consume: bool = True) -> list[tuple[dict, bool, object, object]]:
+    """(pair, same, kept, dropped) of the first `most` pairs that are asked about; the rows come one partition at a time, as far as they are needed."""
     gone, out = set(), []
-    for pair in top_candidates(pairs, most).collect():
+    for row in ordered.toLocalIterator():
+        if len(out) >= most:
+            break
+        pair = row.asDict()
         if pair["id_a"] in gone or pair["id_b"] in gone:
             continue
         try:
-            same = confirm(pair.asDict())
+            same, better = confirm(pair)
         except Exception:  # noqa: BLE001  an unanswered question is no duplicate
-            same = False
-        if same:
-            gone.add(pair["id_b"])
-            out.append((pair["id_a"], pair["id_b"]))
+            same, better = NO
+        kept, dropped = (pair["id_b"], pair["id_a"]) if better == "existing" else (pair["id_a"], pair["id_b"])
+        if same and consume:
+            gone.add(dropped)
+        out.append((pair, bool(same), kept, dropped))
     return out
+
+
+AUDIT = "id_a {0}, id_b {0}, score double, reason string, is_duplicate boolean, kept {0}, dropped {0}"
+
+
+def audit(flat: DataFrame, confirm: Callable[[dict], Verdict] = answered, verdicts: DataFrame | None = None, state: str | None = None, threshold: float = 0.6, limit: int = 12, execute: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(flat, the pairs that were asked about): candidates of the active rows, best first, are confirmed one by one, `limit` of them at most.
+
+    Nothing is changed unless `execute`; then each confirmed pair is merged, the worse report is soft-deleted and takes no part in
+    later pairs.
+    """
+    from .repair import merged_away
+
+    pairs = scan_state(flat, state, threshold) if state else scan(flat, threshold, include_deleted=False)
+    pairs = pairs if verdicts is None else verdicts_of(pairs, verdicts)
+    asked = _checked(pairs.orderBy(F.desc("score"), "id_a", "id_b"), confirm, limit, consume=execute)
+    spark, kind = flat.sparkSession, flat.schema["_id"].dataType.simpleString()
+    report = spark.createDataFrame([(p["id_a"], p["id_b"], p["score"], p["reason"], same, kept if same else None, dropped if same else None) for p, same, kept, dropped in asked], AUDIT.format(kind))
+    if not execute:
+        return flat, report
+    # One that was kept first and dropped later takes with it what it had absorbed.
+    into, done = {dropped: kept for _, same, kept, dropped in asked if same}, []
+    for dropped, kept in into.items():
+        while kept in into:
+            kept = into[kept]
+        done.append((kept, dropped))
+    return merged_away(flat, spark.createDataFrame(done, f"kept {kind}, dropped {kind}"), "Duplicate of "), report

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.dates import narrative_date, reconcile
-from ..functions.text import any_of, attack_hash, normalize_state, text
-from ..functions.urls import is_trusted_source, is_usable_url, normalize_url
+from ..functions.text import any_of, attack_hash, normalize_state, sanitize, text, tokenize
+from ..functions.urls import chunk_score, extract_domain, html_title, is_trusted_source, is_usable_url, location_tokens, normalize_url, published_date, root_domain, semantic_tokens, source_relevant
 from ..schema import active
+from ..sources.files import settled
+from .classify import is_operational_update
+from .merge import add_sources, merge_pairs, upsert
 
 # Words that say nothing in a title.
 TITLE_STOPWORDS = (
@@ -65,32 +68,60 @@ def _known(c: str) -> Column:
 def broad_matches(raw: DataFrame, stored: DataFrame) -> DataFrame:
     """(raw_id, match_id): the oldest active stored row of the state that is the same event reported later, by clauses of place and scale.
 
-    Each clause is a join by its own equalities: state with LGA, with town, or with a bucket of the number kidnapped.
+    Each clause is a join by its own equalities: state with town and group, or, with or without LGA, with a bucket of the number
+    kidnapped, or with the rarest three letters of a town's name that is to be found inside another.
     """
     r0, s0 = raw.withColumns({"kl": _known("lga"), "kt": _known("town")}), stored.where(active())
     r, s = r0.alias("r"), s0.alias("s")
     state, lga, kidnapped = _same("s.state", "r.state"), _same("s.lga", "r.lga"), F.col("r.kidnapped")
     near = _within(F.col("s.kidnapped"), kidnapped, 0.8, 1.2)
-    place = F.col("kl") & (((kidnapped >= 10) & near) | (F.col("kt") & F.contains(F.lower("s.town"), F.lower(F.trim("r.town")))) | ((kidnapped >= 100) & _within(F.col("s.kidnapped"), kidnapped, 0.6, 1.4)))
-    by_place = r.join(s, state & lga).where(F.coalesce(place, F.lit(False)))
-    # Counts that are 20 % apart at most are at most two buckets of a logarithm to the base 1.2 apart.
-    bucket = lambda c: F.floor(F.log(F.col(c).cast("double")) / F.log(F.lit(1.2)))
-    rk = r0.where("kidnapped >= 50").withColumn("kb", F.explode(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda i: i + bucket("kidnapped")))).alias("r")
-    by_count = rk.join(s0.where("kidnapped > 0").withColumn("kb", bucket("kidnapped")).alias("s"), state & (F.col("r.kb") == F.col("s.kb"))).where(near)
+
+    def by_count(rows: DataFrame, reach: int, on: Column, where: Column) -> DataFrame:
+        # A count and one within the factor 1.2 ^ reach of it are at most so many buckets of a logarithm to the base 1.2 apart.
+        bucket = lambda c: F.floor(F.log(F.col(c).cast("double")) / F.log(F.lit(1.2)))
+        rk = rows.withColumn("kb", F.explode(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda i: i + bucket("kidnapped")))).alias("r")
+        return rk.join(s0.where("kidnapped > 0").withColumn("kb", bucket("kidnapped")).alias("s"), state & on & (F.col("r.kb") == F.col("s.kb"))).where(where)
+
+    in_lga = by_count(r0.where("kl AND kidnapped BETWEEN 10 AND 99"), 3, lga, near)
+    # Rounding down and up widens 0.6 and 1.4 of counts from 100 on by less than a bucket.
+    in_lga_wide = by_count(r0.where("kl AND kidnapped >= 100"), 4, lga, near | _within(F.col("s.kidnapped"), kidnapped, 0.6, 1.4))
+    in_state = by_count(r0.where("kidnapped >= 50"), 2, F.lit(True), near)
+    by_name = _town_inside(r0.where("kl AND kt"), s0)
     told = ~F.lower(F.trim(text("r.group"))).isin([*V.UNKNOWN_GROUPS, ""])
     apart = F.abs(F.unix_millis("s.date") - F.unix_millis("r.date")) <= 60 * 86_400_000
     by_town = r.join(s, state & _same("s.town", "r.town") & _same("s.group", "r.group")).where(F.col("kt") & told & apart)
     keep = [F.col("r._id").alias("raw_id"), F.col("s._id").alias("match_id"), F.col("s.date").alias("date")]
-    pairs = by_place.select(*keep).unionByName(by_count.select(*keep)).unionByName(by_town.select(*keep)).distinct()
+    pairs = by_name.select(*keep)
+    for found in (in_lga, in_lga_wide, in_state, by_town):
+        pairs = pairs.unionByName(found.select(*keep))
+    pairs = pairs.distinct()
     return pairs.withColumn("rn", F.row_number().over(W.partitionBy("raw_id").orderBy("date", "match_id"))).where("rn = 1").select("raw_id", "match_id")
 
 
+def _town_inside(raw: DataFrame, stored: DataFrame) -> DataFrame:
+    """Pairs (aliases r, s) of one state and LGA whose stored town's name holds the raw one's: joined by that three-letter piece of the raw name which the fewest stored names of the place have."""
+    place = [F.lower("state").alias("g_state"), F.lower("lga").alias("g_lga")]
+
+    def grams(name: Column, size: Column | int) -> Column:
+        pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - size + 1, F.lit(1))), lambda i: F.substring(name, i, size))
+        return F.explode(F.array_distinct(pieces))
+
+    town, wanted = F.lower("town"), F.lower(F.trim("town"))
+    held = stored.where("town IS NOT NULL").select("*", *place, F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("g_size")).select("*", grams(town, F.col("g_size")).alias("gram")).where(F.length("gram") == F.col("g_size"))
+    counts = held.groupBy("g_state", "g_lga", "gram").agg(F.count("*").alias("n"))
+    asked = raw.select(F.col("_id").alias("g_id"), *place, F.least(F.length(wanted), F.lit(3)).alias("g_size"), wanted.alias("g_town")).select("g_id", "g_state", "g_lga", "g_town", grams(F.col("g_town"), F.col("g_size")).alias("gram"))
+    rarest = asked.join(counts, ["g_state", "g_lga", "gram"]).groupBy("g_id").agg(F.min_by(F.struct("g_state", "g_lga", "gram"), F.struct("n", "gram")).alias("g")).select("g_id", "g.*")
+    r = raw.join(rarest, raw["_id"] == rarest["g_id"]).alias("r")
+    s = held.alias("s")
+    return r.join(s, (F.col("r.g_state") == F.col("s.g_state")) & (F.col("r.g_lga") == F.col("s.g_lga")) & (F.col("r.gram") == F.col("s.gram"))).where(F.contains(F.lower("s.town"), F.lower(F.trim("r.town"))))
+
+
 def cross_state_matches(raw: DataFrame, stored: DataFrame) -> DataFrame:
-    """(raw_id, match_id): of the ten first-created active rows of the same town in another state within a day, the first that a shared source or like large counts confirm."""
-    r = raw.where(_known("town")).withColumn("k", F.lower(F.trim("town"))).alias("r")
-    s = stored.where(active()).withColumn("k", F.lower(F.trim("town"))).alias("s")
-    apart = F.abs(F.unix_millis("s.date") - F.unix_millis("r.date")) <= 86_400_000
-    pairs = r.join(s, (F.col("r.k") == F.col("s.k")) & (F.lower("r.state") != F.lower("s.state")) & apart)
+    """(raw_id, match_id): of the ten first-created active rows of the same town in another state, of the day or a day next to it, the first that a shared source or like large counts confirm."""
+    day = F.col("date").cast("date")
+    r = raw.where(_known("town")).withColumns({"k": F.lower(F.trim("town")), "d": F.explode(F.sequence(F.date_sub(day, 1), F.date_add(day, 1)))}).alias("r")
+    s = stored.where(active()).withColumns({"k": F.lower("town"), "d": day}).alias("s")
+    pairs = r.join(s, (F.col("r.k") == F.col("s.k")) & (F.col("r.d") == F.col("s.d")) & (F.lower("r.state") != F.lower("s.state")))
     order = W.partitionBy("r._id").orderBy("s.createdAt", "s._id")
     urls = lambda c: F.transform(F.coalesce(c, F.array()), lambda x: normalize_url(x["url"]))
     shared = F.size(F.array_intersect(F.filter(urls("r.sources"), lambda u: u != ""), urls("s.sources"))) >= 1
@@ -103,6 +134,12 @@ def with_hash(flat: DataFrame) -> DataFrame:
     return flat.withColumn("hash", attack_hash(F.col("date"), "state", "lga", "town", "group"))
 
 
+def hash_matches(raw: DataFrame, stored: DataFrame) -> DataFrame:
+    """(raw_id, match_id) of every raw row: the stored row of its hash, the smallest _id if there are several, or null."""
+    first = stored.groupBy("hash").agg(F.min("_id").alias("match_id"))
+    return raw.select(F.col("_id").alias("raw_id"), "hash").join(first, "hash", "left").select("raw_id", "match_id")
+
+
 def plan(raw: DataFrame, stored: DataFrame) -> DataFrame:
     """(raw_id, action, target): merge (all fields), merge_sources (later reports), insert, or error (no town).
 
@@ -111,7 +148,7 @@ def plan(raw: DataFrame, stored: DataFrame) -> DataFrame:
     rows of the batch may have changed them.
     """
     hashed = with_hash(raw)
-    exact = hashed.select(F.col("_id").alias("raw_id"), "hash").join(stored.select("hash", F.col("_id").alias("match_id")), "hash").groupBy("raw_id").agg(F.min("match_id").alias("match_id"))
+    exact = hash_matches(hashed, stored).where("match_id IS NOT NULL")
     steps = [(exact, "merge"), (narrow_matches(raw, stored), "merge"), (broad_matches(raw, stored), "merge_sources"), (cross_state_matches(raw, stored), "merge")]
     found = None
     for i, (m, action) in enumerate(steps):
@@ -124,6 +161,45 @@ def plan(raw: DataFrame, stored: DataFrame) -> DataFrame:
     return every.select("raw_id", action.alias("action"), F.when(F.col("town").isNotNull(), F.coalesce(F.col("m.target"), F.when(F.col("raw_id") != F.col("first_id"), F.col("first_id")))).alias("target"))
 
 
+def inserted(raw: DataFrame, columns: list[str], now: Column) -> DataFrame:
+    """New incidents of raw reports: texts sanitised, unknown places named, the canonical state, and `now` as both times."""
+    plain = {c: sanitize(c) for c in ("title", "description", "group")} | {c: sanitize(F.when(text(c) == "", "Unknown").otherwise(F.col(c))) for c in ("lga", "town")}
+    plain |= {"state": normalize_state(sanitize("state")), "status": F.coalesce("status", F.lit("unconfirmed")), "_deleted": F.lit(False), "createdAt": now, "updatedAt": now}
+    clean = lambda s: F.struct(*[sanitize(text(s[c])).alias(c) for c in ("url", "title", "publisher")])
+    plain["sources"] = F.transform("sources", clean)
+    if "tags" in columns:
+        plain["tags"] = F.transform(F.coalesce("tags", F.array()), lambda t: sanitize(t))
+    out = raw.withColumns({c: v for c, v in plain.items() if c in columns or c in raw.columns})
+    return out.select(*[c if c in out.columns else F.lit(None).alias(c) for c in columns])
+
+
+def apply(raw: DataFrame, stored: DataFrame, now: Column, actions: DataFrame | None = None) -> DataFrame:
+    """stored (flat, with hash) after raw reports have been taken in by plan(): merged, their sources added, or inserted under their own _id.
+
+    Run again with the same reports it changes nothing but what a second report of the same event would: inserted ones are then
+    found by their hash, and hashes stay unique. Reports without usable sources are left out, as are those in error.
+    """
+    ready = with_hash(usable(raw))
+    # Each step below reads the plan.
+    acts = settled(plan(ready, stored) if actions is None else actions, "ingest-plan")
+    hashed = ready.join(acts.select(F.col("raw_id").alias("_id"), "action", "target"), "_id")
+    new = inserted(hashed.where("action = 'insert'").drop("action", "target"), stored.columns, now)
+    base = stored.unionByName(new)
+    # Merges read the reports' own rows, so these stand beside the stored ones while pairs are folded.
+    reports = inserted(hashed.where("action = 'merge'").drop("action", "target"), stored.columns, now)
+    known = base.join(hashed.where("action = 'merge'").select(F.col("target").alias("_id")).distinct(), "_id", "left_semi")
+    pairs = hashed.where("action = 'merge'").select(F.col("target").alias("kept"), F.col("_id").alias("dropped"))
+    merged = merge_pairs(known.unionByName(reports), pairs)
+    out = upsert(base, merged)
+    more = hashed.where("action = 'merge_sources'").select(F.col("target").alias("_id"), "sources")
+    return upsert(out, add_sources(out, more))
+
+
+def counters(actions: DataFrame) -> DataFrame:
+    """(saved, merged, errors) of a plan."""
+    return actions.agg(F.count_if(F.col("action") == "insert").alias("saved"), F.count_if(F.col("action").isin("merge", "merge_sources")).alias("merged"), F.count_if(F.col("action") == "error").alias("errors"))
+
+
 def usable(raw: DataFrame, trusted_only: bool = False) -> DataFrame:
     """raw with the sources that have a usable address (and are trusted), and without rows that have none left."""
     def good(s: Column) -> Column:
@@ -132,15 +208,89 @@ def usable(raw: DataFrame, trusted_only: bool = False) -> DataFrame:
     return raw.withColumn("sources", F.filter(F.coalesce("sources", F.array()), good)).where(F.size("sources") > 0)
 
 
-def normalized(raw: DataFrame, first: Column, last: Column, most_sources: int = 3) -> DataFrame:
-    """Raw reports made ready: trusted sources, canonical state, required fields, the date that the narrative tells, inside the window, distinct sources, three at most."""
-    from .merge import merge_sources
+#: Sources kept of a report, and how old they may be at the end of its window.
+MOST_SOURCES, SOURCE_AGE_DAYS = 3, 21
+
+
+def complete(raw: DataFrame) -> Column:
+    """Whether the required fields are there; an empty text is none."""
+    rules = [text(c) != "" for c in ("title", "description", "state", "group")] + [F.col("date").isNotNull()]
+    out = rules[0]
+    for r in rules[1:]:
+        out = out & r
+    return out
+
+
+def near_window(first: Column, last: Column, days: int = 1) -> Column:
+    """Whether the date is in a window that is wider by `days` on both sides."""
+    return (F.col("date") >= first - F.make_interval(days=F.lit(days))) & (F.col("date") <= last + F.make_interval(days=F.lit(days)))
+
+
+def of_states(raw: DataFrame, states: list[str]) -> DataFrame:
+    """Rows of the states listed, whatever the case of letters; the list is a fixed small one."""
+    return raw.where(F.lower(normalize_state("state")).isin([x.lower() for x in states]))
 
-    out = usable(raw, trusted_only=True).withColumn("state", normalize_state("state"))
-    for c in ("title", "description", "state", "group"):
-        out = out.where(text(c) != "")
-    out = out.where(F.col("date").isNotNull()).withColumn("date", reconcile(F.col("date"), F.coalesce(narrative_date("description"), F.col("date"))))
-    return out.where(F.col("date").between(first, last)).withColumn("sources", F.slice(merge_sources(F.col("sources"), F.array()), 1, most_sources))
+
+def with_civilians(raw: DataFrame) -> DataFrame:
+    """Without rows that say that no civilian was harmed; those that say nothing stay."""
+    return raw.where(~F.col("civilianCasualties").eqNullSafe(F.lit(False)))
+
+
+def fresh(published: Column, last: Column, days: int = SOURCE_AGE_DAYS) -> Column:
+    """Whether a source is not older than `days` at the end of a window; an unknown time passes."""
+    return published.isNull() | (published >= last - F.make_interval(days=F.lit(days)))
+
+
+def recent(flat: DataFrame, as_of: Column, hours: int = 48) -> DataFrame:
+    """Rows of the last hours before as_of, by date."""
+    return flat.where((F.col("date") >= as_of - F.make_interval(hours=F.lit(hours))) & (F.col("date") < as_of))
+
+
+REDIRECT = "grounding-api-redirect"
+
+
+def resolved(raw: DataFrame, redirects: DataFrame) -> DataFrame:
+    """raw with the addresses of its sources that are redirects replaced by where they lead, by redirects (url, final_url); those that lead nowhere of use go."""
+    each = raw.select("_id", F.posexplode("sources").alias("pos", "s")).withColumn("_url", F.col("s.url"))
+    known = redirects.select(F.col("url").alias("_from"), F.col("final_url").alias("_to")).dropDuplicates(["_from"])
+    led = each.join(known, F.col("_url") == F.col("_from"), "left").withColumn("_is", F.contains(text("_url"), F.lit(REDIRECT)))
+    kept = led.where(~F.col("_is") | (F.col("_to").isNotNull() & is_usable_url("_to")))
+    new = kept.withColumn("s", F.when(F.col("_is"), F.struct(F.col("_to").alias("url"), F.col("s.title").alias("title"), F.col("s.publisher").alias("publisher"))).otherwise(F.col("s")))
+    lists = new.groupBy("_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]).alias("_sources"))
+    return raw.join(lists, "_id", "left").withColumn("sources", F.coalesce("_sources", F.array().cast(raw.schema["sources"].dataType))).drop("_sources")
+
+
+def inspected(raw: DataFrame, pages: DataFrame, last: Column, most: int = MOST_SOURCES, days: int = SOURCE_AGE_DAYS) -> DataFrame:
+    """raw with the first `most` sources of each report that hold up; reports without any go.
+
+    pages (url, final_url, html) are what fetching gave; a source without a page is trusted as it is. A page gives the source its
+    final address and title, must be relevant to the event, and must not be older than `days` at the window's end. Each distinct
+    page is read once.
+    """
+    seen = pages.select(F.col("url").alias("_page"), F.coalesce("final_url", "url").alias("_final"), html_title("html").alias("_title"), published_date("html", F.coalesce("final_url", "url")).alias("_published")).dropDuplicates(["_page"])
+    places = location_tokens("state", "lga", "town")
+    told = raw.select("_id", places.alias("_places"), "title", "group", "description", F.posexplode("sources").alias("pos", "s")).withColumn("_meaning", semantic_tokens("title", "group", "description", F.col("_places")))
+    each = told.join(seen, F.col("s.url") == F.col("_page"), "left").where(is_usable_url("s.url"))
+    address = F.when(is_usable_url("_final"), F.col("_final")).otherwise(F.col("s.url"))
+    title = F.coalesce(F.nullif("_title", F.lit("")), F.nullif("s.title", F.lit("")), F.lit(""))
+    good = F.col("_page").isNull() | source_relevant(F.col("_places"), F.col("_meaning"), title, address)
+    kept = each.where(good & fresh(F.col("_published"), last, days)).select("_id", "pos", F.struct(F.when(F.col("_page").isNull(), F.col("s.url")).otherwise(address).alias("url"), title.alias("title"), F.col("s.publisher").alias("publisher")).alias("s"))
+    lists = kept.groupBy("_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("pos", "s"))), 1, most), lambda x: x["s"]).alias("_sources"))
+    return raw.join(lists, "_id").withColumn("sources", F.col("_sources")).drop("_sources")
+
+
+def normalized(raw: DataFrame, first: Column, last: Column, redirects: DataFrame | None = None, pages: DataFrame | None = None, most_sources: int = MOST_SOURCES, days: int = SOURCE_AGE_DAYS) -> DataFrame:
+    """Raw reports made ready: trusted sources, canonical state, required fields, no operational updates, the date that the narrative tells, inside the window, distinct sources, redirects followed, pages inspected, `most_sources` of them at most."""
+    out = raw.withColumn("sources", F.filter(F.coalesce("sources", F.array()), lambda s: is_trusted_source(s["url"], s["publisher"]))).where(F.size("sources") > 0)
+    out = out.withColumn("state", normalize_state("state")).where(complete(out)).where(~is_operational_update())
+    out = out.withColumn("date", reconcile(F.col("date"), F.coalesce(narrative_date("description"), F.col("date")))).where(F.col("date").between(first, last))
+    same = lambda s: F.lower(F.concat_ws("|", text(s["url"]), text(s["title"]), text(s["publisher"])))
+    keys = lambda xs: F.transform(xs, same)
+    out = out.withColumn("_keys", keys(F.col("sources"))).withColumn("sources", F.filter("sources", lambda s, i: F.array_position(F.col("_keys"), same(s)) == i + 1)).drop("_keys")
+    out = out if redirects is None else resolved(out, redirects)
+    if pages is not None:
+        return inspected(out, pages, last, most_sources, days)
+    return usable(out).withColumn("sources", F.slice("sources", 1, most_sources))
 
 
 def best_chunk(sources: DataFrame, chunks: DataFrame, score: Column) -> DataFrame:
@@ -148,3 +298,63 @@ def best_chunk(sources: DataFrame, chunks: DataFrame, score: Column) -> DataFram
     pairs = sources.alias("s").join(chunks.alias("c"), "raw_id").withColumn("score", score).where("score >= 2")
     order = W.partitionBy("raw_id", "s.pos").orderBy(F.desc("score"), "c.pos")
     return pairs.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("raw_id", F.col("s.pos").alias("pos"), F.col("c.uri").alias("uri"))
+
+
+def _wanting(url: Column) -> Column:
+    """Sources that need an address: a redirect, or none."""
+    return F.contains(text(url), F.lit(REDIRECT)) | ~F.startswith(text(url), F.lit("http"))
+
+
+def chunk_addresses(raw: DataFrame, chunks: DataFrame) -> DataFrame:
+    """raw with the addresses of sources that are redirects or none taken from the report's own chunks (raw_id, pos, uri, title), by the first of four tiers that has one.
+
+    In order: the chunk of best score, from 2 on; one of the publisher's own domain; a trusted one that is relevant to the event;
+    any trusted one. Inside a tier the better score, then the earlier chunk; without one the address stays.
+    """
+    each = raw.select(F.col("_id").alias("raw_id"), "state", "lga", "town", "title", "group", "description", F.posexplode("sources").alias("pos", "s"))
+    told = each.withColumn("_places", location_tokens("state", "lga", "town")).withColumn("_meaning", semantic_tokens("title", "group", "description", F.col("_places")))
+    c = chunks.where("uri IS NOT NULL AND uri <> '' AND title IS NOT NULL AND title <> ''").select("raw_id", F.col("pos").alias("c_pos"), "uri", F.col("title").alias("c_title"))
+    pairs = told.where(_wanting(F.col("s.url"))).join(c, "raw_id")
+    domain, relevant = extract_domain("uri"), source_relevant(F.col("_places"), F.col("_meaning"), "c_title", "uri")
+    trusted = domain.isin(V.TRUSTED_DOMAINS) | root_domain(domain).isin(V.TRUSTED_DOMAINS)
+    publisher = F.lower(text("s.publisher"))
+    own = F.lit(None).cast("string")
+    for name, host in reversed(V.PUBLISHER_TIERS):
+        own = F.when(F.contains(publisher, F.lit(name)), F.lit(host)).otherwise(own)
+    of_publisher = F.coalesce((domain == own) | F.endswith(domain, F.concat(F.lit("."), own)), F.lit(False))
+    scored = pairs.withColumn("score", chunk_score("s.title", "s.publisher", "c_title", "uri", relevant))
+    tier = F.when(F.col("score") >= 2, 1).when(of_publisher, 2).when(trusted & relevant, 3).when(trusted, 4)
+    return _with_addresses(raw, scored.withColumn("tier", tier).where("tier IS NOT NULL"), ["tier", F.desc("score"), "c_pos"], None)
+
+
+def gap_chunk_addresses(raw: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The simpler rule of gap scans: twice the shared words of titles and the words of the event, 2 at least; else the address becomes empty."""
+    each = raw.select(F.col("_id").alias("raw_id"), "state", "town", "title", "group", F.posexplode("sources").alias("pos", "s"))
+    c = chunks.where("uri IS NOT NULL AND uri <> '' AND title IS NOT NULL AND title <> ''").select("raw_id", F.col("pos").alias("c_pos"), "uri", F.col("title").alias("c_title"))
+    event = F.array_distinct(F.concat(tokenize("title"), tokenize("state", 3), tokenize("town", 3), tokenize("group")))
+    theirs = tokenize("c_title", 3)
+    shared = lambda mine: F.size(F.filter(theirs, lambda t: F.array_contains(mine, t)))
+    scored = each.where(_wanting(F.col("s.url"))).join(c, "raw_id").withColumn("score", 2 * shared(tokenize("s.title", 3)) + shared(event)).where("score >= 2")
+    return _with_addresses(raw, scored, [F.desc("score"), "c_pos"], "")
+
+
+def title_chunk_addresses(raw: DataFrame, chunks: DataFrame, search: str = "https://www.google.com/search?q=") -> DataFrame:
+    """The rule of backfills: the first chunk whose title holds the source's or is held by it; else the address of a search for the event's title."""
+    each = raw.select(F.col("_id").alias("raw_id"), F.posexplode("sources").alias("pos", "s"))
+    c = chunks.where("uri IS NOT NULL AND uri <> '' AND title IS NOT NULL AND title <> ''").select("raw_id", F.col("pos").alias("c_pos"), "uri", F.lower("title").alias("c_title"))
+    mine = F.lower(text("s.title"))
+    found = each.where(_wanting(F.col("s.url"))).join(c, "raw_id").where((mine != "") & (F.contains("c_title", mine) | F.contains(mine, F.col("c_title"))))
+    return _with_addresses(raw, found, ["c_pos"], search)
+
+
+def _with_addresses(raw: DataFrame, found: DataFrame, order: list[str | Column], missing: str | None) -> DataFrame:
+    """raw with the first uri of `found` (raw_id, pos, uri) in `order` as the address of each source that wants one; without one: `missing`, with the event's title if that is a search, or the address as it is (null)."""
+    best = found.withColumn("rn", F.row_number().over(W.partitionBy("raw_id", "pos").orderBy(*order))).where("rn = 1").groupBy("raw_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "uri"))).alias("_uris"))
+    joined = raw.join(best, raw["_id"] == best["raw_id"], "left").drop("raw_id")
+
+    def address(s: Column, i: Column) -> Column:
+        other = s["url"] if missing is None else F.lit("") if not missing else F.concat(F.lit(missing), F.replace(F.url_encode(text("title")), F.lit("+"), F.lit("%20")))
+        return F.when(_wanting(s["url"]), F.coalesce(F.try_element_at("_uris", i), other)).otherwise(s["url"])
+
+    new = F.transform("sources", lambda s, i: F.struct(address(s, i).alias("url"), s["title"].alias("title"), s["publisher"].alias("publisher")))
+    return joined.withColumn("sources", new).drop("_uris")

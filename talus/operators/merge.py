@@ -16,10 +16,19 @@ def merge_count(a: Column, b: Column, null_policy: str = "keep") -> Column:
 
 
 def merge_sources(a: Column, b: Column) -> Column:
-    """Both lists, the first of equal normalised addresses, in order; those without an address go."""
+    """Both lists, the first of equal normalised addresses, in order; those without an address go.
+
+    Each address is normalised once; equal ones are next to each other after a sort by address and place, and the first of each stay.
+    """
     both = F.concat(F.coalesce(a, F.array()), F.coalesce(b, F.array()))
-    keys = F.transform(both, lambda s: normalize_url(s["url"]))
-    return F.filter(both, lambda s, i: (normalize_url(s["url"]) != "") & (F.array_position(keys, normalize_url(s["url"])) == i + 1))
+    keyed = F.array_sort(F.transform(both, lambda s, i: F.struct(normalize_url(s["url"]).alias("k"), i.alias("i"), s.alias("s"))), _by_key)
+    pairs = F.arrays_zip(keyed.alias("x"), F.concat(F.array(F.lit("")), F.transform(keyed, lambda x: x["k"])).alias("before"))
+    first = F.filter(pairs, lambda p: p["x"].isNotNull() & (p["x"]["k"] != p["before"]))
+    return F.transform(F.array_sort(F.transform(first, lambda p: F.struct(p["x"]["i"].alias("i"), p["x"]["s"].alias("s"))), lambda x, y: x["i"] - y["i"]), lambda x: x["s"])
+
+
+def _by_key(x: Column, y: Column) -> Column:
+    return F.when(x["k"] < y["k"], -1).when(x["k"] > y["k"], 1).otherwise(x["i"] - y["i"])
 
 
 def new_sources(own: Column, other: Column) -> Column:
@@ -36,20 +45,41 @@ def merge_status(existing: Column, candidate: Column) -> Column:
     return F.when(candidate == "confirmed", "confirmed").otherwise(existing)
 
 
-def merge_pairs(flat: DataFrame, pairs: DataFrame, null_policy: str = "keep") -> DataFrame:
-    """The kept rows of pairs (kept, dropped), each with all its dropped ones folded in."""
-    a = flat.alias("a").join(pairs, F.col("a._id") == pairs["kept"])
-    both = a.join(flat.alias("b"), F.col("b._id") == pairs["dropped"])
+#: A merged description counts if it has more characters than this.
+DESCRIPTION_CHARS = 50
+
+
+def merge_pairs(flat: DataFrame, pairs: DataFrame, null_policy: str = "keep", descriptions: DataFrame | None = None, tags: bool = False) -> DataFrame:
+    """The kept rows of pairs (kept, dropped), each with all its dropped ones folded in: larger counts, joined sources, a confirmed status, and tags if asked for.
+
+    descriptions (_id, text) are merged texts from outside, such as a model's; a kept row without one of more than
+    DESCRIPTION_CHARS characters keeps its own.
+    """
+    a = flat.alias("a").join(pairs.select("kept", "dropped").alias("p"), F.col("a._id") == F.col("p.kept"))
+    both = a.join(flat.alias("b"), F.col("b._id") == F.col("p.dropped"))
     folded = both.groupBy(F.col("a._id").alias("_id")).agg(
         *[F.max(f"b.{c}").alias(f"m_{c}") for c in CASUALTIES],
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(F.col("b._id").alias("i"), F.col("b.sources").alias("s")))), lambda x: x["s"])).alias("m_sources"),
         F.max(F.col("b.status") == "confirmed").alias("m_confirmed"),
+        *([F.array_distinct(F.flatten(F.collect_list(F.coalesce("b.tags", F.array())))).alias("m_tags")] if tags else []),
     )
     joined = flat.join(folded, "_id")
+    if descriptions is not None:
+        told = descriptions.select(F.col("_id").alias("_told"), F.trim("text").alias("m_text")).where(F.length("m_text") > DESCRIPTION_CHARS).dropDuplicates(["_told"])
+        joined = joined.join(told, F.col("_id") == F.col("_told"), "left").withColumn("description", F.coalesce("m_text", "description"))
+    if tags:
+        joined = joined.withColumn("tags", merge_tags(F.col("tags"), F.array_sort("m_tags")))
     new = {c: merge_count(F.col(c), F.col(f"m_{c}"), null_policy) for c in CASUALTIES} | {"sources": merge_sources(F.col("sources"), F.col("m_sources")), "status": F.when(F.col("m_confirmed"), "confirmed").otherwise(F.col("status"))}
     return joined.withColumns(new).select(flat.columns)
 
 
+def add_sources(flat: DataFrame, more: DataFrame) -> DataFrame:
+    """The rows of flat that `more` (_id, sources) adds a new source to, with it; all else is left as it is."""
+    added = more.groupBy("_id").agg(F.flatten(F.collect_list("sources")).alias("m_sources"))
+    joined = flat.join(added, "_id").withColumn("m_sources", new_sources(F.col("sources"), F.col("m_sources"))).where(F.size("m_sources") > 0)
+    return joined.withColumn("sources", merge_sources(F.col("sources"), F.col("m_sources"))).select(flat.columns)
+
+
 def soft_delete(flat: DataFrame, ids: DataFrame, reason: str) -> DataFrame:
     """flat with the rows of ids (_id) marked as deleted."""
     marked = flat.join(ids.select("_id").distinct().withColumn("_gone", F.lit(True)), "_id", "left")

@@ -10,13 +10,53 @@ from ..functions.dates import date_fix, narrative_date
 from ..functions.text import normalize_state, text
 from ..functions.urls import invalid_reason
 from ..schema import active
+from ..sources.files import settled
+from .dedup import cross_state_pairs, exact_clusters
+from .ingest import apply, complete, with_civilians, with_hash
 from .merge import merge_pairs, soft_delete, undelete, upsert
 
 
 def flag_groups(flat: DataFrame, groups: DataFrame, reason: str = "Duplicate") -> DataFrame:
-    """flat with curated pairs (kept, dropped) merged and the dropped rows soft-deleted."""
-    out = upsert(flat, merge_pairs(flat, groups))
-    return soft_delete(out, groups.select(F.col("dropped").alias("_id")), reason)
+    """flat with curated pairs (kept, dropped) merged, the dropped rows soft-deleted, and every state in canonical form."""
+    out = upsert(flat, merge_pairs(flat, groups, tags="tags" in flat.columns))
+    known = groups.join(flat.select(F.col("_id").alias("kept")), "kept", "left_semi")
+    return soft_delete(out, known.select(F.col("dropped").alias("_id")), reason).withColumn("state", normalize_state("state"))
+
+
+def repair_quality(flat: DataFrame, first: Column, last: Column) -> tuple[DataFrame, DataFrame]:
+    """(flat repaired, what was done) for active rows from `first` to before `last`: exact clusters merged, then cross-state pairs, then dates that the narrative corrects.
+
+    What was done is (step, _id, kept, date): the row that was merged away and into which one, or the date that it got. Of a cross-
+    state pair the row with more sources, then the longer description, then the smaller _id stays. A row that is merged away more
+    than once goes into its smallest partner, and none goes into a row that has itself gone.
+    """
+    in_time = (F.col("date") >= first) & (F.col("date") < last)
+    clusters = exact_clusters(flat.where(in_time))
+    exact = settled(clusters.where("rank = 1").select("cluster", F.col("_id").alias("kept")).join(clusters.where("rank > 1").select("cluster", F.col("_id").alias("dropped")), "cluster").select("kept", "dropped"), "exact-duplicates")
+    out = settled(merged_away(flat, exact, "Exact duplicate of "), "without-exact")
+    now = out.where(in_time)
+    weight = F.struct(F.size(F.coalesce("sources", F.array())).alias("n"), F.length(text("description")).alias("l"), (-F.col("_id")).alias("i"))
+    w = now.select("_id", weight.alias("w"))
+    pairs = cross_state_pairs(now).join(w.select(F.col("_id").alias("id_a"), F.col("w").alias("wa")), "id_a").join(w.select(F.col("_id").alias("id_b"), F.col("w").alias("wb")), "id_b")
+    cross = pairs.select(F.when(F.col("wa") >= F.col("wb"), F.col("id_a")).otherwise(F.col("id_b")).alias("kept"), F.when(F.col("wa") >= F.col("wb"), F.col("id_b")).otherwise(F.col("id_a")).alias("dropped"))
+    cross = settled(cross, "cross-state")
+    cross = cross.join(cross.select(F.col("dropped").alias("kept")).distinct(), "kept", "left_anti").groupBy("dropped").agg(F.min("kept").alias("kept")).select("kept", "dropped")
+    out = settled(merged_away(out, cross, "Cross-state duplicate of "), "without-cross-state")
+    fixes = date_fixes(out.where(in_time)).select("_id", "fixed")
+    dated = out.join(fixes, "_id", "left").withColumn("date", F.coalesce("fixed", "date")).select(flat.columns)
+    done = exact.select(F.lit("exact").alias("step"), F.col("dropped").alias("_id"), "kept", F.lit(None).cast("timestamp").alias("date"))
+    done = done.unionByName(cross.select(F.lit("cross-state").alias("step"), F.col("dropped").alias("_id"), "kept", F.lit(None).cast("timestamp").alias("date")))
+    return dated, done.unionByName(fixes.select(F.lit("date").alias("step"), "_id", F.lit(None).cast(flat.schema["_id"].dataType).alias("kept"), F.col("fixed").alias("date")))
+
+
+def merged_away(flat: DataFrame, pairs: DataFrame, reason: str) -> DataFrame:
+    """flat with pairs (kept, dropped) merged and the dropped rows soft-deleted, their reason naming the kept one."""
+    out = upsert(flat, merge_pairs(flat, pairs))
+    gone = out.join(pairs.select(F.col("dropped").alias("_id"), F.col("kept").alias("_kept")).dropDuplicates(["_id"]), "_id", "left")
+    out = gone.withColumn("_deleted", F.when(F.col("_kept").isNotNull(), True).otherwise(F.coalesce("_deleted", F.lit(False))))
+    if "_deletedReason" in flat.columns:
+        out = out.withColumn("_deletedReason", F.when(F.col("_kept").isNotNull(), F.concat(F.lit(reason), F.col("_kept").cast("string"))).otherwise(F.col("_deletedReason")))
+    return out.select(flat.columns)
 
 
 def state_fixes(flat: DataFrame) -> DataFrame:
@@ -61,6 +101,23 @@ def recover(flat: DataFrame, found: DataFrame, most: int = 3) -> DataFrame:
     return out.withColumn("sources", F.coalesce("_found", "sources")).select(flat.columns)
 
 
+def backfill(stored: DataFrame, windows: list[DataFrame], now: Column) -> DataFrame:
+    """stored after raw reports of several windows, one after the other: each window's are matched with what the earlier ones left.
+
+    Reports that say that no civilian was harmed, or lack a required field, are left out.
+    """
+    out = with_hash(stored)
+    for raw in windows:
+        ready = with_civilians(raw) if "civilianCasualties" in raw.columns else raw
+        out = apply(ready.where(complete(ready)), out, now)
+    return out
+
+
+def first_matching(rows: DataFrame, predicate: Column, *order: str | Column) -> DataFrame:
+    """The first row in `order` that meets the predicate, or the first of all if none does."""
+    return rows.withColumn("_no", ~F.coalesce(predicate, F.lit(False))).orderBy("_no", *order).limit(1).drop("_no")
+
+
 def scan_grid(spark: SparkSession, windows: list[Column]) -> DataFrame:
     """(first, last, region): every window for every region; both are small fixed lists."""
     regions = spark.createDataFrame([(r,) for r in V.REGIONS], "region string")

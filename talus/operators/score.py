@@ -13,13 +13,14 @@ WINDOW_DAYS, THRESHOLD = 8, 0.4
 
 
 def features(flat: DataFrame) -> DataFrame:
-    """flat with what the score needs: word sets, lower-cased fields, source addresses and the day."""
+    """What the score needs of each row, computed before pairs are made: word sets (those of descriptions as 64-bit hashes), lower-cased fields, source addresses and the day; whole texts stay behind."""
     urls = F.array_distinct(F.filter(F.transform(F.coalesce("sources", F.array()), lambda s: normalize_url(s["url"])), lambda u: u != ""))
-    return flat.withColumns({
+    wide = flat.withColumns({
         "f_state": normalize_state("state"), "f_town": F.lower(text("town")), "f_lga": F.lower(text("lga")), "f_group": F.lower(text("group")),
-        "f_title": F.lower(text("title")), "f_title_words": keywords("title"), "f_words": keywords("description"), "f_urls": urls,
+        "f_title": F.lower(text("title")), "f_title_words": keywords("title"), "f_words": F.transform(keywords("description"), lambda w: F.xxhash64(w)), "f_urls": urls,
         "f_no_town": is_unknown_place("town"), "f_no_lga": is_unknown_place("lga"), "f_day": F.col("date").cast("date"),
     })
+    return wide.select("_id", "date", "town", "killed", *[c for c in ("createdAt",) if c in flat.columns], *[c for c in wide.columns if c.startswith("f_")])
 
 
 def location_score(a: str, b: str) -> Column:
@@ -49,18 +50,40 @@ def date_proximity(a: Column, b: Column) -> Column:
     return F.when(gap < 86_400_000, 0.1).when(gap < 2 * 86_400_000, 0.05).otherwise(0.0)
 
 
+#: The most that the parts with costly measures can add.
+MOST = {"s_alike": 0.25, "s_words": 0.15}
+
+
+def alike_or_less(a: Column, b: Column) -> Column:
+    """The similarity of two texts where it is above 0.7, else at most that: the edit distance is not followed beyond what counts."""
+    n = F.greatest(F.length(a), F.length(b))
+    # (n - d) / n > 0.7 needs d < 0.3 n.
+    d = F.call_function("levenshtein", a, b, F.ceil(n * F.lit(0.3)).cast("int"))
+    return F.when(n == 0, F.lit(1.0)).when(d >= 0, (n - d) / n).otherwise(F.lit(0.0))
+
+
+def alike_score(alike: Column) -> Column:
+    return F.when(alike > 0.85, 0.25).when(alike > 0.7, 0.15).otherwise(0.0)
+
+
+def words_score(words: Column) -> Column:
+    return F.when(words > 0.4, 0.15).when(words > 0.25, 0.08).otherwise(0.0)
+
+
+def title_overlap(a: str, b: str) -> Column:
+    return overlap(F.col(f"{a}.f_title_words"), F.col(f"{b}.f_title_words"))
+
+
 def parts(a: str = "a", b: str = "b") -> dict[str, Column]:
     """The eight parts of the score of two aliased feature rows, in the order in which they are added."""
-    title = overlap(F.col(f"{a}.f_title_words"), F.col(f"{b}.f_title_words"))
-    alike = similarity(f"{a}.f_title", f"{b}.f_title")
-    words = overlap(F.col(f"{a}.f_words"), F.col(f"{b}.f_words"))
+    title = title_overlap(a, b)
     return {
         "s_location": location_score(a, b),
         "s_group": group_score(a, b),
         "s_casualty": casualty_score(F.col(f"{a}.killed"), F.col(f"{b}.killed")),
         "s_title": F.when(title > 0.5, 0.2).when(title > 0.3, 0.1).otherwise(0.0),
-        "s_alike": F.when(alike > 0.85, 0.25).when(alike > 0.7, 0.15).otherwise(0.0),
-        "s_words": F.when(words > 0.4, 0.15).when(words > 0.25, 0.08).otherwise(0.0),
+        "s_alike": alike_score(alike_or_less(F.col(f"{a}.f_title"), F.col(f"{b}.f_title"))),
+        "s_words": words_score(overlap(F.col(f"{a}.f_words"), F.col(f"{b}.f_words"))),
         "s_source": F.when(F.coalesce(F.arrays_overlap(f"{a}.f_urls", f"{b}.f_urls"), F.lit(False)), 0.3).otherwise(0.0),
         "s_date": date_proximity(F.col(f"{a}.date"), F.col(f"{b}.date")),
     }
@@ -73,5 +96,23 @@ def total(columns: dict[str, Column]) -> Column:
     return out
 
 
-def reason(p: dict[str, Column]) -> Column:
-    return F.format_string("Score: %.2f (Loc: %.2f, Grp: %.2f, Cas: %.2f, Title: %.2f+%.2f, Desc: %.2f, Src: %.2f, Date: %.2f)", total(p), *p.values())
+def details(a: str = "a", b: str = "b") -> dict[str, Column]:
+    """What the reason tells beside the parts: how places met, both counts, and the overlap of titles."""
+    town, lga = similarity(f"{a}.f_town", f"{b}.f_town"), similarity(f"{a}.f_lga", f"{b}.f_lga")
+    alias = towns_overlap(f"{a}.town", f"{b}.town")
+    both_towns, known = ~F.col(f"{a}.f_no_town") & ~F.col(f"{b}.f_no_town"), ~F.col(f"{a}.f_no_lga") & ~F.col(f"{b}.f_no_lga")
+    shown = lambda name, x: F.format_string(f"{name}(%.2f)", x)
+    by_town = F.when(alias, "town-match(alias)").when(town > 0.75, shown("town-match", town)).when(town > 0.5, shown("town-partial", town)).when(known & (lga > 0.85), shown("lga-fallback", lga)).otherwise("")
+    by_lga = F.when(known & (lga > 0.75), shown("lga-match", lga)).otherwise("location-unknown")
+    count = lambda x: F.coalesce(F.col(f"{x}.killed"), F.lit(0)).cast("string")
+    return {"d_location": F.when(both_towns, by_town).otherwise(by_lga), "d_killed": F.concat(count(a), F.lit("v"), count(b)), "d_title": title_overlap(a, b)}
+
+
+def reason(raw: Column) -> Column:
+    """The score explained, from the columns of parts() and details(), and the measures d_alike and d_words."""
+    two = lambda c: F.format_string("%.2f", F.col(c))
+    told = [
+        ("Score: ", F.format_string("%.2f", raw)), (" (Loc: ", two("s_location")), (" [", F.col("d_location")), ("], Grp: ", two("s_group")), (", Cas: ", two("s_casualty")), (" [", F.col("d_killed")), ("], Title: ", two("s_title")),
+        (" [kw:", two("d_title")), (", sim:", two("d_alike")), ("+", two("s_alike")), ("], Desc: ", two("s_words")), (" [", two("d_words")), ("], Src: ", two("s_source")), (", Date: ", two("s_date")),
+    ]
+    return F.concat(*[x for label, value in told for x in (F.lit(label), value)], F.lit(")"))

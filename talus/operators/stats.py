@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import values as V
@@ -57,8 +58,6 @@ def by_year_month(flat: DataFrame) -> DataFrame:
 
 def month_samples(flat: DataFrame, most: int = 3) -> DataFrame:
     """Per month: counts, and the ids of its first rows."""
-    from pyspark.sql import Window as W
-
     ym = F.date_format("date", "yyyy-MM")
     numbered = flat.where(active()).withColumn("ym", ym).withColumn("rn", F.row_number().over(W.partitionBy("ym").orderBy("date", "_id")))
     sums = flat.where(active()).groupBy(ym.alias("ym")).agg(F.count("*").alias("incidents"), _sum("killed").alias("killed"))
@@ -81,8 +80,8 @@ def map_by_state(flat: DataFrame, names: DataFrame, newest: int | None = 1000) -
     rows = flat.where(active()).orderBy(F.desc("date"), "_id")
     rows = rows.limit(newest) if newest else rows
     sums = rows.groupBy(F.lower(normalize_state("state")).alias("key")).agg(F.count("*").alias("cnt"), *[_sum(c).alias(c) for c in ("killed", "injured", "kidnapped")])
-    # `names` has a row for each state of the country.
-    filled = F.broadcast(names.select("state", F.lower("state").alias("key"))).join(sums, "key", "left").na.fill(0, ["cnt", "killed", "injured", "kidnapped"]).drop("key")
+    # At most `newest` rows are counted, so the sums are a small table.
+    filled = names.select("state", F.lower("state").alias("key")).join(F.broadcast(sums) if newest else sums, "key", "left").na.fill(0, ["cnt", "killed", "injured", "kidnapped"]).drop("key")
     top = filled.agg(F.greatest(F.lit(1), F.max("cnt")).alias("top"))
     i = F.col("cnt") / F.col("top")
     shown = filled.crossJoin(F.broadcast(top)).withColumn("intensity", i)
@@ -101,8 +100,21 @@ def fill_opacity(i: Column) -> Column:
     return F.when(i == 0, F.lit(0.2)).otherwise(0.3 + 0.5 * i)
 
 
-def recent(flat: DataFrame, most: int = 5) -> DataFrame:
-    return flat.where(active()).orderBy(F.desc("date"), "_id").limit(most)
+def recent(flat: DataFrame, most: int = 5, by: str = "date") -> DataFrame:
+    """The newest active rows by `date` or `createdAt`."""
+    return flat.where(active()).orderBy(F.desc(by), "_id").limit(most)
+
+
+def state_page(flat: DataFrame, page: int, size: int = 5) -> DataFrame:
+    """(state, _id): the page of each state's active rows, newest first."""
+    rn = F.row_number().over(W.partitionBy("state").orderBy(F.desc("date"), "_id"))
+    return flat.where(active()).select("state", "_id", rn.alias("rn")).where(F.col("rn").between((page - 1) * size + 1, page * size)).drop("rn")
+
+
+def ranked_states(flat: DataFrame) -> DataFrame:
+    """(state, cnt, rank, share): states by their active rows, share as a part of the most in percent; one row for each state is ranked."""
+    sums = flat.where(active()).groupBy("state").agg(F.count("*").alias("cnt"))
+    return sums.select("state", "cnt", F.row_number().over(W.orderBy(F.desc("cnt"), "state")).alias("rank"), (F.col("cnt") * 100.0 / F.max("cnt").over(W.partitionBy())).alias("share"))
 
 
 def ingest_counters(actions: DataFrame) -> DataFrame:

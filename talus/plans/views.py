@@ -81,14 +81,14 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ascii_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents of ASCII text alone, their first 80 characters as a title: (doc_id, title, text)."""
-    docs = load(spark, sf_dir, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7f]"))
-    return docs.select("doc_id", F.substring("text", 1, 80).alias("title"), "text", "source")
+def titled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: its first 80 characters as a title, in which those beyond ASCII are question marks (engines count edits of them differently); a null text is empty."""
+    docs = load(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", F.regexp_replace(F.substring("text", 1, 80), r"[^\x00-\x7f]", "?").alias("title"), "text", "source")
 
 
 def all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document, whatever its language and characters; a null text is empty. Columns as in ascii_documents."""
+    """Every document, with its first 80 characters as they are. Columns as in titled_documents."""
     docs = load(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     return docs.select("doc_id", F.substring("text", 1, 80).alias("title"), "text", "source")
 
@@ -108,4 +108,4 @@ l_returnflag AS title, s_name AS publisher FROM lineitem JOIN supplier ON l_supp
 REP = f"""rep AS (SELECT event_id, ts, {sql_pick(TITLES, "event_id")} AS title, {sql_pick(DESCRIPTIONS, "event_id // 12")} AS description, {sql_pick(STATES_SEEN, "event_id")} AS state_raw,
 {sql_pick(STATES_SEEN, "event_id // 15")} AS state_other, {sql_pick(URLS_SEEN, "event_id")} AS url, {sql_pick(PUBLISHERS_SEEN, "event_id // 14")} AS publisher,
 {_sql_count("event_id", 7, 20)} AS killed, {_sql_count("event_id", 5, 3)} AS injured, {_sql_count("event_id", 3, 2)} AS kidnapped, 0 AS displaced FROM events)"""
-DOC = """doc AS (SELECT doc_id, substr(text, 1, 80) AS title, text, source FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7f]'))"""
+DOC = """doc AS (SELECT doc_id, regexp_replace(substr(coalesce(text, ''), 1, 80), '[^\\x00-\\x7f]', '?', 'g') AS title, coalesce(text, '') AS text, source FROM documents)"""

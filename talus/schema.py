@@ -34,22 +34,48 @@ def nest(flat: DataFrame) -> DataFrame:
     return flat.select(*plain, F.struct("state", "lga", "town", "coordinates").alias("location"), F.struct(*CASUALTIES).alias("casualties"))
 
 
-def valid(flat: DataFrame) -> Column:
-    """Whether a flat row meets the input rules: lengths, ranges, whole counts that are not negative, at most 20 sources and tags."""
-    def filled(c: str, most: int) -> Column:
-        return F.length(F.trim(F.coalesce(F.col(c), F.lit("")))).between(1, most)
+#: The least and most characters of trimmed fields, and the most elements of lists.
+LENGTHS = {"title": (5, 500), "description": (10, 5000), "state": (1, 100), "lga": (0, 100), "town": (0, 100), "group": (1, 200)}
+URL_CHARS, SOURCE_TITLE_CHARS, PUBLISHER_CHARS, TAG_CHARS, MOST_SOURCES, MOST_TAGS = 2000, 500, 200, 50, 20, 20
+
 
-    rules = filled("title", 500) & filled("description", 5000) & F.col("date").isNotNull() & filled("state", 500) & filled("group", 500)
-    for c in CASUALTIES:
-        rules = rules & (F.coalesce(F.col(c), F.lit(0)) >= 0)
-    rules = rules & (F.size(F.coalesce("sources", F.array())) <= 20) if "sources" in flat.columns else rules
-    return F.coalesce(rules, F.lit(False))
+def valid(flat: DataFrame) -> Column:
+    """Whether a flat row meets the input rules: lengths (see LENGTHS), a date, whole counts that are not negative, a known status, sources with addresses, tags, and coordinates on the globe.
+
+    LGA, town, counts, status, tags and coordinates may be null; columns that flat lacks are not looked at.
+    """
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    rules = [F.length(text(F.col(c))).between(*LENGTHS[c]) for c in LENGTHS] + [F.col("date").isNotNull()]
+    rules += [F.coalesce(F.col(c), F.lit(0)) >= 0 for c in CASUALTIES]
+    rules.append(F.coalesce("status", F.lit(STATUSES[1])).isin(*STATUSES))
+    if "sources" in flat.columns:
+        def good(s: Column) -> Column:
+            address = F.try_parse_url(s["url"], F.lit("PROTOCOL")).isNotNull() & (F.length(s["url"]) <= URL_CHARS)
+            return F.coalesce(address & (F.length(text(s["title"])) <= SOURCE_TITLE_CHARS) & (F.length(text(s["publisher"])) <= PUBLISHER_CHARS), F.lit(False))
+
+        rules += [F.size(F.coalesce("sources", F.array())) <= MOST_SOURCES, F.forall(F.coalesce("sources", F.array()), good)]
+    if "tags" in flat.columns:
+        rules += [F.size(F.coalesce("tags", F.array())) <= MOST_TAGS, F.forall(F.coalesce("tags", F.array()), lambda t: F.length(text(t)) <= TAG_CHARS)]
+    if "coordinates" in flat.columns:
+        rules.append(F.col("coordinates").isNull() | F.coalesce(F.col("coordinates.lat").between(-90, 90) & F.col("coordinates.lng").between(-180, 180), F.lit(False)))
+    out = rules[0]
+    for r in rules[1:]:
+        out = out & r
+    return F.coalesce(out, F.lit(False))
 
 
 def read_incidents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(INCIDENT_DDL).parquet(path)
 
 
+def insert_incidents(incidents: DataFrame, path: str) -> None:
+    """Appends the incidents whose hash the table at `path` lacks, one row for each hash (the smallest _id): writing a batch again adds nothing."""
+    stored = read_incidents(incidents.sparkSession, path).select("hash")
+    first = incidents.groupBy("hash").agg(F.min("_id").alias("_first"))
+    own = incidents.join(first, "hash").where(F.col("_id") == F.col("_first")).drop("_first").select(incidents.columns)
+    write_incidents(own.join(stored, "hash", "left_anti").select(incidents.columns), path)
+
+
 def write_incidents(incidents: DataFrame, path: str, mode: str = "append") -> None:
     """Parquet by year and month, sorted by date inside files, so that date filters prune partitions and row groups."""
     dated = incidents.withColumn("ym", F.date_format("date", "yyyy-MM"))

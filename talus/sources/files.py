@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.urls import json_array
+from ..functions.urls import json_array, lenient_json_array
 from ..schema import INCIDENT_DDL
 
 RAW_DDL = """title STRING, description STRING, date STRING, location STRUCT<state:STRING,lga:STRING,town:STRING>, `group` STRING,
@@ -20,6 +24,17 @@ _EXPORT_DDL = (
 )
 
 
+def settled(df: DataFrame, tag: str) -> DataFrame:
+    """df written once to the shared folder (spark.checkpoint.dir; a temporary one on a local master) and read back, for what several later steps read: lineage ends here."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{(base or os.path.join(tempfile.gettempdir(), 'checkpoints')).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_export(spark: SparkSession, path: str) -> DataFrame:
     """Incidents of a JSON export, its $oid and $date wrappers taken off."""
     df = spark.read.schema(_EXPORT_DDL).json(path, multiLine=True)
@@ -27,9 +42,9 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[F.col("_id.`$oid`").alias("_id") if c == "_id" else when(c) if c in ("date", "createdAt", "updatedAt") else F.col(f"`{c}`") for c in df.columns])
 
 
-def parse_reports(answers: DataFrame, column: str = "text") -> DataFrame:
+def parse_reports(answers: DataFrame, column: str = "text", lenient: bool = False) -> DataFrame:
     """Raw reports in model answers: the JSON array in each, one row for each element; answers without one give none."""
-    rows = F.from_json(json_array(column), f"ARRAY<STRUCT<{', '.join(_as_fields(RAW_DDL))}>>")
+    rows = F.from_json(lenient_json_array(column) if lenient else json_array(column), f"ARRAY<STRUCT<{', '.join(_as_fields(RAW_DDL))}>>")
     return answers.select(F.explode(rows).alias("r")).select("r.*").withColumn("date", F.try_to_timestamp("date"))
 
 
@@ -44,6 +59,24 @@ def _as_fields(ddl: str) -> list[str]:
     return out
 
 
+def read_answers(spark: SparkSession, path: str, states: list[str] | None = None, lenient: bool = True) -> DataFrame:
+    """Raw reports in the answers that lie in `path`, one text file each; of the listed states alone, where there is a list."""
+    from ..operators.ingest import of_states
+
+    found = parse_reports(spark.read.text(path, wholetext=True), "value", lenient)
+    flat = found.select("*", *[F.col(f"location.{c}").alias(c) for c in ("state", "lga", "town")])
+    return flat if states is None else of_states(flat, states)
+
+
+def read_periods(spark: SparkSession, path: str, grid: DataFrame) -> DataFrame:
+    """Raw reports of historical scans, in `path`/region=.../first=... as JSON lines, of the regions and windows of grid (first, last, region), inside their window by a day more on both sides."""
+    from ..operators.ingest import near_window
+
+    rows = spark.read.schema(f"{RAW_DDL}, region STRING, first DATE").json(path).withColumn("date", F.try_to_timestamp("date"))
+    wanted = rows.join(F.broadcast(grid.select("region", F.col("first").cast("date").alias("first"), F.col("last").cast("date").alias("last"))), ["region", "first"])
+    return wanted.where(near_window(F.col("first").cast("timestamp"), F.col("last").cast("timestamp") + F.expr("INTERVAL 1 DAY") - F.expr("INTERVAL 1 MICROSECOND")))
+
+
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
     """A stream of raw reports from JSON lines as they land."""
     return spark.readStream.schema(RAW_DDL).json(path)
@@ -64,6 +97,15 @@ def as_json(df: DataFrame) -> Column:
     return F.to_json(F.struct(*df.columns))
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    """One JSON object for each row."""
-    df.write.mode("overwrite").json(path)
+def as_text(df: DataFrame) -> Column:
+    """The columns of a row as lines "name: value"."""
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("-"))) for c in df.columns])
+
+
+def write_report(df: DataFrame, path: str, form: str = "json") -> None:
+    """One JSON object for each row, or for "text" its lines, a blank one after each row."""
+    if form == "json":
+        df.write.mode("overwrite").json(path)
+    else:
+        flat = df.select(*[F.to_json(c).alias(c) if t.startswith(("struct", "array", "map")) else F.col(f"`{c}`") for c, t in df.dtypes])
+        flat.select(F.concat(as_text(flat), F.lit("\n")).alias("value")).write.mode("overwrite").text(path)

@@ -5,10 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import values as V
+from ..functions.text import normalize_state
+from ..operators import dedup, merge
+from ..operators import ingest as operators_ingest
+
 LATENESS = "4 days"
 
 
@@ -17,6 +22,51 @@ def in_window(reports: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return reports.withWatermark("date", lateness).dropDuplicatesWithinWatermark(["hash"])
 
 
+def in_scan(reports: DataFrame, first: Column, last: Column) -> DataFrame:
+    """Reports whose date is inside the scan window: exact, where a watermark only bounds state."""
+    return reports.where(F.col("date").between(first, last))
+
+
+def by_region(reports: DataFrame) -> DataFrame:
+    """reports with the region of their state (null where it has none): a stream for each region is a filter of this one."""
+    regions = F.create_map(*[x for r, states in V.REGIONS.items() for s in states for x in (F.lit(s), F.lit(r))])
+    return reports.withColumn("region", F.try_element_at(regions, normalize_state("state")))
+
+
+def ingest_regions(reports: DataFrame, apply: Callable[[str], Callable[[DataFrame, int], None]], checkpoint: str, every: str | None = None) -> list[StreamingQuery]:
+    """One query for each region, side by side, each with its own checkpoint; apply(region) gives what a region does with a micro-batch."""
+    placed = by_region(reports)
+    return [ingest(placed.where(F.col("region") == r).drop("region"), apply(r), f"{checkpoint}/{r}", every) for r in V.REGIONS]
+
+
+def into_store(path: str, now: Callable[[], Column] = F.current_timestamp, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> Callable[[DataFrame, int], None]:
+    """What ingestion does with a micro-batch of raw reports: the stored incidents at `path` are read, the batch is applied to them, and the new state is written as the next version.
+
+    Version n + 1 is made from version n by batch n (version 0 is there from the start), so a batch that is run again writes the
+    same version; matches look at all stored rows, however old, not at stream state.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        stored = batch.sparkSession.read.parquet(f"{path}/version={number}")
+        operators_ingest.apply(prepare(batch), stored, now()).write.mode("overwrite").parquet(f"{path}/version={number + 1}")
+
+    return run
+
+
+def sweep_into(path: str, since: Column, confirm: Callable[[dict], tuple[bool, str]] = dedup.answered, most: int = 5) -> Callable[[DataFrame, int], None]:
+    """The duplicate sweep as a micro-batch job: rows created since then are compared with all within the window, the best candidates confirmed and merged, and the next version written."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        stored = batch.sparkSession.read.parquet(f"{path}/version={number}")
+        pairs = dedup.process(dedup.scan_recent(stored, since), confirm, most)
+        kind = stored.schema["_id"].dataType.simpleString()
+        found = batch.sparkSession.createDataFrame(pairs, f"kept {kind}, dropped {kind}")
+        out = merge.hard_delete(merge.upsert(stored, merge.merge_pairs(stored, found)), found.select(F.col("dropped").alias("_id")))
+        out.write.mode("overwrite").parquet(f"{path}/version={number + 1}")
+
+    return run
+
+
 def ingest(reports: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Runs `apply` on each micro-batch, every so often or until the input is used up; a batch that is run again has the same number."""
     writer = reports.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
@@ -28,12 +78,14 @@ def windowed_counts(events: DataFrame, width: str = "1 day", lateness: str = LAT
     return events.withWatermark("ts", lateness).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def sliding_counts(events: DataFrame, width: str = "60 seconds", step: str = "30 seconds") -> DataFrame:
-    return events.groupBy("user_id", F.window("ts", width, step)).agg(F.count("*").alias("n"))
+def sliding_counts(events: DataFrame, width: str = "60 seconds", step: str = "30 seconds", lateness: str = LATENESS) -> DataFrame:
+    """Hits of each user by sliding window; the watermark ends a window's state."""
+    return events.withWatermark("ts", lateness).groupBy("user_id", F.window("ts", width, step)).agg(F.count("*").alias("n"))
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    return events.groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+def sessions(events: DataFrame, gap: str = "30 minutes", lateness: str = LATENESS) -> DataFrame:
+    """Sessions of each user, ended by a gap; the watermark ends a session's state."""
+    return events.withWatermark("ts", lateness).groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 FIXED_SCHEMA = "user_id long, event_id long, ts timestamp, allowed boolean, remaining int"
@@ -78,10 +130,11 @@ def fixed_window_stream(hits: DataFrame, width_seconds: float = 60.0, limit: int
             return
         opened, count = state.get if state.exists else (None, 0)
         rows = []
-        for b in batches:
-            for e, ts in sorted(zip(b["event_id"], b["ts"], strict=True), key=lambda x: (x[1], x[0])):
-                opened, count, allowed, left = fixed_window_step(opened, count, ts.timestamp(), width_seconds, limit)
-                rows.append((key[0], e, ts, allowed, left))
+        # A user's hits of one trigger may come in several batches: they are put in order together.
+        hits = [x for b in batches for x in zip(b["event_id"], b["ts"], strict=True)]
+        for e, ts in sorted(hits, key=lambda x: (x[1], x[0])):
+            opened, count, allowed, left = fixed_window_step(opened, count, ts.timestamp(), width_seconds, limit)
+            rows.append((key[0], e, ts, allowed, left))
         if opened is not None:
             state.update((opened, count))
             state.setTimeoutDuration(int(width_seconds * 1000))
