@@ -16,11 +16,20 @@ ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 KINDS = ("email", "card", "iban", "phone", "ssn", "ip", "date", "secret")
 #: Characters that a pseudonym exchanges within their kind: digits, small, capital and accented Latin letters.
-_RANGES = [(48, 10), (97, 26), (65, 26), (0xC0, 0x190)]
+_RANGES = [(48, 10), (97, 26), (65, 26), (0xC0, 23), (0xD8, 31), (0xF8, 0x158)]
+#: Country calling codes of one and two digits; all others have three.
+CALLING_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 
-# A candidate begins with a digit or plus and goes on with digits and the marks used inside numbers and dates.
-_RUN = re.compile(r"[0-9+][0-9+()./ -]*")
+# A candidate begins with a digit, plus or parenthesis and goes on with digits and the marks used inside numbers and dates.
+_RUN = re.compile(r"[0-9+(][0-9+()./ -]*")
 _HEX = re.compile(r"[0-9a-fA-F]{32,}")
+# How well-known services begin their keys.
+_KEYED = re.compile(
+    r"(?<![\w-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)|AIza[\w-]{35}(?![\w-])|(?:(?:sk|pk|rk)[-_](?:[a-z]+[-_])*|gh[pousr]_|github_pat_|glpat-|xox[abeprs]-|hf_|npm_)[A-Za-z0-9][\w-]{15,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})"
+)
+_PREFIX = re.compile(r"AKIA|ASIA|AIza|(?:sk|pk|rk)[-_](?:[a-z]+[-_])*|gh[pousr]_|github_pat_|glpat-|xox[abeprs]-|hf_|npm_|eyJ")
+# What is assigned to a name that says so.
+_ASSIGNED = re.compile(r"(?i)(?:api[_-]?key|secret|token|passw(?:or)?d|pwd|access[_-]?key|credential)s?[\"']?[ \t]*[:=]{1,2}>?[ \t]*[\"']?([\w+/=.~!@#$%^&*-]{8,})")
 _EMAIL = re.compile(r"[\w%+-]+(?:\.[\w%+-]+)*@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
 _IBAN_HEAD = re.compile(r"[A-Z]{2}[0-9]{2}")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
@@ -78,11 +87,15 @@ def only_digits(text: str) -> str:
 
 
 def card(text: str, key: bytes) -> str | None:
+    """Walked until it is no row of equal digits."""
     digits = only_digits(text)
     if luhn_sum(digits) % 10 or len(set(digits)) == 1:
         return None
-    body = exchanged(digits[:-1], key, b"card%d" % len(digits))
-    return refill(text, body + str(-luhn_sum(body + "0") % 10))
+    while True:
+        body = exchanged(digits[:-1], key, b"card%d" % len(digits))
+        digits = body + str(-luhn_sum(body + "0") % 10)
+        if len(set(digits)) > 1:
+            return refill(text, digits)
 
 
 def iban(text: str, key: bytes) -> str | None:
@@ -96,18 +109,27 @@ def iban(text: str, key: bytes) -> str | None:
 
 
 def phone(text: str, key: bytes) -> str | None:
-    """The country code stays; the other digits are permuted."""
-    digits, code = only_digits(text), len(re.match(r"\+?(\d*)", text)[1]) if text[0] == "+" else 0
-    code = 0 if code > 3 else code
+    """The country's code stays and the other digits are permuted, by the digits alone, however they are written; a number without a code is of country 1."""
+    digits = only_digits(text)
     if not 8 <= len(digits) <= 15:
         return None
-    return refill(text, digits[:code] + exchanged(digits[code:], key, b"phone" + digits[:code].encode()))
+    code = "1" if text[0] != "+" else next((c for c in (digits[:1], digits[:2]) if c in CALLING_CODES), digits[:3])
+    shown = len(code) if text[0] == "+" else 0
+    return refill(text, digits[:shown] + exchanged(digits[shown:], key, b"phone" + code.encode()))
+
+
+def _ssn_issued(digits: str) -> bool:
+    return digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
 
 
 def ssn(text: str, key: bytes) -> str | None:
-    if text[:3] in ("000", "666") or text[0] == "9" or text[4:6] == "00" or text[7:] == "0000":
+    """Walked until the number is again one that can have been issued."""
+    digits = only_digits(text)
+    if not _ssn_issued(digits):
         return None
-    return refill(text, exchanged(only_digits(text), key, b"ssn"))
+    while not _ssn_issued(digits := exchanged(digits, key, b"ssn")):
+        pass
+    return refill(text, digits)
 
 
 def ip(text: str, key: bytes) -> str | None:
@@ -136,15 +158,34 @@ def date(text: str, key: bytes) -> str | None:
 
 
 def secret(text: str, key: bytes) -> str | None:
-    """Long hexadecimal tokens with both digits and letters: permuted in lower or upper case."""
-    if text.isdigit() or text.isalpha():
+    """Tokens with both digits and letters: long hexadecimal ones are permuted as numbers, in lower or upper case; others character by kind, behind the prefix of their service."""
+    if not any("0" <= c <= "9" for c in text) or not any(c.isalpha() for c in text):
         return None
-    low = text.lower()
-    new = f"{permute(int(low, 16), 16 ** len(low), key, b'hex%d' % len(low)):0{len(low)}x}"
+    if not _HEX.fullmatch(text):
+        kept = m.end() if (m := _PREFIX.match(text)) else 0
+        return text[:kept] + exchanged(text[kept:], key, b"secret" + text[:kept].encode())
+    new = text.lower()
+    while (new := f"{permute(int(new, 16), 16 ** len(new), key, b'hex%d' % len(new)):0{len(new)}x}").isdigit() or new.isalpha():
+        pass
     return new.upper() if text == text.upper() else new
 
 
-_HANDLERS = {"card": card, "phone": phone, "ssn": ssn, "ip": ip, "date": date}
+def email(text: str, key: bytes) -> str:
+    """Name and host are permuted as if in small letters, and written in the given ones' case; the last part of the domain stays."""
+    name, _, domain = text.partition("@")
+    host, _, top = domain.rpartition(".")
+    return f"{_in_case(exchanged(_small(name), key, b'name'), name)}@{_in_case(exchanged(_small(host), key, b'host'), host)}.{top}"
+
+
+def _small(text: str) -> str:
+    return "".join([chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text])
+
+
+def _in_case(new: str, old: str) -> str:
+    return "".join([chr(ord(c) - 32) if "A" <= o <= "Z" else c for c, o in zip(new, old, strict=True)])
+
+
+HANDLERS = {"email": email, "card": card, "iban": iban, "phone": phone, "ssn": ssn, "ip": ip, "date": date, "secret": secret}
 
 
 def _in_name(c: str) -> bool:
@@ -167,6 +208,10 @@ def candidates(text: str) -> Iterator[tuple[int, int, str]]:
     for m in _HEX.finditer(text):
         if not (m.start() and text[m.start() - 1].isalnum()) and not text[m.end() : m.end() + 1].isalnum():
             yield m.start(), m.end(), "secret"
+    for m in _KEYED.finditer(text):
+        yield m.start(), m.end(), "secret"
+    for m in _ASSIGNED.finditer(text):
+        yield m.start(1), m.start(1) + len(m[1].rstrip(".!")), "secret"
     for head in _IBAN_HEAD.finditer(text):
         start = head.start()
         if not (start and text[start - 1].isalnum()) and (m := _IBAN.match(text, start)):
@@ -189,7 +234,7 @@ def candidates(text: str) -> Iterator[tuple[int, int, str]]:
             after = text[m.end() : m.end() + 1]
             if before.isalnum() or before == "_" or (after and (after.isalnum() or after == "_")):
                 p = m.start() + 1
-                while p < end and text[p].isdigit():
+                while p < end and text[p - 1].isdigit() and text[p].isdigit():
                     p += 1
                 continue
             yield m.start(), m.end(), m.lastgroup if m.lastgroup != "gap" else "card"
@@ -204,14 +249,7 @@ def pseudonymised(text: str, key: bytes) -> tuple[str, dict[str, int]]:
         if start < done:
             continue
         value = text[start:end]
-        if kind == "email":
-            name, _, domain = value.partition("@")
-            host, _, top = domain.rpartition(".")
-            new = f"{exchanged(name, key, b'name')}@{exchanged(host, key, b'host')}.{top}"
-        elif kind in ("secret", "iban"):
-            new = (secret if kind == "secret" else iban)(value, key)
-        else:
-            new = _HANDLERS[kind](value, key)
+        new = HANDLERS[kind](value, key)
         if new is None:
             continue
         parts += [text[done:start], new]
@@ -226,7 +264,8 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """(doc_id, text, n_replaced, n_<kind>...) of every row of docs: whole texts with personal data replaced.
 
     The same value has the same pseudonym in every document, for the key alone decides it; values that fail their check (Luhn,
-    IBAN, octets, calendar) stay. A null text is an empty one; rows without doc_id go; repeated rows each have a result; an
+    IBAN, octets, calendar, numbers never issued) stay, and every pseudonym passes the check of its kind. Spelling does not matter:
+    blanks and marks in numbers, letter case of addresses, the order of a date's parts. A text of any length is taken whole. A null text is an empty one; rows without doc_id go; repeated rows each have a result; an
     empty table gives an empty one. Only doc_id and text are read.
     """
 
