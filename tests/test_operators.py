@@ -196,7 +196,7 @@ def _root(x, into):
 def test_batches_are_applied(spark):
     """Merges, later reports, inserts and errors change the stored table; the same batch again inserts nothing."""
     stored = ingest.with_hash(flat(
-        spark, row(1, killed=3, urls=["https://a.b/one"]), row(2, town="Jangebe", lga="Talata", day=-90, kidnapped=300, group="Unknown gunmen", urls=["https://a.b/two"]), row(3, state="Kano", town="Gaya", lga="Gaya"),
+        spark, row(1, killed=3, urls=["https://a.b/one"]), row(2, town="Jangebe", lga="Talata", day=-90, kidnapped=300, group="Unknown gunmen", urls=["https://a.b/two"]), row(3, state="Kano", town="Gaya", lga="Gaya", title="Herders burn two farms", group="Herders"),
     ))
     raw = flat(
         spark, row(10, killed=9, status="confirmed", urls=["https://a.b/ONE/", "https://a.b/ten"]), row(12, town="Elsewhere", lga="Talata", day=0, kidnapped=310, group="Gunmen", urls=["https://a.b/twelve"]),
