@@ -226,12 +226,12 @@ def test_reports_are_made_ready(spark):
     raw = spark.createDataFrame(rows, schema_)
     redirects = spark.createDataFrame([("https://v.g/grounding-api-redirect/1", "https://punchng.com/wanka-bandits-real")], "url string, final_url string")
     pages = spark.createDataFrame([
-        ("https://punchng.com/football", None, "<title>League results</title>"), ("https://punchng.com/old-wanka-bandits", None, '<title>Wanka bandits</title><script>"datePublished": "2025-12-01T00:00:00Z"</script>'),
-        ("https://punchng.com/wanka-2", "https://punchng.com/wanka-2-final", "<title>Bandits in Wanka &amp; around</title>"),
+        ("https://punchng.com/football", None, "<title>League results</title>"), ("https://punchng.com/old-wanka-bandits", None, '<title>Bandits raid Wanka</title><script>"datePublished": "2025-12-01T00:00:00Z"</script>'),
+        ("https://punchng.com/wanka-2", "https://punchng.com/wanka-2-final", "<title>Bandits raid Wanka &amp; around</title>"),
     ], "url string, final_url string, html string")
     done = {r._id: r for r in ingest.normalized(raw, F.lit(DAY - dt.timedelta(days=30)), F.lit(DAY + dt.timedelta(days=2)), redirects, pages).collect()}
     assert set(done) == {1, 6, 10, 11}
-    assert done[1].state == "Zamfara" and [(s.url, s.title) for s in done[1].sources] == [(good[0], good[1]), ("https://punchng.com/wanka-2-final", "Bandits in Wanka & around")]
+    assert done[1].state == "Zamfara" and [(s.url, s.title) for s in done[1].sources] == [(good[0], good[1]), ("https://punchng.com/wanka-2-final", "Bandits raid Wanka & around")]
     assert [s.url for s in done[6].sources] == ["https://punchng.com/wanka-bandits-real"] and done[10].date == dt.datetime(2026, 1, 30, 12) and len(done[11].sources) == 3
 
 
