@@ -109,7 +109,7 @@ def backfill(stored: DataFrame, windows: list[DataFrame], now: Column) -> DataFr
     out = with_hash(stored)
     for raw in windows:
         ready = with_civilians(raw) if "civilianCasualties" in raw.columns else raw
-        out = apply(ready.where(complete(ready)), out, now)
+        out = settled(apply(ready.where(complete(ready)), out, now), "backfill")
     return out
 
 
