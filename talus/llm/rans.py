@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -12,7 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,9 +24,10 @@ from .common import durable, mapped, shared_dir, texts
 PROB, LOW, WORD = 20, 31, 32
 LANES = 1024
 #: Ids of a block at least (a document is never cut), and steps between checkpoints inside a block.
-BLOCK_IDS, CHECK_STEPS = 1 << 19, 256
-MAGIC, VERSION = b"TRAN", 1
-_HEAD = struct.Struct("<4sHHIIII")  # magic, version, lanes, ids, words, checkpoints, crc32 of the ids
+BLOCK_IDS, CHECK_STEPS = 1 << 19, 128
+MAGIC, VERSION = b"TRAN", 2
+_HEAD = struct.Struct("<4sHHIIII")  # magic, version, lanes, ids, words, checkpoints, steps between them
+_CHECK = struct.Struct("<II")  # words before it, crc32 of the ids from it to the next
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -57,7 +59,7 @@ class Table:
 
 
 def encode_block(ids: np.ndarray, table: Table) -> bytes:
-    """One block: head, checkpoints (step, words before it, states), 32-bit words. Id k is step k // LANES of stream k % LANES."""
+    """One block: head, checkpoints (words before it, checksum, states), 32-bit words. Id k is step k // LANES of stream k % LANES."""
     n, steps = len(ids), -(-len(ids) // LANES)
     x = np.full(LANES, 1 << LOW, dtype=np.uint64)
     chunks, checks = [], []
@@ -72,56 +74,84 @@ def encode_block(ids: np.ndarray, table: Table) -> bytes:
         if step % CHECK_STEPS == 0:
             checks.append((step, sum(map(len, chunks)), x.copy()))
     words = np.concatenate(chunks[::-1]) if chunks else np.zeros(0, dtype="<u4")
-    parts = [_HEAD.pack(MAGIC, VERSION, LANES, n, len(words), len(checks), zlib.crc32(ids.astype("<u4").tobytes()))]
+    parts = [_HEAD.pack(MAGIC, VERSION, LANES, n, len(words), len(checks), CHECK_STEPS)]
     for step, after, states in reversed(checks):
-        parts.append(struct.pack("<II", step, len(words) - after) + states.astype("<u8").tobytes())
+        own = ids[step * LANES : (step + CHECK_STEPS) * LANES]
+        parts.append(_CHECK.pack(len(words) - after, zlib.crc32(own.astype("<u4").tobytes())) + states.astype("<u8").tobytes())
     return b"".join([*parts, words.tobytes()])
 
 
-def decode_block(block: bytes, table: Table, checkpoint: int = 0) -> np.ndarray:
-    """The ids of a block from a checkpoint to the next (or all, from the first); the checksum is tested when all are decoded."""
-    magic, version, lanes, n, n_words, n_checks, crc = _HEAD.unpack_from(block)
+def decode_block(block: bytes, table: Table, first: int = 0, last: int | None = None) -> np.ndarray:
+    """The ids of a block from checkpoint `first` to checkpoint `last` (or the end). All these parts are decoded at the same time, each from its checkpoint's states, and each is held against its checksum."""
+    magic, version, lanes, n, n_words, n_checks, steps = _HEAD.unpack_from(block)
     if magic != MAGIC or version != VERSION:
         raise ValueError("not a block of this format")
-    size, at = 8 + 8 * lanes, _HEAD.size
-    words = np.frombuffer(block, dtype="<u4", count=n_words, offset=at + n_checks * size).astype(np.uint64)
-    if not n_checks:
+    size, last = _CHECK.size + 8 * lanes, n_checks if last is None else min(last, n_checks)
+    if first >= last:
         return np.zeros(0, dtype=np.uint32)
-    begin, pos = struct.unpack_from("<II", block, at + checkpoint * size)
-    x = np.frombuffer(block, dtype="<u8", count=lanes, offset=at + checkpoint * size + 8).astype(np.uint64)
-    steps = -(-n // lanes)
-    last = steps if checkpoint == 0 else min(steps, begin + CHECK_STEPS)
+    words = np.frombuffer(block, dtype="<u4", count=n_words, offset=_HEAD.size + n_checks * size).astype(np.uint64)
+    checks = [_CHECK.unpack_from(block, _HEAD.size + k * size) for k in range(first, last)]
+    pos = np.array([c[0] for c in checks], dtype=np.int64)
+    x = np.stack([np.frombuffer(block, dtype="<u8", count=lanes, offset=_HEAD.size + k * size + _CHECK.size) for k in range(first, last)]).astype(np.uint64)
     mask, low = np.uint64((1 << PROB) - 1), np.uint64(1 << LOW)
-    out = np.zeros((last - begin) * lanes, dtype=np.uint32)
-    for step in range(begin, last):
-        live = x[: min(lanes, n - step * lanes)]
-        slot = live & mask
+    sizes = np.clip(n - np.arange(first, last) * steps * lanes, 0, steps * lanes)
+    out = np.zeros((last - first, steps, lanes), dtype=np.uint32)
+    for step in range(-(-int(sizes.max()) // lanes)):
+        left = sizes - step * lanes
+        on = slice(None) if left.min() >= lanes else np.arange(lanes) < left[:, None]
+        slot = x & mask
         s = table.symbol[slot]
-        out[(step - begin) * lanes : (step - begin) * lanes + len(live)] = s
-        live = table.f[s] * (live >> np.uint64(PROB)) + slot - table.c[s]
-        (need,) = np.nonzero(live < low)
-        live[need] = live[need] << np.uint64(WORD) | words[pos : pos + len(need)]
-        pos += len(need)
-        x[: len(live)] = live
-    out = out[: min(n, last * lanes) - begin * lanes]
-    if begin == 0 and last == steps and zlib.crc32(out.tobytes()) != crc:
-        raise ValueError("checksum of a block differs")
-    return out
+        out[:, step] = s
+        new = table.f[s] * (x >> np.uint64(PROB)) + slot - table.c[s]
+        need = (new < low) & (True if isinstance(on, slice) else on)
+        rank = np.cumsum(need, axis=1)
+        at = (pos[:, None] + rank - 1)[need]
+        if len(at) and at[-1] >= n_words:
+            raise ValueError("words of a block are missing")
+        new[need] = new[need] << np.uint64(WORD) | words[at]
+        pos += rank[:, -1]
+        x = new if isinstance(on, slice) else np.where(on, new, x)
+    found = [o.ravel()[:m] for o, m in zip(out, sizes, strict=True)]
+    for part, (_, crc) in zip(found, checks, strict=True):
+        if zlib.crc32(part.tobytes()) != crc:
+            raise ValueError("checksum of a part of a block differs")
+    return np.concatenate(found)
+
+
+def checkpoint_range(block: bytes, first_id: int, end_id: int) -> tuple[int, int, int]:
+    """(first checkpoint, last, ids before the first) between which the ids [first_id, end_id) of a block are."""
+    _, _, lanes, _, _, _, steps = _HEAD.unpack_from(block)
+    first = first_id // (lanes * steps)
+    return first, -(-end_id // (lanes * steps)), first * lanes * steps
+
+
+def id_width(vocabulary: int) -> int:
+    """Bytes of an id."""
+    if vocabulary > 1 << PROB:
+        raise ValueError(f"a vocabulary of {vocabulary} has more ids than the {1 << PROB} slots of the frequency table")
+    return 2 if vocabulary <= 1 << 16 else 4
 
 
 class PieceIds(dict):
-    """The ids of pre-tokens as bytes, by the tokenizers library; the first KEPT are kept in a worker."""
+    """The ids of pre-tokens as bytes, by the tokenizers library; the first KEPT are kept in a worker.
+
+    Texts are split here only where the file's pipeline is byte-level BPE without a normaliser, which pre_tokens() stands for; any
+    other file encodes whole texts.
+    """
 
-    KEPT = 1_000_000
+    KEPT = 500_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.library = Tokenizer.from_file(path)
+        self.library, self.width = Tokenizer.from_file(path), width
         self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        told = json.loads(self.library.to_str())
+        split = told["pre_tokenizer"] or {}
+        self.plain = told["normalizer"] is None and told["model"]["type"] == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
         # Bytes as the characters that the library's byte-level models are written in.
         self.chars = {b: c for b, c in zip([*range(33, 127), *range(161, 173), *range(174, 256)], map(chr, [*range(33, 127), *range(161, 173), *range(174, 256)]), strict=True)}
         self.chars |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in self.chars)}
@@ -130,49 +160,55 @@ class PieceIds(dict):
     def __missing__(self, piece: str) -> bytes:
         plain = piece.isascii() and piece.isprintable()
         ids = [t.id for t in self.model.tokenize(piece.replace(" ", self.chars[32]) if plain else piece.encode().decode("latin-1").translate(self.chars))]
-        ids = struct.pack(f"<{len(ids)}H", *ids)
+        ids = struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
         if len(self) < self.KEPT:
             self[piece] = ids
         return ids
 
     def encode(self, text: str, pattern: str) -> bytes:
         """As library.encode(text, add_special_tokens=False).ids; texts that spell a special token go through it whole."""
-        if any(s in text for s in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+        if not self.plain or any(s in text for s in self.special):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=f"<u{self.width}").tobytes()
         return b"".join(map(self.__getitem__, pre_tokens(text, pattern)))
 
 
+def vocabulary_size(path: str, end_id: int) -> int:
+    from tokenizers import Tokenizer
+
+    return max([end_id, *Tokenizer.from_file(path).get_vocab().values()]) + 1
+
+
 _caches: dict[str, PieceIds] = {}
 
 
-def tokenised(docs: DataFrame, tokenizer: str, pattern: str, end_id: int) -> DataFrame:
-    """(doc_id, n, ids): the ids of each whole text and end_id, as compressed unsigned 16-bit integers."""
+def tokenised(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, width: int = 2) -> DataFrame:
+    """(doc_id, n, ids): the ids of each whole text and end_id, as compressed unsigned integers of `width` bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if tokenizer not in _caches:
-            _caches[tokenizer] = PieceIds(tokenizer)
+            _caches[tokenizer] = PieceIds(tokenizer, width)
         cache = _caches[tokenizer]
-        codec, end = pa.Codec("zstd", compression_level=1), np.array([end_id], dtype="<u2").tobytes()
+        codec, end = pa.Codec("zstd", compression_level=1), end_id.to_bytes(width, "little")
         for b in batches:
             ids = [cache.encode(t, pattern) + end for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": np.array([len(x) // 2 for x in ids], dtype=np.int32), "ids": [codec.compress(x, asbytes=True) for x in ids]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n": np.array([len(x) // width for x in ids], dtype=np.int32), "ids": [codec.compress(x, asbytes=True) for x in ids]})
 
     return mapped(texts(docs), run, "doc_id long, n int, ids binary")
 
 
-def _unpack(ids: bytes, n: int, codec: pa.Codec) -> np.ndarray:
-    return np.frombuffer(codec.decompress(bytes(ids), 2 * int(n), asbytes=True), dtype="<u2")
+def _unpack(ids: bytes, n: int, codec: pa.Codec, width: int) -> np.ndarray:
+    return np.frombuffer(codec.decompress(ids, width * int(n), asbytes=True), dtype=f"<u{width}")
 
 
 def frequencies(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     """Counts of each id over all documents; the vocabulary bounds what comes to the driver."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec, total = pa.Codec("zstd"), np.zeros(vocabulary, dtype=np.int64)
+        codec, total, width = pa.Codec("zstd"), np.zeros(vocabulary, dtype=np.int64), id_width(vocabulary)
         for b in batches:
             for start in range(0, len(b), 1000):
                 part = b.iloc[start : start + 1000]
-                total += np.bincount(np.concatenate([_unpack(x, n, codec) for x, n in zip(part["ids"], part["n"], strict=True)]), minlength=vocabulary)
+                total += np.bincount(np.concatenate([_unpack(x, n, codec, width) for x, n in zip(part["ids"], part["n"], strict=True)]), minlength=vocabulary)
         (seen,) = np.nonzero(total)
         yield pd.DataFrame({"id": seen.astype(np.int32), "count": total[seen]})
 
@@ -185,15 +221,17 @@ def frequencies(tokens: DataFrame, vocabulary: int) -> np.ndarray:
 BLOCK_SCHEMA = "part int, seq int, n_ids long, doc_ids binary, sizes binary, block binary"
 
 
-def write_blocks(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int, vocabulary: int = 1 << 16) -> None:
+def write_blocks(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int, vocabulary: int | None = None) -> None:
     """The ids of docs (doc_id, text), in ascending doc_id order, as a table of blocks at `path`, with the frequency table beside it.
 
     A row of the table is one independent block: its range partition and place in it, the documents in it with their sizes, and the
     rANS stream of encode_block(). A null or empty text has the end id only; rows without doc_id go; rows that share a doc_id
-    follow each other; an empty table gives an empty one; only doc_id and text are read.
+    follow each other; an empty table gives an empty one; a text of any length is taken whole; only doc_id and text are read.
+    The vocabulary is that of the file and end_id, if none is given; beyond 2^20 ids it raises ValueError.
     """
-    spark = docs.sparkSession
-    tokens = durable(tokenised(docs, tokenizer, pattern, end_id), "token-ids")
+    spark, vocabulary = docs.sparkSession, vocabulary or vocabulary_size(tokenizer, end_id)
+    width = id_width(vocabulary)
+    tokens = durable(tokenised(docs, tokenizer, pattern, end_id, width), "token-ids")
     f = scaled(frequencies(tokens, vocabulary))
     (seen,) = np.nonzero(f)
     spark.createDataFrame(pd.DataFrame({"id": seen.astype(np.int32), "frequency": f[seen].astype(np.int64)}), "id int, frequency long").coalesce(1).write.parquet(f"{path}/frequencies")
@@ -211,7 +249,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_i
             for doc_id, n, x in zip(b["doc_id"], b["n"], b["ids"], strict=True):
                 own.append(doc_id)
                 sizes.append(n)
-                ids.append(_unpack(x, n, codec))
+                ids.append(_unpack(x, n, codec, width))
                 held += int(n)
                 if held >= BLOCK_IDS:
                     yield block()
@@ -224,15 +262,22 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_i
     mapped(tokens.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "n", "ids"), run, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
-def read_blocks(spark, path: str, vocabulary: int = 1 << 16) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) from the table of blocks at `path`: blocks are decoded in parallel, checksums tested.
+def _shared_table(spark: SparkSession, path: str):
+    """The frequency table at `path` (the vocabulary bounds it), broadcast."""
+    rows = spark.read.parquet(f"{path}/frequencies").collect()
+    f = np.zeros(max((r["id"] for r in rows), default=0) + 1, dtype=np.int64)
+    for r in rows:
+        f[r["id"]] = r["frequency"]
+    return spark.sparkContext.broadcast(f)
+
+
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) from the table of blocks at `path`: blocks are decoded in parallel, and the parts of a block at the same time from its checkpoints; checksums are tested.
 
     start counts the ids of all documents before: those of earlier partitions (a sum for each, which their number bounds), of
     earlier blocks of the partition, and of earlier documents of the block.
     """
-    blocks, f = spark.read.parquet(f"{path}/blocks"), np.zeros(vocabulary, dtype=np.int64)
-    for r in spark.read.parquet(f"{path}/frequencies").collect():
-        f[r["id"]] = r["frequency"]
+    blocks = spark.read.parquet(f"{path}/blocks")
     totals, before, sums = sorted((r["part"], r["s"]) for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("s")).collect()), 0, []
     for part, s in totals:
         sums.append((part, before))
@@ -240,19 +285,46 @@ def read_blocks(spark, path: str, vocabulary: int = 1 << 16) -> DataFrame:
     offsets = spark.createDataFrame(sums, "part int, before long")
     earlier = F.coalesce(F.sum("n_ids").over(W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     places = blocks.select("part", "seq", "n_ids").withColumn("inside", earlier).join(F.broadcast(offsets), "part").select("part", "seq", (F.col("before") + F.col("inside")).alias("start"))
-    shared = spark.sparkContext.broadcast(f)
+    shared = _shared_table(spark, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = Table(shared.value)
         for b in batches:
             for start, doc_ids, sizes, block in zip(b["start"], b["doc_ids"], b["sizes"], b["block"], strict=True):
-                ids, n = decode_block(bytes(block), table), np.frombuffer(bytes(sizes), dtype="<u4").astype(np.int64)
+                ids, n = decode_block(block, table), np.frombuffer(sizes, dtype="<u4").astype(np.int64)
                 at = np.cumsum(n) - n
-                yield pd.DataFrame({"doc_id": np.frombuffer(bytes(doc_ids), dtype="<i8"), "start": start + at, "n_tokens": n, "ids": [x.astype("<u4").tobytes() for x in np.split(ids, at[1:])]})
+                yield pd.DataFrame({"doc_id": np.frombuffer(doc_ids, dtype="<i8"), "start": start + at, "n_tokens": n, "ids": [x.astype("<u4").tobytes() for x in np.split(ids, at[1:])]})
 
     return mapped(blocks.drop("n_ids").join(places, ["part", "seq"]).select("start", "doc_ids", "sizes", "block"), run, "doc_id long, start long, n_tokens long, ids binary")
 
 
+def read_documents(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """(doc_id, ids) of the documents in `wanted` (doc_id) alone: of the blocks that hold them, only the parts between the checkpoints around them are decoded. Ids that are not there give no row."""
+    blocks = spark.read.parquet(f"{path}/blocks")
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for part, seq, doc_ids, sizes in b[["part", "seq", "doc_ids", "sizes"]].itertuples(index=False, name=None):
+                n = np.frombuffer(sizes, dtype="<u4").astype(np.int64)
+                yield pd.DataFrame({"doc_id": np.frombuffer(doc_ids, dtype="<i8"), "part": part, "seq": seq, "at": np.cumsum(n) - n, "n": n})
+
+    places = mapped(blocks.select("part", "seq", "doc_ids", "sizes"), listed, "doc_id long, part int, seq int, at long, n long")
+    asked = places.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("part", "seq").agg(F.collect_list(F.struct("doc_id", "at", "n")).alias("asked"))
+    shared = _shared_table(spark, path)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = Table(shared.value)
+        for b in batches:
+            rows = []
+            for block, asked in zip(b["block"], b["asked"], strict=True):
+                for x in asked:
+                    first, last, before = checkpoint_range(block, x["at"], x["at"] + x["n"])
+                    rows.append((x["doc_id"], decode_block(block, table, first, last)[x["at"] - before :][: x["n"]].astype("<u4").tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "ids"])
+
+    return mapped(blocks.select("part", "seq", "block").join(asked, ["part", "seq"]).select("block", "asked"), run, "doc_id long, ids binary")
+
+
 def round_trip(docs: DataFrame, tokenizer: str, pattern: str, end_id: int) -> DataFrame:
     """Writes docs to the shared folder and reads them back: (doc_id, start, n_tokens, ids)."""
     path = f"{shared_dir(docs.sparkSession)}/rans-{uuid.uuid4().hex}"
