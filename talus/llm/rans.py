@@ -139,7 +139,7 @@ class PieceIds(dict):
     other file encodes whole texts.
     """
 
-    KEPT = 500_000
+    KEPT = 1_000_000
 
     def __init__(self, path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -179,19 +179,29 @@ def vocabulary_size(path: str, end_id: int) -> int:
 
 
 _caches: dict[str, PieceIds] = {}
+COUNTS = -1
 
 
 def tokenised(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, width: int = 2) -> DataFrame:
-    """(doc_id, n, ids): the ids of each whole text and end_id, as compressed unsigned integers of `width` bytes."""
+    """(doc_id, n, ids): the ids of each whole text and end_id, as compressed unsigned integers of `width` bytes.
+
+    A row of n = COUNTS ends each partition: how often it has each id, as pairs of 64-bit integers.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if tokenizer not in _caches:
             _caches[tokenizer] = PieceIds(tokenizer, width)
         cache = _caches[tokenizer]
         codec, end = pa.Codec("zstd", compression_level=1), end_id.to_bytes(width, "little")
+        total = np.zeros(0, dtype=np.int64)
         for b in batches:
             ids = [cache.encode(t, pattern) + end for t in b["text"]]
+            counts = np.bincount(np.frombuffer(b"".join(ids), dtype=f"<u{width}"), minlength=len(total))
+            counts[: len(total)] += total
+            total = counts
             yield pd.DataFrame({"doc_id": b["doc_id"], "n": np.array([len(x) // width for x in ids], dtype=np.int32), "ids": [codec.compress(x, asbytes=True) for x in ids]})
+        (seen,) = np.nonzero(total)
+        yield pd.DataFrame({"doc_id": [0], "n": np.array([COUNTS], dtype=np.int32), "ids": [np.stack([seen, total[seen]], axis=1).astype("<i8").tobytes()]})
 
     return mapped(texts(docs), run, "doc_id long, n int, ids binary")
 
@@ -200,20 +210,17 @@ def _unpack(ids: bytes, n: int, codec: pa.Codec, width: int) -> np.ndarray:
     return np.frombuffer(codec.decompress(ids, width * int(n), asbytes=True), dtype=f"<u{width}")
 
 
-def frequencies(tokens: DataFrame, vocabulary: int) -> np.ndarray:
-    """Counts of each id over all documents; the vocabulary bounds what comes to the driver."""
+def frequencies(counts: DataFrame, vocabulary: int) -> np.ndarray:
+    """How often each id occurs, from the COUNTS rows of all partitions; the vocabulary bounds what comes to the driver."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec, total, width = pa.Codec("zstd"), np.zeros(vocabulary, dtype=np.int64), id_width(vocabulary)
         for b in batches:
-            for start in range(0, len(b), 1000):
-                part = b.iloc[start : start + 1000]
-                total += np.bincount(np.concatenate([_unpack(x, n, codec, width) for x, n in zip(part["ids"], part["n"], strict=True)]), minlength=vocabulary)
-        (seen,) = np.nonzero(total)
-        yield pd.DataFrame({"id": seen.astype(np.int32), "count": total[seen]})
+            for x in b["ids"]:
+                pairs = np.frombuffer(x, dtype="<i8").reshape(-1, 2)
+                yield pd.DataFrame({"id": pairs[:, 0].astype(np.int32), "count": pairs[:, 1]})
 
     out = np.zeros(vocabulary, dtype=np.int64)
-    for r in mapped(tokens.select("n", "ids"), run, "id int, count long").groupBy("id").agg(F.sum("count").alias("count")).collect():
+    for r in mapped(counts.select("ids"), run, "id int, count long").groupBy("id").agg(F.sum("count").alias("count")).collect():
         out[r["id"]] = r["count"]
     return out
 
@@ -231,8 +238,8 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_i
     """
     spark, vocabulary = docs.sparkSession, vocabulary or vocabulary_size(tokenizer, end_id)
     width = id_width(vocabulary)
-    tokens = durable(tokenised(docs, tokenizer, pattern, end_id, width), "token-ids")
-    f = scaled(frequencies(tokens, vocabulary))
+    found = durable(tokenised(docs, tokenizer, pattern, end_id, width), "token-ids")
+    tokens, f = found.where(F.col("n") != COUNTS), scaled(frequencies(found.where(F.col("n") == COUNTS), vocabulary))
     (seen,) = np.nonzero(f)
     spark.createDataFrame(pd.DataFrame({"id": seen.astype(np.int32), "frequency": f[seen].astype(np.int64)}), "id int, frequency long").coalesce(1).write.parquet(f"{path}/frequencies")
     shared = spark.sparkContext.broadcast(f)
