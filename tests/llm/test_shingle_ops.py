@@ -139,13 +139,32 @@ def passages():
 
 
 @pytest.mark.parametrize("rows", [None, [], passages()])
-@pytest.mark.parametrize("hot", [20_000, 3])
-def test_repeats_are_brute_force(spark, monkeypatch, rows, hot):
-    monkeypatch.setattr(suffix, "HOT", hot)
+@pytest.mark.parametrize("together", [512, 2])
+def test_repeats_are_brute_force(spark, monkeypatch, rows, together):
+    monkeypatch.setattr(suffix, "TOGETHER", together)
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.remove_repeats(documents(spark, rows)).collect())
     assert got == brute_repeats(texts(rows))
 
 
+def test_groups_hold_all_occurrences(spark, monkeypatch):
+    """Each group's strings are equal, all places that have the string are listed, and what the groups cover is what goes."""
+    rows = passages()
+    raw = {i: t.encode() for i, t in rows}
+    for together in (512, 3):
+        monkeypatch.setattr(suffix, "TOGETHER", together)
+        groups, covered = {}, {i: bytearray(len(t)) for i, t in raw.items()}
+        for g in suffix.repeat_groups(documents(spark, rows)).collect():
+            groups.setdefault((g.k1, g.k2, g.group), []).append((g.doc_id, g.first, g.length))
+            covered[g.doc_id][g.first : g.first + g.length] = b"\1" * g.length
+        for places in groups.values():
+            strings = {raw[i][s : s + n] for i, s, n in places}
+            assert len(strings) == 1 and len(next(iter(strings))) >= 400 and len(places) > 1
+            if together == 512:
+                string = next(iter(strings))
+                assert {(i, k) for i, t in raw.items() for k in range(len(t)) if t.startswith(string, k)} == {(i, s) for i, s, _ in places}
+        assert {i: sum(c) for i, c in covered.items()} == {r[0]: r[2] for r in brute_repeats(texts(rows))}
+
+
 def test_intervals_and_extents(monkeypatch):
     r = random.Random(5)
     monkeypatch.setattr(suffix, "SEGMENT", 500)
@@ -154,7 +173,21 @@ def test_intervals_and_extents(monkeypatch):
         lefts = [r.randrange(0, 8) for _ in range(n)]
         contexts = list({("".join(r.choice("ab") for _ in range(x)) + "###" + "".join(r.choice("ab") for _ in range(r.randrange(1, 8)))).encode(): None for x in lefts})
         lefts = [c.index(b"#") for c in contexts]
-        before, after = suffix.extents(contexts, lefts, 7)
+        copies = [r.randrange(1, 3) for _ in range(n)] if r.random() < 0.3 else [1] * n
+        copies = copies[: len(contexts)]
+        groups = list(suffix.maximal_groups(contexts, lefts, copies, 7, inner=r.random() < 0.5))
+        before, after = suffix.extents(groups, len(contexts))
+        for least, length, members, left in groups:
+            if len(members) == 1:
+                assert copies[members[0]] > 1 and (length, left[0]) == (len(contexts[members[0]]) - lefts[members[0]], lefts[members[0]])
+                continue
+            strings = {contexts[m][lefts[m] - least : lefts[m] + length] for m in members}
+            assert len(strings) == 1 and least + length >= 7
+            assert least <= left.min()
+            # All with this string are members, and they differ on both sides.
+            assert {m for m, c in enumerate(contexts) if lefts[m] >= least and c[lefts[m] - least : lefts[m] + length] in strings} == set(members.tolist())
+            for ends in ({contexts[m][lefts[m] + length : lefts[m] + length + 1] or m for m in members}, {contexts[m][: lefts[m] - least][-1:] or m for m in members}):
+                assert len(ends) > 1
         for i, c in enumerate(contexts):
             best = [0, 0]
             for j, d in enumerate(contexts):
@@ -164,6 +197,8 @@ def test_intervals_and_extents(monkeypatch):
                     right = next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
                     if left + right >= 7:
                         best = [max(best[0], left), max(best[1], right)]
+            if copies[i] > 1:
+                best = [lefts[i], len(c) - lefts[i]]
             assert [before[i], after[i]] == best
     text = np.frombuffer(prose(8, 400).encode(), dtype=np.uint8)
     fp, at, first, last = suffix.anchors(text)
@@ -248,6 +283,34 @@ def test_rans_round_trip(spark, monkeypatch, rows):
         assert got[i][0] == [*library.encode(t, add_special_tokens=False).ids, 2]
 
 
+def test_rans_reads_single_documents(spark, tmp_path):
+    path, pattern = public("byte_bpe_50k.json")
+    rows = [(i, prose(i, 300)) for i in range(60)]
+    rans.write_blocks(documents(spark, rows), str(tmp_path / "ids"), path, pattern, 2)
+    every = {r.doc_id: bytes(r.ids) for r in rans.read_blocks(spark, str(tmp_path / "ids")).collect()}
+    wanted = spark.createDataFrame([(3,), (3,), (59,), (1000,)], "doc_id long")
+    assert {r.doc_id: bytes(r.ids) for r in rans.read_documents(spark, str(tmp_path / "ids"), wanted).collect()} == {i: every[i] for i in (3, 59)}
+
+
+def test_rans_of_other_vocabularies(spark, tmp_path):
+    """A large vocabulary takes four bytes an id; a file with a normaliser encodes whole texts; too large a vocabulary is refused."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    path, pattern = public("byte_bpe_50k.json")
+    told = json.load(open(path))
+    told["normalizer"] = {"type": "Lowercase"}
+    own = tmp_path / "own.json"
+    own.write_text(json.dumps(told))
+    library, rows = Tokenizer.from_file(str(own)), [(1, "Hello THERE world"), (2, "ÄRGER und Ruhe")]
+    for end in (2, 70_000):
+        got = {r.doc_id: np.frombuffer(bytes(r.ids), dtype="<u4").tolist() for r in rans.round_trip(documents(spark, rows), str(own), pattern, end).collect()}
+        assert got == {i: [*library.encode(t, add_special_tokens=False).ids, end] for i, t in rows}
+    with pytest.raises(ValueError):
+        rans.id_width((1 << 20) + 1)
+
+
 def test_rans_blocks():
     rng = np.random.default_rng(0)
     for n in (0, 1, 511, 512, 513, 70_000, 300_000):
@@ -257,8 +320,13 @@ def test_rans_blocks():
         assert (rans.decode_block(block, table) == ids).all()
         checks = rans._HEAD.unpack_from(block)[5]
         step = rans.CHECK_STEPS * rans.LANES
-        for k in range(1, checks):
-            assert (rans.decode_block(block, table, k) == ids[k * step : (k + 1) * step]).all()
+        for k in range(checks):
+            assert (rans.decode_block(block, table, k, k + 1) == ids[k * step : (k + 1) * step]).all()
+            assert (rans.decode_block(block, table, k) == ids[k * step :]).all()
+        for a, b in [(0, 1), (n // 2, n // 2 + 700), (n - 1, n)]:
+            if 0 <= a < b <= n:
+                first, last, before = rans.checkpoint_range(block, a, b)
+                assert (rans.decode_block(block, table, first, last)[a - before : b - before] == ids[a:b]).all()
         if n > 600:
             broken = bytearray(block)
             broken[-5] ^= 1
@@ -284,3 +352,30 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         now = stage(spark, now, str(tmp_path))
         assert now.columns == docs.columns
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null, empty, repeated and unnamed rows, a text whose lines all go, and empty tables, stage by stage."""
+    import corpus_pipeline
+
+    line = "This very line stands in several documents"
+    rows = [(i, prose(i, 60)) for i in range(40)] + [(100, None), (101, ""), (102, line), (103, line), (104, f"{prose(200, 50)}\n{line}"), (105, prose(201, 50)), (105, prose(201, 50)), (None, prose(202, 50)), (106, prose(203, 30_000))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, gram string, key string"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "g", "k") for i, t in rows], schema)
+    empty = spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([], "item_id long, text string")
+    for table, name in zip(empty, ("labels", "benchmark"), strict=True):
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns
+    got = {}
+    for r in now.collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    assert set(got) == {i for i, _ in rows}
+    assert got[100] == [None] and got[101] == [""] and got[102] == [line] and got[103] == [""] and got[104] == [prose(200, 50)] and len(got[105]) == 2 and len(got[None]) == 1
+    out = sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert [i for i, _ in out] == sorted(i for i, _ in rows if i is not None) and dict(out)[103] == dict(out)[100] == 0 and dict(out)[106] > 30_000
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0

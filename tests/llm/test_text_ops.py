@@ -9,17 +9,30 @@ import numpy as np
 import pytest
 
 from talus.llm import linededup, media, pii, quality
+from talus.llm.common import durable
 
 from .helpers import documents, prose, texts
 
 
 def test_media_round_trip(spark):
-    rows = sorted(media.media_features(media.to_media(documents(spark))).collect(), key=lambda r: (r.doc_id, r.n_bytes))
+    rows = sorted(media.media_features(durable(media.to_media(documents(spark)), "media")).collect(), key=lambda r: (r.doc_id, r.n_bytes))
     assert [r.doc_id for r in rows] == sorted(i for i, _ in texts())
     for r, (_, t) in zip(rows, sorted(texts(), key=lambda x: (x[0], len(x[1]))), strict=True):
         data = t.encode()
         payload = data + b"\xff" * (max(1, -(-len(data) // 576)) * 576 - len(data))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        stored = io.BytesIO()
+        with wave.open(stored, "wb") as w:
+            w.setparams((1, 1, 8000, 0, "NONE", ""))
+            w.writeframes(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(stored.getvalue()), hashlib.sha256(stored.getvalue()).hexdigest())
+        frames = np.frombuffer(payload, dtype=np.uint8).astype(float) - 128
+        peaks = []
+        for s in range(0, len(frames) - 575, 288):
+            power = np.abs(np.fft.rfft(frames[s : s + 576] * np.hanning(576)))[2:]
+            peaks.append(int(power.argmax()) + 2 if power.max() > 8 else -1)
+        pairs = sorted((t, peaks[t] * 4096 + peaks[t + g] * 4 + g) for t in range(len(peaks)) for g in (1, 2, 3) if t + g < len(peaks) and min(peaks[t], peaks[t + g]) >= 0)
+        assert list(zip(r.peak_frames, r.peak_codes, strict=True)) == pairs and r.feature == ",".join(f"{t:x}:{c:x}" for t, c in pairs)
     same = {r.feature for r in rows if r.doc_id in (5, 6)}
     assert len(same) == 1 and same != {""}
     assert media.media_features(media.to_media(documents(spark, []))).count() == 0
