@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, linededup, media, neardup, pii, quality, rans, suffix
+from . import bpe, decontaminate, licenses, linededup, media, neardup, pii, quality, rans, substring, suffix
 from .common import durable, table
 
 #: Test key; production passes its own.
@@ -67,7 +67,18 @@ def op10_rans_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_decontamination, op3_suffix_array_dedup, op4_quality_classifier, op5_license_scan, op6_line_dedup, op7_near_dedup, op8_pii_pseudonyms, op9_byte_bpe, op10_rans_token_ids)}
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "spans")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_media_columns, op2_decontamination, op3_suffix_array_dedup, op4_quality_classifier, op5_license_scan, op6_line_dedup, op7_near_dedup, op8_pii_pseudonyms, op9_byte_bpe,
+        op10_rans_token_ids, op11_substring_dedup,
+    )
+}
 
 _TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, a, b.replace("'", "''")) for i, (a, b) in enumerate(licenses.TEMPLATES))
 _WORDS = "unnest(regexp_extract_all(lower({}), '[a-z0-9]+(?:[.-][a-z0-9]+)*'))"
