@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, linededup, media, neardup, pii, quality, rans, substring, suffix
+from . import bpe, decontaminate, divergence, licenses, linededup, media, neardup, pii, quality, rans, search, substring, suffix
 from .common import durable, table
 
 #: Test key; production passes its own.
@@ -69,14 +69,22 @@ def op10_rans_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.remove_repeats(table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "spans")
+    return kept.select("doc_id", "n_words", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_media_columns, op2_decontamination, op3_suffix_array_dedup, op4_quality_classifier, op5_license_scan, op6_line_dedup, op7_near_dedup, op8_pii_pseudonyms, op9_byte_bpe,
-        op10_rans_token_ids, op11_substring_dedup,
+        op10_rans_token_ids, op11_substring_dedup, op12_ranked_search, op13_source_divergence,
     )
 }
 
@@ -119,4 +127,35 @@ f AS (SELECT key, min(doc_id) AS first_doc FROM k WHERE length(key) >= 10 GROUP
 d AS (SELECT k.doc_id, k.pos, k.line, coalesce(k.doc_id > f.first_doc, false) AS gone FROM k LEFT JOIN f ON k.key = f.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM d GROUP BY doc_id""",
+    "op11_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents WHERE doc_id IS NOT NULL),
+win AS (SELECT doc_id, start, sha256(array_to_string(words[start:start + 19], ' ')) AS h FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS start FROM w)),
+late AS (SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY h ORDER BY doc_id, start) AS rn FROM win) WHERE rn > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS pos FROM late),
+each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w),
+k AS (SELECT each.doc_id, word, each.pos, gone.pos IS NOT NULL AS g FROM each LEFT JOIN gone ON gone.doc_id = each.doc_id AND gone.pos = each.pos),
+r AS (SELECT *, g AND NOT coalesce(lag(g) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM k),
+s AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE g) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT g) AS kept FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN s USING (doc_id)""",
+    "op12_ranked_search": r"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE doc_id IS NOT NULL),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+size AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS length FROM d WHERE len(terms) > 0),
+tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, size GROUP BY term),
+part AS (SELECT tf.id, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(terms) * docs) // length))) AS part FROM tf JOIN w USING (term) JOIN d ON d.id = tf.id, size),
+s AS (SELECT item_id, id, doc_id, sum(part)::BIGINT AS score FROM q JOIN part USING (term) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10""",
+    "op13_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS kept, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+g AS (SELECT lang, source, coalesce(any_value(kept), 0) AS kept, coalesce(any_value(lang_total), 0) AS lang_total, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN v USING (lang) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+grid AS (SELECT g.lang, g.source, term, coalesce(n, 0) AS n, 1 + (1000000000 * (coalesce(n, 0) + 5)::HUGEINT) // (total + 5 * g.kept) AS p, 1 + (1000000000 * (lang_n + 5)::HUGEINT) // (lang_total + 5 * g.kept) AS q FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM grid WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every QUALIFY part = 'pair' OR rank <= 50""",
 }
