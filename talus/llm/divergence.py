@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ PART_SQL = f"""
 WITH grid AS (
     SELECT g.lang, g.source, t.term, coalesce(k.n, 0) AS n, t.n AS lang_n, g.lang_total, g.kept,
         (1 + ({SCALE}::HUGEINT * (coalesce(k.n, 0) + {SMOOTHING})) // (g.total + {SMOOTHING}::HUGEINT * g.kept))::BIGINT AS p
-    FROM (SELECT lang, term, sum(n) AS n FROM counts GROUP BY ALL) t JOIN sources g USING (lang) LEFT JOIN counts k ON k.lang = t.lang AND k.term = t.term AND k.source = g.source),
+    FROM (SELECT lang, term, sum(n) AS n FROM counts GROUP BY ALL) t JOIN (SELECT DISTINCT lang, source, total, lang_total, kept FROM sources) g USING (lang) LEFT JOIN counts k ON k.lang = t.lang AND k.term = t.term AND k.source = g.source),
 pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source < b.source GROUP BY ALL),
 typical AS (SELECT lang, source, term AS item, p - (1 + ({SCALE}::HUGEINT * (lang_n + {SMOOTHING})) // (lang_total + {SMOOTHING}::HUGEINT * kept)) AS value FROM grid WHERE n > 0)
 SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value FROM pairs
@@ -61,7 +62,7 @@ def _asked(sql: str, schema: pa.Schema, **tables: pa.Table) -> pa.Table:
     with tempfile.TemporaryDirectory() as spill, duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": spill}) as con:
         for name, rows in tables.items():
             con.register(name, rows)
-        return con.execute(sql).to_arrow_table().cast(schema)
+        return con.sql(sql).to_arrow_table().cast(schema)
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -98,6 +99,22 @@ def kept_counts(docs: DataFrame, shards: int) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(lambda rows: _asked(COUNT_SQL, _KEPT, counts=rows), KEPT)
 
 
+def shard_parts(kept: DataFrame, sources: DataFrame, shards: int) -> DataFrame:
+    """PARTS rows: what the terms of kept (KEPT) add to the distances of sources, and the most typical of them, from each task for all of its shards together."""
+    total = [F.lit(None).cast("long").alias(c) for c in ("total", "lang_total", "kept")]
+    # One row a source for each shard: as many rows as the answer has for a source, or fewer.
+    told = sources.where("kept > 0").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "lang", "source", F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("n"), "total", "lang_total", "kept")
+    dealt = kept.select("shard", "lang", "source", "term", "n", *total).unionByName(told).repartition(shards, "shard")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if own := [b for b in batches if b.num_rows]:
+            rows = pa.Table.from_batches(own)
+            of_source = rows["term"].is_null()
+            yield from _asked(PART_SQL, _PARTS, counts=rows.filter(pc.invert(of_source)), sources=rows.filter(of_source)).to_batches()
+
+    return dealt.mapInArrow(run, PARTS)
+
+
 def audit(docs: DataFrame) -> DataFrame:
     """(lang, source, part, item, value, rank) of every group (lang, source) of docs: part `pair`, its distance to each other source of the language, and part `term`, the TOP terms that it has more often than the language.
 
@@ -115,13 +132,7 @@ def audit(docs: DataFrame) -> DataFrame:
     none = F.lit(0).cast("long")
     sources = groups.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").select("lang", "source", *[F.coalesce(c, none).alias(c) for c in ("total", "lang_total", "kept")])
     sources = durable(sources, "sources")
-    # One row a source for each shard: as many rows as the answer has for a source, or fewer.
-    told = sources.where("kept > 0").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "*")
-
-    def parts(counts: pa.Table, own: pa.Table) -> pa.Table:
-        return _asked(PART_SQL, _PARTS, counts=counts, sources=own) if counts.num_rows else _PARTS.empty_table()
-
-    found = durable(kept.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(parts, PARTS), "divergence-parts")
+    found = durable(shard_parts(kept, sources, shards), "divergence-parts")
     sums = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     # Sources of a language without kept terms are at no distance.
     empty = sources.where("kept = 0").select("lang", "source")
