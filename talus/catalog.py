@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import functools
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +13,12 @@ from pyspark.sql import functions as F
 
 from .functions import dates, text, urls
 from .functions import values as V
-from .operators import classify, dedup, filters, ingest, merge, repair, score, stats
+from .operators import classify, dedup, filters, ingest, judge, merge, repair, score, stats
 from .operators.filters import IncidentQuery
 from .plans import views
 from .plans.views import AS_OF, DOC, INC, REP, SRC
 from .sources import files
+from .sources.store import Store
 from .streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -252,9 +255,9 @@ def normalize_text(spark, sf_dir, docs=views.titled_documents):
     return docs(spark, sf_dir).select("doc_id", text.normalize_text("text").alias("plain"))
 
 
-@query("tokenize", f"WITH {DOC} SELECT doc_id, array_to_string(list_filter(string_split({NORMAL.format('title')}, ' '), lambda w: length(w) >= 4 AND NOT list_contains([{', '.join(repr(w) for w in V.SOURCE_STOPWORDS)}], w)), ' ') AS tokens FROM doc")
+@query("tokenize", f"WITH {DOC} SELECT doc_id, array_to_string(list_filter(string_split({NORMAL.format('text')}, ' '), lambda w: length(w) >= 4 AND NOT list_contains([{', '.join(repr(w) for w in V.SOURCE_STOPWORDS)}], w)), ' ') AS tokens FROM doc")
 def tokenize(spark, sf_dir, docs=views.titled_documents):
-    return docs(spark, sf_dir).select("doc_id", F.concat_ws(" ", text.tokenize("title")).alias("tokens"))
+    return docs(spark, sf_dir).select("doc_id", F.concat_ws(" ", text.tokenize("text")).alias("tokens"))
 
 
 TITLE = "trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), '\\b(nigeria|nigerian|state)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -543,10 +546,15 @@ def casualty_score(spark, sf_dir):
     return views.incidents(spark, sf_dir).select("_id", score.casualty_score(F.col("killed"), F.col("injured")).alias("score"))
 
 
-@query("sanitize_casualty", f"WITH {INC} SELECT _id, coalesce(killed, -1) AS n FROM inc")
+COUNTS_SEEN = ["{n}", " {n} people", "+{n}", "-{n}", "about {n}", "{n}.7", "", "1e3", "99999999999", "\t{n}\n", "none", "{n},000"]
+
+
+@query("sanitize_casualty", f"""WITH {INC}, w AS (SELECT _id, replace({views.sql_pick(COUNTS_SEEN, '_id // 4')}, '{{n}}', coalesce(killed, 0)::varchar) AS written FROM inc), p AS (SELECT _id, regexp_extract(written, '^\\s*([+-]?\\d+)', 1) AS digits FROM w)
+SELECT _id, try_cast(digits AS int) AS n FROM p""")
 def sanitize_casualty(spark, sf_dir):
-    written = F.concat(F.lit(" "), F.coalesce(F.col("killed").cast("string"), F.lit("-1")), F.lit(" people"))
-    return views.incidents(spark, sf_dir).select("_id", F.regexp_extract(written, r"^\s*([+-]?\d+)", 1).try_cast("int").alias("n"))
+    """Counts as models write them: signs, words around, fractions, none, and one past what a whole number holds."""
+    written = F.replace(views.pick(COUNTS_SEEN, F.floor(F.col("_id") / 4)), F.lit("{n}"), F.coalesce(F.col("killed"), F.lit(0)).cast("string"))
+    return views.incidents(spark, sf_dir).select("_id", text.whole_count(written).alias("n"))
 
 
 @query("status_upgrade", f"WITH {INC} SELECT _id, CASE WHEN _id % 4 = 0 THEN 'confirmed' ELSE status END AS status FROM inc")
@@ -593,7 +601,7 @@ def distinct_array(spark, sf_dir):
 
 
 # Links to the first row of each class of equal addresses: all pairs would grow with the square of a class.
-@query("shared_source_pairs", f"WITH {SRC}, u AS (SELECT DISTINCT _id, {NORM} AS u FROM src), c AS (SELECT _id, min(_id) OVER (PARTITION BY u) AS first FROM u) SELECT first AS id_a, _id AS id_b, count(*) AS shared FROM c WHERE first <> _id GROUP BY 1, 2")
+@query("shared_source_pairs", f"WITH {SRC}, u AS (SELECT DISTINCT _id, {NORM} AS u FROM src), c AS (SELECT _id, min(_id) OVER (PARTITION BY u) AS first FROM u), l AS (SELECT DISTINCT first AS id_a, _id AS id_b FROM c WHERE first <> _id) SELECT id_a, id_b, count(*) AS shared FROM l JOIN u a ON a._id = id_a JOIN u b ON b._id = id_b AND b.u = a.u GROUP BY 1, 2")
 def shared_source_pairs(spark, sf_dir):
     return dedup.source_links(views.source_rows(spark, sf_dir))
 
@@ -627,7 +635,7 @@ def classify_ops_update(spark, sf_dir):
 
 
 @query("classify_attacker_only", f"""WITH {REP}, c AS (SELECT *, {LOWER} AS c FROM rep), f AS (SELECT *, regexp_matches(c, '{_only['near']}') OR (regexp_matches(c, '{_only['role']}') AND regexp_matches(c, '{_only['harm']}')) OR regexp_matches(lower(title), '{_only['active']}') AS keep,
-regexp_matches(c, '{_only['force']}') AS force, regexp_matches(c, '{_only['deaths']}') AS deaths, regexp_matches(c, '{_only['rescue']}') AS rescue, try_cast(regexp_extract(c, '{_only['count']}', 1) AS int) AS n FROM c)
+regexp_matches(c, '{_only['force']}') AS force, regexp_matches(c, '{_only['deaths']}') AS deaths, regexp_matches(c, '{_only['rescue']}') AS rescue, try_cast(regexp_extract(c, '{_only['count']}', 2) AS int) AS n FROM c)
 SELECT event_id, CASE WHEN keep THEN NULL WHEN force AND deaths THEN 'operation' WHEN force AND rescue AND (coalesce(killed, 0) > 0 OR coalesce(injured, 0) > 0) AND coalesce(kidnapped, 0) = 0 AND displaced = 0 THEN 'rescue'
 WHEN deaths AND n IS NOT NULL AND coalesce(killed, 0) > 0 AND killed <= n + 5 THEN 'count' END AS reason FROM f""")
 def classify_attacker_only(spark, sf_dir):
@@ -797,6 +805,20 @@ def ingest_plan(spark, sf_dir):
     return ingest.plan(files.settled(raw, "reports"), files.settled(ingest.with_hash(stored), "stored"))
 
 
+def _raids(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Every third incident as a raw report, the others as stored, in thirty towns and with few LGAs: many reports of a batch meet each other."""
+    k = F.col("_id")
+    flat = views.incidents(spark, sf_dir, sources=True).withColumns({"town": F.concat(F.lit("Town "), (k % 30).cast("string")), "date": F.lit(dt.datetime(1998, 1, 1)) + F.make_interval(days=(k % 400).cast("int"))})
+    return flat.where("_id % 3 = 0"), flat.where("_id % 3 <> 0")
+
+
+@query("ingest_in_order")
+def ingest_in_order(spark, sf_dir):
+    """What becomes of each report of a batch that are taken in one after the other; tested against a pass in order."""
+    raw, stored = _raids(spark, sf_dir)
+    return ingest.plan_in_order(raw, files.settled(ingest.with_hash(stored), "stored"))
+
+
 # Streams, run over tables.
 
 
@@ -926,10 +948,39 @@ def recover_sources(spark, sf_dir):
     return repair.recover(lost, flat.select("_id", "sources")).select("_id", F.coalesce("_deleted", F.lit(False)).alias("gone"))
 
 
-@query("source_checks", f"""WITH {INC}, {SRC} SELECT _id, count(*) AS n, 0::bigint AS bad FROM src JOIN act USING (_id) GROUP BY _id""")
+BAD_URLS = ["nope", "ftp://x.ng/story", "https://vertexaisearch.cloud.google.com/grounding/abc", "https://www.google.com/search?q=1", "https://x.ng/", "https://x.ng/photo.JPG", "https://x.ng/talk.mp3"]
+BAD_REASONS = ["unparseable URL", "non-http protocol", "expired grounding link", "search page", "homepage (no article path)", "non-article file (.jpg)", "non-article file (.mp3)"]
+
+
+def _spoilt(spark, sf_dir) -> DataFrame:
+    """Incidents of which every third source, by the sum of its place and its incident's number, has an address that none can have."""
+    k = F.col("_id")
+    spoil = lambda s, i: F.when((k + i) % 3 == 0, s.withField("url", views.pick(BAD_URLS, F.floor((k + i) / 3)))).otherwise(s)
+    return views.incidents(spark, sf_dir, sources=True).withColumn("sources", F.transform("sources", spoil))
+
+
+#: Places count from 0 in the order of the line items.
+SPOILT = f"""o AS (SELECT _id, row_number() OVER (PARTITION BY _id ORDER BY pos, url, title, publisher) - 1 AS i FROM src),
+bad AS (SELECT _id, i, CASE WHEN (_id + i) % 3 = 0 THEN {views.sql_pick(BAD_REASONS, '(_id + i) // 3')} END AS reason FROM o)"""
+
+
+@query("source_checks", f"WITH {INC}, {SRC}, {SPOILT} SELECT _id, count(*) AS n, count(reason) AS bad, coalesce(string_agg(reason, '; ' ORDER BY reason), '') AS reasons FROM bad JOIN act USING (_id) GROUP BY _id")
 def source_checks(spark, sf_dir):
-    checked = repair.source_checks(views.incidents(spark, sf_dir, sources=True))
-    return checked.groupBy("_id").agg(F.count("*").alias("n"), F.count("reason").alias("bad"))
+    checked = repair.source_checks(_spoilt(spark, sf_dir))
+    return checked.groupBy("_id").agg(F.count("*").alias("n"), F.count("reason").alias("bad"), F.concat_ws("; ", F.array_sort(F.collect_list("reason"))).alias("reasons"))
+
+
+#: Found sources for every fifth incident.
+FOUND_URLS = [f"https://found.ng/story-{i}" for i in range(4)]
+
+
+@query("fix_sources_found", f"""WITH {INC}, {SRC}, {SPOILT}, s AS (SELECT _id, count(i) AS old, count(i) FILTER (WHERE reason IS NULL) AS valid FROM act LEFT JOIN bad USING (_id) GROUP BY _id)
+SELECT _id, CASE WHEN old > 0 AND valid = old THEN 'keep' WHEN valid > 0 THEN 'prune' WHEN _id % 5 = 0 THEN 'replace' ELSE 'delete' END AS action, CASE WHEN valid = 0 AND _id % 5 = 0 THEN 3 ELSE valid END AS n FROM s""")
+def fix_sources_found(spark, sf_dir):
+    """Incidents with sources that hold and some that do not; for those without any, every fifth has four found ones."""
+    flat = _spoilt(spark, sf_dir)
+    found = flat.where("_id % 5 = 0").select("_id", F.array(*[F.struct(F.lit(u).alias("url"), F.lit("").alias("title"), F.lit("").alias("publisher")) for u in FOUND_URLS]).alias("sources"))
+    return repair.fix_sources(flat, found).select("_id", "action", F.size("sources").alias("n"))
 
 
 def _raw_reports(spark, sf_dir) -> DataFrame:
@@ -943,7 +994,7 @@ def _raw_reports(spark, sf_dir) -> DataFrame:
 
 @query("normalized_reports")
 def normalized_reports(spark, sf_dir):
-    """Raw reports made ready; tested against brute force."""
+    """Raw reports made ready; tested against plain Python over its rows."""
     raw = _raw_reports(spark, sf_dir)
     pages = views.load(spark, sf_dir, "pages").select("url", F.lit(None).cast("string").alias("final_url"), "html")
     done = ingest.normalized(raw, F.lit(dt.datetime(2015, 1, 1)), F.lit(dt.datetime(2027, 1, 1)), redirects=pages.select("url", F.col("url").alias("final_url")), pages=pages)
@@ -951,7 +1002,7 @@ def normalized_reports(spark, sf_dir):
 
 
 def _chunked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Raw reports whose source is a redirect, and five chunks for each; tested against brute force."""
+    """Raw reports whose source is a redirect, and five chunks for each; tested against plain Python over their rows."""
     raw = _raw_reports(spark, sf_dir).withColumn("sources", F.transform("sources", lambda s: s.withField("url", F.lit("https://x.y/grounding-api-redirect/1"))))
     numbers = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("pos")
     k = F.col("raw_id") * 3 + F.col("pos")
@@ -975,7 +1026,7 @@ def join_title_chunks(spark, sf_dir):
 
 @query("ingest_applied")
 def ingest_applied(spark, sf_dir):
-    """Stored incidents after a batch; tested against brute force."""
+    """Stored incidents after a batch; tested against a pass in order."""
     raw, stored = _batch(spark, sf_dir, sources=True)
     stored = ingest.with_hash(stored.withColumn("updatedAt", F.col("createdAt")))
     out = ingest.apply(files.settled(raw, "reports"), files.settled(stored, "stored"), F.lit(AS_OF))
@@ -994,6 +1045,82 @@ def audit_duplicates(spark, sf_dir):
 
 @query("repair_quality")
 def repair_quality(spark, sf_dir):
-    """What a repair of one year does; tested against brute force."""
+    """What a repair of one year does; tested against plain Python over its rows."""
     flat = _border(spark, sf_dir).withColumn("title", F.concat(F.lit("Raid number "), (F.col("_id") % 40).cast("string")))
     return repair.repair_quality(flat, F.lit(dt.datetime(1996, 1, 1)), F.lit(dt.datetime(1997, 1, 1)))[1]
+
+
+# The store, readers of answers and scans, and the judge.
+
+
+@query("store_versions", f"WITH {INC} SELECT _id, CASE WHEN _id % 9 = 0 THEN 'confirmed' ELSE status END AS status, killed, strftime(date, '%Y-%m') AS ym FROM inc WHERE _id % 7 <> 0")
+def store_versions(spark, sf_dir):
+    """A store of nine tenths of the incidents after three commits: the others are inserted (twice), some are updated, some deleted."""
+    flat = files.settled(ingest.with_hash(views.incidents(spark, sf_dir)).withColumn("hash", F.col("_id").cast("string")), "incidents")
+    store = Store(f"{files.shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    store.create(flat.where("_id % 10 <> 0"))
+    for _ in range(2):
+        store.insert(flat.where("_id % 10 = 0"))
+    store.update(flat.where("_id % 9 = 0").withColumn("status", F.lit("confirmed")))
+    store.delete(flat.where("_id % 7 = 0").select("_id"))
+    return store.read(spark).select("_id", "status", "killed", "ym")
+
+
+@query("scan_window", f"WITH {INC} SELECT _id FROM inc WHERE date BETWEEN TIMESTAMP '1997-01-05' AND TIMESTAMP '1997-03-05'")
+def scan_window(spark, sf_dir):
+    return jobs.in_scan(views.incidents(spark, sf_dir), F.lit(dt.datetime(1997, 1, 5)), F.lit(dt.datetime(1997, 3, 5))).select("_id")
+
+
+@query("sliding_limit")
+def sliding_limit(spark, sf_dir):
+    """Each hit allowed or refused by a window of a day that moves; tested against plain Python."""
+    return jobs.sliding_window(views.load(spark, sf_dir, "events"), 86400.0, 2)
+
+
+def _told(rows: list[dict]) -> list[dict]:
+    """What a model might say to prompts: fenced JSON, or none for every fifth."""
+    return [{"text": "I found no incidents." if r["event_id"] % 5 == 0 else "Here:\n```json\n" + json.dumps([{"title": r["title"], "date": "2026-02-19T00:00:00Z", "location": {"state": r["state_raw"]}, "casualties": {"killed": r["killed"]}, "sources": [{"url": r["url"]}]}]) + "\n```"} for r in rows]
+
+
+@query("answered_reports", f"WITH {REP} SELECT title, state_raw AS state, killed, count(*) AS n FROM rep WHERE event_id % 5 <> 0 AND lower({sql_state('state_raw')}) IN ('borno', 'kano', 'fct') GROUP BY ALL")
+def answered_reports(spark, sf_dir):
+    """Prompts of one state list answered by tasks, and the reports in the answers."""
+    prompts = views.reports(spark, sf_dir).select("event_id", "title", "state_raw", "killed", "url")
+    found = files.parse_reports(judge.answers(prompts, _told), lenient=True).withColumn("state", F.col("location.state"))
+    return ingest.of_states(found, ["Borno", "KANO", "FCT"]).groupBy("title", "state", F.col("casualties.killed").alias("killed")).agg(F.count("*").alias("n"))
+
+
+PERIODS = [(dt.date(2024, 1, 1), dt.date(2024, 1, 14)), (dt.date(2024, 1, 15), dt.date(2024, 1, 28)), (dt.date(2024, 1, 29), dt.date(2024, 1, 31))]
+
+
+@query("period_reports", f"""WITH {REP}, s AS (SELECT event_id, ts, {sql_state('state_raw')} AS state FROM rep), r AS (SELECT *, {_REGION.format('state')} AS region, ([DATE '2024-01-01', DATE '2024-01-15', DATE '2024-01-29'])[event_id % 3 + 1] AS first, ([DATE '2024-01-14', DATE '2024-01-28', DATE '2024-01-31'])[event_id % 3 + 1] AS last FROM s)
+SELECT region, strftime(first, '%Y-%m-%d') AS first, count(*) AS n FROM r WHERE region IS NOT NULL AND region <> 'Southwest' AND ts >= first::timestamp - INTERVAL 1 DAY AND ts < last::timestamp + INTERVAL 2 DAY GROUP BY ALL""")
+def period_reports(spark, sf_dir):
+    """Reports of historical scans, written by region and window and read by a grid without one region; those away from their window go."""
+    placed = jobs.by_region(views.reports(spark, sf_dir).withColumn("state", F.col("state_raw"))).where("region IS NOT NULL")
+    first = F.element_at(F.array(*[F.lit(f) for f, _ in PERIODS]), (F.col("event_id") % 3 + 1).cast("int"))
+    path = f"{files.shared_folder(spark)}/periods-{uuid.uuid4().hex}"
+    files.write_periods(placed.select("title", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("date"), "region", first.alias("first")), path)
+    grid = repair.scan_grid(spark, [F.array(*[F.struct(F.lit(f).alias("first"), F.lit(z).alias("last")) for f, z in PERIODS])]).where("region <> 'Southwest'")
+    return files.read_periods(spark, path, grid).groupBy("region", "first").agg(F.count("*").alias("n"))
+
+
+def _asked(rows: list[dict]) -> list[dict]:
+    """Verdicts by a fixed rule; pairs of every eleventh first report make the question fail."""
+    if any(r["id_a"] % 11 == 0 for r in rows):
+        raise TimeoutError("no answer")
+    return [{"is_duplicate": (r["id_a"] + r["id_b"]) % 3 != 0, "better": "existing" if r["id_b"] % 2 else "candidate"} for r in rows]
+
+
+@query("judged_pairs", f"WITH {DOC}, {DOC_INC}, {DOC_SCORE.format('a._id < b._id')} SELECT id_a, id_b, id_a % 11 <> 0 AND (id_a + id_b) % 3 <> 0 AS is_duplicate, CASE WHEN id_a % 11 <> 0 AND id_b % 2 = 1 THEN 'existing' ELSE 'candidate' END AS better, id_a % 11 <> 0 AS answered FROM s WHERE raw >= 0.6")
+def judged_pairs(spark, sf_dir):
+    """Candidates with verdicts that tasks ask for; where asking fails there is none."""
+    return judge.verdicts(dedup.scan(_doc_incidents(spark, sf_dir), threshold=0.6), _asked, tries=2)
+
+
+@query("greedy_pairs")
+def greedy_pairs(spark, sf_dir):
+    """All candidates taken best first, without a limit; tested against taking them one by one."""
+    pairs = dedup.scan(_doc_incidents(spark, sf_dir), threshold=0.6)
+    told = judge.verdicts(pairs, _asked, tries=1)
+    return dedup.greedy(pairs.join(told, ["id_a", "id_b"])).select("id_a", "id_b", "score", "kept", "dropped", "outcome")

@@ -54,6 +54,11 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b)))
 
 
+def whole_count(c: Column | str) -> Column:
+    """The whole number that a text begins with, white space and sign allowed; null where there is none, or none that fits."""
+    return F.regexp_extract(text(c), r"^\s*([+-]?\d+)", 1).try_cast("int")
+
+
 def is_unknown_place(c: Column | str) -> Column:
     return F.lower(trim_all(text(c))).isin(V.UNKNOWN_PLACES)
 

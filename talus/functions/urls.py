@@ -42,6 +42,7 @@ def is_usable_url(c: Column | str) -> Column:
     return F.coalesce(http & (host != "") & (host != V.REDIRECTOR_HOST) & ~search & (F.length(path) >= 3) & ~asset, F.lit(False))
 
 
+# The texts of the reasons.
 def invalid_reason(c: Column | str) -> Column:
     """Why an address can be no source, or null."""
     c = col(c)
@@ -129,7 +130,7 @@ def lenient_json_array(c: Column | str) -> Column:
     return F.when(found == "", "[]").otherwise(found)
 
 
-# The texts of the reasons below.
+# The texts of the reasons.
 def http_verdict(status: str, content_type: str, url: str, final_url: str) -> Column:
     """Why a fetched address is no valid source, or null; refusals, server errors and timeouts (null status) count as valid."""
     s, final = F.col(status), text(final_url)

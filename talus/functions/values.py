@@ -15,15 +15,17 @@ REGIONS = {
     "SouthSouth": ["Rivers", "Delta", "Edo", "Bayelsa", "Akwa Ibom", "Cross River"],
     "Southeast": ["Anambra", "Imo", "Abia", "Enugu", "Ebonyi"],
 }
-KEYWORD_STOPWORDS = (
-    "the a an in on at of to and or is are was were by for from with as that this it its be has had have not but who which their they them"
-    " been into also over during after before about between through including reportedly approximately several area local government state"
-    " nigeria nigerian"
-).split()
-SOURCE_STOPWORDS = (
-    "attack attacks attacked kills kill killed gunmen bandits terrorists terrorist unknown armed group groups incident incidents state states"
-    " community communities village villages security forces troops police soldiers residents people breaking news report reports nigeria nigerian"
-).split()
+KEYWORD_STOPWORDS = [
+    "the", "a", "an", "in", "on", "at", "of", "to", "and", "or", "is", "are", "was", "were", "by", "for", "from", "with", "as", "that",
+    "this", "it", "its", "be", "has", "had", "have", "not", "but", "who", "which", "their", "they", "them", "been", "into", "also", "over",
+    "during", "after", "before", "about", "between", "through", "including", "reportedly", "approximately", "several", "area", "local",
+    "government", "state", "nigeria", "nigerian",
+]
+SOURCE_STOPWORDS = [
+    "attack", "attacks", "attacked", "kills", "kill", "killed", "gunmen", "bandits", "terrorists", "terrorist", "unknown", "armed", "group",
+    "groups", "incident", "incidents", "state", "states", "community", "communities", "village", "villages", "security", "forces", "troops",
+    "police", "soldiers", "residents", "people", "breaking", "news", "report", "reports", "nigeria", "nigerian",
+]
 TITLE_OVERLAP_STOPWORDS = ["attack", "attacks", "incident", "nigeria", "nigerian", "state", "in"]
 TOWN_FILLERS = ["near", "and", "the", "from", "area", "along", "road"]
 UNKNOWN_PLACES = ["", "unknown", "n/a", "unspecified"]
@@ -72,22 +74,20 @@ PUBLISHER_TIERS = [
     ("whistler", "thewhistler.ng"), ("zagazola", "zagazola"), ("bbc", "bbc.com"), ("reuters", "reuters.com"), ("ap", "apnews.com"), ("al jazeera", "aljazeera.com"),
     ("voa", "voanews.com"), ("dw", "dw.com"), ("blueprint", "blueprint.ng"), ("pulse", "pulse.ng"),
 ]
-# The vocabulary of the report classifiers, as alternatives of regular expressions.
-OPS_FORCES = ["troops?", "soldiers?", "military", "army", r"air\s*force", "naf", r"joint\s*task\s*force", "jtf", r"operation\s*hadin\s*kai", "dhq", r"security\s*operatives?", "police"]
-OPS_VERBS = ["rescue", "rescued", "arrest", "arrested", "foiled?", "foil", "recover", "recovered", "neutrali[sz]e", "neutrali[sz]ed", "eliminat(?:e|ed|ing)", "raid(?:ed|ing)?"]
-OPS_ATTACKERS = [r"boko\s*haram", "iswap", "bandits?", "gunmen", "terrorists?", "insurgents?", "militants?", r"unknown\s*gunmen"]
-OPS_ATTACKS = ["kill(?:ed|s|ing)?", "abduct(?:ed|s|ing)?", "attack(?:ed|s|ing)?", "kidnap(?:ped|s|ping)?", "storm(?:ed|s|ing)?", "raid(?:ed|s|ing)?"]
-OPS_VICTIMS = ["civilians?", "villagers?", "residents?", "farmers?", "passengers?", "worshippers?", "students?", "women", "children", "soldiers?", "troops?", "police", "officers?", "personnel", "vigilantes?"]
-OPS_HARM = ["killed", "died", "injured", "wounded", "kidnapped", "abducted", "attacked", "ambushed", "massacred", "slaughtered"]
-CLEAN_FORCES = ["troops?", "soldiers?", "military", "army", r"air\s*force", "naf", r"joint\s*task\s*force", "jtf", r"operation\s*hadin\s*kai", "ophk", r"operation\s*whirl\s*stroke", r"operation\s*safe\s*haven", r"defence\s*headquarters?", "dhq", "cjtf"]
-CLEAN_DEATHS = ["neutrali[sz]ed?", "eliminat(?:ed?|ing)", "kill(?:ed|s|ing)?", r"took\s*out", r"wiped\s*out", r"gunned\s*down"]
-CLEAN_ATTACKERS = ["terrorists?", "insurgents?", "bandits?", "militants?", "iswap", r"boko\s*haram", "fighters?", "combatants?", "gunmen", "criminals?", "kidnappers?"]
-CLEAN_CIVILIAN_HARM = ["killed", "died", "injured", "wounded", "kidnapped", "abducted", "displaced", "affected", "hurt", "attacked", "massacred", "slaughtered"]
-CLEAN_ROLES = ["villagers?", "residents?", "farmers?", "herders?", "travell?ers?", "passengers?", "worshippers?", "students?", "women", "children", "teachers?", "lecturers?", "professors?", "doctors?", "nurses?", "drivers?", "commuters?", "pastors?", "imams?", "clerics?", r"traditional\s*rulers?", "monarchs?", "youths?", "traders?", "marketers?", "soldiers?", "troops?", "police?", "officers?", "personnel?", "vigilantes?", "hunters?", r"security\s*operatives?"]
-CLEAN_ROLE_HARM = ["killed", "died", "injured", "wounded", "kidnapped", "abducted", "displaced", "attacked", "missing", "ambushed"]
-CLEAN_HARM_ROLE = ["killed", "attacked", "kidnapped", "abducted", "murdered", "assassinated", "ambushed"]
-CLEAN_SINGULAR = ["civilian", "villager", "resident", "farmer", "herder", "traveller", "traveler", "passenger", "worshipper", "student", "woman", "child", "teacher", "lecturer", "professor", "doctor", "nurse", "driver", "commuter", "pastor", "imam", "cleric", "monarch", "youth", "trader", "marketer", "soldier", "police", "officer", "vigilante", "hunter"]
-CLEAN_HARM = ["killed", "died", "injured", "wounded", "kidnapped", "abducted", "displaced", "attacked", "murdered", "assassinated", "ambushed", "slaughtered", "massacred"]
-CLEAN_ACTORS = [r"boko\s*haram", "iswap", "bandits?", "gunmen", "terrorists?", "insurgents?", "militants?"]
-CLEAN_ACTS = ["kill(?:ed|s|ing)?", "abduct(?:ed|s|ing)?", "attack(?:ed|s|ing)?", "kidnap(?:ped|s|ping)?", "storm(?:ed|s|ing)?", "invad(?:ed|s|ing)?", "raid(?:ed|s|ing)?"]
-CLEAN_COUNTED = ["terrorists?", "insurgents?", "bandits?", "militants?", "fighters?", "combatants?", "gunmen", "criminals?"]
+# The patterns of the report classifiers, over lower-cased texts.
+OPS_FORCE = r"\b(troops?|soldiers?|military|army|air\s*force|naf|joint\s*task\s*force|jtf|operation\s*hadin\s*kai|dhq|security\s*operatives?|police)\b"
+OPS_VERB = r"\b(rescue|rescued|arrest|arrested|foiled?|foil|recover|recovered|neutrali[sz]e|neutrali[sz]ed|eliminat(?:e|ed|ing)|raid(?:ed|ing)?)\b"
+OPS_ATTACK_TITLE = r"\b(boko\s*haram|iswap|bandits?|gunmen|terrorists?|insurgents?|militants?|unknown\s*gunmen)\s+(kill(?:ed|s|ing)?|abduct(?:ed|s|ing)?|attack(?:ed|s|ing)?|kidnap(?:ped|s|ping)?|storm(?:ed|s|ing)?|raid(?:ed|s|ing)?)\b"
+OPS_VICTIM = r"\b(civilians?|villagers?|residents?|farmers?|passengers?|worshippers?|students?|women|children|soldiers?|troops?|police|officers?|personnel|vigilantes?)\b"
+OPS_HARM = r"\b(killed|died|injured|wounded|kidnapped|abducted|attacked|ambushed|massacred|slaughtered)\b"
+CLEAN_FORCE = r"\b(troops?|soldiers?|military|army|air\s*force|naf|joint\s*task\s*force|jtf|operation\s*hadin\s*kai|ophk|operation\s*whirl\s*stroke|operation\s*safe\s*haven|defence\s*headquarters?|dhq|cjtf)\b"
+CLEAN_DEATHS = r"\b(neutrali[sz]ed?|eliminat(ed?|ing)|kill(ed|s|ing)?|took\s*out|wiped\s*out|gunned\s*down)\b"
+CLEAN_ATTACKERS = r"\b(terrorists?|insurgents?|bandits?|militants?|iswap|boko\s*haram|fighters?|combatants?|gunmen|criminals?|kidnappers?)\b"
+CLEAN_CIVILIAN_HARM = r"\b(civilians?\s*(killed|died|injured|wounded|kidnapped|abducted|displaced|affected|hurt|attacked|massacred|slaughtered))\b"
+CLEAN_ROLE_HARM = r"\b(villagers?|residents?|farmers?|herders?|travell?ers?|passengers?|worshippers?|students?|women|children|teachers?|lecturers?|professors?|doctors?|nurses?|drivers?|commuters?|pastors?|imams?|clerics?|traditional\s*rulers?|monarchs?|youths?|traders?|marketers?|soldiers?|troops?|police?|officers?|personnel?|vigilantes?|hunters?|security\s*operatives?)\s*(were\s*)?(killed|died|injured|wounded|kidnapped|abducted|displaced|attacked|missing|ambushed)\b"
+CLEAN_HARM_ROLE = r"\b(killed|attacked|kidnapped|abducted|murdered|assassinated|ambushed)\s*(civilians?|villagers?|residents?|farmers?|herders?|travell?ers?|passengers?|worshippers?|students?|women|children|teachers?|lecturers?|professors?|doctors?|nurses?|drivers?|commuters?|pastors?|imams?|clerics?|traditional\s*rulers?|monarchs?|youths?|traders?|marketers?|soldiers?|troops?|police?|officers?|personnel?|vigilantes?|hunters?|security\s*operatives?)\b"
+CLEAN_VICTIM = r"\b(civilian|villager|resident|farmer|herder|traveller|traveler|passenger|worshipper|student|woman|child|teacher|lecturer|professor|doctor|nurse|driver|commuter|pastor|imam|cleric|monarch|youth|trader|marketer|soldier|police|officer|vigilante|hunter)\b"
+CLEAN_HARM = r"\b(killed|died|injured|wounded|kidnapped|abducted|displaced|attacked|murdered|assassinated|ambushed|slaughtered|massacred)\b"
+CLEAN_ACTIVE_TITLE = r"\b(boko\s*haram|iswap|bandits?|gunmen|terrorists?|insurgents?|militants?)\s+(kill(ed|s|ing)?|abduct(ed|s|ing)?|attack(ed|s|ing)?|kidnap(ped|s|ping)?|storm(ed|s|ing)?|invad(ed|s|ing)?|raid(ed|s|ing)?)"
+CLEAN_RESCUE = r"\b(rescued?|freed?|liberat(ed?|ing))\s*\d*\s*(abducted|kidnapped|captive|hostage)"
+CLEAN_COUNT = r"\b(neutrali[sz]ed?|eliminat(?:ed?|ing)|kill(?:ed|s|ing)?)\s+(?:more\s+than\s+)?(\d+)\s+(terrorists?|insurgents?|bandits?|militants?|fighters?|combatants?|gunmen|criminals?)"

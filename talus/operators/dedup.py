@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.text import is_unknown_place, normalize_state, normalize_title, overlap, similarity, text, title_tokens
 from ..functions.urls import normalize_url
 from ..schema import active
-from . import score
+from ..sources.files import settled
+from . import judge, score
 
 
 def near_in_time(left: DataFrame, right: DataFrame, keys: list[Column], days: int) -> DataFrame:
@@ -118,12 +119,16 @@ def shared_source_classes(sources: DataFrame) -> DataFrame:
 
 
 def source_links(sources: DataFrame) -> DataFrame:
-    """(id_a, id_b, shared): each row of (_id, url) linked to the first row (id_a) of the classes of equal addresses that it is in, and how many of these there are.
+    """(id_a, id_b, shared): each row of (_id, url) linked to the first row (id_a) of the classes of equal addresses that it is in, and how many addresses the two have in common.
 
-    As connected as shared_source_pairs(), with as many rows as there are members of classes at most, not their square.
+    As connected as shared_source_pairs(), with as many rows as there are members of classes at most, not their square; what they
+    share is counted by link, from the addresses of both rows.
     """
-    classes = shared_source_classes(sources).where("_id <> class_id")
-    return classes.groupBy(F.col("class_id").alias("id_a"), F.col("_id").alias("id_b")).agg(F.count("*").alias("shared"))
+    classes = shared_source_classes(sources)
+    links = classes.where("_id <> class_id").select(F.col("class_id").alias("id_a"), F.col("_id").alias("id_b")).distinct()
+    own = classes.groupBy("_id").agg(F.collect_set("source").alias("urls"))
+    a, b = own.select(F.col("_id").alias("id_a"), F.col("urls").alias("urls_a")), own.select(F.col("_id").alias("id_b"), F.col("urls").alias("urls_b"))
+    return links.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", F.size(F.array_intersect("urls_a", "urls_b")).cast("long").alias("shared"))
 
 
 def top_candidates(pairs: DataFrame, most: int = 5) -> DataFrame:
@@ -155,56 +160,121 @@ def answered(pair: dict) -> Verdict:
     return pair.get("is_duplicate", False), pair.get("better", "candidate")
 
 
-def process(pairs: DataFrame, confirm: Callable[[dict], Verdict] = answered, most: int = 5) -> list[tuple]:
-    """(kept, dropped) of the `most` best candidates, best first: a row that was dropped takes no part any more.
+def _judged(pairs: DataFrame, confirm: Callable[[dict], Verdict]) -> DataFrame:
+    """pairs with is_duplicate and better by confirm(pair), asked by the tasks; a question that fails is no duplicate."""
 
-    `confirm` decides on a pair, for instance by a model; without an answer, and if it fails, a pair is no duplicate.
-    """
-    return [(kept, dropped) for _, same, kept, dropped in _checked(top_candidates(pairs, most), confirm, most) if same]
+    def ask(rows: list[dict]) -> list[dict]:
+        return [dict(zip(("is_duplicate", "better"), confirm(r), strict=True)) for r in rows]
+
+    found = judge.answered(pairs, ask, judge.VERDICT, tries=1)
+    return found.withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False))).drop("answered")
+
+
+def _rank() -> Column:
+    """The order in which pairs are taken: the best score first."""
+    return F.struct((-F.col("score")).alias("s"), "id_a", "id_b")
 
 
-def _checked(ordered: DataFrame, confirm: Callable[[dict], Verdict], most: int, consume: bool = True) -> list[tuple[dict, bool, object, object]]:
-    """(pair, same, kept, dropped) of the first `most` pairs that are asked about; the rows come one partition at a time, as far as they are needed."""
-    gone, out = set(), []
-    for row in ordered.toLocalIterator():
-        if len(out) >= most:
-            break
-        pair = row.asDict()
-        if pair["id_a"] in gone or pair["id_b"] in gone:
-            continue
-        try:
-            same, better = confirm(pair)
-        except Exception:  # noqa: BLE001  an unanswered question is no duplicate
-            same, better = NO
-        kept, dropped = (pair["id_b"], pair["id_a"]) if better == "existing" else (pair["id_a"], pair["id_b"])
-        if same and consume:
-            gone.add(dropped)
-        out.append((pair, bool(same), kept, dropped))
-    return out
+def greedy(judged: DataFrame) -> DataFrame:
+    """judged pairs (id_a, id_b, score, is_duplicate, better) with kept, dropped and the outcome of taking them one by one, best first: "merged", "refused", or "skipped", for one of them had been dropped before.
+
+    By rounds, without an order over all: a duplicate is merged as soon as no pair before it that is still open would drop one of
+    its rows; then the open pairs after it that hold the dropped row are skipped. Each round settles at least the best open
+    pair, and all the duplicates of a row that nothing drops at once; there are as many rounds as the longest chain of pairs of
+    which each could drop a row of the next.
+    """
+    later = F.coalesce(F.col("better") == "existing", F.lit(False))
+    edges = settled(judged.withColumns({"rank": _rank(), "kept": F.when(later, F.col("id_b")).otherwise(F.col("id_a")), "dropped": F.when(later, F.col("id_a")).otherwise(F.col("id_b"))}), "judged-pairs")
+    live = edges.where("is_duplicate").select("rank", "kept", "dropped")
+    none = live.select(F.col("dropped").alias("_id"), F.col("rank").alias("at")).limit(0)
+    gone = none
+    while not live.isEmpty():
+        first = live.groupBy(F.col("dropped").alias("_id")).agg(F.min("rank").alias("first"))
+        k, d = first.select(F.col("_id").alias("kept"), F.col("first").alias("k_first")), first.select(F.col("_id").alias("dropped"), F.col("first").alias("d_first"))
+        now = live.join(d, "dropped").join(k, "kept", "left").where((F.col("rank") == F.col("d_first")) & (F.col("k_first").isNull() | (F.col("rank") < F.col("k_first"))))
+        new = settled(now.select(F.col("dropped").alias("_id"), F.col("rank").alias("at")), "dropped-rows")
+        gone = gone.unionByName(new)
+        live = settled(_before(live, new, "kept", "dropped").where("untouched").select("rank", "kept", "dropped"), "open-pairs")
+    told = _before(edges, gone, "id_a", "id_b", own=True)
+    outcome = F.when(~F.col("untouched"), "skipped").when(F.col("is_duplicate"), "merged").otherwise("refused")
+    return told.withColumn("outcome", outcome).select(*judged.columns, "kept", "dropped", "outcome")
+
+
+def _before(edges: DataFrame, gone: DataFrame, x: str, y: str, own: bool = False) -> DataFrame:
+    """edges with `untouched`: whether both rows are there at their turn (own: that which drops a row finds it there)."""
+    out, there = edges, F.lit(True)
+    for i, c in enumerate((x, y)):
+        out = out.join(gone.select(F.col("_id").alias(c), F.col("at").alias(f"_at{i}")), c, "left")
+        turn = F.col("rank") <= F.col(f"_at{i}") if own else F.col("rank") < F.col(f"_at{i}")
+        there = there & (F.col(f"_at{i}").isNull() | turn)
+    return out.withColumn("untouched", there).drop("_at0", "_at1")
+
+
+def absorbed(merges: DataFrame) -> DataFrame:
+    """(kept, dropped) with each kept row that is itself dropped replaced by the row that has it in the end: what a row had absorbed goes with it. By doubling, so in as many rounds as the logarithm of the longest chain."""
+    into = settled(merges.select("kept", "dropped"), "merges")
+    while True:
+        up = into.select(F.col("dropped").alias("kept"), F.col("kept").alias("_above"))
+        new = settled(into.join(up, "kept", "left").select(F.coalesce("_above", "kept").alias("kept"), "dropped", F.col("_above").isNotNull().alias("_moved")), "merges")
+        into = new.select("kept", "dropped")
+        if new.where("_moved").isEmpty():
+            return into
+
+
+def merged_pairs(pairs: DataFrame, confirm: Callable[[dict], Verdict] = answered, most: int | None = 5) -> DataFrame:
+    """(kept, dropped) of candidates that are confirmed, of the `most` best ones (None: of all): see greedy(). Nothing of it is done in the driver."""
+    own = pairs if most is None else top_candidates(pairs, most)
+    return absorbed(greedy(_judged(own, confirm)).where("outcome = 'merged'"))
 
 
-AUDIT = "id_a {0}, id_b {0}, score double, reason string, is_duplicate boolean, kept {0}, dropped {0}"
+def process(pairs: DataFrame, confirm: Callable[[dict], Verdict] = answered, most: int = 5) -> list[tuple]:
+    """(kept, dropped) of the `most` best candidates, best first: a row that was dropped takes no part any more.
+
+    `confirm` decides on a pair, for instance by a model; without an answer, and if it fails, a pair is no duplicate.
+    """
+    found = greedy(_judged(top_candidates(pairs, most), confirm)).where("outcome = 'merged'")
+    # As many as `most` at most.
+    return [(r["kept"], r["dropped"]) for r in found.orderBy(_rank()).collect()]
 
 
-def audit(flat: DataFrame, confirm: Callable[[dict], Verdict] = answered, verdicts: DataFrame | None = None, state: str | None = None, threshold: float = 0.6, limit: int = 12, execute: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(flat, the pairs that were asked about): candidates of the active rows, best first, are confirmed one by one, `limit` of them at most.
+def audit(flat: DataFrame, confirm: Callable[[dict], Verdict] = answered, verdicts: DataFrame | None = None, state: str | None = None, threshold: float = 0.6, limit: int | None = 12, execute: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(flat, the pairs that were asked about): candidates of the active rows, best first, are confirmed, `limit` of them at most (None: all).
 
     Nothing is changed unless `execute`; then each confirmed pair is merged, the worse report is soft-deleted and takes no part in
-    later pairs.
+    later pairs. Questions are asked by the tasks. With a limit the next best pairs that may still count are asked about together, so
+    some are asked that an answer among them makes needless; these are not reported.
     """
     from .repair import merged_away
 
     pairs = scan_state(flat, state, threshold) if state else scan(flat, threshold, include_deleted=False)
-    pairs = pairs if verdicts is None else verdicts_of(pairs, verdicts)
-    asked = _checked(pairs.orderBy(F.desc("score"), "id_a", "id_b"), confirm, limit, consume=execute)
-    spark, kind = flat.sparkSession, flat.schema["_id"].dataType.simpleString()
-    report = spark.createDataFrame([(p["id_a"], p["id_b"], p["score"], p["reason"], same, kept if same else None, dropped if same else None) for p, same, kept, dropped in asked], AUDIT.format(kind))
+    pairs = settled(pairs if verdicts is None else verdicts_of(pairs, verdicts), "candidates")
+
+    def taken(judged: DataFrame) -> DataFrame:
+        done = greedy(judged)
+        return done.where("outcome <> 'skipped'") if execute else done.withColumn("outcome", F.when(F.col("is_duplicate"), "merged").otherwise("refused"))
+
+    if limit is None:
+        asked = settled(taken(_judged(pairs, confirm)), "audited-pairs")
+    else:
+        rest, judged, asked, n = pairs, None, None, 0
+        while n < limit:
+            some = settled(_judged(rest.orderBy(_rank()).limit(limit - n), confirm), "asked-pairs")
+            # The last of `limit` rows at most.
+            last = some.agg(F.max(_rank()).alias("r")).first()["r"]
+            if last is None:
+                break
+            judged = some if judged is None else judged.unionByName(some)
+            asked = settled(taken(judged), "audited-pairs")
+            n = asked.count()
+            after = F.struct(F.lit(last["s"]).alias("s"), F.lit(last["id_a"]).cast(pairs.schema["id_a"].dataType).alias("id_a"), F.lit(last["id_b"]).cast(pairs.schema["id_b"].dataType).alias("id_b"))
+            rest = pairs.where(_rank() > after)
+            if execute:
+                gone = asked.where("outcome = 'merged'").select(F.col("dropped").alias("_gone"))
+                for c in ("id_a", "id_b"):
+                    rest = rest.join(gone, rest[c] == gone["_gone"], "left_anti")
+        asked = settled(taken(_judged(pairs.limit(0), confirm)), "audited-pairs") if asked is None else asked
+    same = F.col("is_duplicate")
+    report = asked.orderBy(_rank()).select("id_a", "id_b", "score", "reason", "is_duplicate", F.when(same, F.col("kept")).alias("kept"), F.when(same, F.col("dropped")).alias("dropped"))
     if not execute:
         return flat, report
-    # One that was kept first and dropped later takes with it what it had absorbed.
-    into, done = {dropped: kept for _, same, kept, dropped in asked if same}, []
-    for dropped, kept in into.items():
-        while kept in into:
-            kept = into[kept]
-        done.append((kept, dropped))
-    return merged_away(flat, spark.createDataFrame(done, f"kept {kind}, dropped {kind}"), "Duplicate of "), report
+    return merged_away(flat, absorbed(asked.where("outcome = 'merged'")), "Duplicate of "), report

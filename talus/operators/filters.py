@@ -6,7 +6,7 @@ import datetime as dt
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import values as V
@@ -64,9 +64,20 @@ def mentions(needle: str) -> Column:
     return F.coalesce(F.contains(F.lower("title"), n), F.lit(False)) | F.coalesce(F.contains(F.lower("description"), n), F.lit(False)) | F.coalesce(F.contains(F.lower("town"), n), F.lit(False)) | F.coalesce(F.contains(F.lower("group"), n), F.lit(False))
 
 
+def _of_months(flat: DataFrame, q: IncidentQuery) -> DataFrame:
+    """Where rows are kept by month (`ym`), those of the months that the query's dates can be in: a predicate of the partitions, so the folders of others are not read."""
+    if "ym" not in flat.columns:
+        return flat
+    if q.month:
+        return flat.where(F.col("ym") == q.month)
+    out = flat.where(F.col("ym") >= f"{q.start:%Y-%m}") if q.start else flat
+    # Rows without a date are kept as "none", behind all months.
+    return out.where(F.col("ym") <= f"{q.end:%Y-%m}") if q.end else out
+
+
 def where(flat: DataFrame, q: IncidentQuery) -> DataFrame:
     """Active rows that meet the query; a month takes precedence over start and end."""
-    out = flat.where(active())
+    out = _of_months(flat.where(active()), q)
     if q.state:
         out = out.where(state_is(q.state))
     if q.group:
@@ -114,7 +125,13 @@ def pagination(total: int, q: IncidentQuery) -> dict:
 
 
 def envelope(flat: DataFrame, q: IncidentQuery) -> tuple[DataFrame, dict, dict]:
-    """The answer of the list: the page, the totals over all that the filters leave, and where the page is."""
-    sums = totals(where(flat, q)).first().asDict()
-    count = sums.pop("total")
-    return page(flat, q), sums, pagination(count, q)
+    """The answer of the list: the page, the totals over all that the filters leave, and where the page is.
+
+    One scan gives both: the totals are observed on the rows that the page is taken from. The page has MOST_ROWS rows at most.
+    """
+    seen = Observation()
+    count = {c: F.sum(F.coalesce(F.col(c), F.lit(0))) for c in CASUALTIES[:3]}
+    found = where(flat, q).observe(seen, F.count("*").alias("total"), *[v.alias(c) for c, v in count.items()])
+    rows = ordered(found, q.sort).offset((q.page - 1) * q.limit).limit(q.limit).collect()
+    sums = {c: seen.get[c] or 0 for c in count}
+    return flat.sparkSession.createDataFrame(rows, flat.schema), sums, pagination(seen.get["total"], q)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,16 +12,16 @@ from ..functions import values as V
 from ..functions.dates import narrative_date, reconcile
 from ..functions.text import any_of, attack_hash, normalize_state, sanitize, text, tokenize
 from ..functions.urls import chunk_score, extract_domain, html_title, is_trusted_source, is_usable_url, location_tokens, normalize_url, published_date, root_domain, semantic_tokens, source_relevant
-from ..schema import active
+from ..schema import CASUALTIES, active
 from ..sources.files import settled
 from .classify import is_operational_update
-from .merge import add_sources, merge_pairs, upsert
+from .merge import merge_count, merge_sources, new_sources, upsert
 
 # Words that say nothing in a title.
-TITLE_STOPWORDS = (
-    "attack attacks kill kills killed gunmen armed village bandits dead soldiers police troops people residents suspected abducted kidnapped"
-    " shooting open fire shot farmers worshippers"
-).split()
+TITLE_STOPWORDS = [
+    "attack", "attacks", "kill", "kills", "killed", "gunmen", "armed", "village", "bandits", "dead", "soldiers", "police", "troops", "people", "residents", "suspected", "abducted", "kidnapped",
+    "shooting", "open", "fire", "shot", "farmers", "worshippers",
+]
 TOWN_STOPWORDS = ["near", "and", "the", "from", "area"]
 
 
@@ -35,10 +37,19 @@ def _within(value: Column, of: Column, low: float, high: float) -> Column:
     return (value >= F.floor(of * low)) & (value <= F.ceil(of * high))
 
 
+def _seen(raw: str = "r", stored: str = "s", versioned: bool = True) -> Column:
+    """Whether a version of a stored row is the one that a report finds when its turn comes: made by an earlier report, and not yet replaced."""
+    if not versioned:
+        return F.lit(True)
+    seq, since, until = F.col(f"{raw}.seq"), F.col(f"{stored}.since"), F.col(f"{stored}.until")
+    return (since.isNull() | (since < seq)) & (until.isNull() | (seq <= until))
+
+
 def narrow_matches(raw: DataFrame, stored: DataFrame) -> DataFrame:
     """(raw_id, match_id): the first stored row (by createdAt, _id) within two days in the same state that one of six clauses ties to a raw one.
 
-    A raw row is dealt to each of its five days, so the join is an equality of state and day.
+    A raw row is dealt to each of its five days, so the join is an equality of state and day. Stored rows may be versions (since,
+    until) of which a raw row sees the one of its turn (seq).
     """
     day = F.col("date").cast("date")
     r = raw.withColumns({"d": F.explode(F.sequence(F.date_sub(day, 2), F.date_add(day, 2))), "tw": _words("town", 3, TOWN_STOPWORDS), "hw": F.slice(_words("title", 4, TITLE_STOPWORDS), 1, 3), "nlga": F.when(text("lga") == "", "Unknown").otherwise(F.col("lga"))}).alias("r")
@@ -52,8 +63,13 @@ def narrow_matches(raw: DataFrame, stored: DataFrame) -> DataFrame:
         (F.size("r.hw") >= 2) & F.forall("r.hw", lambda w: F.contains(F.lower("s.title"), w)) & group,
         (F.col("r.killed") > 0) & (F.col("r.kidnapped") > 0) & group & (F.col("s.killed") == F.col("r.killed")) & (F.col("s.kidnapped") == F.col("r.kidnapped")),
     ]
-    pairs = r.join(s, (F.lower("r.state") == F.lower("s.state")) & (F.col("r.d") == F.col("s.d"))).where(any_of([F.coalesce(c, F.lit(False)) for c in clauses]))
-    return _first(pairs, [F.col("s.createdAt"), F.col("s._id")])
+    on = (F.lower("r.state") == F.lower("s.state")) & (F.col("r.d") == F.col("s.d")) & _seen(versioned="since" in stored.columns)
+    return _first(r.join(s, on).where(any_of([F.coalesce(c, F.lit(False)) for c in clauses])), _age(stored))
+
+
+def _age(stored: DataFrame) -> list[Column]:
+    """The order in which stored rows (alias s) came: by createdAt, insertions of a batch by their turn, then by _id."""
+    return [F.col(c) for c in ("s.createdAt", *(["s.turn"] if "turn" in stored.columns else []), "s._id")]
 
 
 def _first(pairs: DataFrame, order: list[Column]) -> DataFrame:
@@ -68,65 +84,95 @@ def _known(c: str) -> Column:
 def broad_matches(raw: DataFrame, stored: DataFrame) -> DataFrame:
     """(raw_id, match_id): the oldest active stored row of the state that is the same event reported later, by clauses of place and scale.
 
-    Each clause is a join by its own equalities: state with town and group, or, with or without LGA, with a bucket of the number
-    kidnapped, or with the rarest three letters of a town's name that is to be found inside another.
+    Only the oldest counts, so stored rows are reduced to the oldest of each place and count, of each town's name, and of each town,
+    group and time before they meet a report; reports that ask the same are asked for once. What a join makes grows with
+    the different places, names and counts, not with the rows of a state.
+    """
+    versioned = "since" in stored.columns
+    when, turn = (["since", "until"], ["seq"]) if versioned else ([], [])
+    low = lambda c: F.lower(F.col(c)).alias(c)
+    bare = lambda c: F.lower(F.trim(F.col(c))).alias(c)
+    s = settled(stored.where(active()).select("_id", "date", low("state"), low("lga"), low("town"), low("group"), "kidnapped", *when), "followed-up")
+    r = settled(raw.select("_id", "date", low("state"), bare("lga"), bare("town"), low("group"), "kidnapped", _known("lga").alias("kl"), _known("town").alias("kt"), *turn), "follow-ups")
+    oldest = F.min(F.struct("date", "_id")).alias("oldest")
+    # A count and one within the factor 1.2 ^ reach of it are at most so many buckets of a logarithm to the base 1.2 apart.
+    bucket = F.floor(F.log(F.col("kidnapped").cast("double")) / F.log(F.lit(1.2)))
+
+    def by_count(rows: DataFrame, place: list[str], reach: int, low: float, high: float) -> DataFrame:
+        have = s.where("kidnapped > 0").groupBy(*place, "kidnapped", *when).agg(oldest).withColumn("kb", bucket).alias("s")
+        asked = rows.select(*place, "kidnapped", *turn).distinct().withColumn("kb", F.explode(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda i: i + bucket))).alias("r")
+        on = [F.col(f"r.{c}") == F.col(f"s.{c}") for c in [*place, "kb"]]
+        near = asked.join(have, _all(on)).where(_within(F.col("s.kidnapped"), F.col("r.kidnapped"), low, high) & _seen(versioned=versioned))
+        found = near.groupBy(*[F.col(f"r.{c}").alias(c) for c in [*place, "kidnapped", *turn]]).agg(F.min("s.oldest").alias("oldest"))
+        return rows.join(found, [*place, "kidnapped", *turn]).select("_id", "oldest")
+
+    def by_name() -> DataFrame:
+        names = settled(s.where("town IS NOT NULL AND lga IS NOT NULL").groupBy("state", "lga", "town", *when).agg(oldest), "stored-towns")
+        asked = r.where("kl AND kt").select("state", "lga", "town", *turn).distinct()
+        pairs = _town_inside(asked.select("state", "lga", "town").distinct(), names.select("state", "lga", "town").distinct())
+        held = pairs.join(names.select("state", "lga", F.col("town").alias("holder"), "oldest", *when), ["state", "lga", "holder"]).alias("s")
+        on = _all([F.col(f"r.{c}") == F.col(f"s.{c}") for c in ("state", "lga", "town")]) & _seen(versioned=versioned)
+        found = asked.alias("r").join(held, on).groupBy(*[F.col(f"r.{c}").alias(c) for c in ["state", "lga", "town", *turn]]).agg(F.min("s.oldest").alias("oldest"))
+        return r.where("kl AND kt").join(found, ["state", "lga", "town", *turn]).select("_id", "oldest")
+
+    def by_town() -> DataFrame:
+        # Both sides of 60 days are three buckets of as many; a bucket holds each time of a town and group once.
+        days = F.floor(F.unix_millis("date") / (60 * 86_400_000))
+        have = s.groupBy("state", "town", "group", "date", *when).agg(oldest).withColumn("b", days).alias("s")
+        told = r.where("kt").where(~F.trim(text("group")).isin([*V.UNKNOWN_GROUPS, ""]))
+        asked = told.select("state", "town", "group", "date", *turn).distinct().withColumn("b", F.explode(F.array(days - 1, days, days + 1))).alias("r")
+        apart = F.abs(F.unix_millis("s.date") - F.unix_millis("r.date")) <= 60 * 86_400_000
+        near = asked.join(have, _all([F.col(f"r.{c}") == F.col(f"s.{c}") for c in ("state", "town", "group", "b")])).where(apart & _seen(versioned=versioned))
+        found = near.groupBy(*[F.col(f"r.{c}").alias(c) for c in ["state", "town", "group", "date", *turn]]).agg(F.min("s.oldest").alias("oldest"))
+        return told.join(found, ["state", "town", "group", "date", *turn]).select("_id", "oldest")
+
+    place = ["state", "lga"]
+    found = by_count(r.where("kl AND kidnapped BETWEEN 10 AND 99"), place, 3, 0.8, 1.2)
+    # Rounding down and up widens 0.6 and 1.4 of counts from 100 on by less than a bucket; the narrower range is inside.
+    found = found.unionByName(by_count(r.where("kl AND kidnapped >= 100"), place, 4, 0.6, 1.4))
+    found = found.unionByName(by_count(r.where("kidnapped >= 50"), ["state"], 2, 0.8, 1.2)).unionByName(by_name()).unionByName(by_town())
+    return found.groupBy(F.col("_id").alias("raw_id")).agg(F.min("oldest").alias("o")).select("raw_id", F.col("o._id").alias("match_id"))
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
+
+
+def _town_inside(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(state, lga, town, holder): the different names of towns asked for, and those held in the same state and LGA that have one inside: joined by that three-letter piece of the asked name which the fewest held names of the place have."""
+
+    def pieces(name: Column, size: Column | int) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - size + 1, F.lit(1))), lambda i: F.substring(name, i, size)))
+
+    every = F.array_distinct(F.concat(*[F.filter(pieces(F.col("holder"), k), lambda g, k=k: F.length(g) == k) for k in (1, 2, 3)]))
+    grams = settled(held.withColumnRenamed("town", "holder").withColumn("gram", F.explode(every)), "town-pieces")
+    counts = grams.groupBy("state", "lga", "gram").agg(F.count("*").alias("n"))
+    wanted = asked.withColumn("gram", F.explode(pieces(F.col("town"), F.least(F.length("town"), F.lit(3)))))
+    rarest = wanted.join(counts, ["state", "lga", "gram"]).groupBy("state", "lga", "town").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return rarest.join(grams, ["state", "lga", "gram"]).where(F.contains("holder", F.col("town"))).select("state", "lga", "town", "holder")
+
+
+def cross_state_matches(raw: DataFrame, stored: DataFrame, added: DataFrame | None = None) -> DataFrame:
+    """(raw_id, match_id): of the ten first-created active rows of the same town in another state, of the day or a day next to it, the first that a shared source or like large counts confirm.
+
+    added (match_id, u, since) are addresses that earlier reports of the batch have brought to stored rows.
     """
-    r0, s0 = raw.withColumns({"kl": _known("lga"), "kt": _known("town")}), stored.where(active())
-    r, s = r0.alias("r"), s0.alias("s")
-    state, lga, kidnapped = _same("s.state", "r.state"), _same("s.lga", "r.lga"), F.col("r.kidnapped")
-    near = _within(F.col("s.kidnapped"), kidnapped, 0.8, 1.2)
-
-    def by_count(rows: DataFrame, reach: int, on: Column, where: Column) -> DataFrame:
-        # A count and one within the factor 1.2 ^ reach of it are at most so many buckets of a logarithm to the base 1.2 apart.
-        bucket = lambda c: F.floor(F.log(F.col(c).cast("double")) / F.log(F.lit(1.2)))
-        rk = rows.withColumn("kb", F.explode(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda i: i + bucket("kidnapped")))).alias("r")
-        return rk.join(s0.where("kidnapped > 0").withColumn("kb", bucket("kidnapped")).alias("s"), state & on & (F.col("r.kb") == F.col("s.kb"))).where(where)
-
-    in_lga = by_count(r0.where("kl AND kidnapped BETWEEN 10 AND 99"), 3, lga, near)
-    # Rounding down and up widens 0.6 and 1.4 of counts from 100 on by less than a bucket.
-    in_lga_wide = by_count(r0.where("kl AND kidnapped >= 100"), 4, lga, near | _within(F.col("s.kidnapped"), kidnapped, 0.6, 1.4))
-    in_state = by_count(r0.where("kidnapped >= 50"), 2, F.lit(True), near)
-    by_name = _town_inside(r0.where("kl AND kt"), s0)
-    told = ~F.lower(F.trim(text("r.group"))).isin([*V.UNKNOWN_GROUPS, ""])
-    apart = F.abs(F.unix_millis("s.date") - F.unix_millis("r.date")) <= 60 * 86_400_000
-    by_town = r.join(s, state & _same("s.town", "r.town") & _same("s.group", "r.group")).where(F.col("kt") & told & apart)
-    keep = [F.col("r._id").alias("raw_id"), F.col("s._id").alias("match_id"), F.col("s.date").alias("date")]
-    pairs = by_name.select(*keep)
-    for found in (in_lga, in_lga_wide, in_state, by_town):
-        pairs = pairs.unionByName(found.select(*keep))
-    pairs = pairs.distinct()
-    return pairs.withColumn("rn", F.row_number().over(W.partitionBy("raw_id").orderBy("date", "match_id"))).where("rn = 1").select("raw_id", "match_id")
-
-
-def _town_inside(raw: DataFrame, stored: DataFrame) -> DataFrame:
-    """Pairs (aliases r, s) of one state and LGA whose stored town's name holds the raw one's: joined by that three-letter piece of the raw name which the fewest stored names of the place have."""
-    place = [F.lower("state").alias("g_state"), F.lower("lga").alias("g_lga")]
-
-    def grams(name: Column, size: Column | int) -> Column:
-        pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - size + 1, F.lit(1))), lambda i: F.substring(name, i, size))
-        return F.explode(F.array_distinct(pieces))
-
-    town, wanted = F.lower("town"), F.lower(F.trim("town"))
-    held = stored.where("town IS NOT NULL").select("*", *place, F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("g_size")).select("*", grams(town, F.col("g_size")).alias("gram")).where(F.length("gram") == F.col("g_size"))
-    counts = held.groupBy("g_state", "g_lga", "gram").agg(F.count("*").alias("n"))
-    asked = raw.select(F.col("_id").alias("g_id"), *place, F.least(F.length(wanted), F.lit(3)).alias("g_size"), wanted.alias("g_town")).select("g_id", "g_state", "g_lga", "g_town", grams(F.col("g_town"), F.col("g_size")).alias("gram"))
-    rarest = asked.join(counts, ["g_state", "g_lga", "gram"]).groupBy("g_id").agg(F.min_by(F.struct("g_state", "g_lga", "gram"), F.struct("n", "gram")).alias("g")).select("g_id", "g.*")
-    r = raw.join(rarest, raw["_id"] == rarest["g_id"]).alias("r")
-    s = held.alias("s")
-    return r.join(s, (F.col("r.g_state") == F.col("s.g_state")) & (F.col("r.g_lga") == F.col("s.g_lga")) & (F.col("r.gram") == F.col("s.gram"))).where(F.contains(F.lower("s.town"), F.lower(F.trim("r.town"))))
-
-
-def cross_state_matches(raw: DataFrame, stored: DataFrame) -> DataFrame:
-    """(raw_id, match_id): of the ten first-created active rows of the same town in another state, of the day or a day next to it, the first that a shared source or like large counts confirm."""
     day = F.col("date").cast("date")
     r = raw.where(_known("town")).withColumns({"k": F.lower(F.trim("town")), "d": F.explode(F.sequence(F.date_sub(day, 1), F.date_add(day, 1)))}).alias("r")
     s = stored.where(active()).withColumns({"k": F.lower("town"), "d": day}).alias("s")
-    pairs = r.join(s, (F.col("r.k") == F.col("s.k")) & (F.col("r.d") == F.col("s.d")) & (F.lower("r.state") != F.lower("s.state")))
-    order = W.partitionBy("r._id").orderBy("s.createdAt", "s._id")
-    urls = lambda c: F.transform(F.coalesce(c, F.array()), lambda x: normalize_url(x["url"]))
-    shared = F.size(F.array_intersect(F.filter(urls("r.sources"), lambda u: u != ""), urls("s.sources"))) >= 1
+    pairs = r.join(s, (F.col("r.k") == F.col("s.k")) & (F.col("r.d") == F.col("s.d")) & (F.lower("r.state") != F.lower("s.state")) & _seen(versioned="since" in stored.columns))
+    order = W.partitionBy("r._id").orderBy(*_age(stored))
+    urls = lambda c: F.filter(F.transform(F.coalesce(c, F.array()), lambda x: normalize_url(x["url"])), lambda u: u != "")
+    shared = F.size(F.array_intersect(urls("r.sources"), urls("s.sources"))) >= 1
     large = (F.col("r.killed") >= 50) & _within(F.col("s.killed"), F.col("r.killed"), 0.8, 1.2) & F.col("r.kidnapped").eqNullSafe(F.col("s.kidnapped"))
     ten = pairs.select(F.col("r._id").alias("raw_id"), F.col("s._id").alias("match_id"), F.row_number().over(order).alias("rn"), (shared | F.coalesce(large, F.lit(False))).alias("ok")).where("rn <= 10")
+    if added is not None:
+        own = raw.select(F.col("_id").alias("raw_id"), "seq", F.explode(urls("sources")).alias("u"))
+        late = ten.join(own, "raw_id").join(added, ["match_id", "u"]).where("since < seq").select("raw_id", "match_id").distinct().withColumn("late", F.lit(True))
+        ten = ten.join(late, ["raw_id", "match_id"], "left").withColumn("ok", F.col("ok") | F.coalesce("late", F.lit(False)))
     return ten.where("ok").groupBy("raw_id").agg(F.min_by("match_id", "rn").alias("match_id"))
 
 
@@ -136,29 +182,112 @@ def with_hash(flat: DataFrame) -> DataFrame:
 
 def hash_matches(raw: DataFrame, stored: DataFrame) -> DataFrame:
     """(raw_id, match_id) of every raw row: the stored row of its hash, the smallest _id if there are several, or null."""
-    first = stored.groupBy("hash").agg(F.min("_id").alias("match_id"))
-    return raw.select(F.col("_id").alias("raw_id"), "hash").join(first, "hash", "left").select("raw_id", "match_id")
+    if "since" not in stored.columns:
+        first = stored.groupBy("hash").agg(F.min("_id").alias("match_id"))
+        return raw.select(F.col("_id").alias("raw_id"), "hash").join(first, "hash", "left").select("raw_id", "match_id")
+    s = stored.groupBy("hash", "since", "until").agg(F.min("_id").alias("match_id")).alias("s")
+    found = raw.alias("r").join(s, (F.col("r.hash") == F.col("s.hash")) & _seen(), "left")
+    return found.groupBy(F.col("r._id").alias("raw_id")).agg(F.min("s.match_id").alias("match_id"))
 
 
-def plan(raw: DataFrame, stored: DataFrame) -> DataFrame:
-    """(raw_id, action, target): merge (all fields), merge_sources (later reports), insert, or error (no town).
-
-    Hash, narrow, broad and cross-state matches are tried in this order against the stored rows. Raw rows of one batch with one
-    hash are one event: the smallest _id stands for it, the others merge into it. Rows are matched as they came, not as earlier
-    rows of the batch may have changed them.
-    """
-    hashed = with_hash(raw)
+def _decided(hashed: DataFrame, stored: DataFrame, added: DataFrame | None = None) -> DataFrame:
+    """(raw_id, action, target): what becomes of each report beside these stored rows: the first of hash, narrow, broad and cross-state matches, an error (no town, and none of its hash), or an insertion."""
     exact = hash_matches(hashed, stored).where("match_id IS NOT NULL")
-    steps = [(exact, "merge"), (narrow_matches(raw, stored), "merge"), (broad_matches(raw, stored), "merge_sources"), (cross_state_matches(raw, stored), "merge")]
+    placed = hashed.where("town IS NOT NULL")
+    steps = [(exact, "merge"), (narrow_matches(placed, stored), "merge"), (broad_matches(placed, stored), "merge_sources"), (cross_state_matches(placed, stored, added), "merge")]
     found = None
     for i, (m, action) in enumerate(steps):
         one = m.select("raw_id", F.struct(F.lit(i).alias("step"), F.lit(action).alias("action"), F.col("match_id").alias("target")).alias("m"))
         found = one if found is None else found.unionByName(one)
     best = found.groupBy("raw_id").agg(F.min("m").alias("m"))
-    first = hashed.groupBy("hash").agg(F.min("_id").alias("first_id"))
-    every = hashed.select(F.col("_id").alias("raw_id"), "hash", "town").join(first, "hash").join(best, "raw_id", "left")
-    action = F.when(F.col("town").isNull(), "error").when(F.col("m").isNotNull(), F.col("m.action")).when(F.col("raw_id") != F.col("first_id"), "merge").otherwise("insert")
-    return every.select("raw_id", action.alias("action"), F.when(F.col("town").isNotNull(), F.coalesce(F.col("m.target"), F.when(F.col("raw_id") != F.col("first_id"), F.col("first_id")))).alias("target"))
+    every = hashed.select(F.col("_id").alias("raw_id"), "town").join(best, "raw_id", "left")
+    action = F.when(F.col("m").isNotNull(), F.col("m.action")).when(F.col("town").isNull(), "error").otherwise("insert")
+    return every.select("raw_id", action.alias("action"), F.col("m.target").alias("target"))
+
+
+def _standing_for(acts: DataFrame, rows: DataFrame, keys: list[Column]) -> DataFrame:
+    """acts with one insertion for each value of keys: the report of smallest seq is inserted, the others merge into it."""
+    named = rows.select(F.col("_id").alias("raw_id"), "seq", *[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    names = [f"k{i}" for i in range(len(keys))]
+    new = acts.where("action = 'insert'").join(named, "raw_id").dropna(subset=names)
+    first = new.groupBy(*names).agg(F.min(F.struct("seq", "raw_id")).alias("first"))
+    others = new.join(first, names).where(F.col("raw_id") != F.col("first.raw_id")).select("raw_id", F.col("first.raw_id").alias("_first"))
+    moved = acts.join(others, "raw_id", "left")
+    return moved.select("raw_id", F.when(F.col("_first").isNotNull(), "merge").otherwise(F.col("action")).alias("action"), F.coalesce("_first", "target").alias("target"))
+
+
+def _in_turn(raw: DataFrame) -> DataFrame:
+    """raw with its hash and `seq`, which tells the order of reports; where there is none, _id does."""
+    return with_hash(raw if "seq" in raw.columns else raw.withColumn("seq", F.col("_id")))
+
+
+def plan(raw: DataFrame, stored: DataFrame) -> DataFrame:
+    """(raw_id, action, target): merge (all fields), merge_sources (later reports), insert, or error (no town), of reports that all find the stored rows as they were.
+
+    Hash, narrow, broad and cross-state matches are tried in this order. Raw rows of one batch with one hash are one event: the
+    first stands for it, the others merge into it. plan_in_order() also has what earlier reports of the batch have changed.
+    """
+    hashed = _in_turn(raw)
+    return _standing_for(settled(_decided(hashed, stored), "decided"), hashed, [F.col("hash")])
+
+
+def _as_it_was(hashed: DataFrame, stored: DataFrame, acts: DataFrame) -> DataFrame:
+    """stored and the insertions of acts as versions (since, until): a report of order seq sees those with since < seq <= until (null: from the start, to the end).
+
+    A merge ends a version and begins one with the larger counts; of merges with the same counts only the first makes one.
+    """
+    turn = hashed.schema["seq"].dataType
+    done = hashed.join(acts.select(F.col("raw_id").alias("_id"), "action", "target"), "_id")
+    new = inserted(done.where("action = 'insert'").drop("action", "target"), stored.columns, F.lit(LATEST))
+    new = new.join(hashed.select("_id", F.col("seq").alias("since"), F.col("seq").alias("turn")), "_id")
+    base = stored.withColumns({c: F.lit(None).cast(turn) for c in ("since", "turn")}).unionByName(new)
+    merged = done.where("action = 'merge' AND (killed IS NOT NULL OR kidnapped IS NOT NULL)").groupBy(F.col("target").alias("_of"), F.col("killed").alias("m_killed"), F.col("kidnapped").alias("m_kidnapped")).agg(F.min("seq").alias("m_seq"))
+    so_far = W.partitionBy("_of").orderBy("m_seq", "m_killed", "m_kidnapped")
+    steps = merged.select("_of", F.col("m_seq"), *[F.max(c).over(so_far).alias(c) for c in ("m_killed", "m_kidnapped")], F.lead("m_seq").over(so_far).alias("m_next"))
+    first = merged.groupBy("_of").agg(F.min("m_seq").alias("until"))
+    kept = base.join(first, base["_id"] == first["_of"], "left").drop("_of")
+    later = base.join(steps, base["_id"] == steps["_of"]).withColumns({"since": F.col("m_seq"), "until": F.col("m_next"), **{c: merge_count(F.col(c), F.col(f"m_{c}")) for c in ("killed", "kidnapped")}})
+    return kept.unionByName(later.select(kept.columns))
+
+
+#: Insertions of a batch come after all that is stored, in the order of their turns.
+LATEST = dt.datetime(9999, 1, 1)
+
+
+def plan_in_order(raw: DataFrame, stored: DataFrame) -> DataFrame:
+    """(raw_id, action, target) as plan(), of reports that come one after the other: each finds what the earlier ones have inserted and changed.
+
+    By rounds: the decisions of a round say in which versions the rows are seen at each turn, and all reports are decided anew beside
+    these, until no decision changes. Each round settles the first report that is not yet settled, and all that do not
+    depend on others; so the last round's are those of one pass in order, and there are as many rounds as the longest chain of
+    reports that depend on each other. Reports that would all be inserted, though an earlier one of the same hash, or day and place,
+    is inserted, are taken to merge into the first of them until a round says into which row.
+    """
+    hashed, day = settled(_in_turn(raw), "reports"), F.col("date").cast("date")
+    # Only of fields that an insertion leaves as they are: else the later report would not find it by them.
+    same = lambda c, kept=None: F.when(F.lower(sanitize(c) if kept is None else kept) == F.lower(c), F.lower(c))
+    state = same("state", normalize_state(sanitize("state")))
+    keys = [[F.col("hash")], [state, same("town"), day], [state, same("lga"), same("group"), day]]
+
+    def one_of_each(acts: DataFrame) -> DataFrame:
+        # Written at each step, for the next reads it more than once.
+        acts = settled(acts, "decided")
+        for k in keys:
+            acts = settled(_standing_for(acts, hashed, k), "decisions")
+        return acts
+
+    acts = one_of_each(_decided(hashed, stored))
+    urls = F.explode(F.filter(F.transform("sources", lambda x: normalize_url(x["url"])), lambda u: u != ""))
+    while True:
+        seen = settled(_as_it_was(hashed, stored, acts), "versions")
+        done = hashed.join(acts.select(F.col("raw_id").alias("_id"), "action", "target"), "_id").where("action IN ('merge', 'merge_sources')")
+        added = settled(done.select(F.col("target").alias("match_id"), urls.alias("u"), "seq").groupBy("match_id", "u").agg(F.min("seq").alias("since")), "added-sources")
+        new = one_of_each(_decided(hashed, seen, added))
+        # Null-safe, for insertions have no target.
+        kept = F.col("a.action").eqNullSafe(F.col("b.action")) & F.col("a.target").eqNullSafe(F.col("b.target"))
+        if acts.alias("a").join(new.alias("b"), F.col("a.raw_id") == F.col("b.raw_id")).where(~kept).isEmpty():
+            return new
+        acts = new
 
 
 def inserted(raw: DataFrame, columns: list[str], now: Column) -> DataFrame:
@@ -174,25 +303,40 @@ def inserted(raw: DataFrame, columns: list[str], now: Column) -> DataFrame:
 
 
 def apply(raw: DataFrame, stored: DataFrame, now: Column, actions: DataFrame | None = None) -> DataFrame:
-    """stored (flat, with hash) after raw reports have been taken in by plan(): merged, their sources added, or inserted under their own _id.
+    """stored (flat, with hash) after raw reports have been taken in by plan_in_order(): merged, their sources added, or inserted under their own _id.
 
     Run again with the same reports it changes nothing but what a second report of the same event would: inserted ones are then
     found by their hash, and hashes stay unique. Reports without usable sources are left out, as are those in error.
     """
-    ready = with_hash(usable(raw))
+    return upsert(stored, changes(raw, stored, now, actions))
+
+
+def changes(raw: DataFrame, stored: DataFrame, now: Column, actions: DataFrame | None = None) -> DataFrame:
+    """The rows that apply() adds to stored or changes there."""
     # Each step below reads the plan.
-    acts = settled(plan(ready, stored) if actions is None else actions, "ingest-plan")
-    hashed = ready.join(acts.select(F.col("raw_id").alias("_id"), "action", "target"), "_id")
-    new = inserted(hashed.where("action = 'insert'").drop("action", "target"), stored.columns, now)
-    base = stored.unionByName(new)
-    # Merges read the reports' own rows, so these stand beside the stored ones while pairs are folded.
-    reports = inserted(hashed.where("action = 'merge'").drop("action", "target"), stored.columns, now)
-    known = base.join(hashed.where("action = 'merge'").select(F.col("target").alias("_id")).distinct(), "_id", "left_semi")
-    pairs = hashed.where("action = 'merge'").select(F.col("target").alias("kept"), F.col("_id").alias("dropped"))
-    merged = merge_pairs(known.unionByName(reports), pairs)
-    out = upsert(base, merged)
-    more = hashed.where("action = 'merge_sources'").select(F.col("target").alias("_id"), "sources")
-    return upsert(out, add_sources(out, more))
+    ready = settled(_in_turn(usable(raw)), "usable-reports")
+    acts = settled(plan_in_order(ready, stored) if actions is None else actions, "ingest-plan")
+    done = ready.join(acts.select(F.col("raw_id").alias("_id"), "action", "target"), "_id")
+    new = settled(inserted(done.where("action = 'insert'").drop("action", "target"), stored.columns, now), "insertions")
+    return upsert(new, settled(merged_reports(stored.unionByName(new), done.where("action IN ('merge', 'merge_sources')"), now), "merges"))
+
+
+def merged_reports(base: DataFrame, done: DataFrame, now: Column) -> DataFrame:
+    """The rows of base that reports (with seq, action, target) are merged into, after them, in the order of seq: larger counts, a confirmed status and each address once for merges, new sources of all.
+
+    Sources are told apart by their address before they are gathered, so a row's list is no longer than what it comes to hold. A row
+    whose reports bring nothing is as it was, its updatedAt too.
+    """
+    whole = done.where("action = 'merge'").groupBy(F.col("target").alias("_id")).agg(*[F.max(c).alias(f"m_{c}") for c in CASUALTIES], F.max(F.coalesce(F.col("status") == "confirmed", F.lit(False))).alias("m_confirmed"))
+    clean = F.struct(*[sanitize(text(F.col("s")[c])).alias(c) for c in ("url", "title", "publisher")])
+    each = done.select(F.col("target").alias("_id"), "seq", F.posexplode("sources").alias("pos", "s")).withColumns({"s": clean, "k": normalize_url("s.url")}).where("k <> ''")
+    first = each.groupBy("_id", "k").agg(F.min(F.struct("seq", "pos", "s")).alias("x"))
+    more = first.groupBy("_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("x.seq", "x.pos", "x.s"))), lambda x: x["s"]).alias("m_sources"))
+    touched = base.join(whole.join(more, "_id", "full"), "_id")
+    new = {c: merge_count(F.col(c), F.col(f"m_{c}")) for c in CASUALTIES if c in base.columns} | {"status": F.when(F.col("m_confirmed"), "confirmed").otherwise(F.col("status")), "sources": F.when(F.col("m_confirmed").isNotNull(), merge_sources(F.col("sources"), F.col("m_sources"))).otherwise(F.concat(F.coalesce("sources", F.array()), new_sources(F.col("sources"), F.col("m_sources"))))}
+    differs = any_of([~F.col(c).eqNullSafe(v) for c, v in new.items()])
+    changed = touched.withColumn("_differs", differs).where("_differs").withColumns(new)
+    return (changed.withColumn("updatedAt", now) if "updatedAt" in base.columns else changed).select(base.columns)
 
 
 def counters(actions: DataFrame) -> DataFrame:

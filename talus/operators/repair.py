@@ -84,8 +84,8 @@ def fix_sources(flat: DataFrame, replacements: DataFrame | None = None) -> DataF
         rows = rows.join(replacements.select("_id", F.col("sources").alias("found")), "_id", "left")
     else:
         rows = rows.withColumn("found", F.lit(None).cast(flat.schema["sources"].dataType))
-    action = F.when(F.size("valid") == F.size("old"), "keep").when(F.size("valid") > 0, "prune").when(F.size(F.coalesce("found", F.array())) > 0, "replace").otherwise("delete")
-    action = F.when((F.size("old") == 0) & (F.size(F.coalesce("found", F.array())) == 0), "delete").otherwise(action)
+    whole = (F.size("old") > 0) & (F.size("valid") == F.size("old"))
+    action = F.when(whole, "keep").when(F.size("valid") > 0, "prune").when(F.size(F.coalesce("found", F.array())) > 0, "replace").otherwise("delete")
     return rows.select("_id", action.alias("action"), F.when(action == "replace", F.slice("found", 1, 3)).otherwise(F.col("valid")).alias("sources"))
 
 

@@ -69,7 +69,7 @@ def read_incidents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def insert_incidents(incidents: DataFrame, path: str) -> None:
-    """Appends the incidents whose hash the table at `path` lacks, one row for each hash (the smallest _id): writing a batch again adds nothing."""
+    """Appends the incidents whose hash the table at `path` lacks, one row for each hash (the smallest _id): writing a batch again adds nothing. For one writer at a time; sources.store.Store.insert() is for several."""
     stored = read_incidents(incidents.sparkSession, path).select("hash")
     first = incidents.groupBy("hash").agg(F.min("_id").alias("_first"))
     own = incidents.join(first, "hash").where(F.col("_id") == F.col("_first")).drop("_first").select(incidents.columns)
@@ -77,6 +77,6 @@ def insert_incidents(incidents: DataFrame, path: str) -> None:
 
 
 def write_incidents(incidents: DataFrame, path: str, mode: str = "append") -> None:
-    """Parquet by year and month, sorted by date inside files, so that date filters prune partitions and row groups."""
+    """Parquet by year and month, sorted by date inside files: a filter on `ym` (see filters.where) prunes partitions, one on the date row groups. A month of very many rows is written by many tasks."""
     dated = incidents.withColumn("ym", F.date_format("date", "yyyy-MM"))
-    dated.repartition("ym").sortWithinPartitions("ym", "date").write.mode(mode).partitionBy("ym").parquet(path)
+    dated.repartitionByRange("ym", "date", "_id").sortWithinPartitions("ym", "date").write.mode(mode).partitionBy("ym").parquet(path)

@@ -24,15 +24,19 @@ _EXPORT_DDL = (
 )
 
 
-def settled(df: DataFrame, tag: str) -> DataFrame:
-    """df written once to the shared folder (spark.checkpoint.dir; a temporary one on a local master) and read back, for what several later steps read: lineage ends here."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset, a temporary one if the master is local, else ValueError."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
+    if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{(base or os.path.join(tempfile.gettempdir(), 'checkpoints')).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return (base or os.path.join(tempfile.gettempdir(), "checkpoints")).rstrip("/")
+
+
+def settled(df: DataFrame, tag: str) -> DataFrame:
+    """df written once to the shared folder and read back, for what several later steps read: lineage ends here."""
+    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
@@ -77,6 +81,11 @@ def read_periods(spark: SparkSession, path: str, grid: DataFrame) -> DataFrame:
     return wanted.where(near_window(F.col("first").cast("timestamp"), F.col("last").cast("timestamp") + F.expr("INTERVAL 1 DAY") - F.expr("INTERVAL 1 MICROSECOND")))
 
 
+def write_periods(raw: DataFrame, path: str) -> None:
+    """Raw reports with the region and first day of the scan that found them, as read_periods() reads them."""
+    raw.write.partitionBy("region", "first").json(path)
+
+
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
     """A stream of raw reports from JSON lines as they land."""
     return spark.readStream.schema(RAW_DDL).json(path)
