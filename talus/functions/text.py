@@ -69,12 +69,22 @@ def _town_parts(t: Column) -> Column:
     return F.filter(both, lambda x: x != "")
 
 
+def town_forms(c: Column | str) -> dict[str, Column]:
+    """What towns_met() needs of a town: its name lower-cased, its words, and its names without and within parentheses."""
+    name = F.lower(trim_all(text(c)))
+    return {"name": name, "words": words(name, 3, V.TOWN_FILLERS), "parts": _town_parts(name)}
+
+
+def towns_met(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """One name inside the other, a shared word, or a name that is close to the other's: of the forms of two towns."""
+    shared = F.arrays_overlap(a["words"], b["words"])
+    close = F.exists(a["parts"], lambda x: F.exists(b["parts"], lambda y: F.contains(x, y) | F.contains(y, x) | (similarity(x, y) > 0.75)))
+    return (a["name"] != "") & (b["name"] != "") & (F.contains(a["name"], b["name"]) | F.contains(b["name"], a["name"]) | F.coalesce(shared, F.lit(False)) | close)
+
+
 def towns_overlap(a: Column | str, b: Column | str) -> Column:
-    """One name inside the other, a shared word, or a name that is close to the other's: for towns written in several ways."""
-    t1, t2 = F.lower(trim_all(text(a))), F.lower(trim_all(text(b)))
-    shared = F.arrays_overlap(words(t1, 3, V.TOWN_FILLERS), words(t2, 3, V.TOWN_FILLERS))
-    close = F.exists(_town_parts(t1), lambda x: F.exists(_town_parts(t2), lambda y: F.contains(x, y) | F.contains(y, x) | (similarity(x, y) > 0.75)))
-    return (t1 != "") & (t2 != "") & (F.contains(t1, t2) | F.contains(t2, t1) | F.coalesce(shared, F.lit(False)) | close)
+    """towns_met() of two towns written in several ways."""
+    return towns_met(town_forms(a), town_forms(b))
 
 
 def _lookup(pairs: dict[str, str]) -> Column:

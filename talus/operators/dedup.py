@@ -15,18 +15,19 @@ from ..sources.files import settled
 from . import judge, score
 
 
-def near_in_time(left: DataFrame, right: DataFrame, keys: list[Column], days: int) -> DataFrame:
+def near_in_time(left: DataFrame, right: DataFrame, keys: list[Column], days: int, parts: int = 4) -> DataFrame:
     """Pairs (aliases a, b) equal in `keys` (of names common to both) and at most `days` apart.
 
-    Days are dealt into buckets of `days`; a left row goes to its own bucket and both neighbours, so the join is an equality of
-    keys and bucket, and no state's rows meet all at once.
+    Days are dealt into buckets of a part of `days`; a left row goes to each bucket that its days reach, so the join is an equality of
+    keys and bucket, and no state's rows meet all at once: a state of a third of all rows is as many groups as it has buckets.
     """
-    width = max(1, days)
+    width = max(1, -(-days // parts))
+    reach = -(-days // width)
 
     def bucket() -> Column:
         return F.floor(F.datediff("f_day", F.lit("1970-01-01")) / width)
 
-    a = left.withColumn("_bucket", F.explode(F.array(bucket() - 1, bucket(), bucket() + 1))).alias("a")
+    a = left.withColumn("_bucket", F.explode(F.array(*[bucket() + i for i in range(-reach, reach + 1)]))).alias("a")
     b = right.withColumn("_bucket", bucket()).alias("b")
     on = F.col("a._bucket") == F.col("b._bucket")
     for k in keys:
@@ -38,16 +39,19 @@ def near_in_time(left: DataFrame, right: DataFrame, keys: list[Column], days: in
 def _scored(pairs: DataFrame, threshold: float) -> DataFrame:
     """(id_a, id_b, score, reason) of the pairs of at least `threshold`: the sum itself is compared, and rounded only to be shown.
 
-    Parts are computed in the order of their cost, the dear ones only where a pair can still reach the threshold with all that is
-    left; what the last step adds up is the plain sum of all parts in their own order.
+    What several parts go by is measured once. Parts are computed in the order of their cost, the dear ones only where a pair can
+    still reach the threshold with all that is left, and the reason for the pairs that reach it; what the last step adds up
+    is the plain sum of all parts in their own order.
     """
-    p, told = score.parts(), score.details()
+    measures = score.measures()
+    m = {n: F.col(n) for n in measures}
+    p = score.parts(m=m)
     keep = [F.least("a._id", "b._id").alias("id_a"), F.greatest("a._id", "b._id").alias("id_b")]
     dear = ("s_alike", "s_words")
     rest = {"s_alike": score.MOST["s_words"], "s_words": 0.0}
     cheap = [c.alias(n) for n, c in p.items() if n not in dear]
     words = ["a.f_words", "b.f_words", "a.f_title", "b.f_title"]
-    now = pairs.select(*keep, *cheap, *[c.alias(n) for n, c in told.items()], *[F.col(w).alias(w.replace(".", "_")) for w in words])
+    now = pairs.withColumns(measures).select(*keep, *cheap, *m, *[c.alias(n) for n, c in score.told().items()], *[F.col(w).alias(w.replace(".", "_")) for w in words])
     sum_of = lambda names: score.total({n: F.col(n) for n in names})
     have = [n for n in p if n not in dear]
     now = now.where(sum_of(have) + score.MOST["s_alike"] + score.MOST["s_words"] >= threshold - 1e-9)
@@ -61,8 +65,8 @@ def _scored(pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def scan(flat: DataFrame, threshold: float = score.THRESHOLD, include_deleted: bool = True) -> DataFrame:
-    """(id_a, id_b, score, reason) of all pairs of one state within the window."""
-    rows = score.features(flat if include_deleted else flat.where(active()))
+    """(id_a, id_b, score, reason) of all pairs of one state within the window. Both sides of the join read the features, which are written once."""
+    rows = settled(score.features(flat if include_deleted else flat.where(active())), "features")
     return _scored(near_in_time(rows, rows, ["f_state"], score.WINDOW_DAYS).where("a._id < b._id"), threshold)
 
 
@@ -73,7 +77,7 @@ def scan_state(flat: DataFrame, state: str, threshold: float = score.THRESHOLD)
 
 def scan_recent(flat: DataFrame, since: Column, threshold: float = score.THRESHOLD) -> DataFrame:
     """Pairs of which one row at least was created since then; each unordered pair once."""
-    rows = score.features(flat)
+    rows = settled(score.features(flat), "features")
     pairs = near_in_time(rows.where(F.col("createdAt") >= since), rows, ["f_state"], score.WINDOW_DAYS).where("a._id <> b._id")
     return _scored(pairs, threshold).dropDuplicates(["id_a", "id_b"])
 
