@@ -36,7 +36,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     name = F.when(F.col("doc_id") % 50 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     folder = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 10000).cast("string"), F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 100).cast("string"))
-    return licenses.scan(docs.select(F.col("doc_id").alias("file_id"), F.concat_ws("/", folder, name).alias("path"), "text")).withColumnRenamed("file_id", "doc_id")
+    return licenses.scan(docs.select(F.col("doc_id").alias("file_id"), F.concat_ws("/", folder, name).alias("path"), "text")).withColumnRenamed("file_id", "doc_id").withColumn("licenses", F.concat_ws(",", "licenses"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,9 @@ QUERIES = {
     )
 }
 
-_TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, a, b.replace("'", "''")) for i, (a, b) in enumerate(licenses.TEMPLATES))
+_TEMPLATES = ", ".join("({}, '{}', '{}', {}::VARCHAR[], {}::VARCHAR[])".format(i, a, b.replace("'", "''"), licenses.needs(b), licenses.bars(a)) for i, (a, b) in enumerate(licenses.TEMPLATES))
+_DENIAL = "regexp_matches(lower({}), '" + licenses.DENIAL.replace("'", "''") + "')"
+_SURE = "CASE license WHEN 'All-Rights-Reserved' THEN 1 WHEN 'BSD' THEN 2 ELSE 3 END"
 _WORDS = "unnest(regexp_extract_all(lower({}), '[a-z0-9]+(?:[.-][a-z0-9]+)*'))"
 _CUE = "(" + " OR ".join(f"contains(lower({{0}}), '{c}')" for c in licenses.CUES) + ")"
 
@@ -106,20 +108,25 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
     "op5_license_scan": f"""
 WITH files AS (SELECT doc_id, text, source || '/' || (doc_id // 10000) || '/' || (doc_id // 1000) || '/' || (doc_id // 100) AS dir, CASE WHEN doc_id % 50 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS name FROM documents),
 s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.;!?])\\s+', '\\1' || chr(10), 'g'), chr(10))) AS sentence, generate_subscripts(string_split(regexp_replace(text, '([.;!?])\\s+', '\\1' || chr(10), 'g'), chr(10)), 1) AS place FROM files WHERE {_CUE.format("text")}),
-n AS (SELECT doc_id, place, token, count(*) AS tf FROM (SELECT doc_id, place, {_WORDS.format("sentence")} AS token FROM s WHERE {_CUE.format("sentence")}) GROUP BY ALL),
+n AS (SELECT doc_id, place, token, count(*) AS tf FROM (SELECT doc_id, place, {_WORDS.format("sentence")} AS token FROM s WHERE {_CUE.format("sentence")} AND NOT {_DENIAL.format("sentence")}) GROUP BY ALL),
 df AS (SELECT token, count(*) AS df FROM n GROUP BY token), total AS (SELECT count(*) AS n FROM (SELECT DISTINCT doc_id, place FROM n)),
-w AS (SELECT doc_id, place, token, tf * (ln((total.n + 1.0::double) / (df + 1.0::double)) + 1.0::double) AS w FROM n JOIN df USING (token), total),
+w AS (SELECT doc_id, place, token, tf, tf * (ln((total.n + 1.0::double) / (df + 1.0::double)) + 1.0::double) AS w FROM n JOIN df USING (token), total),
 norm AS (SELECT doc_id, place, sqrt(sum(w * w)) AS norm FROM w GROUP BY ALL),
-t AS (SELECT template, license, token, count(*) AS tf FROM (SELECT template, license, {_WORDS.format("notice")} AS token FROM (VALUES {_TEMPLATES}) v(template, license, notice)) GROUP BY ALL),
-tw AS (SELECT template, license, token, tf * (ln((total.n + 1.0::double) / (coalesce(df, 0) + 1.0::double)) + 1.0::double) AS tw FROM t LEFT JOIN df USING (token), total),
+v(template, license, notice, needs, bars) AS (VALUES {_TEMPLATES}),
+t AS (SELECT template, license, token, count(*) AS ttf FROM (SELECT template, license, {_WORDS.format("notice")} AS token FROM v) GROUP BY ALL),
+tw AS (SELECT template, license, token, ttf, ttf * (ln((total.n + 1.0::double) / (coalesce(df, 0) + 1.0::double)) + 1.0::double) AS tw FROM t LEFT JOIN df USING (token), total),
 tn AS (SELECT *, sqrt(sum(tw * tw) OVER (PARTITION BY template)) AS tnorm FROM tw),
-c AS (SELECT doc_id, license, template, round(sum(w * tw) / (norm * tnorm), 6) AS cosine FROM w JOIN tn USING (token) JOIN norm USING (doc_id, place) GROUP BY doc_id, place, license, template, norm, tnorm),
-own AS (SELECT doc_id, arg_max(license, (cosine, -template)) AS own_license, max(cosine) AS cosine FROM c WHERE cosine >= {licenses.THRESHOLD} GROUP BY doc_id),
-named AS (SELECT files.doc_id, dir, name, own_license, cosine FROM files LEFT JOIN own USING (doc_id)),
-lic AS (SELECT dir AS ancestor, arg_max(own_license, (cosine, own_license)) AS dir_license FROM named WHERE lower(name) = 'license' AND own_license IS NOT NULL GROUP BY dir),
+c AS (SELECT doc_id, place, license, template, sum(least(tf, ttf)) AS explained, round(sum(w * tw) / (norm * tnorm), 6) AS cosine FROM w JOIN tn USING (token) JOIN norm USING (doc_id, place) GROUP BY doc_id, place, license, template, norm, tnorm),
+held AS (SELECT doc_id, place, list(token) AS tokens FROM n GROUP BY ALL),
+best AS (SELECT c.doc_id, place, c.license, cosine, {_SURE.replace("license", "c.license")} AS sure, explained, template FROM c JOIN v USING (template) JOIN held USING (doc_id, place) WHERE cosine >= {licenses.THRESHOLD} AND list_has_all(tokens, needs) AND NOT list_has_any(tokens, bars)
+QUALIFY row_number() OVER (PARTITION BY c.doc_id, place ORDER BY sure DESC, explained DESC, cosine DESC, template) = 1),
+matched AS (SELECT doc_id, arg_max(license, (sure, explained, cosine, -template)) AS license, arg_max(cosine, (sure, explained, cosine, -template)) AS cosine, max(sure) AS surest, list_sort(list(DISTINCT license)) AS listed, list_sort(list(DISTINCT license) FILTER (WHERE sure = 3)) AS surer FROM best GROUP BY doc_id),
+own AS (SELECT doc_id, license AS own_license, cosine, array_to_string(CASE WHEN surest = 3 THEN surer ELSE [license] END, ',') AS own_licenses FROM matched),
+named AS (SELECT files.doc_id, dir, name, own_license, cosine, own_licenses FROM files LEFT JOIN own USING (doc_id)),
+lic AS (SELECT dir AS ancestor, arg_max(own_license, (cosine, own_license)) AS dir_license, arg_max(own_licenses, (cosine, own_license, own_licenses)) AS dir_licenses FROM named WHERE lower(name) = 'license' AND own_license IS NOT NULL GROUP BY dir),
 up AS (SELECT dir, array_to_string(string_split(dir, '/')[1:k], '/') AS ancestor FROM (SELECT dir, unnest(range(1, len(string_split(dir, '/')) + 1)) AS k FROM (SELECT DISTINCT dir FROM files))),
-near AS (SELECT dir, arg_max(dir_license, length(ancestor)) AS inherited_license, arg_max(ancestor, length(ancestor)) AS inherited_from FROM up JOIN lic USING (ancestor) GROUP BY dir)
-SELECT doc_id, dir || '/' || name AS path, own_license, cosine, inherited_license, inherited_from, coalesce(own_license, inherited_license) AS license FROM named LEFT JOIN near USING (dir)""",
+near AS (SELECT dir, arg_max(dir_license, length(ancestor)) AS inherited_license, arg_max(dir_licenses, length(ancestor)) AS inherited_licenses, arg_max(ancestor, length(ancestor)) AS inherited_from FROM up JOIN lic USING (ancestor) GROUP BY dir)
+SELECT doc_id, dir || '/' || name AS path, own_license, cosine, inherited_license, inherited_from, coalesce(own_license, inherited_license) AS license, coalesce(own_licenses, inherited_licenses, '') AS licenses FROM named LEFT JOIN near USING (dir)""",
     "op6_line_dedup": """
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents WHERE doc_id IS NOT NULL),
 k AS (SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
