@@ -1,14 +1,15 @@
-"""Benchmark decontamination: rare word n-grams of test items are seeds that find passages in training documents; Smith-Waterman alignment scores each distinct passage once, so edited and paraphrased copies count."""
+"""Benchmark decontamination: word n-grams of test items that are rare in the training documents are seeds that find passages in them; Smith-Waterman alignment scores each distinct passage once, so edited and paraphrased copies count."""
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,12 +17,13 @@ from pyspark.sql import functions as F
 from .common import durable, mapped, texts
 from .neardup import gram_hashes
 
-SEED_WORDS = 3
+#: Words of a seed, and of those of items of at most SHORT words: with words put in between, a short copy seldom has three in a row.
+SEED_WORDS, SHORT_SEED_WORDS, SHORT = 3, 2, 10
 MATCH, MISMATCH, GAP = 2, 1, 1
 #: Of the score of a whole copy.
 THRESHOLD = 0.6
-#: Bits of the numbers of the filter's slots: a fixed size, whatever the benchmark's.
-FILTER_BITS = 24
+#: N-grams of items that tasks hold at a time (9 bytes each, and 8 to 16 slots of a byte in a filter); more go in groups of items, each with its own pass over the documents.
+TOGETHER = 1 << 22
 
 _MARKS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -89,8 +91,8 @@ def _losses(n_words: int, threshold: float) -> Iterator[tuple[int, int]]:
 
 
 def seed_size(n_words: int, threshold: float, most: int = SEED_WORDS) -> int:
-    """The words of a seed: `most`, or what every copy of at least `threshold` surely has in a row if that is less."""
-    return max(1, min(most, n_words, *(math.ceil((n_words - x - ends) / (x + 1)) for x, ends in _losses(n_words, threshold))))
+    """The words of a seed: `most`, or SHORT_SEED_WORDS for short items, or what every copy of at least `threshold` surely has in a row if that is less."""
+    return max(1, min(most, SHORT_SEED_WORDS if n_words <= SHORT else most, n_words, *(math.ceil((n_words - x - ends) / (x + 1)) for x, ends in _losses(n_words, threshold))))
 
 
 def least_seeds(n_words: int, threshold: float, size: int) -> int:
@@ -120,87 +122,115 @@ def _item_grams(items: DataFrame, size: int, threshold: float) -> DataFrame:
     return mapped(items, run, "item_id long, gram long, times int, size int, least int, reach int")
 
 
-def seeds(grams: DataFrame) -> DataFrame:
-    """grams without the most frequent ones of each item: a copy has `least` places of them at least, so least - 1 places can be spared and it still has a seed.
+class Known:
+    """Sorted n-grams, with a power of two that each one's reach is below, behind a filter of slots of their low bits."""
+
+    def __init__(self, grams: np.ndarray, reach: np.ndarray):
+        order = np.argsort(grams)
+        self.grams, self.reach = grams[order], np.frexp(reach[order].astype(np.float64))[1].astype(np.uint8)
+        self.mask = np.uint64((1 << max(10, len(grams).bit_length() + 3)) - 1)
+        self.slots = np.zeros(int(self.mask) + 1, dtype=bool)
+        self.slots[self.grams & self.mask] = True
+
+    def __call__(self, words: list[bytes], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the text, number of the n-gram) of each known n-gram of a text; none but exact hits."""
+        at, found = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for size in sizes:
+            if len(words) >= size and len(self.grams):
+                grams = gram_hashes(words, size)
+                (hit,) = np.nonzero(self.slots[grams & self.mask])
+                place = np.minimum(np.searchsorted(self.grams, grams[hit]), len(self.grams) - 1)
+                exact = self.grams[place] == grams[hit]
+                at.append(hit[exact])
+                found.append(place[exact])
+        return np.concatenate(at), np.concatenate(found)
+
+
+def known(grams: DataFrame) -> Broadcast[Known]:
+    """The distinct n-grams of grams (gram, reach), of which there are about TOGETHER at most, for tasks to look up."""
+    rows = grams.groupBy("gram").agg(F.max("reach").alias("reach")).toArrow()
+    return grams.sparkSession.sparkContext.broadcast(Known(rows["gram"].to_numpy().view(np.uint64), rows["reach"].to_numpy()))
 
-    Frequency is the number of items that hold the n-gram, so what a benchmark's templates repeat goes first.
-    """
-    df = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    order = W.partitionBy("item_id").orderBy(F.desc("df"), "gram")
-    return grams.join(df, "gram").withColumn("spared", F.sum("times").over(order)).where("spared >= least").select("item_id", "gram", "size", "reach")
 
+def gram_counts(docs: DataFrame, grams: Broadcast[Known], sizes: list[int]) -> DataFrame:
+    """(gram, times): how often the documents hold each known n-gram; each task sums before anything moves."""
 
-def seed_filter(grams: DataFrame) -> np.ndarray:
-    """For each slot of the filter, the bits that the largest reach of its seeds takes, 0 where there is none; blocks of slots are made on the executors."""
-    mask, low = (1 << FILTER_BITS) - 1, 15
-    slots = grams.groupBy(F.col("gram").bitwiseAND(mask).alias("slot")).agg(F.max("reach").alias("reach")).withColumn("block", F.shiftright("slot", low).cast("int"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = grams.value
+        for b in batches:
+            found, times = np.unique(np.concatenate([every(words_of(t), sizes)[1] for t in b["text"]]), return_counts=True)
+            yield pd.DataFrame({"gram": every.grams[found].view(np.int64), "times": times})
 
-    def pack(x: pd.DataFrame) -> pd.DataFrame:
-        own = np.zeros(1 << low, dtype=np.uint8)
-        own[x["slot"].to_numpy() & ((1 << low) - 1)] = [int(r).bit_length() for r in x["reach"]]
-        return pd.DataFrame({"block": [x["block"].iloc[0]], "bits": [zlib.compress(own.tobytes(), 1)]})
+    return mapped(docs, run, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times"))
 
-    out, width = np.zeros(1 << FILTER_BITS, dtype=np.uint8), 1 << low
-    for r in slots.groupBy("block").applyInPandas(pack, "block int, bits binary").collect():
-        out[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(zlib.decompress(r["bits"]), dtype=np.uint8)
-    return out
+
+def seeds(grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """grams without the most frequent ones of each item: a copy has `least` places of them at least, so least - 1 places can be spared and it still has a seed.
+
+    Frequency is how often the documents hold the n-gram, so what any text may say goes first.
+    """
+    order = W.partitionBy("item_id").orderBy(F.desc("df"), "gram")
+    df = counts.select("gram", F.col("times").alias("df"))
+    return grams.join(df, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("spared", F.sum("times").over(order)).where("spared >= least").select("item_id", "gram", "size", "reach")
 
 
-def _passages(docs: DataFrame, slots, sizes: list[int]) -> DataFrame:
-    """(doc_id, key, start, words, grams): what lies within reach of the seeds that the filter knows; equal passages have one key.
+def _passages(docs: DataFrame, grams: Broadcast[Known], sizes: list[int]) -> DataFrame:
+    """(doc_id, key, start, words, grams): what lies within reach of the seeds; equal passages have one key.
 
     Each seed reaches as far as its own items need, so an item of any length widens only what its own seeds find.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, mask = slots.value, np.uint64((1 << FILTER_BITS) - 1)
+        every = grams.value
         for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 words = words_of(text)
-                at, found, far = [], [], []
-                for size in sizes:
-                    if len(words) < size:
-                        continue
-                    grams = gram_hashes(words, size)
-                    bits = known[grams & mask]
-                    (hit,) = np.nonzero(bits)
-                    at.append(hit)
-                    found.append(grams[hit])
-                    far.append(bits[hit])
-                if not at or not sum(map(len, at)):
+                at, found = every(words, sizes)
+                if not len(at):
                     continue
-                at, found, far = np.concatenate(at), np.concatenate(found), np.int64(1) << np.concatenate(far).astype(np.int64)
+                far = np.int64(1) << every.reach[found].astype(np.int64)
                 low, high = np.maximum(at - far, 0), np.minimum(at + far + max(sizes), len(words))
                 order = np.lexsort((at, low))
-                low, high, found = low[order], np.maximum.accumulate(high[order]), found[order].view(np.int64)
+                low, high, found = low[order], np.maximum.accumulate(high[order]), every.grams[found[order]].view(np.int64)
                 for own in np.split(np.arange(len(low)), np.nonzero(low[1:] > high[:-1])[0] + 1):
                     start, end = int(low[own[0]]), int(high[own[-1]])
-                    passage, grams = b" ".join(words[start:end]), np.unique(found[own])
-                    key = hashlib.blake2b(passage + b"\0" + grams.tobytes(), digest_size=16).digest()
-                    rows.append((doc_id, key, start, passage, grams))
+                    passage, held = b" ".join(words[start:end]), np.unique(found[own])
+                    key = hashlib.blake2b(passage + b"\0" + held.tobytes(), digest_size=16).digest()
+                    rows.append((doc_id, key, start, passage, held))
             yield pd.DataFrame(rows, columns=["doc_id", "key", "start", "words", "grams"])
 
     return mapped(docs, run, "doc_id long, key binary, start long, words binary, grams array<long>")
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, size: int = SEED_WORDS, threshold: float = THRESHOLD) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, size: int = SEED_WORDS, threshold: float = THRESHOLD, together: int = TOGETHER) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word) of documents that hold a copy of an item, exact, edited or in part.
 
     docs (doc_id, text) and items (item_id, text) are taken whole. score is the Smith-Waterman score of words (+2, -1, gap -1)
     as a part of that of a whole copy; pairs of at least `threshold` come back, once each with their best passage (on ties the
     first). No pair is lost whose copy exchanges words or leaves them out, for such a copy has a seed (see seed_size() and
-    seeds()); with words put in between, it has one unless they break every run of `size` words.
+    seeds()); with words put in between, it has one unless they break every run of the seed's words that is not spared.
+    The documents are read twice, to count the items' n-grams and to find the seeds, for each `together` n-grams of items.
 
     Texts and items of any length are taken whole; items of fewer words than `size` are sought by fewer; items without words, and
     null texts, match nothing; rows without an id go; repeated rows and ids give one row; empty tables give an empty one; other
     columns are not read.
     """
-    spark, tests = docs.sparkSession, texts(items, "item_id").distinct()
+    tests, base = texts(items, "item_id").distinct(), texts(docs)
     grams = durable(_item_grams(tests, size, threshold), "item-grams")
-    rare = durable(seeds(grams), "seeds")
-    sizes = sorted(r["size"] for r in rare.select("size").distinct().collect())  # SEED_WORDS values at most
-    found = durable(_passages(texts(docs), spark.sparkContext.broadcast(seed_filter(rare)), sizes), "passages")
+    groups = -(-grams.count() // together)
+    if groups <= 1:
+        return _leaks(base, tests, grams, threshold)
+    group = lambda c: F.pmod(F.xxhash64(c), F.lit(groups))
+    parts = [_leaks(base, tests.where(group("doc_id") == g), grams.where(group("item_id") == g), threshold) for g in range(groups)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _leaks(docs: DataFrame, tests: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
+    sizes = sorted(r["size"] for r in grams.select("size").distinct().collect())  # SEED_WORDS values at most
+    counts = durable(gram_counts(docs, known(grams), sizes), "gram-counts")
+    rare = durable(seeds(grams, counts), "seeds")
+    found = durable(_passages(docs, known(rare), sizes), "passages")
     # Each distinct passage meets each item that it shares a seed with, however frequent, and is aligned once.
     passages = found.groupBy("key").agg(F.first("words").alias("words"), F.first("grams").alias("grams"))
     hits = passages.select("key", F.explode("grams").alias("gram"))
