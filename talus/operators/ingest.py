@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.dates import narrative_date, reconcile
-from ..functions.text import any_of, attack_hash, normalize_state, sanitize, text, tokenize
-from ..functions.urls import chunk_score, extract_domain, html_title, is_trusted_source, is_usable_url, location_tokens, normalize_url, published_date, root_domain, semantic_tokens, source_relevant
+from ..functions.text import any_of, attack_hash, bound, normalize_state, sanitize, text, tokenize
+from ..functions.urls import chunk_score, extract_domain, html_title, is_trusted_source, is_usable_url, location_tokens, normalize_url, published_date, root_domain, semantic_tokens, shared_words, source_relevant
 from ..schema import CASUALTIES, active
 from ..sources.files import settled
 from .classify import is_operational_update
@@ -425,9 +425,9 @@ def inspected(raw: DataFrame, pages: DataFrame, last: Column, most: int = MOST_S
 
 def normalized(raw: DataFrame, first: Column, last: Column, redirects: DataFrame | None = None, pages: DataFrame | None = None, most_sources: int = MOST_SOURCES, days: int = SOURCE_AGE_DAYS) -> DataFrame:
     """Raw reports made ready: trusted sources, canonical state, required fields, no operational updates, the date that the narrative tells, inside the window, distinct sources, redirects followed, pages inspected, `most_sources` of them at most."""
-    out = raw.withColumn("sources", F.filter(F.coalesce("sources", F.array()), lambda s: is_trusted_source(s["url"], s["publisher"]))).where(F.size("sources") > 0)
+    out = raw.repartition("_id").withColumn("sources", F.filter(F.coalesce("sources", F.array()), lambda s: is_trusted_source(s["url"], s["publisher"]))).where(F.size("sources") > 0)
     out = out.withColumn("state", normalize_state("state")).where(complete(out)).where(~is_operational_update())
-    out = out.withColumn("date", reconcile(F.col("date"), F.coalesce(narrative_date("description"), F.col("date")))).where(F.col("date").between(first, last))
+    out = out.withColumn("date", bound(F.coalesce(narrative_date("description"), F.col("date")), lambda told: reconcile(F.col("date"), told))).where(F.col("date").between(first, last))
     same = lambda s: F.lower(F.concat_ws("|", text(s["url"]), text(s["title"]), text(s["publisher"])))
     keys = lambda xs: F.transform(xs, same)
     out = out.withColumn("_keys", keys(F.col("sources"))).withColumn("sources", F.filter("sources", lambda s, i: F.array_position(F.col("_keys"), same(s)) == i + 1)).drop("_keys")
@@ -458,8 +458,10 @@ def chunk_addresses(raw: DataFrame, chunks: DataFrame) -> DataFrame:
     each = raw.select(F.col("_id").alias("raw_id"), "state", "lga", "town", "title", "group", "description", F.posexplode("sources").alias("pos", "s"))
     told = each.withColumn("_places", location_tokens("state", "lga", "town")).withColumn("_meaning", semantic_tokens("title", "group", "description", F.col("_places")))
     c = chunks.where("uri IS NOT NULL AND uri <> '' AND title IS NOT NULL AND title <> ''").select("raw_id", F.col("pos").alias("c_pos"), "uri", F.col("title").alias("c_title"))
-    pairs = told.where(_wanting(F.col("s.url"))).join(c, "raw_id")
-    domain, relevant = extract_domain("uri"), source_relevant(F.col("_places"), F.col("_meaning"), "c_title", "uri")
+    # Dealt out before words are compared: however few files the reports lie in, all tasks take part.
+    pairs = told.where(_wanting(F.col("s.url"))).join(c, "raw_id").repartition("raw_id")
+    pairs = pairs.withColumn("_domain", extract_domain("uri")).withColumn("_relevant", source_relevant(F.col("_places"), F.col("_meaning"), "c_title", "uri"))
+    domain, relevant = F.col("_domain"), F.col("_relevant")
     trusted = domain.isin(V.TRUSTED_DOMAINS) | root_domain(domain).isin(V.TRUSTED_DOMAINS)
     publisher = F.lower(text("s.publisher"))
     own = F.lit(None).cast("string")
@@ -468,7 +470,9 @@ def chunk_addresses(raw: DataFrame, chunks: DataFrame) -> DataFrame:
     of_publisher = F.coalesce((domain == own) | F.endswith(domain, F.concat(F.lit("."), own)), F.lit(False))
     scored = pairs.withColumn("score", chunk_score("s.title", "s.publisher", "c_title", "uri", relevant))
     tier = F.when(F.col("score") >= 2, 1).when(of_publisher, 2).when(trusted & relevant, 3).when(trusted, 4)
-    return _with_addresses(raw, scored.withColumn("tier", tier).where("tier IS NOT NULL"), ["tier", F.desc("score"), "c_pos"], None)
+    # Out of a list, so that the condition is not worked out on top of the value.
+    ranked = scored.select("raw_id", "pos", "c_pos", "uri", "score", F.explode(F.filter(F.array(tier), lambda t: t.isNotNull())).alias("tier"))
+    return _with_addresses(raw, ranked, ["tier", F.desc("score"), "c_pos"], None)
 
 
 def gap_chunk_addresses(raw: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -477,8 +481,9 @@ def gap_chunk_addresses(raw: DataFrame, chunks: DataFrame) -> DataFrame:
     c = chunks.where("uri IS NOT NULL AND uri <> '' AND title IS NOT NULL AND title <> ''").select("raw_id", F.col("pos").alias("c_pos"), "uri", F.col("title").alias("c_title"))
     event = F.array_distinct(F.concat(tokenize("title"), tokenize("state", 3), tokenize("town", 3), tokenize("group")))
     theirs = tokenize("c_title", 3)
-    shared = lambda mine: F.size(F.filter(theirs, lambda t: F.array_contains(mine, t)))
-    scored = each.where(_wanting(F.col("s.url"))).join(c, "raw_id").withColumn("score", 2 * shared(tokenize("s.title", 3)) + shared(event)).where("score >= 2")
+    score = bound(theirs, lambda words: 2 * shared_words(words, tokenize("s.title", 3)) + shared_words(words, event))
+    pairs = each.where(_wanting(F.col("s.url"))).join(c, "raw_id").repartition("raw_id")
+    scored = pairs.select("raw_id", "pos", "c_pos", "uri", F.explode(F.filter(F.array(score), lambda n: n >= 2)).alias("score"))
     return _with_addresses(raw, scored, [F.desc("score"), "c_pos"], "")
 
 
