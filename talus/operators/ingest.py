@@ -162,7 +162,11 @@ def cross_state_matches(raw: DataFrame, stored: DataFrame, added: DataFrame | No
     """
     day = F.col("date").cast("date")
     r = raw.where(_known("town")).withColumns({"k": F.lower(F.trim("town")), "d": F.explode(F.sequence(F.date_sub(day, 1), F.date_add(day, 1)))}).alias("r")
-    s = stored.where(active()).withColumns({"k": F.lower("town"), "d": day}).alias("s")
+    s = stored.where(active() & F.col("state").isNotNull()).withColumns({"k": F.lower("town"), "d": day}).alias("s")
+    # Ten rows of other states have at most ten of a report's own before them, if each state keeps its first ten: so the first twenty of a town and
+    # day are all that any report of it can find. Versions of a row share its rank, and what a report does not see yet comes last.
+    for keys, most in ((["k", "d", F.lower("state")], 10), (["k", "d"], 20)):
+        s = s.withColumn("_nth", F.dense_rank().over(W.partitionBy(*keys).orderBy(*_age(stored)))).where(F.col("_nth") <= most).drop("_nth").alias("s")
     pairs = r.join(s, (F.col("r.k") == F.col("s.k")) & (F.col("r.d") == F.col("s.d")) & (F.lower("r.state") != F.lower("s.state")) & _seen(versioned="since" in stored.columns))
     order = W.partitionBy("r._id").orderBy(*_age(stored))
     urls = lambda c: F.filter(F.transform(F.coalesce(c, F.array()), lambda x: normalize_url(x["url"])), lambda u: u != "")
