@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 from tests.test_operators import DAY, flat, row
 from talus.operators import dedup, score, tiles
@@ -45,3 +47,31 @@ def test_texts_that_may_be_alike():
     a, b = ["", "ab", "gunmen raid market town", "aaaaaaaaaa"], ["", "gunmen raided market town", "aaaaaaabbb", "zz", "gunmen raid market zzzz"]
     may = tiles._may_be_alike(a, b)
     assert may[0, 0] and may[2, 1] and may[2, 4] and may[3, 2] and not may[1, 3] and not may[2, 2]
+
+
+def test_edits_of_all_pairs():
+    """Distances of texts of any length, over one word of 64 characters and over several, are those of the plain table."""
+
+    def plain(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            row, last = [i], row
+            for k, d in enumerate(y, 1):
+                row.append(min(last[k] + 1, row[-1] + 1, last[k - 1] + (c != d)))
+        return row[-1]
+
+    rnd = random.Random(3)
+    texts = ["", "a", "é日本語", "a" * 64, "a" * 65, "b" * 130] + ["".join(rnd.choice("abcdé") for _ in range(rnd.choice([5, 40, 63, 64, 80, 127, 128, 150]))) for _ in range(24)]
+    texts += [t[:20] + "xx" + t[25:] for t in texts]
+    i, j = (x.reshape(-1) for x in np.indices((len(texts), len(texts))))
+    assert tiles.edits(texts, texts[::-1], i, j).tolist() == [plain(texts[x], texts[::-1][y]) for x, y in zip(i, j)]
+
+
+def test_pairs_below_the_threshold_stay_in_their_tile(spark):
+    """Only pairs that reach the threshold leave the tiles: neither all pairs of a state nor their titles."""
+    f = score.features(some(spark, 150)).withColumn("_new", F.lit(True)).withColumn("_kind", F.xxhash64(*dedup.KIND))
+    kinds = f.select("_kind").distinct()
+    apart = kinds.withColumnRenamed("_kind", "kind_x").crossJoin(kinds.withColumnRenamed("_kind", "kind_y")).withColumns({"s_location": F.lit(0.0), "s_group": F.lit(0.0)})
+    got = tiles.pairs(f, apart, 8, 60 - 1e-6)
+    assert set(got.columns) == {"id_x", "id_y", *tiles.BY_KIND, *tiles.PARTS}
+    assert all(sum(r[p] for p in tiles.PARTS) >= 60 for r in got.collect())
