@@ -48,23 +48,47 @@ def _seen(raw: str = "r", stored: str = "s", versioned: bool = True) -> Column:
 def narrow_matches(raw: DataFrame, stored: DataFrame) -> DataFrame:
     """(raw_id, match_id): the first stored row (by createdAt, _id) within two days in the same state that one of six clauses ties to a raw one.
 
-    A raw row is dealt to each of its five days, so the join is an equality of state and day. Stored rows may be versions (since,
-    until) of which a raw row sees the one of its turn (seq).
+    Each clause is an equality of state, day and what it goes by: stored rows are reduced to the first of each such key, and a raw row asks
+    for the keys of its five days. Towns that hold a word, counts within a range and titles that hold all words are found once for each
+    different question of a day. Stored rows may be versions (since, until) of which a raw row sees the one of its turn (seq).
     """
-    day = F.col("date").cast("date")
-    r = raw.withColumns({"d": F.explode(F.sequence(F.date_sub(day, 2), F.date_add(day, 2))), "tw": _words("town", 3, TOWN_STOPWORDS), "hw": F.slice(_words("title", 4, TITLE_STOPWORDS), 1, 3), "nlga": F.when(text("lga") == "", "Unknown").otherwise(F.col("lga"))}).alias("r")
-    s = stored.withColumn("d", day).alias("s")
-    lga, group = F.lower("s.lga") == F.lower("r.nlga"), _same("s.group", "r.group")
-    clauses = [
-        _same("s.town", "r.town"),
-        F.exists("r.tw", lambda w: F.contains(F.lower("s.town"), w)) & lga,
-        lga & group,
-        (F.col("r.killed") > 0) & lga & _within(F.col("s.killed"), F.col("r.killed"), 0.5, 1.5),
-        (F.size("r.hw") >= 2) & F.forall("r.hw", lambda w: F.contains(F.lower("s.title"), w)) & group,
-        (F.col("r.killed") > 0) & (F.col("r.kidnapped") > 0) & group & (F.col("s.killed") == F.col("r.killed")) & (F.col("s.kidnapped") == F.col("r.kidnapped")),
+    versioned = "since" in stored.columns
+    when, turn = (["since", "until"], ["seq"]) if versioned else ([], [])
+    low = lambda c: F.lower(F.col(c)).alias(c)
+    day, age = F.col("date").cast("date"), ["createdAt", *(["turn"] if "turn" in stored.columns else []), "_id"]
+    s = settled(stored.select(day.alias("d"), low("state"), low("lga"), low("town"), low("group"), low("title"), "killed", "kidnapped", F.struct(*age).alias("first"), *when), "stored-near")
+    nlga = F.lower(F.when(text("lga") == "", "Unknown").otherwise(F.col("lga"))).alias("lga")
+    r = settled(raw.select("_id", day.alias("day"), low("state"), nlga, low("town"), low("group"), "killed", "kidnapped", F.array_distinct(_words("town", 3, TOWN_STOPWORDS)).alias("tw"), F.slice(_words("title", 4, TITLE_STOPWORDS), 1, 3).alias("hw"), *turn), "reports-near")
+    first, days = F.min("first").alias("first"), F.explode(F.sequence(F.date_sub("day", 2), F.date_add("day", 2))).alias("d")
+
+    def found(rows: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
+        have = held.groupBy("state", "d", *keys, *when).agg(first).alias("s")
+        asked = rows.select("_id", "state", days, *keys, *turn).alias("r")
+        on = _all([F.col(f"r.{c}") == F.col(f"s.{c}") for c in ["state", "d", *keys]]) & _seen(versioned=versioned)
+        return asked.join(have.hint("merge"), on).select("r._id", "s.first")
+
+    def asked(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return rows.select("state", days, *keys).distinct()
+
+    words = r.select("_id", "state", "day", "lga", F.explode("tw").alias("word"), *turn)
+    inside = _inside(words.select("word"), s.select("town"))
+    counted = r.where("killed > 0").withColumn("k", F.col("killed")).drop("killed")
+    counts = s.groupBy("state", "d", "lga", "killed", *when).agg(first)
+    near = asked(counted, ["lga", "k"]).join(counts.hint("merge"), ["state", "d", "lga"]).where(_within(F.col("killed"), F.col("k"), 0.5, 1.5))
+    titled = r.where("size(hw) >= 2")
+    told = asked(titled, ["group", "hw"]).join(s.select("state", "d", "group", "title", "first", *when).hint("merge"), ["state", "d", "group"]).where(F.forall("hw", lambda w: F.contains("title", w)))
+    steps = [
+        found(r, s, ["town"]),
+        found(words, s.join(inside.hint("merge"), F.col("town") == F.col("holder")).withColumnRenamed("name", "word"), ["lga", "word"]),
+        found(r, s, ["lga", "group"]),
+        found(counted, near, ["lga", "k"]),
+        found(titled, told, ["group", "hw"]),
+        found(r.where("killed > 0 AND kidnapped > 0"), s, ["group", "killed", "kidnapped"]),
     ]
-    on = (F.lower("r.state") == F.lower("s.state")) & (F.col("r.d") == F.col("s.d")) & _seen(versioned="since" in stored.columns)
-    return _first(r.join(s, on).where(any_of([F.coalesce(c, F.lit(False)) for c in clauses])), _age(stored))
+    every = steps[0]
+    for step in steps[1:]:
+        every = every.unionByName(step)
+    return every.groupBy(F.col("_id").alias("raw_id")).agg(first).select("raw_id", F.col("first._id").alias("match_id"))
 
 
 def _age(stored: DataFrame) -> list[Column]:
@@ -72,11 +96,6 @@ def _age(stored: DataFrame) -> list[Column]:
     return [F.col(c) for c in ("s.createdAt", *(["s.turn"] if "turn" in stored.columns else []), "s._id")]
 
 
-def _first(pairs: DataFrame, order: list[Column]) -> DataFrame:
-    best = pairs.select(F.col("r._id").alias("raw_id"), F.col("s._id").alias("match_id"), F.row_number().over(W.partitionBy("r._id").orderBy(*order)).alias("rn"))
-    return best.where("rn = 1").drop("rn")
-
-
 def _known(c: str) -> Column:
     return (F.trim(text(c)) != "") & (F.lower(F.trim(text(c))) != "unknown")
 
@@ -86,7 +105,8 @@ def broad_matches(raw: DataFrame, stored: DataFrame) -> DataFrame:
 
     Only the oldest counts, so stored rows are reduced to the oldest of each place and count, of each town's name, and of each town,
     group and time before they meet a report; reports that ask the same are asked for once. What a join makes grows with
-    the different places, names and counts, not with the rows of a state.
+    the different places, names and counts, not with the rows of a state. Nothing is broadcast: files are small beside what they are in memory,
+    and the driver would hold the tables of several joins at once.
     """
     versioned = "since" in stored.columns
     when, turn = (["since", "until"], ["seq"]) if versioned else ([], [])
@@ -102,18 +122,16 @@ def broad_matches(raw: DataFrame, stored: DataFrame) -> DataFrame:
         have = s.where("kidnapped > 0").groupBy(*place, "kidnapped", *when).agg(oldest).withColumn("kb", bucket).alias("s")
         asked = rows.select(*place, "kidnapped", *turn).distinct().withColumn("kb", F.explode(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda i: i + bucket))).alias("r")
         on = [F.col(f"r.{c}") == F.col(f"s.{c}") for c in [*place, "kb"]]
-        near = asked.join(have, _all(on)).where(_within(F.col("s.kidnapped"), F.col("r.kidnapped"), low, high) & _seen(versioned=versioned))
+        near = asked.join(have.hint("merge"), _all(on)).where(_within(F.col("s.kidnapped"), F.col("r.kidnapped"), low, high) & _seen(versioned=versioned))
         found = near.groupBy(*[F.col(f"r.{c}").alias(c) for c in [*place, "kidnapped", *turn]]).agg(F.min("s.oldest").alias("oldest"))
-        return rows.join(found, [*place, "kidnapped", *turn]).select("_id", "oldest")
+        return rows.join(found.hint("merge"), [*place, "kidnapped", *turn]).select("_id", "oldest")
 
     def by_name() -> DataFrame:
-        names = settled(s.where("town IS NOT NULL AND lga IS NOT NULL").groupBy("state", "lga", "town", *when).agg(oldest), "stored-towns")
-        asked = r.where("kl AND kt").select("state", "lga", "town", *turn).distinct()
-        pairs = _town_inside(asked.select("state", "lga", "town").distinct(), names.select("state", "lga", "town").distinct())
-        held = pairs.join(names.select("state", "lga", F.col("town").alias("holder"), "oldest", *when), ["state", "lga", "holder"]).alias("s")
-        on = _all([F.col(f"r.{c}") == F.col(f"s.{c}") for c in ("state", "lga", "town")]) & _seen(versioned=versioned)
-        found = asked.alias("r").join(held, on).groupBy(*[F.col(f"r.{c}").alias(c) for c in ["state", "lga", "town", *turn]]).agg(F.min("s.oldest").alias("oldest"))
-        return r.where("kl AND kt").join(found, ["state", "lga", "town", *turn]).select("_id", "oldest")
+        asked = r.where("kl AND kt").select("_id", "state", "lga", "town", *turn).alias("r")
+        held = s.where("lga IS NOT NULL").groupBy("state", "lga", "town", *when).agg(oldest)
+        have = held.join(_inside(asked.select("town"), held.select("town")).hint("merge"), F.col("town") == F.col("holder")).groupBy("state", "lga", "name", *when).agg(F.min("oldest").alias("oldest")).alias("s")
+        on = _all([F.col("r.state") == F.col("s.state"), F.col("r.lga") == F.col("s.lga"), F.col("r.town") == F.col("s.name")]) & _seen(versioned=versioned)
+        return asked.join(have.hint("merge"), on).select("r._id", "s.oldest")
 
     def by_town() -> DataFrame:
         # Both sides of 60 days are three buckets of as many; a bucket holds each time of a town and group once.
@@ -122,9 +140,9 @@ def broad_matches(raw: DataFrame, stored: DataFrame) -> DataFrame:
         told = r.where("kt").where(~F.trim(text("group")).isin([*V.UNKNOWN_GROUPS, ""]))
         asked = told.select("state", "town", "group", "date", *turn).distinct().withColumn("b", F.explode(F.array(days - 1, days, days + 1))).alias("r")
         apart = F.abs(F.unix_millis("s.date") - F.unix_millis("r.date")) <= 60 * 86_400_000
-        near = asked.join(have, _all([F.col(f"r.{c}") == F.col(f"s.{c}") for c in ("state", "town", "group", "b")])).where(apart & _seen(versioned=versioned))
+        near = asked.join(have.hint("merge"), _all([F.col(f"r.{c}") == F.col(f"s.{c}") for c in ("state", "town", "group", "b")])).where(apart & _seen(versioned=versioned))
         found = near.groupBy(*[F.col(f"r.{c}").alias(c) for c in ["state", "town", "group", "date", *turn]]).agg(F.min("s.oldest").alias("oldest"))
-        return told.join(found, ["state", "town", "group", "date", *turn]).select("_id", "oldest")
+        return told.join(found.hint("merge"), ["state", "town", "group", "date", *turn]).select("_id", "oldest")
 
     place = ["state", "lga"]
     found = by_count(r.where("kl AND kidnapped BETWEEN 10 AND 99"), place, 3, 0.8, 1.2)
@@ -141,18 +159,15 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def _town_inside(asked: DataFrame, held: DataFrame) -> DataFrame:
-    """(state, lga, town, holder): the different names of towns asked for, and those held in the same state and LGA that have one inside: joined by that three-letter piece of the asked name which the fewest held names of the place have."""
-
-    def pieces(name: Column, size: Column | int) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - size + 1, F.lit(1))), lambda i: F.substring(name, i, size)))
-
-    every = F.array_distinct(F.concat(*[F.filter(pieces(F.col("holder"), k), lambda g, k=k: F.length(g) == k) for k in (1, 2, 3)]))
-    grams = settled(held.withColumnRenamed("town", "holder").withColumn("gram", F.explode(every)), "town-pieces")
-    counts = grams.groupBy("state", "lga", "gram").agg(F.count("*").alias("n"))
-    wanted = asked.withColumn("gram", F.explode(pieces(F.col("town"), F.least(F.length("town"), F.lit(3)))))
-    rarest = wanted.join(counts, ["state", "lga", "gram"]).groupBy("state", "lga", "town").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    return rarest.join(grams, ["state", "lga", "gram"]).where(F.contains("holder", F.col("town"))).select("state", "lga", "town", "holder")
+def _inside(names: DataFrame, holders: DataFrame) -> DataFrame:
+    """(name, holder): the different texts of one column that stand inside the different texts of the other: an equality with the pieces of the holders that are as long as some name."""
+    asked, held = (x.toDF(c).distinct() for x, c in ((names, "name"), (holders, "holder")))
+    # One row, as long as there are different lengths.
+    sizes = asked.agg(F.collect_set(F.length("name")).alias("sizes"))
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.length("holder") - n + 1), lambda i: F.substring("holder", i, n))
+    fits = F.filter("sizes", lambda n: n <= F.length("holder"))
+    each = held.where("holder IS NOT NULL").crossJoin(F.broadcast(sizes)).select("holder", F.explode(F.array_distinct(F.flatten(F.transform(fits, pieces)))).alias("name"))
+    return each.join(asked.hint("merge"), "name")
 
 
 def cross_state_matches(raw: DataFrame, stored: DataFrame, added: DataFrame | None = None) -> DataFrame:
