@@ -207,3 +207,18 @@ def test_order_is_that_of_seq(spark):
     name = {1000 + n: i for i, n in back.items()}
     got = {r.raw_id: (r.action, r.target) for r in ingest.plan_in_order(turned, stored).collect()}
     assert got == {name[i]: (a, name.get(t, t)) for i, (a, t) in want.items()}
+
+
+def test_later_rounds_decide_what_changes_can_reach(spark, monkeypatch):
+    """From the third round on only reports that a changed row can reach are decided anew, and the plan is that of a pass in order."""
+    raw, stored = chains(spark)
+    sizes, whole = [], ingest._decided
+
+    def counted(hashed, *others, **named):
+        sizes.append(hashed.count())
+        return whole(hashed, *others, **named)
+
+    monkeypatch.setattr(ingest, "_decided", counted)
+    want, _ = fold_with_states(rows_of(ingest.with_hash(raw)), rows_of(stored))
+    assert {r.raw_id: (r.action, r.target) for r in ingest.plan_in_order(raw, stored).collect()} == want
+    assert sizes[:2] == [raw.count()] * 2 and len(sizes) > 2 and all(n < sizes[0] for n in sizes[2:])
