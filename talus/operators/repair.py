@@ -11,7 +11,7 @@ from ..functions.text import normalize_state, text
 from ..functions.urls import invalid_reason
 from ..schema import active
 from ..sources.files import settled
-from .dedup import cross_state_pairs, exact_clusters
+from .dedup import cross_state_merges, exact_clusters
 from .ingest import apply, complete, with_civilians, with_hash
 from .merge import merge_pairs, soft_delete, undelete, upsert
 
@@ -36,11 +36,7 @@ def repair_quality(flat: DataFrame, first: Column, last: Column) -> tuple[DataFr
     out = settled(merged_away(flat, exact, "Exact duplicate of "), "without-exact")
     now = out.where(in_time)
     weight = F.struct(F.size(F.coalesce("sources", F.array())).alias("n"), F.length(text("description")).alias("l"), (-F.col("_id")).alias("i"))
-    w = now.select("_id", weight.alias("w"))
-    pairs = cross_state_pairs(now).join(w.select(F.col("_id").alias("id_a"), F.col("w").alias("wa")), "id_a").join(w.select(F.col("_id").alias("id_b"), F.col("w").alias("wb")), "id_b")
-    cross = pairs.select(F.when(F.col("wa") >= F.col("wb"), F.col("id_a")).otherwise(F.col("id_b")).alias("kept"), F.when(F.col("wa") >= F.col("wb"), F.col("id_b")).otherwise(F.col("id_a")).alias("dropped"))
-    cross = settled(cross, "cross-state")
-    cross = cross.join(cross.select(F.col("dropped").alias("kept")).distinct(), "kept", "left_anti").groupBy("dropped").agg(F.min("kept").alias("kept")).select("kept", "dropped")
+    cross = settled(cross_state_merges(now, weight), "cross-state")
     out = settled(merged_away(out, cross, "Cross-state duplicate of "), "without-cross-state")
     fixes = date_fixes(out.where(in_time)).select("_id", "fixed")
     dated = out.join(fixes, "_id", "left").withColumn("date", F.coalesce("fixed", "date")).select(flat.columns)
