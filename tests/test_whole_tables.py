@@ -47,3 +47,23 @@ def test_documents_of_all_languages(spark, tmp_path):
     assert {r._id for r in got["dedup_exact_cluster"]} >= {1, 31}
     for scan in ("dedup_state_scan", "dedup_global_scan", "top_candidates"):
         assert (1, 31) in {(r.id_a, r.id_b) for r in got[scan]}, scan
+
+
+def test_addresses_by_id_lie_in_partitions_of_bounded_size(spark, monkeypatch):
+    """Rows of addresses come in more partitions as they grow, numbers stand for addresses, and links are those of brute force; a row without an _id is in its class and links nothing."""
+    monkeypatch.setattr(dedup, "HELD", 50)
+    rows = [(i, f" HTTPS://a.b/{(i * j) % 9}" + "/" * (i % 2)) for i in range(200) for j in range(1, 4)] + [(None, "https://a.b/1"), (None, "https://only.null/"), (500, None), (501, "//")]
+    sources = spark.createDataFrame(rows, "_id long, url string")
+    dealt, _ = dedup._address_classes(sources)
+    assert dealt.rdd.getNumPartitions() >= 12 and dict(dealt.dtypes) == {"_id": "bigint", "class": "bigint", "first": "bigint"}
+    own, first = {}, {}
+    for i, u in rows:
+        if u:
+            own.setdefault(i, set()).add(re.sub("/$", "", u.strip().lower()))
+    for i in sorted(x for x in own if x is not None):
+        for u in own[i]:
+            first.setdefault(u, i)
+    want = {(first[u], i): len(own[i] & own[first[u]]) for i in own if i is not None for u in own[i] if first[u] != i}
+    got = dedup.source_links(sources).collect()
+    assert len(got) == len(want) and {(r.id_a, r.id_b): r.shared for r in got} == want
+    assert {(r._id, r.source, r.class_id) for r in dedup.shared_source_classes(sources).collect()} == {(i, u, first.get(u)) for i, s in own.items() for u in s}
