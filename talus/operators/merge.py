@@ -49,28 +49,41 @@ def merge_status(existing: Column, candidate: Column) -> Column:
 DESCRIPTION_CHARS = 50
 
 
+def _folded(flat: DataFrame, pairs: DataFrame, tags: bool) -> DataFrame:
+    """What all the dropped rows of each kept one bring along: (_id, m_...), of those that flat has."""
+    b = flat.select(F.col("_id").alias("dropped"), *CASUALTIES, "sources", "status", *(["tags"] if tags else []))
+    return b.join(pairs.select("kept", "dropped"), "dropped").groupBy(F.col("kept").alias("_id")).agg(
+        F.count("*").alias("m_rows"),
+        *[F.max(c).alias(f"m_{c}") for c in CASUALTIES],
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(F.col("dropped").alias("i"), F.col("sources").alias("s")))), lambda x: x["s"])).alias("m_sources"),
+        F.max(F.col("status") == "confirmed").alias("m_confirmed"),
+        *([F.array_distinct(F.flatten(F.collect_list(F.coalesce("tags", F.array())))).alias("m_tags")] if tags else []),
+    )
+
+
+def _taken_in(null_policy: str, tags: bool) -> dict[str, Column]:
+    """The columns of rows beside what is folded into them, with it."""
+    new = {c: merge_count(F.col(c), F.col(f"m_{c}"), null_policy) for c in CASUALTIES} | {"sources": merge_sources(F.col("sources"), F.col("m_sources")), "status": F.when(F.col("m_confirmed"), "confirmed").otherwise(F.col("status"))}
+    return new | ({"tags": merge_tags(F.col("tags"), F.array_sort("m_tags"))} if tags else {})
+
+
 def merge_pairs(flat: DataFrame, pairs: DataFrame, null_policy: str = "keep", descriptions: DataFrame | None = None, tags: bool = False) -> DataFrame:
     """The kept rows of pairs (kept, dropped), each with all its dropped ones folded in: larger counts, joined sources, a confirmed status, and tags if asked for.
 
     descriptions (_id, text) are merged texts from outside, such as a model's; a kept row without one of more than
     DESCRIPTION_CHARS characters keeps its own.
     """
-    a = flat.alias("a").join(pairs.select("kept", "dropped").alias("p"), F.col("a._id") == F.col("p.kept"))
-    both = a.join(flat.alias("b"), F.col("b._id") == F.col("p.dropped"))
-    folded = both.groupBy(F.col("a._id").alias("_id")).agg(
-        *[F.max(f"b.{c}").alias(f"m_{c}") for c in CASUALTIES],
-        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(F.col("b._id").alias("i"), F.col("b.sources").alias("s")))), lambda x: x["s"])).alias("m_sources"),
-        F.max(F.col("b.status") == "confirmed").alias("m_confirmed"),
-        *([F.array_distinct(F.flatten(F.collect_list(F.coalesce("b.tags", F.array())))).alias("m_tags")] if tags else []),
-    )
-    joined = flat.join(folded, "_id")
+    joined = flat.join(_folded(flat, pairs, tags), "_id")
     if descriptions is not None:
         told = descriptions.select(F.col("_id").alias("_told"), F.trim("text").alias("m_text")).where(F.length("m_text") > DESCRIPTION_CHARS).dropDuplicates(["_told"])
         joined = joined.join(told, F.col("_id") == F.col("_told"), "left").withColumn("description", F.coalesce("m_text", "description"))
-    if tags:
-        joined = joined.withColumn("tags", merge_tags(F.col("tags"), F.array_sort("m_tags")))
-    new = {c: merge_count(F.col(c), F.col(f"m_{c}"), null_policy) for c in CASUALTIES} | {"sources": merge_sources(F.col("sources"), F.col("m_sources")), "status": F.when(F.col("m_confirmed"), "confirmed").otherwise(F.col("status"))}
-    return joined.withColumns(new).select(flat.columns)
+    return joined.withColumns(_taken_in(null_policy, tags)).select(flat.columns)
+
+
+def merged_in_place(flat: DataFrame, pairs: DataFrame, tags: bool = False) -> DataFrame:
+    """All rows of flat, the kept ones of pairs as in merge_pairs(): as upsert(flat, merge_pairs(flat, pairs)), but rows meet what they take in once."""
+    joined = flat.join(_folded(flat, pairs, tags), "_id", "left")
+    return joined.withColumns({c: F.when(F.col("m_rows").isNotNull(), new).otherwise(F.col(c)) for c, new in _taken_in("keep", tags).items()}).select(flat.columns)
 
 
 def add_sources(flat: DataFrame, more: DataFrame) -> DataFrame:

@@ -13,14 +13,22 @@ from ..schema import active
 from ..sources.files import settled
 from .dedup import cross_state_merges, exact_clusters
 from .ingest import apply, complete, with_civilians, with_hash
-from .merge import merge_pairs, soft_delete, undelete, upsert
+from .merge import merged_in_place, soft_delete, undelete
 
 
 def flag_groups(flat: DataFrame, groups: DataFrame, reason: str = "Duplicate") -> DataFrame:
     """flat with curated pairs (kept, dropped) merged, the dropped rows soft-deleted, and every state in canonical form."""
-    out = upsert(flat, merge_pairs(flat, groups, tags="tags" in flat.columns))
-    known = groups.join(flat.select(F.col("_id").alias("kept")), "kept", "left_semi")
-    return soft_delete(out, known.select(F.col("dropped").alias("_id")), reason).withColumn("state", normalize_state("state"))
+    out = merged_in_place(flat, groups, tags="tags" in flat.columns)
+    # Distinct ids, so that what is joined to the rows for other columns is not made for them.
+    known = groups.join(flat.select(F.col("_id").alias("kept")).distinct(), "kept", "left_semi")
+    return _canonical(soft_delete(out, known.select(F.col("dropped").alias("_id")), reason), flat)
+
+
+def _canonical(rows: DataFrame, flat: DataFrame) -> DataFrame:
+    """rows with states in canonical form: each distinct one of flat, whose states they have, is told once."""
+    seen = flat.select(text("state").alias("_seen")).distinct()
+    named = settled(seen.withColumn("_named", normalize_state("_seen")), "states")
+    return rows.join(named, text("state") == F.col("_seen"), "left").withColumn("state", F.col("_named")).select(rows.columns)
 
 
 def repair_quality(flat: DataFrame, first: Column, last: Column) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +55,7 @@ def repair_quality(flat: DataFrame, first: Column, last: Column) -> tuple[DataFr
 
 def merged_away(flat: DataFrame, pairs: DataFrame, reason: str) -> DataFrame:
     """flat with pairs (kept, dropped) merged and the dropped rows soft-deleted, their reason naming the kept one."""
-    out = upsert(flat, merge_pairs(flat, pairs))
+    out = merged_in_place(flat, pairs)
     gone = out.join(pairs.select(F.col("dropped").alias("_id"), F.col("kept").alias("_kept")).dropDuplicates(["_id"]), "_id", "left")
     out = gone.withColumn("_deleted", F.when(F.col("_kept").isNotNull(), True).otherwise(F.coalesce("_deleted", F.lit(False))))
     if "_deletedReason" in flat.columns:
