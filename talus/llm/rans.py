@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import pre_tokens
+from .bpe import fast_tokens, pre_tokens, spaced
 from .common import durable, mapped, shared_dir, texts
 
 #: Frequencies are scaled to 2^PROB; states are in [2^LOW, 2^(LOW + WORD)), and WORD >= PROB, so a step moves one word at most.
@@ -157,10 +157,20 @@ class PieceIds(dict):
         self.chars |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in self.chars)}
         assert set(self.chars.values()) == set(ByteLevel.alphabet())
 
+        self.table, self.packers = str.maketrans(self.chars), [struct.Struct(f"<{n}{'H' if width == 2 else 'I'}").pack for n in range(64)]
+        self.after = SpacedIds(self)
+
+    def ids_of(self, piece: str) -> bytes:
+        """The ids of one pre-token, from the library."""
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.table)
+        elif not piece.isalpha():
+            piece = piece.replace(" ", self.chars[32]) if piece.isprintable() else piece.translate(self.table)
+        ids = [t.id for t in self.model.tokenize(piece)]
+        return self.packers[len(ids)](*ids) if len(ids) < len(self.packers) else np.array(ids, dtype=f"<u{self.width}").tobytes()
+
     def __missing__(self, piece: str) -> bytes:
-        plain = piece.isascii() and piece.isprintable()
-        ids = [t.id for t in self.model.tokenize(piece.replace(" ", self.chars[32]) if plain else piece.encode().decode("latin-1").translate(self.chars))]
-        ids = struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+        ids = self.ids_of(piece)
         if len(self) < self.KEPT:
             self[piece] = ids
         return ids
@@ -169,7 +179,37 @@ class PieceIds(dict):
         """As library.encode(text, add_special_tokens=False).ids; texts that spell a special token go through it whole."""
         if not self.plain or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=f"<u{self.width}").tobytes()
-        return b"".join(map(self.__getitem__, pre_tokens(text, pattern)))
+        cut = spaced(text, pattern)
+        if cut is None:
+            return b"".join(map(self.__getitem__, pre_tokens(text, pattern)))
+        return b"".join([*map(self.__getitem__, fast_tokens(cut[0])), *map(self.after.__getitem__, cut[1:])])
+
+
+class SpacedIds(dict):
+    """The ids of what follows a space in a text that spaced() has cut, that space before it; the first KEPT that are not too long are kept.
+
+    Pre-tokens with a space before them are kept here only, so that words alone and words with a mark behind them share them.
+    """
+
+    LONG = 32
+
+    def __init__(self, pieces: PieceIds):
+        self.pieces = pieces
+
+    def _kept(self, word: str, ids: bytes) -> bytes:
+        if len(word) <= self.LONG and len(self) < self.pieces.KEPT:
+            self[word] = ids
+        return ids
+
+    def _one(self, piece: str) -> bytes:
+        if not piece.startswith(" "):
+            return self.pieces[piece]
+        known = self.get(piece[1:])
+        return self._kept(piece[1:], self.pieces.ids_of(piece)) if known is None else known
+
+    def __missing__(self, word: str) -> bytes:
+        found = fast_tokens(" " + word)
+        return self._one(found[0]) if len(found) == 1 else self._kept(word, b"".join(map(self._one, found)))
 
 
 def vocabulary_size(path: str, end_id: int) -> int:
