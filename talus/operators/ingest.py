@@ -581,7 +581,7 @@ def gap_chunk_addresses(raw: DataFrame, chunks: DataFrame) -> DataFrame:
     event = F.array_distinct(F.concat(tokenize("title"), tokenize("state", 3), tokenize("town", 3), tokenize("group")))
     theirs = tokenize("c_title", 3)
     score = bound(theirs, lambda words: 2 * shared_words(words, tokenize("s.title", 3)) + shared_words(words, event))
-    pairs = each.where(_wanting(F.col("s.url"))).join(c, "raw_id").repartition("raw_id")
+    pairs = each.where(_wanting(F.col("s.url"))).join(c.hint("merge"), "raw_id").repartition("raw_id")
     scored = pairs.select("raw_id", "pos", "c_pos", "uri", F.explode(F.filter(F.array(score), lambda n: n >= 2)).alias("score"))
     return _with_addresses(raw, scored, [F.desc("score"), "c_pos"], "")
 
@@ -598,7 +598,8 @@ def title_chunk_addresses(raw: DataFrame, chunks: DataFrame, search: str = "http
 def _with_addresses(raw: DataFrame, found: DataFrame, order: list[str | Column], missing: str | None) -> DataFrame:
     """raw with the first uri of `found` (raw_id, pos, uri) in `order` as the address of each source that wants one; without one: `missing`, with the event's title if that is a search, or the address as it is (null)."""
     best = found.withColumn("rn", F.row_number().over(W.partitionBy("raw_id", "pos").orderBy(*order))).where("rn = 1").groupBy("raw_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "uri"))).alias("_uris"))
-    joined = raw.join(best, raw["_id"] == best["raw_id"], "left").drop("raw_id")
+    # Reports and their addresses grow alike; small files as they are, the driver would hold them by far larger to broadcast them.
+    joined = raw.join(best.hint("merge"), raw["_id"] == best["raw_id"], "left").drop("raw_id")
 
     def address(s: Column, i: Column) -> Column:
         other = s["url"] if missing is None else F.lit("") if not missing else F.concat(F.lit(missing), F.replace(F.url_encode(text("title")), F.lit("+"), F.lit("%20")))
