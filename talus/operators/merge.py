@@ -52,7 +52,7 @@ DESCRIPTION_CHARS = 50
 def _folded(flat: DataFrame, pairs: DataFrame, tags: bool) -> DataFrame:
     """What all the dropped rows of each kept one bring along: (_id, m_...), of those that flat has."""
     b = flat.select(F.col("_id").alias("dropped"), *CASUALTIES, "sources", "status", *(["tags"] if tags else []))
-    return b.join(pairs.select("kept", "dropped"), "dropped").groupBy(F.col("kept").alias("_id")).agg(
+    return b.join(pairs.select("kept", "dropped").hint("merge"), "dropped").groupBy(F.col("kept").alias("_id")).agg(
         F.count("*").alias("m_rows"),
         *[F.max(c).alias(f"m_{c}") for c in CASUALTIES],
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(F.col("dropped").alias("i"), F.col("sources").alias("s")))), lambda x: x["s"])).alias("m_sources"),
@@ -82,7 +82,8 @@ def merge_pairs(flat: DataFrame, pairs: DataFrame, null_policy: str = "keep", de
 
 def merged_in_place(flat: DataFrame, pairs: DataFrame, tags: bool = False) -> DataFrame:
     """All rows of flat, the kept ones of pairs as in merge_pairs(): as upsert(flat, merge_pairs(flat, pairs)), but rows meet what they take in once."""
-    joined = flat.join(_folded(flat, pairs, tags), "_id", "left")
+    # Merged, not broadcast: what is folded grows with the rows, and lists are far larger in memory than in files.
+    joined = flat.join(_folded(flat, pairs, tags).hint("merge"), "_id", "left")
     return joined.withColumns({c: F.when(F.col("m_rows").isNotNull(), new).otherwise(F.col(c)) for c, new in _taken_in("keep", tags).items()}).select(flat.columns)
 
 

@@ -40,14 +40,14 @@ def repair_quality(flat: DataFrame, first: Column, last: Column) -> tuple[DataFr
     """
     in_time = (F.col("date") >= first) & (F.col("date") < last)
     clusters = exact_clusters(flat.where(in_time))
-    exact = settled(clusters.where("rank = 1").select("cluster", F.col("_id").alias("kept")).join(clusters.where("rank > 1").select("cluster", F.col("_id").alias("dropped")), "cluster").select("kept", "dropped"), "exact-duplicates")
+    exact = settled(clusters.where("rank = 1").select("cluster", F.col("_id").alias("kept")).join(clusters.where("rank > 1").select("cluster", F.col("_id").alias("dropped")).hint("merge"), "cluster").select("kept", "dropped"), "exact-duplicates")
     out = settled(merged_away(flat, exact, "Exact duplicate of "), "without-exact")
     now = out.where(in_time)
     weight = F.struct(F.size(F.coalesce("sources", F.array())).alias("n"), F.length(text("description")).alias("l"), (-F.col("_id")).alias("i"))
     cross = settled(cross_state_merges(now, weight), "cross-state")
     out = settled(merged_away(out, cross, "Cross-state duplicate of "), "without-cross-state")
     fixes = date_fixes(out.where(in_time)).select("_id", "fixed")
-    dated = out.join(fixes, "_id", "left").withColumn("date", F.coalesce("fixed", "date")).select(flat.columns)
+    dated = out.join(fixes.hint("merge"), "_id", "left").withColumn("date", F.coalesce("fixed", "date")).select(flat.columns)
     done = exact.select(F.lit("exact").alias("step"), F.col("dropped").alias("_id"), "kept", F.lit(None).cast("timestamp").alias("date"))
     done = done.unionByName(cross.select(F.lit("cross-state").alias("step"), F.col("dropped").alias("_id"), "kept", F.lit(None).cast("timestamp").alias("date")))
     return dated, done.unionByName(fixes.select(F.lit("date").alias("step"), "_id", F.lit(None).cast(flat.schema["_id"].dataType).alias("kept"), F.col("fixed").alias("date")))
@@ -56,7 +56,7 @@ def repair_quality(flat: DataFrame, first: Column, last: Column) -> tuple[DataFr
 def merged_away(flat: DataFrame, pairs: DataFrame, reason: str) -> DataFrame:
     """flat with pairs (kept, dropped) merged and the dropped rows soft-deleted, their reason naming the kept one."""
     out = merged_in_place(flat, pairs)
-    gone = out.join(pairs.select(F.col("dropped").alias("_id"), F.col("kept").alias("_kept")).dropDuplicates(["_id"]), "_id", "left")
+    gone = out.join(pairs.select(F.col("dropped").alias("_id"), F.col("kept").alias("_kept")).dropDuplicates(["_id"]).hint("merge"), "_id", "left")
     out = gone.withColumn("_deleted", F.when(F.col("_kept").isNotNull(), True).otherwise(F.coalesce("_deleted", F.lit(False))))
     if "_deletedReason" in flat.columns:
         out = out.withColumn("_deletedReason", F.when(F.col("_kept").isNotNull(), F.concat(F.lit(reason), F.col("_kept").cast("string"))).otherwise(F.col("_deletedReason")))
