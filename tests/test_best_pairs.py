@@ -33,3 +33,23 @@ def test_blocks_of_any_width_give_the_same_pairs(spark, monkeypatch, tiles_wante
     monkeypatch.setattr(tiles, "BLOCK", 5)
     monkeypatch.setattr(tiles, "TILES", tiles_wanted)
     assert sorted(tuple(r) for r in dedup.scan(rows, 0.4, told=False).collect()) == want and len(want) > 60
+
+
+def test_audit_with_a_limit_makes_no_other_pairs(spark, monkeypatch):
+    """An audit with a limit brings the best pairs a few at a time, and asks about those that a look at all pairs, best first, would ask about."""
+    rows = some(spark, 120)
+    pairs = sorted((tuple(r) for r in dedup.scan(rows, 0.6, include_deleted=False).collect()), key=lambda r: (-r[2], r[0], r[1]))
+    verdict = lambda a, b: ((a + b) % 3 != 0, "existing" if b % 2 else "candidate")
+    gone, want = set(), []
+    for a, b, *_ in pairs:
+        if a in gone or b in gone or len(want) == 6:
+            continue
+        same, better = verdict(a, b)
+        want.append((a, b, same))
+        if same:
+            gone.add(a if better == "existing" else b)
+    monkeypatch.setattr(dedup, "scan", None)
+    monkeypatch.setattr(dedup, "AHEAD", 1)
+    report = dedup.audit(rows, lambda p: verdict(p["id_a"], p["id_b"]), limit=6, execute=True)[1].collect()
+    assert [(r.id_a, r.id_b, r.is_duplicate) for r in report] == want and len(want) == 6
+    assert [r.reason for r in report] == [dict(((a, b), r) for a, b, _, r in pairs)[x.id_a, x.id_b] for x in report]
